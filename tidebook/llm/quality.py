@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import materialize
 from .text import string_chunks, word_hashes, word_spans
@@ -87,22 +88,19 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([out[name] for name in STATISTICS], axis=1)
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and STATISTICS for each row; a null text counts as empty."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType
-    id_type = to_arrow_type(kind)
+def with_statistics(rows: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``rows`` and an array column ``name`` of STATISTICS of the text; a null
+    text counts as empty."""
+    at = rows.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, n, data, offsets in string_chunks(batch.column(1)):
+            for first, n, data, offsets in string_chunks(batch.column(at)):
                 values = text_statistics(data, offsets)
-                columns = [pa.array(np.ascontiguousarray(values[:, i])) for i in range(len(STATISTICS))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n).cast(id_type), *columns], ["doc_id", *STATISTICS])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(STATISTICS)), pa.array(values.ravel()))
+                yield batch.slice(first, n).append_column(name, lists)
 
-    return rows.mapInArrow(scan, f"doc_id {kind.simpleString()}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return rows.mapInArrow(scan, T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
 @dataclass(frozen=True)
@@ -118,10 +116,10 @@ class Rule:
             out &= (x[:, i] > cut) == above
         return out
 
-    def column(self) -> Column:
+    def column(self, statistics: Column) -> Column:
         out = F.lit(True)
         for i, above, cut in self.terms:
-            value = F.col(STATISTICS[i])
+            value = statistics[i]
             out = out & (value > cut if above else value <= cut)
         return F.when(out, F.lit(self.weight)).otherwise(F.lit(0.0))
 
@@ -195,11 +193,11 @@ class RuleEnsemble:
     rules: tuple[Rule, ...]
     intercept: float
 
-    def score(self) -> Column:
-        """Between 0 and 1, from columns named as STATISTICS."""
+    def score(self, statistics: Column) -> Column:
+        """Between 0 and 1, from an array of STATISTICS."""
         total = F.lit(self.intercept)
         for rule in self.rules:
-            total = total + rule.column()
+            total = total + rule.column(statistics)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -213,7 +211,22 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4) -> RuleEnsemble:
     return RuleEnsemble(tuple(Rule(r.terms, float(w)) for r, w in zip(rules, weights, strict=True) if w), intercept)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", holdout: int = 5, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def _fitted(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, fold: Column, sample_rows: int) -> RuleEnsemble:
+    marks = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("double").alias("label")).where("label in (0, 1)")
+    train = stats.where(fold != 0).join(marks, "doc_id")
+    train = train.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "statistics").limit(sample_rows).select("label", "statistics").collect()
+    x = np.array([r["statistics"] for r in train], float).reshape(len(train), len(STATISTICS))
+    return fit(x, np.array([r["label"] for r in train], float))
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return materialize(with_statistics(rows, "text", "statistics").drop("text"), "statistics")
+
+
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", holdout: int = 5, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS
+) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each input row.
 
     Labels of rows whose crc32(identifier as text) mod ``holdout`` is 0 are
@@ -223,11 +236,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     scored, held_out false.  Without labels the score is 0.5.  An empty table
     gives an empty result; columns not named are not read.
     """
-    stats = materialize(with_statistics(docs, id_col, text_col), "statistics")
+    stats = _identified(docs, id_col, text_col)
     fold = F.crc32(F.col("doc_id").cast("string")) % holdout
-    marks = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("double").alias("label")).where("label in (0, 1)")
-    train = stats.where(fold != 0).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", *STATISTICS).limit(sample_rows)
-    sample = train.select("label", *STATISTICS).toPandas().to_numpy(float)
-    model = fit(sample[:, 1:], sample[:, 0])
-    scored = stats.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), model.score().alias("score"))
+    model = _fitted(stats, labels, id_col, label_col, fold, sample_rows)
+    scored = stats.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), model.score(F.col("statistics")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", holdout: int = 5, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_scores` predicts as 1, with all
+    their columns.  Statistics are taken again beside the rows, so that no text
+    is shuffled and rows repeating an identifier are judged one by one."""
+    fold = F.crc32(F.col("doc_id").cast("string")) % holdout
+    model = _fitted(_identified(docs, id_col, text_col), labels, id_col, label_col, fold, sample_rows)
+    name = "statistics"
+    while name in docs.columns:
+        name += "_"
+    judged = with_statistics(docs, text_col, name)
+    return judged.where(model.score(F.col(name)) >= threshold).drop(name)
