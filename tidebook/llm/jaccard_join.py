@@ -1,14 +1,14 @@
 """N-gram Jaccard join: a blocked sparse product of document by n-gram incidence.
 
-1. One scan hashes every document's shingle set, gives each set a 128-bit
-   digest, and adds the distinct sets of its partition to a count sketch of
-   shingle frequencies (fixed size, summed over all partitions).
+1. One scan hashes the shingle sets of a block of documents.  The block's
+   distinct shingles travel, packed and by hash range, to be counted over all
+   documents, and return as one frequency class (log2) per shingle.
 2. Sets meet only if their prefixes share a shingle.  A prefix is the first
-   ``n - ceil(t n) + 1`` shingles in order of sketched frequency, then hash.
-   The order is total, so no pair at or above the threshold is missed; that it
-   puts rare shingles first keeps common passages out of the prefixes.  Sets
-   that meet at a shingle hang on the head of their run of compatible sizes,
-   one row per set and shingle: no pairs are written.
+   ``n - ceil(t n) + 1`` shingles in order of frequency class, then hash.  The
+   order is total, so no pair at or above the threshold is missed; that it puts
+   rare shingles first keeps documents that share a passage, and no more, apart.
+   Sets that meet at a shingle hang on the head of their run of compatible
+   sizes, one row per set and shingle: no pairs are written.
 3. Components of these edges bound where links can be.  Small ones share a bin,
    a large one is dealt over tiles of block pairs.  In each the incidence
    product is accumulated exactly, in row blocks; pairs below the size-derived
@@ -18,29 +18,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import block_id, pack, unpack, unvarint, varint
 from .components import connected_components
 from .scratch import materialize
 from .text import mixed, shingle_sets, string_chunks
 
-#: Sketch: rows of hash functions, counters in each, and parts for summing.
-SKETCH_ROWS, SKETCH_BITS, SKETCH_PARTS = 2, 20, 32
+#: Bytes of text in a block.
+BLOCK_BYTES = 16 << 20
 #: Shingles that one task multiplies at once, and entries of one row block.
 TILE, BLOCK = 1_000_000, 4_000_000
 
 
-def _slots(shingles: np.ndarray, row: int) -> np.ndarray:
-    return (mixed(shingles ^ np.uint64(0x9E3779B97F4A7C15 * (row + 1) % 2**64)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
 def _digests(shingles: np.ndarray, at: np.ndarray) -> list[bytes | None]:
     """128 bits of each set; None for an empty one."""
     sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(shingles ^ np.uint64(c)))]) for c in (0x51ED270B1, 0xA24BAED4963EE407)]
@@ -48,81 +45,132 @@ def _digests(shingles: np.ndarray, at: np.ndarray) -> list[bytes | None]:
     return [pairs[i].tobytes() if at[i + 1] > at[i] else None for i in range(len(pairs))]
 
 
-def _scan(k: int):
+class _Block:
+    """Shingle sets of a block's documents; equal sets count once."""
+
+    def __init__(self, k: int):
+        self.k, self.seen, self.sets, self.filled = k, set(), [], 0
+
+    def add(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes | None], np.ndarray]:
+        shingles, at = shingle_sets(data, offsets, self.k)
+        digests, new = _digests(shingles, at), np.zeros(len(at) - 1, bool)
+        for i, d in enumerate(digests):
+            if d is not None and d not in self.seen:
+                self.seen.add(d)
+                new[i] = True
+        self.sets.append(shingles[np.repeat(new, np.diff(at))])
+        self.filled += len(data)
+        return shingles, at, digests, new
+
+    def distinct(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The upper ``bits`` of all shingles, in order, and in how many sets."""
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *self.sets]) >> np.uint64(64 - bits), return_counts=True)
+
+
+_FIELDS = ["block", "bucket", "ids", "lengths", "payload"]
+
+
+def _scan(k: int, bits: int, bucket_bits: int):
+    def shingles(block: int, sets: _Block) -> pa.RecordBatch:
+        values, counts = sets.distinct(bits)
+        edges = np.searchsorted(values, np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(bits - bucket_bits))
+        edges = np.append(edges, len(values)).tolist()
+        rows, lengths, payload = [], [], []
+        for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if y > x:
+                rows.append(b)
+                base = np.uint64(b << (bits - bucket_bits))
+                payload.append(varint(np.diff(values[x:y] - base, prepend=np.uint64(0))))
+                lengths.append(pack(np.minimum(counts[x:y], 255).astype(np.uint8)))
+        n = len(rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block] * n, pa.int64()), pa.array(rows, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.array(lengths, pa.binary()), pa.array(payload, pa.binary())], _FIELDS
+        )
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.uint32)
-        seen: set[bytes] = set()
+        sequence, sets = 0, _Block(k)
         for batch in batches:
             ids = batch.column(0)
             for first, rows, data, offsets in string_chunks(batch.column(1)):
-                shingles, at = shingle_sets(data, offsets, k)
-                digests = _digests(shingles, at)
-                new = np.zeros(rows, bool)
-                for i, d in enumerate(digests):
-                    if d is not None and d not in seen:
-                        seen.add(d)
-                        new[i] = True
-                fresh = shingles[np.repeat(new, np.diff(at))]
-                for row in range(SKETCH_ROWS):
-                    sketch[row] += np.bincount(_slots(fresh, row), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                sets.add(data, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, rows), pa.array(np.diff(at)), pa.array(digests, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                    ["doc_id", "n_shingles", "digest", "part", "sketch"],
+                    [
+                        pa.array([block_id(sequence)]),
+                        pa.nulls(1, pa.int32()),
+                        pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), ids.slice(first, rows)),
+                        pa.array([varint(np.diff(offsets))], pa.binary()),
+                        pa.array([pack(data)], pa.binary()),
+                    ],
+                    _FIELDS,
                 )
-        packer = zstandard.ZstdCompressor(1)
-        parts = [packer.compress(p.tobytes()) for p in np.split(sketch, SKETCH_PARTS, axis=1)]
-        n = len(parts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())],
-            ["doc_id", "n_shingles", "digest", "part", "sketch"],
-        )
+                if sets.filled >= BLOCK_BYTES:
+                    yield shingles(block_id(sequence), sets)
+                    sequence, sets = sequence + 1, _Block(k)
+        yield shingles(block_id(sequence), sets)
 
     return scan
 
 
-def _sum_parts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    total = 0
-    for packed in frame["sketch"]:
-        total = total + np.frombuffer(zstandard.decompress(packed), np.uint32)
-    return pd.DataFrame({"part": [key[0]], "sketch": [zstandard.ZstdCompressor(1).compress(total.tobytes())]})
+def _only_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Takes all columns, so that this branch and the one over texts read one
+    # and the same exchange.
+    for batch in batches:
+        yield batch.filter(batch.column("bucket").is_valid()).select(["block", "bucket", "lengths", "payload"])
 
 
-def _frequencies(scanned: DataFrame) -> np.ndarray:
-    """The sketch of all partitions: 8 MB, whatever the input."""
-    parts = scanned.where(F.col("part").isNotNull()).select("part", "sketch", F.pmod(F.xxhash64("sketch"), F.lit(16)).alias("salt"))
-    parts = parts.groupBy("part", "salt").applyInPandas(_sum_parts, "part int, sketch binary")
-    parts = parts.groupBy("part").applyInPandas(_sum_parts, "part int, sketch binary")
-    found = {r["part"]: np.frombuffer(zstandard.decompress(r["sketch"]), np.uint32) for r in parts.collect()}
-    width = (1 << SKETCH_BITS) // SKETCH_PARTS
-    blank = np.zeros(SKETCH_ROWS * width, np.uint32)
-    return np.concatenate([found.get(p, blank).reshape(SKETCH_ROWS, width) for p in range(SKETCH_PARTS)], axis=1)
+def _frequencies(table: pa.Table) -> pa.Table:
+    """For a range of hashes: the frequency class of each block's shingles."""
+    values = [np.cumsum(unvarint(x.as_py())) for x in table.column("payload")]
+    counts = [unpack(x.as_py(), np.uint8) for x in table.column("lengths")]
+    _, inverse = np.unique(np.concatenate(values), return_inverse=True)
+    often = np.bincount(inverse, np.concatenate(counts))
+    classes = np.log2(often).astype(np.uint8)[inverse]
+    ends = np.cumsum([0, *map(len, values)])
+    payload = [pack(classes[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "payload": pa.array(payload, pa.binary())})
 
 
-def _prefixes(k: int, percent: int, sketch):
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
-        seen: set[bytes] = set()
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, _, data, offsets in string_chunks(batch.column(1)):
-                shingles, at = shingle_sets(data, offsets, k)
-                often = np.minimum.reduce([counts[row][_slots(shingles, row)] for row in range(SKETCH_ROWS)])
-                rank = (np.minimum(often, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (shingles >> np.uint64(24))
-                picked, owners, sizes = [], [], []
-                for i, d in enumerate(_digests(shingles, at)):
-                    if d is None or d in seen:
-                        continue
-                    seen.add(d)
-                    a, n = at[i], int(at[i + 1] - at[i])
-                    order = np.argsort(rank[a : a + n], kind="stable")[: n - (percent * n + 99) // 100 + 1]
-                    order = order[often[a + order] > 1]  # counts are never too low: such a shingle is in one set only
-                    picked.append(shingles[a + order])
-                    owners.append(np.full(len(order), ids[first + i], np.int64))
-                    sizes.append(np.full(len(order), n, np.int64))
-                if picked:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(picked).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))], ["shingle", "doc_id", "n"]
-                    )
+_OUT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("shingle", pa.int64()), ("text", pa.string())])
+
+
+def _prefixes(k: int, percent: int, bits: int):
+    def prefixes(texts: pa.Table, classes: pa.Table) -> pa.Table:
+        sets, pieces = _Block(k), []
+        texts = texts.filter(pc.is_null(texts.column("bucket")))
+        for i in range(texts.num_rows):
+            ids = texts.column("ids")[i].values.to_numpy(zero_copy_only=False)
+            offsets = np.concatenate([[0], np.cumsum(unvarint(texts.column("lengths")[i].as_py()))])
+            data = unpack(texts.column("payload")[i].as_py(), np.uint8)
+            pieces.append((ids, data, offsets, *sets.add(data, offsets)))
+        values, _ = sets.distinct(bits)
+        classes = classes.sort_by("bucket").column("payload")
+        often = np.concatenate([np.zeros(0, np.uint8), *(unpack(x.as_py(), np.uint8) for x in classes)])
+        out = []
+        for ids, data, offsets, shingles, at, digests, new in pieces:
+            sizes = np.diff(at)
+            rows = len(sizes)
+            out.append(pa.table([pa.array(ids, from_pandas=True), pa.array(sizes), pa.array(digests, pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.string())], schema=_OUT))
+            own = often[np.searchsorted(values, shingles >> np.uint64(64 - bits))] if len(shingles) else np.zeros(0, np.uint8)
+            rank = (own.astype(np.uint64) << np.uint64(56)) | (shingles >> np.uint64(8))
+            picked, owners = [], []
+            for i in np.flatnonzero(new):
+                a, n = int(at[i]), int(sizes[i])
+                first = n - (percent * n + 99) // 100 + 1
+                if np.count_nonzero(own[a : a + n] == 0) >= first:
+                    continue
+                order = np.argsort(rank[a : a + n], kind="stable")[:first]
+                order = order[own[a + order] > 0]  # a shingle of one set joins nothing
+                picked.append(shingles[a + order])
+                owners.append(i)
+            if picked:
+                owners = np.array(owners)
+                each = np.repeat(owners, [len(p) for p in picked])
+                n = len(each)
+                out.append(pa.table([pa.array(ids[each], from_pandas=True), pa.array(sizes[each]), pa.nulls(n, pa.binary()), pa.array(np.concatenate(picked).view(np.int64)), pa.nulls(n, pa.string())], schema=_OUT))
+                whole = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in owners]
+                n = len(owners)
+                out.append(pa.table([pa.array(ids[owners], from_pandas=True), pa.array(sizes[owners]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(whole, pa.string())], schema=_OUT))
+        return pa.concat_tables(out) if out else _OUT.empty_table()
 
     return prefixes
 
@@ -167,8 +215,8 @@ def sparse_links(shingles: np.ndarray, at: np.ndarray, percent: int) -> np.ndarr
 
 def _product(k: int, percent: int):
     def product(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
-        ids = table.column("doc_id").to_numpy()
+        table = table.sort_by("rep")
+        ids = table.column("rep").to_numpy()
         sets, ends, n = [], [0], 0
         for _, _, data, offsets in string_chunks(table.column("text")):
             shingles, at = shingle_sets(data, offsets, k)
@@ -197,15 +245,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, digest binary, part int, sketch binary"
-    scanned = materialize(texts.mapInArrow(_scan(k), schema), "shingle-sets")
-    sets = scanned.where(F.col("part").isNull()).select("doc_id", "n_shingles", "digest")
+    partitions = texts.rdd.getNumPartitions()
+    bucket_bits = max(6, math.ceil(math.log2(8 * partitions + 1)))
+    # Enough bits that few shingles of a block are counted with another; a
+    # shared count can only move a shingle in the order, never lose a pair.
+    bits = min(42, 34 + math.ceil(math.log2(partitions + 1)))
+    scanned = texts.mapInArrow(_scan(k, bits, bucket_bits), "block long, bucket int, ids array<long>, lengths binary, payload binary")
+    scanned = scanned.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
+    counted = scanned.mapInArrow(_only_shingles, "block long, bucket int, lengths binary, payload binary")
+    counted = counted.groupBy("bucket").applyInArrow(_frequencies, "block long, bucket int, payload binary")
+    blocks = scanned.groupBy("block").cogroup(counted.groupBy("block"))
+    blocks = materialize(blocks.applyInArrow(_prefixes(k, percent, bits), "doc_id long, n long, digest binary, shingle long, text string"), "prefixes")
+
+    sets = blocks.where("shingle is null and text is null").select("doc_id", F.col("n").alias("n_shingles"), "digest")
     classes = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = materialize(sets.join(classes, "digest", "left"), "members")
-    sketch = spark.sparkContext.broadcast(_frequencies(scanned))
-
-    known = texts.where("doc_id is not null")
-    met = known.mapInArrow(_prefixes(k, percent, sketch), "shingle long, doc_id long, n long")
+    met = blocks.where("shingle is not null and doc_id is not null").select("shingle", "doc_id", "n")
     by_size = Window.partitionBy("shingle").orderBy("n", "doc_id")
     breaks = F.col("n") * percent > F.lag("n").over(by_size) * 100
     met = met.withColumn("opens", F.coalesce(breaks, F.lit(True)))
@@ -229,7 +284,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.least("block", "other").alias("i"),
         F.greatest("block", "other").alias("j"),
     )
-    tiles = met.join(known, F.col("node") == F.col("doc_id")).select("bin", "i", "j", "doc_id", "text")
+    known = blocks.where("text is not null").select("doc_id", "text")
+    chosen = known.select("doc_id").join(node, "doc_id").groupBy("rep").agg(F.min("doc_id").alias("doc_id"))
+    known = chosen.join(known, "doc_id").select("rep", "text")
+    tiles = met.join(known, F.col("node") == F.col("rep")).select("bin", "i", "j", "rep", "text")
     links = tiles.groupBy("bin", "i", "j").applyInArrow(_product(k, percent), "a long, b long")
     found = connected_components(links).withColumnRenamed("node", "rep")
     return member.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
