@@ -192,9 +192,9 @@ def write_warc(
     facts = materialize(rows.select(*_KEY, F.octet_length("payload").cast("long").alias("payload_bytes")), "payload-digests")
 
     low, high, total = facts.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes")).head()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // MOST_BINS))
     shard_bytes = max(shard_bytes, (total or 0) // MOST_BINS)
     shards = max(1, -(-(total or 0) // shard_bytes))
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // min(64 * shards, MOST_BINS)))
     place = F.coalesce(F.floor((F.col("page_id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
     bins = facts.groupBy(place.alias("bin")).agg(F.sum("payload_bytes").alias("held"))
     upto = F.sum("held").over(Window.orderBy("bin")) - F.col("held")
