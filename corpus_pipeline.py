@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm import byte_bpe, exact_dedup, jaccard_join, mixing, quality
-from tidebook.llm.scratch import materialize, small_batches
+from tidebook.llm.scratch import materialize, prepared
 
 #: Part of the hash that rounds a document's share of the mix.
 SEED = 17
@@ -21,7 +21,7 @@ SEED = 17
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble predicts as good."""
-    small_batches(spark)
+    prepared(spark)
     return quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -38,6 +38,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the smallest identifier."""
+    prepared(spark)
     groups = jaccard_join.jaccard_components(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -60,6 +61,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and a digest of what they decode to."""
+    prepared(spark)
     vocabulary = byte_bpe.load_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = byte_bpe.encode_texts(docs, vocabulary, public_tokenizers.PATTERN)
     decoded = byte_bpe.decode_ids(encoded, vocabulary)

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard_join, language, license_scan, mixing, quality, warc
-from .scratch import new_path, small_batches
+from . import byte_bpe, embedding_dedup, exact_dedup, jaccard_join, language, license_scan, mixing, quality, warc
+from .scratch import new_path, prepared
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_language": op6_language,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
@@ -100,6 +105,21 @@ reach(doc_id, low) as (
   union select b, low from reach join links on a = doc_id where low < b)
 select d.doc_id, coalesce(any_value(n), 0) as n_shingles, min(low) as component_id
 from documents d join reach using (doc_id) left join sizes using (doc_id) group by d.doc_id
+""",
+    "op5_embedding_dedup": r"""
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings where label is not null and embedding is not null),
+ok as (select * from v where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+degree as (select a, count(*) as n from links group by a),
+reach(vec_id, low) as (
+  select vec_id, vec_id from embeddings
+  union select b, low from reach join links on a = vec_id where low < b),
+c as (select vec_id, min(low) as component_id from reach group by vec_id)
+select c.vec_id, coalesce(n, 0) as n_links, component_id, c.vec_id = component_id as kept
+from c left join degree on a = vec_id
 """,
     "op7_exact_dedup": r"""
 with t as (

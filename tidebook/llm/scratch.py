@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def root(spark: SparkSession) -> str:
@@ -42,8 +45,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """Bound the Arrow batches of whole texts by rows: with the default of
-    10,000 one batch of long texts can take a large part of an executor."""
+def prepared(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """``spark`` with what tasks over texts need: this package on the executors,
+    and Arrow batches bounded by rows (with the default of 10,000 one batch of
+    long texts can take a large part of an executor)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    key = spark.sparkContext.applicationId
+    if key not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        folder = Path(tempfile.mkdtemp(prefix="tidebook-package-"))
+        archive = folder / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(package.rglob("*.py")):
+                out.write(path, path.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(key)
     return spark
