@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, exact_dedup, jaccard_join, language, license_scan, mixing, quality, warc
+from . import byte_bpe, ctw, embedding_dedup, exact_dedup, jaccard_join, language, license_scan, mixing, quality, warc
 from .scratch import new_path, prepared
 
 
@@ -30,6 +30,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.ctw_scores(_table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_ctw": op3_ctw,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_language": op6_language,
