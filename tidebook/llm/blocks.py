@@ -31,7 +31,7 @@ def varint(values: np.ndarray) -> bytes:
     """Little-endian base-128 coding of non-negative integers."""
     values = values.astype(np.uint64)
     width = np.ones(len(values), np.int64)
-    for bits in (7, 14, 21, 28, 35, 42):
+    for bits in range(7, 63, 7):
         width += values >= np.uint64(1 << bits)
     ends = np.cumsum(width)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)

@@ -34,7 +34,7 @@ from .blocks import block_id, pack, unpack, unvarint, varint
 from .scratch import materialize
 from .text import SPACED, string_chunks, word_hashes, word_spans
 
-DEPTH = 4
+DEPTH = 5
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
 _TEXTS, _GRAMS, _WORDS = 0, 1, 2
@@ -207,7 +207,7 @@ _FIELDS = ["block", "kind", "bucket", "ids", "held", "lengths", "payload"]
 def _scan(buckets: int, id_type: pa.DataType):
     def entries(block: int, kind: int, counts: _Counts) -> pa.RecordBatch:
         keys, often = counts.merged()
-        order, pieces = _by_bucket(keys, _bucket_of(buckets)[(keys >> np.uint64(24)).astype(np.int64)] if kind == _GRAMS else _word_bucket(keys, buckets))
+        order, pieces = _by_bucket(keys, _bucket_of(buckets)[(keys >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)] if kind == _GRAMS else _word_bucket(keys, buckets))
         n = len(pieces)
         keys, often = keys[order], often[order]
         packed = [pack(np.frombuffer(varint(np.diff(keys[a:b], prepend=np.uint64(0))), np.uint8)) if kind == _GRAMS else keys[a:b].tobytes() for _, a, b in pieces]
@@ -313,7 +313,7 @@ def _assemble(buckets: int, n: int, v: int, ends: int, id_type: pa.DataType):
             for counts, keys in ((grams, gram_keys(stream, at)), (words, _words_of(stream, at)[0])):
                 counts.add(keys, np.resize(none, len(keys)))
         keys, _ = grams.merged()
-        order, _ = _by_bucket(keys, _bucket_of(buckets)[(keys >> np.uint64(24)).astype(np.int64)])
+        order, _ = _by_bucket(keys, _bucket_of(buckets)[(keys >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)])
         scores = np.zeros(len(keys))
         scores[order] = np.concatenate([np.zeros(0, np.float32), *(unpack(x, np.float32) for x in answers(given, _GRAMS))])
         hashes, _ = words.merged()
