@@ -6,9 +6,9 @@
    codes, and the distance between it and its coded self.
 3. A vector probes each list that can hold a neighbour: the list's Voronoi cell
    is no farther than the linking radius, by the bisector of both centroids.
+   ``margin`` scales that radius: with 1 no link can be lost, less probes fewer.
 4. In a list, table-lookup distances to the codes, with the coding error added,
-   leave candidates; exact cosines decide.  Neither bound loses a link, so recall
-   is 1 with ``margin`` 1; a smaller margin probes fewer lists.
+   leave candidates, and lose none; exact cosines decide.
 5. A list is dealt over chunks of bounded size.  Of links only counts and a
    spanning forest leave a chunk, never pairs.
 """
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
 from .scratch import materialize
@@ -33,6 +34,11 @@ CHUNK, PAIRS = 2048, 1 << 21
 #: Coarse centroids at most, subspaces, and codes of a subspace.
 MOST_LISTS, SUBSPACES, CODES = 1024, 16, 64
 SALTS = 256
+#: Share of the linking radius by which lists are probed.  1 is exact in the
+#: worst case, a displacement straight at the next list.  A displacement spread
+#: over 64 dimensions goes an eighth of its length in any one direction, so 0.5
+#: is four standard deviations.
+MARGIN = 0.5
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -92,26 +98,29 @@ def _rows(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept = [None if not label.is_valid else v for v, label in zip(_rows(batch.column(2)), batch.column(1), strict=True)]
-        vectors = [None if v is None else (v + 0.0).tobytes() for v in kept]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors, pa.binary())], ["vec_id", "label", "vector"])
+def _prepare(kind: str):
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [None if not label.is_valid else v for v, label in zip(_rows(batch.column(2)), batch.column(1), strict=True)]
+            vectors = [None if v is None else (v + 0.0).astype(kind).tobytes() for v in kept]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors, pa.binary())], ["vec_id", "label", "vector"])
+
+    return prepare
 
 
-def _units(column) -> np.ndarray:
-    x = np.stack([np.frombuffer(v.as_py(), np.float64) for v in column])
+def _units(column, kind: str) -> np.ndarray:
+    x = np.stack([np.frombuffer(v.as_py(), kind) for v in column]).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assign(quantiser, radius: float, margin: float):
+def _assign(quantiser, radius: float, margin: float, kind: str):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Quantiser = quantiser.value
         between = np.sqrt(_squares(q.centroids, q.centroids))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _units(batch.column("vector"))
+            x = _units(batch.column("vector"), kind)
             squares = _squares(x, q.centroids)
             home = squares.argmin(axis=1)
             codes, error = q.encode(x - q.centroids[home])
@@ -133,7 +142,7 @@ def _assign(quantiser, radius: float, margin: float):
     return assign
 
 
-def _search(quantiser, least: float, radius: float):
+def _search(quantiser, least: float, radius: float, kind: str):
     def search(table: pa.Table) -> pa.Table:
         q: Quantiser = quantiser.value
         table = table.sort_by([("indexed", "descending"), ("rep", "ascending")])
@@ -141,7 +150,7 @@ def _search(quantiser, least: float, radius: float):
         ids, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
         counts, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         if held and len(ids) > 1:
-            x = _units(table.column("vector"))
+            x = _units(table.column("vector"), kind)
             centre = q.centroids[table.column("list")[0].as_py()]
             codes = np.stack([np.frombuffer(c.as_py(), np.uint8) for c in table.column("codes").slice(0, held)])
             limit = radius + table.column("error").to_numpy()[:held] + 1e-6
@@ -171,7 +180,7 @@ def _search(quantiser, least: float, radius: float):
 
 
 def near_duplicates(
-    embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, margin: float = 1.0, sample_rows: int = SAMPLE_ROWS
+    embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, margin: float = MARGIN, sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each input row.
 
@@ -185,9 +194,12 @@ def near_duplicates(
     empty table gives an empty result; columns not named are not read.
     """
     spark = embeddings.sparkSession
+    # Vectors travel in the width they came in; arithmetic is in double precision.
+    given = embeddings.schema[vector_col].dataType
+    kind = "<f4" if isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType) else "<f8"
     radius = float(np.sqrt(2 - 2 * least)) + 1e-9
     rows = embeddings.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
-    rows = rows.mapInArrow(_prepare, "vec_id long, label string, vector binary")
+    rows = rows.mapInArrow(_prepare(kind), "vec_id long, label string, vector binary")
     rows = rows.withColumn("digest", F.unhex(F.sha2("vector", 256))).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
     rows = materialize(rows, "vectors")
     able = rows.where("vector is not null and vec_id is not null")
@@ -200,9 +212,9 @@ def near_duplicates(
     if n:
         lists = int(min(MOST_LISTS, max(8, np.sqrt(n))))
         sample = distinct.orderBy(F.xxhash64("label", "digest"), "label", "digest").limit(sample_rows).select("vector").toArrow()
-        quantiser = spark.sparkContext.broadcast(fit(_units(sample.column("vector")), lists))
+        quantiser = spark.sparkContext.broadcast(fit(_units(sample.column("vector"), kind), lists))
         schema = "rep long, label string, copies long, vector binary, home int, codes binary, error double, probes array<int>"
-        coded = materialize(distinct.select("rep", "label", "copies", "vector").mapInArrow(_assign(quantiser, radius, margin), schema), "codes")
+        coded = materialize(distinct.select("rep", "label", "copies", "vector").mapInArrow(_assign(quantiser, radius, margin, kind), schema), "codes")
         sizes = coded.groupBy("label", F.col("home").alias("list")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
         chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
         own = coded.withColumn("list", F.col("home")).join(sizes, ["label", "list"]).withColumn("chunk", chunk)
@@ -211,8 +223,9 @@ def near_duplicates(
         columns = ["label", "list", "chunk", "rep", "copies", "vector", "codes", "error"]
         parts = own.select(*columns, F.lit(True).alias("indexed"))
         for queries in (later, away):
-            parts = parts.unionByName(queries.select(*columns, F.lit(False).alias("indexed")))
-        found = parts.groupBy("label", "list", "chunk").applyInArrow(_search(quantiser, least, radius), "rep long, links long, root long")
+            bare = queries.withColumns({"codes": F.lit(None).cast("binary"), "error": F.lit(None).cast("double")})
+            parts = parts.unionByName(bare.select(*columns, F.lit(False).alias("indexed")))
+        found = parts.groupBy("label", "list", "chunk").applyInArrow(_search(quantiser, least, radius, kind), "rep long, links long, root long")
         found = materialize(found, "links")
         counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
         component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
