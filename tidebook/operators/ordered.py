@@ -19,51 +19,80 @@ def with_bucket(df: DataFrame, us: Column, width: int = BUCKET, name: str = "buc
     return df.withColumn(name, F.floor(us / F.lit(width)).cast("long"))
 
 
-def _carried(df: DataFrame, by: list[str], bucket: str, summary: Column, carry) -> DataFrame:
-    """``df`` and ``carried``: of ``carry`` over the summaries of all earlier
-    buckets."""
-    keys = [*by, bucket]
-    earlier = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys).agg(summary.alias("carried"))
-    totals = totals.select(*(F.col(k).alias(f"own_{k}") for k in keys), carry(F.col("carried")).over(earlier).alias("carried"))
-    same = [F.col(k).eqNullSafe(F.col(f"own_{k}")) if k in by else F.col(k) == F.col(f"own_{k}") for k in keys]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    return df.join(totals, condition).drop(*(f"own_{k}" for k in keys))
-
-
 def _within(by: list[str], bucket: str, order: list[str]):
     return Window.partitionBy(*by, bucket).orderBy(*order)
 
 
-def running_sum(df: DataFrame, name: str, value: Column, order: list[str], by: list[str] | None = None, bucket: str = "bucket") -> DataFrame:
-    by = by or []
-    df = df.withColumn("running_value", value)
-    df = _carried(df, by, bucket, F.sum("running_value"), F.sum)
-    own = F.sum("running_value").over(_within(by, bucket, order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn(name, F.coalesce("carried", F.lit(0)) + F.coalesce(own, F.lit(0))).drop("carried", "running_value")
+def _upto(window):
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def running_max(df: DataFrame, name: str, value: Column, order: list[str], by: list[str] | None = None, bucket: str = "bucket") -> DataFrame:
-    by = by or []
-    df = df.withColumn("running_value", value)
-    df = _carried(df, by, bucket, F.max("running_value"), F.max)
-    own = F.max("running_value").over(_within(by, bucket, order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn(name, F.greatest("carried", own)).drop("carried", "running_value")
+def _timeline(by: list[str], bucket: str):
+    """Windows over the summary rows of a timeline: in order, up to and
+    including this bucket, and before it."""
+    along = Window.partitionBy(*by).orderBy(bucket)
+    return along, _upto(along), along.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def previous(df: DataFrame, name: str, column: str, order: list[str], by: list[str] | None = None, bucket: str = "bucket") -> DataFrame:
-    """The value of ``column`` in the row before; null in the first."""
+def _joined(df: DataFrame, summary: DataFrame, by: list[str], bucket: str) -> DataFrame:
+    """Summary columns beside the rows; null keys are keys."""
+    keys = [*by, bucket]
+    own = summary.withColumnsRenamed({k: f"own_{k}" for k in keys})
+    condition = F.col(bucket) == F.col(f"own_{bucket}")
+    for k in by:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"own_{k}"))
+    return df.join(own, condition).drop(*(f"own_{k}" for k in keys))
+
+
+def running_sum(df: DataFrame, name: str, value: Column, order: list[str], by: list[str] | None = None, bucket: str = "bucket") -> DataFrame:
     by = by or []
-    last = F.max_by(F.struct(F.col(column).alias("v")), F.struct(*order))
-    df = _carried(df, by, bucket, last, lambda c: F.last(c))
-    within = _within(by, bucket, order)
-    inside = F.lag(F.struct(F.col(column).alias("v"))).over(within)
-    return df.withColumn(name, F.coalesce(inside, "carried")["v"]).drop("carried")
+    df = df.withColumn("running_value", value)
+    _, _, before = _timeline(by, bucket)
+    totals = df.groupBy(*by, bucket).agg(F.sum("running_value").alias("carried"))
+    totals = totals.withColumn("carried", F.sum("carried").over(before))
+    own = F.sum("running_value").over(_upto(_within(by, bucket, order)))
+    df = _joined(df, totals, by, bucket)
+    return df.withColumn(name, F.coalesce("carried", F.lit(0)) + F.coalesce(own, F.lit(0))).drop("carried", "running_value")
 
 
 def row_index(df: DataFrame, name: str, order: list[str], by: list[str] | None = None, bucket: str = "bucket") -> DataFrame:
     """0, 1, 2, ... in order."""
     df = running_sum(df, name, F.lit(1), order, by, bucket)
     return df.withColumn(name, (F.col(name) - 1).cast("long"))
+
+
+def gap_runs(df: DataFrame, us: str, gap_us: int, inclusive: bool = False, order: list[str] | None = None, by: list[str] | None = None, bucket_us: int = BUCKET, run: str = "run", before: str = "before_us") -> DataFrame:
+    """``before``: the time of the row before (null in the first), and ``run``:
+    how many gaps beyond ``gap_us`` (or of it, if ``inclusive``) came up to the
+    row.  Column ``us`` holds microseconds and no null."""
+    by, order = by or [], [us, *(order or [])]
+    broken = lambda gap: F.coalesce((gap >= gap_us) if inclusive else (gap > gap_us), F.lit(False)).cast("long")
+    df = with_bucket(df, F.col(us), bucket_us, "run_bucket")
+    within = _within(by, "run_bucket", order)
+    df = df.withColumn(before, F.lag(us).over(within))
+    df = df.withColumn(run, F.sum(broken(F.col(us) - F.col(before))).over(_upto(within)))
+    along, upto, earlier = _timeline(by, "run_bucket")
+    parts = df.groupBy(*by, "run_bucket").agg(F.min(us).alias("first"), F.max(us).alias("last"), F.max(run).alias("breaks"))
+    parts = parts.withColumn("carried_us", F.lag("last").over(along)).withColumn("opens", broken(F.col("first") - F.col("carried_us")))
+    offset = F.coalesce(F.sum("breaks").over(earlier), F.lit(0)) + F.sum("opens").over(upto)
+    parts = parts.select(*by, "run_bucket", "carried_us", offset.alias("offset_runs"))
+    df = _joined(df, parts, by, "run_bucket")
+    found = {before: F.coalesce(before, "carried_us"), run: F.col(run) + F.col("offset_runs")}
+    return df.withColumns(found).drop("run_bucket", "carried_us", "offset_runs")
+
+
+def running_peak(df: DataFrame, value: Column, order: list[str], by: list[str] | None = None, bucket: str = "bucket", total: str = "total", peak: str = "peak") -> DataFrame:
+    """``total``: the running sum of ``value``, and ``peak``: the largest total
+    up to the row."""
+    by = by or []
+    df = df.withColumn("running_value", value)
+    upto = _upto(_within(by, bucket, order))
+    df = df.withColumn(total, F.sum("running_value").over(upto))
+    df = df.withColumn(peak, F.max(total).over(upto))
+    _, _, earlier = _timeline(by, bucket)
+    parts = df.groupBy(*by, bucket).agg(F.sum("running_value").alias("sum"), F.max(total).alias("top"))
+    parts = parts.withColumn("offset", F.coalesce(F.sum("sum").over(earlier), F.lit(0.0)))
+    parts = parts.withColumn("peak_before", F.max(F.col("offset") + F.col("top")).over(earlier))
+    df = _joined(df, parts.select(*by, bucket, "offset", "peak_before"), by, bucket)
+    found = {total: F.col("offset") + F.col(total), peak: F.greatest("peak_before", F.col("offset") + F.col(peak))}
+    return df.withColumns(found).drop("offset", "peak_before", "running_value")

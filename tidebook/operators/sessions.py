@@ -15,15 +15,12 @@ MAX_GAP_SECONDS = 1.5
 
 def infer_sessions(df: DataFrame, max_gap_seconds: float = MAX_GAP_SECONDS, name: str = "session_id", order: list[str] | None = None) -> DataFrame:
     """Number sessions from 1 by gaps over the whole timeline.  Where ``name``
-    exists and isn't null, it stays."""
-    order = ["inferred_us", *(order or [])]
-    timed = ordered.with_bucket(df.withColumn("inferred_us", micros()), F.col("inferred_us"))
-    timed = ordered.previous(timed, "before_us", "inferred_us", order)
-    broken = F.col("inferred_us") - F.col("before_us") > int(max_gap_seconds * 1_000_000)
-    timed = ordered.running_sum(timed, "inferred", F.when(broken, 1).otherwise(0), order)
+    exists and isn't null, it stays.  Rows without a time go."""
+    timed = df.withColumn("inferred_us", micros()).where("inferred_us is not null")
+    timed = ordered.gap_runs(timed, "inferred_us", int(max_gap_seconds * 1_000_000), order=order, run="inferred")
     inferred = (F.col("inferred") + 1).cast("long")
     given = F.coalesce(F.col(name).cast("long"), inferred) if name in df.columns else inferred
-    return timed.withColumn(name, given).drop("inferred_us", "before_us", "inferred", "bucket")
+    return timed.withColumn(name, given).drop("inferred_us", "before_us", "inferred")
 
 
 def continuity_segments(df: DataFrame, max_gap_seconds: float = MAX_GAP_SECONDS, session: str = "session_id", name: str = "segment", order: list[str] | None = None) -> DataFrame:
@@ -41,7 +38,7 @@ def gap_diagnostics(df: DataFrame) -> DataFrame:
     """One row: largest gap and counts of gaps beyond 1.5, 5 and 60 seconds over
     the whole timeline; zeros for fewer than two rows."""
     timed = df.select(micros().alias("us")).where("us is not null")
-    timed = ordered.previous(ordered.with_bucket(timed, F.col("us")), "before_us", "us", ["us"])
+    timed = ordered.gap_runs(timed, "us", int(MAX_GAP_SECONDS * 1_000_000))
     gap = (F.col("us") - F.col("before_us")) / 1e6
     return timed.agg(
         F.coalesce(F.max(gap), F.lit(0.0)).alias("largest_timestamp_gap_seconds"),

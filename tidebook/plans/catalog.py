@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tidebook.functions import book as bk
 from tidebook.functions.labels import SignalRule, signal
 from tidebook.operators import backtest as bt
-from tidebook.operators import cleaning, evaluation, features, sessions, targets
+from tidebook.operators import cleaning, evaluation, experiment, features, models, sessions, targets
 from tidebook.schema import level_columns
+from tidebook.sources.messages import parse_messages
+from tidebook.streaming import collector
 
 from . import fixtures as fx
 
@@ -588,6 +590,138 @@ def sweep_top10(spark, sf_dir):
     return bt.top(_rounded(_sweep(spark, sf_dir)))
 
 
+# ---- experiments --------------------------------------------------------------------
+
+_CASES = [(h, cost) for h in (5, 10) for cost in (0.0, 0.01)]
+
+
+def _case_sql(h: int, cost: float, x: str) -> str:
+    """A validation backtest, its table names ending in ``x``."""
+    return f"""
+priced{x} as (
+  select s.*, e.mid as entry_mid_price, q.mid as exit_mid_price from sig s join market e using (ts_sec) join market q on q.ts_sec = s.ts_sec + {h} where split = 'validation'),
+cand{x} as (select ts_sec from priced{x} where signal <> 0),
+nxt{x} as (select *, min(ts_sec) over (order by ts_sec range between {h} following and unbounded following) as nts from cand{x}),
+taken{x} as (select min(ts_sec) as ts_sec from cand{x} union all select n.nts from taken{x} t join nxt{x} n on n.ts_sec = t.ts_sec where n.nts is not null),
+rows1{x} as (
+  select p.*, t.ts_sec is not null as trade_taken, case when t.ts_sec is not null then signal * (exit_mid_price / entry_mid_price - 1) * 10000 else 0 end as gross_return_bps,
+         case when t.ts_sec is not null then {4 * cost}::double else 0 end as total_cost_bps from priced{x} p left join taken{x} t using (ts_sec)),
+rows2{x} as (select *, case when trade_taken then gross_return_bps - total_cost_bps else 0 end as net_return_bps from rows1{x}),
+rows3{x} as (select *, sum(net_return_bps) over (order by ts_sec rows unbounded preceding) as equity from rows2{x}),
+rows4{x} as (select *, equity - max(equity) over (order by ts_sec rows unbounded preceding) as drawdown_bps from rows3{x}),
+case{x} as (
+  select {h} as horizon_seconds, 0.5::double as threshold_abs, 'validation' as split, '{"zero_cost" if cost == 0 else "cost_adjusted"}' as cost_mode, '' as model_dataset_path, '' as predictions_path,
+         count(*) filter (signal = 0) as no_trade_rows, round(count(*) filter (signal = 0) * 100.0::double / count(*), 6) as no_trade_percentage,
+         {_stats_sql("trade_taken")}, round(min(drawdown_bps), 6) + 0.0 as max_drawdown_bps from rows4{x})"""
+
+
+_HORIZONS = f"""{SIGNALS}, {MARKET}, {", ".join(_case_sql(h, c, f"_{i}") for i, (h, c) in enumerate(_CASES))},
+m as (select accuracy as validation_accuracy, f1_macro as validation_macro_f1, neutral_recall as validation_neutral_recall, up_precision as validation_up_precision, down_precision as validation_down_precision
+      from ({_metrics_sql("pred")}) where split = 'validation'),
+summary as (select * from ({" union all ".join(f"select * from case_{i}" for i in range(len(_CASES)))}), m)"""
+
+
+def _horizons(spark, sf_dir) -> DataFrame:
+    predicted, market = fx.predictions(spark, sf_dir), bt.prepare_market(_market(spark, sf_dir))
+    cases = [experiment.case(predicted, market, bt.BacktestConfig(_RULE, h, c, c, split="validation"), 0.5) for h, c in _CASES]
+    return _rounded(experiment.assemble(cases))
+
+
+@query(f"with recursive {_HORIZONS} select * from summary")
+def horizon_summary(spark, sf_dir):
+    return _horizons(spark, sf_dir)
+
+
+@query(f"with recursive {_HORIZONS} select * from summary where cost_mode = 'cost_adjusted' order by average_net_return_bps desc, horizon_seconds limit 1")
+def best_horizon(spark, sf_dir):
+    return experiment.best_row(_horizons(spark, sf_dir), "average_net_return_bps", "cost_adjusted")
+
+
+@query(f"with {PREDICTIONS} select event_id, split, round(prob_up, 6) as prob_up, case when split = 'test' then round(prob_down, 6) end as prob_down from pred where split <> 'train'")
+def union_by_name(spark, sf_dir):
+    rows = _rounded(fx.predictions(spark, sf_dir).select("event_id", "split", "prob_up", "prob_down"))
+    parts = [rows.where("split = 'validation'").drop("prob_down"), rows.where("split = 'test'")]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
+# ---- messages and collection -----------------------------------------------------------
+
+
+def _messages(spark, sf_dir) -> DataFrame:
+    """The book as depth messages: every third wrapped, every seventh short of a
+    level, long names in every fifth."""
+    rows = fx.book(spark, sf_dir)
+    side = lambda name: F.array(*(F.array(F.col(f"{name}_price_{i}").cast("string"), F.col(f"{name}_size_{i}").cast("string")) for i in range(1, 21)))
+    cut = lambda c: F.when(F.col("event_id") % 7 == 0, F.slice(c, 1, 19)).otherwise(c)
+    short = F.struct((F.col("ts_sec") * 1000).alias("E"), F.lit("aaa").alias("s"), cut(side("bid")).alias("b"), side("ask").alias("a"))
+    long = F.struct((F.col("ts_sec") * 1000).alias("E"), F.lit("aaa").alias("s"), cut(side("bid")).alias("bids"), side("ask").alias("asks"))
+    body = F.when(F.col("event_id") % 5 == 0, F.to_json(long)).otherwise(F.to_json(short))
+    value = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"stream": "x", "data": '), body, F.lit("}"))).otherwise(body)
+    return rows.select(value.alias("value"), (F.col("timestamp") + F.expr("interval 250 milliseconds")).alias("timestamp"))
+
+
+_PARSED = ["bid_price_1", "bid_size_1", "ask_price_20", "ask_size_20"]
+
+
+@query(f"with {BOOK} select ts_sec, ts_sec * 1000 as event_ms, 'AAA' as symbol, {', '.join(_PARSED)} from book where event_id % 7 <> 0")
+def json_levels_parse(spark, sf_dir):
+    rows = parse_messages(_messages(spark, sf_dir))
+    return rows.select(F.unix_seconds("timestamp").alias("ts_sec"), F.unix_millis("event_time").alias("event_ms"), "symbol", *_PARSED)
+
+
+@query(f"""with {BOOK}, k as (select ts_sec, bid_price_1 from book where event_id % 7 <> 0),
+n as (select *, lead(ts_sec) over (order by ts_sec) - ts_sec as ahead from k)
+select ts_sec + unnest(range(case when ahead between 2 and 5 then ahead else 1 end)) as ts_sec, bid_price_1 from n""")
+def sampler_carry_forward(spark, sf_dir):
+    rows = collector.carry_forward(collector.sample_seconds(parse_messages(_messages(spark, sf_dir))), 5)
+    return rows.select(F.unix_seconds("timestamp").alias("ts_sec"), "bid_price_1")
+
+
+@query(f"""with {BOOK}, k as (select ts_sec from book where event_id % 7 <> 0),
+g as (select ts_sec, case when ts_sec - lag(ts_sec) over (order by ts_sec) > 1.5 then 1 else 0 end as brk from k)
+select ts_sec, 3 + sum(brk) over (order by ts_sec rows unbounded preceding)::bigint as session_id from g""")
+def session_tracker(spark, sf_dir):
+    rows = collector.assign_sessions(collector.sample_seconds(parse_messages(_messages(spark, sf_dir))), session=3)
+    return rows.select(F.unix_seconds("timestamp").alias("ts_sec"), "session_id")
+
+
+# ---- models (no SQL) ---------------------------------------------------------------------
+
+
+def _dataset(spark, sf_dir) -> DataFrame:
+    rows = features.build_features(fx.book(spark, sf_dir), keep_levels=False)
+    return targets.build_targets(rows)
+
+
+@query()
+def feature_selection(spark, sf_dir):
+    report = models.select_features(_dataset(spark, sf_dir))
+    rows = [(kind, name) for kind in ("selected", "raw_prices", "never", "other") for name in getattr(report, kind)]
+    return spark.createDataFrame(rows, "kind string, feature string")
+
+
+@query()
+def logistic_predictions(spark, sf_dir):
+    rows, report = models.prepare(_dataset(spark, sf_dir))
+    rows = rows.select("timestamp", "split", "target", *report.selected).persist()
+    return models.predict(models.train_logistic(rows, report.selected, 100), rows)
+
+
+@query()
+def boosted_predictions(spark, sf_dir):
+    rows, report = models.prepare(_dataset(spark, sf_dir))
+    rows = rows.select("timestamp", "split", "target", *report.selected).persist()
+    return models.predict(models.train_boosted(rows, report.selected, iterations=5, depth=3), rows)
+
+
+@query()
+def feature_importance(spark, sf_dir):
+    rows, report = models.prepare(_dataset(spark, sf_dir))
+    rows = rows.select("timestamp", "split", "target", *report.selected).persist()
+    model = models.train_boosted(rows, report.selected, iterations=5, depth=3)
+    return spark.createDataFrame(model.importance(), "feature string, importance_gain double").orderBy(F.desc("importance_gain"), "feature").limit(20)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and mean imbalance by session."""
     rows = fx.book(spark, sf_dir, 1).withColumns({"mid_price": bk.mid_price(), "imbalance_1": bk.imbalance(1)})
