@@ -61,7 +61,7 @@ def write_json(spark: SparkSession, record: dict | list, path: str) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> dict | list:
-    rows = spark.read.option("wholetext", True).text(path).head()
+    rows = spark.read.text(path, wholetext=True).head()
     return json.loads(rows[0])
 
 
