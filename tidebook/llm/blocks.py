@@ -8,7 +8,13 @@ Entries travel in packed groups by a hash of the token.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import inspect
+import time
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 
@@ -53,3 +59,51 @@ def unvarint(data: bytes) -> np.ndarray:
     within = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
     parts = (raw & 127).astype(np.int64) << (7 * within)
     return np.add.reduceat(parts, starts)
+
+
+_released = [0.0]
+
+
+def release() -> None:
+    """Give freed memory back to the system.  Python workers live on and are
+    used by later stages; what they keep would count against the executor."""
+    if time.monotonic() - _released[0] < 0.25:
+        return
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+    _released[0] = time.monotonic()
+
+
+def tidy(function):
+    """``function`` over batches, one table or two tables, which releases memory
+    at its end."""
+    if inspect.isgeneratorfunction(function):
+
+        def over_batches(batches):
+            try:
+                yield from function(batches)
+            finally:
+                release()
+
+        return over_batches
+    if len(inspect.signature(function).parameters) == 2:
+
+        def over_two(left, right):
+            try:
+                return function(left, right)
+            finally:
+                release()
+
+        return over_two
+
+    def over_one(table):
+        try:
+            return function(table)
+        finally:
+            release()
+
+    return over_one

@@ -18,6 +18,7 @@ import base64
 import hashlib
 import itertools
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,11 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_id, pack, unpack, unvarint, varint
+from .blocks import block_id, pack, tidy, unpack, unvarint, varint
 from .text import string_chunks
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: A vocabulary file beyond this is refused rather than broadcast.
 MOST_VOCABULARY_BYTES = 64 << 20
 
@@ -82,11 +83,11 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 def _split(pattern: str, buckets: int, id_type: pa.DataType):
     def words(block: int, index: dict[str, int]) -> pa.RecordBatch:
-        at = [[] for _ in range(buckets)]
         encoded = [w.encode() for w in index]
-        for i, w in enumerate(encoded):
-            at[zlib.crc32(w) % buckets].append(i)
-        rows = [(b, own) for b, own in enumerate(at) if own]
+        index.clear()
+        at = np.fromiter((zlib.crc32(w) % buckets for w in encoded), np.int32, len(encoded))
+        order = np.argsort(at, kind="stable")
+        rows = [(int(at[own[0]]), own.tolist()) for own in np.split(order, np.flatnonzero(np.diff(at[order])) + 1)]
         payload = []
         for _, own in rows:
             own_words = [encoded[i] for i in own]
@@ -129,7 +130,7 @@ def _split(pattern: str, buckets: int, id_type: pa.DataType):
         if index:
             yield words(block_id(sequence), index)
 
-    return split
+    return tidy(split)
 
 
 def _only_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,25 +155,34 @@ def _unpacked_words(data: bytes) -> tuple[bytes, list[bytes]]:
 def _encode(vocabulary):
     def encode(table: pa.Table) -> pa.Table:
         merge = _once(vocabulary.value, "merge", _merger)
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}
         payload = []
         for data in table.column("payload"):
             indices, words = _unpacked_words(data.as_py())
-            lengths, ids = [], []
+            pieces = []
             for word in words:
                 got = known.get(word)
                 if got is None:
-                    got = known[word] = merge(word.decode())
-                lengths.append(len(got))
-                ids += got
-            head = [indices, varint(np.array(lengths))]
-            payload.append(pack(np.frombuffer(b"".join([*(len(h).to_bytes(8, "little") for h in head), *head, varint(np.array(ids))]), np.uint8)))
+                    got = known[word] = array("I", merge(word.decode())).tobytes()
+                pieces.append(got)
+            ids = np.frombuffer(b"".join(pieces), np.uint32)
+            head = [indices, varint(np.array([len(p) // 4 for p in pieces]))]
+            payload.append(pack(np.frombuffer(b"".join([*(len(h).to_bytes(8, "little") for h in head), *head, varint(ids)]), np.uint8)))
         return pa.table({"block": table.column("block"), "payload": pa.array(payload, pa.binary())})
 
-    return encode
+    return tidy(encode)
 
 
-def _assemble(id_type: pa.DataType):
+def _decoded(packed: list[bytes | None], vocabulary: bytes) -> list[bytes | None]:
+    flat, start, length = _once(vocabulary, "bytes", _byte_table)
+    out = []
+    for own in packed:
+        ids = np.frombuffer(own or b"", "<u4")
+        out.append(None if own is None else _gather(flat, start[ids], length[ids]).tobytes())
+    return out
+
+
+def _assemble(id_type: pa.DataType, vocabulary=None):
     def assemble(texts: pa.Table, answers: pa.Table) -> pa.Table:
         where, lengths, flat = [], [], []
         for data in answers.column("payload"):
@@ -198,14 +208,19 @@ def _assemble(id_type: pa.DataType):
                 packed += [raw[4 * x : 4 * y] for x, y in itertools.pairwise(upto.tolist())]
                 tokens += np.diff(upto).tolist()
         column = pa.chunked_array(ids, id_type) if ids else pa.array([], id_type)
-        return pa.table({"doc_id": column, "n_tokens": pa.array(tokens, pa.int64()), "ids": pa.array(packed, pa.binary())})
+        out = {"doc_id": column, "n_tokens": pa.array(tokens, pa.int64()), "ids": pa.array(packed, pa.binary())}
+        if vocabulary is not None:
+            out["decoded"] = pa.array(_decoded(packed, vocabulary.value), pa.binary())
+        return pa.table(out)
 
-    return assemble
+    return tidy(assemble)
 
 
-def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, decode: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids``: ids are little-endian unsigned 32-bit integers
-    in a binary column (see :func:`decode_ids` and :func:`ids_array`).
+    in a binary column (see :func:`decode_ids` and :func:`ids_array`).  With
+    ``decode`` the bytes that the ids stand for follow as ``decoded``, looked up
+    in the same task.
 
     Each match of ``pattern`` is merged separately by the ranks of
     ``vocabulary`` (the content of a rank file); there are no special tokens.
@@ -220,14 +235,15 @@ def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str =
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType
     if buckets is None:
-        buckets = max(64, 8 * rows.rdd.getNumPartitions())
+        buckets = max(128, 4 * rows.rdd.getNumPartitions())
     table = spark.sparkContext.broadcast(vocabulary)
     split = rows.mapInArrow(_split(pattern, buckets, to_arrow_type(kind)), f"block long, bucket int, ids array<{kind.simpleString()}>, lengths binary, payload binary")
     split = split.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
     words = split.mapInArrow(_only_words, "block long, bucket int, payload binary")
     answers = words.groupBy("bucket").applyInArrow(_encode(table), "block long, payload binary")
     together = split.groupBy("block").cogroup(answers.groupBy("block"))
-    return together.applyInArrow(_assemble(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n_tokens long, ids binary")
+    assembled = _assemble(to_arrow_type(kind), table if decode else None)
+    return together.applyInArrow(assembled, f"doc_id {kind.simpleString()}, n_tokens long, ids binary" + ", decoded binary" * decode)
 
 
 def ids_array(ids: pa.Array) -> list[list[int]]:
@@ -247,13 +263,8 @@ def decode_ids(encoded: DataFrame, vocabulary: bytes, ids_col: str = "ids", deco
     table = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, start, length = _once(table.value, "bytes", _byte_table)
         for batch in batches:
-            out = []
-            for packed in batch.column(ids_col):
-                packed = packed.as_py()
-                ids = np.frombuffer(packed or b"", "<u4")
-                out.append(None if packed is None else _gather(flat, start[ids], length[ids]).tobytes())
+            out = _decoded(batch.column(ids_col).to_pylist(), table.value)
             yield batch.append_column(decoded_col, pa.array(out, pa.binary()))
 
-    return encoded.mapInArrow(decode, StructType([*encoded.schema.fields, StructField(decoded_col, BinaryType())]))
+    return encoded.mapInArrow(tidy(decode), StructType([*encoded.schema.fields, StructField(decoded_col, BinaryType())]))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is handled on its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _VALUE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
