@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 
 
+#: Edges in a file of a round, about.
+FILE_ROWS = 250_000
+
+
 def _round(edges: DataFrame) -> DataFrame:
     """edges: distinct ``u > v``."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -22,14 +26,15 @@ def _round(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` for each end of ``edges (a, b)``; the component is
     the smallest node reachable.  Edges with a null end or equal ends count for
-    nothing.  Each round is written to shared storage, so that lineage stays
-    short and a lost executor costs one round; rounds end when stars remain."""
+    nothing.  Rounds end when stars remain.  Each round is written to shared
+    storage: lineage stays short, and a lost executor costs one round."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = materialize(edges, "edges"), None
     while True:
         sign = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).head()
         if sign == before or sign[0] == 0:
             break
-        edges, before = materialize(_round(edges), "edges"), sign
+        files = 1 + sign[0] // FILE_ROWS
+        edges, before = materialize(_round(edges).coalesce(files), "edges"), sign
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -30,8 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_id, pack, unpack, unvarint, varint
-from .scratch import materialize
+from .blocks import block_id, pack, tidy, unpack, unvarint, varint
+from .scratch import keep
 from .text import SPACED, string_chunks, word_hashes, word_spans
 
 DEPTH = 5
@@ -256,7 +256,7 @@ def _scan(buckets: int, id_type: pa.DataType):
             yield entries(block_id(sequence), _GRAMS, grams)
             yield entries(block_id(sequence), _WORDS, words)
 
-    return scan
+    return tidy(scan)
 
 
 def _bucket(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -286,7 +286,7 @@ def _score(top):
         packed = [pack(scores[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table({"block": table.column("block"), "kind": table.column("kind"), "bucket": table.column("bucket"), "payload": pa.array(packed, pa.binary()), "words": pa.nulls(len(packed), pa.int64()), "tokens": pa.nulls(len(packed), pa.int64())})
 
-    return score
+    return tidy(score)
 
 
 def _count_words(table: pa.Table) -> pa.Table:
@@ -340,7 +340,7 @@ def _assemble(buckets: int, n: int, v: int, ends: int, id_type: pa.DataType):
         columns = {k: pa.chunked_array(x, id_type if k == "doc_id" else pa.bool_()) if k in ("doc_id", "held_out") else pa.array(np.concatenate(x)) for k, x in out.items()}
         return pa.table({**columns, "train_tokens": pa.array(np.full(len(columns["score"]), n, np.int64))})
 
-    return assemble
+    return tidy(assemble)
 
 
 def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout: int = 7, holdout_value: int = 2) -> DataFrame:
@@ -362,7 +362,7 @@ def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = rows.schema["doc_id"].dataType
     buckets = max(64, 2 * rows.rdd.getNumPartitions())
     schema = f"block long, kind int, bucket int, ids array<{kind.simpleString()}>, held array<boolean>, lengths binary, payload binary"
-    scanned = materialize(rows.mapInArrow(_scan(buckets, to_arrow_type(kind)), schema), "ctw-blocks")
+    scanned = keep(rows.mapInArrow(_scan(buckets, to_arrow_type(kind)), schema))
 
     grams = scanned.where(F.col("kind") == _GRAMS).select("block", "kind", "bucket", "lengths", "payload")
     sums = grams.groupBy("bucket").applyInArrow(_top_sums, "code long, n0 long, n1 long, below double")
@@ -373,7 +373,7 @@ def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     reply = "block long, kind int, bucket int, payload binary, words long, tokens long"
     words = scanned.where(F.col("kind") == _WORDS).select("block", "kind", "bucket", "lengths", "payload")
-    counted = materialize(words.groupBy("bucket").applyInArrow(_count_words, reply), "ctw-words")
+    counted = keep(words.groupBy("bucket").applyInArrow(_count_words, reply))
     v, tokens = counted.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).head()
     texts = scanned.where(F.col("kind") == _TEXTS).select("block", "ids", "held", "lengths", "payload")
     learned = F.size(F.filter("held", lambda h: ~h))

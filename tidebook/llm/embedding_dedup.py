@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .scratch import materialize
+from .scratch import keep
 
 #: Distinct vectors on which centroids and codebooks are fitted.
 SAMPLE_ROWS = 20_000
@@ -201,11 +201,11 @@ def near_duplicates(
     rows = embeddings.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     rows = rows.mapInArrow(_prepare(kind), "vec_id long, label string, vector binary")
     rows = rows.withColumn("digest", F.unhex(F.sha2("vector", 256))).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
-    rows = materialize(rows, "vectors")
+    rows = keep(rows)
     able = rows.where("vector is not null and vec_id is not null")
     salted = able.groupBy("label", "digest", "salt").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
     distinct = salted.groupBy("label", "digest").agg(F.min("rep").alias("rep"), F.sum("copies").alias("copies"), F.first("vector").alias("vector"))
-    distinct = materialize(distinct, "distinct-vectors")
+    distinct = keep(distinct)
 
     n = distinct.count()
     found = None
@@ -214,7 +214,7 @@ def near_duplicates(
         sample = distinct.orderBy(F.xxhash64("label", "digest"), "label", "digest").limit(sample_rows).select("vector").toArrow()
         quantiser = spark.sparkContext.broadcast(fit(_units(sample.column("vector"), kind), lists))
         schema = "rep long, label string, copies long, vector binary, home int, codes binary, error double, probes array<int>"
-        coded = materialize(distinct.select("rep", "label", "copies", "vector").mapInArrow(_assign(quantiser, radius, margin, kind), schema), "codes")
+        coded = keep(distinct.select("rep", "label", "copies", "vector").mapInArrow(_assign(quantiser, radius, margin, kind), schema))
         sizes = coded.groupBy("label", F.col("home").alias("list")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
         chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
         own = coded.withColumn("list", F.col("home")).join(sizes, ["label", "list"]).withColumn("chunk", chunk)
@@ -226,7 +226,7 @@ def near_duplicates(
             bare = queries.withColumns({"codes": F.lit(None).cast("binary"), "error": F.lit(None).cast("double")})
             parts = parts.unionByName(bare.select(*columns, F.lit(False).alias("indexed")))
         found = parts.groupBy("label", "list", "chunk").applyInArrow(_search(quantiser, least, radius, kind), "rep long, links long, root long")
-        found = materialize(found, "links")
+        found = keep(found)
         counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
         component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
         classes = salted.select("label", "digest", "salt").join(distinct.drop("vector"), ["label", "digest"]).join(counts, "rep", "left").join(component, "rep", "left")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import keep
 
 #: White space that counts as one space when texts are compared.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -41,15 +41,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty result.  Other columns, whatever their names, are not read.
     """
     text = normalised(F.col(f"`{text_col}`"))
-    rows = materialize(
+    rows = keep(
         docs.select(
             F.col(f"`{id_col}`").alias("doc_id"),
             F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
             F.octet_length(text).alias("n_bytes"),
             F.xxhash64(text).alias("verify"),
-        ).withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")),
-        "digests",
-    )
+        ).withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")))
     levels = [rows.groupBy(*KEY, "run").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("rows"))]
     width = runs
     while width > 1:

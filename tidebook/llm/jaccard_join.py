@@ -27,15 +27,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import block_id, pack, unpack, unvarint, varint
+from .blocks import block_id, pack, tidy, unpack, unvarint, varint
 from .components import connected_components
-from .scratch import materialize
+from .scratch import keep
 from .text import mixed, shingle_sets, string_chunks
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Shingles that one task multiplies at once, and entries of one row block.
-TILE, BLOCK = 1_000_000, 4_000_000
+TILE, BLOCK = 500_000, 500_000
+#: Parts into which a group of equal sets is split.
+SALTS = 256
 
 
 def _digests(shingles: np.ndarray, at: np.ndarray) -> list[bytes | None]:
@@ -108,7 +110,7 @@ def _scan(k: int, bits: int, bucket_bits: int):
                     sequence, sets = sequence + 1, _Block(k)
         yield shingles(block_id(sequence), sets)
 
-    return scan
+    return tidy(scan)
 
 
 def _only_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +174,7 @@ def _prefixes(k: int, percent: int, bits: int):
                 out.append(pa.table([pa.array(ids[owners], from_pandas=True), pa.array(sizes[owners]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(whole, pa.string())], schema=_OUT))
         return pa.concat_tables(out) if out else _OUT.empty_table()
 
-    return prefixes
+    return tidy(prefixes)
 
 
 def sparse_links(shingles: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
@@ -227,7 +229,7 @@ def _product(k: int, percent: int):
         hung = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": pa.array(ids[hung]), "b": pa.array(ids[root[hung]])})
 
-    return product
+    return tidy(product)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -246,7 +248,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     partitions = texts.rdd.getNumPartitions()
-    bucket_bits = max(6, math.ceil(math.log2(8 * partitions + 1)))
+    bucket_bits = max(6, math.ceil(math.log2(2 * partitions + 1)))
     # Enough bits that few shingles of a block are counted with another; a
     # shared count can only move a shingle in the order, never lose a pair.
     bits = min(42, 34 + math.ceil(math.log2(partitions + 1)))
@@ -255,11 +257,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counted = scanned.mapInArrow(_only_shingles, "block long, bucket int, lengths binary, payload binary")
     counted = counted.groupBy("bucket").applyInArrow(_frequencies, "block long, bucket int, payload binary")
     blocks = scanned.groupBy("block").cogroup(counted.groupBy("block"))
-    blocks = materialize(blocks.applyInArrow(_prefixes(k, percent, bits), "doc_id long, n long, digest binary, shingle long, text string"), "prefixes")
+    blocks = keep(blocks.applyInArrow(_prefixes(k, percent, bits), "doc_id long, n long, digest binary, shingle long, text string"))
 
     sets = blocks.where("shingle is null and text is null").select("doc_id", F.col("n").alias("n_shingles"), "digest")
-    classes = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = materialize(sets.join(classes, "digest", "left"), "members")
+    # Equal sets find their smallest identifier by way of salted groups, so that
+    # a task holds no more of one digest than a salt does.
+    sets = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    salted = sets.where("digest is not null and doc_id is not null").groupBy("digest", "salt").agg(F.min("doc_id").alias("rep"))
+    classes = salted.drop("rep").join(salted.groupBy("digest").agg(F.min("rep").alias("rep")), "digest")
+    member = keep(sets.join(classes, ["digest", "salt"], "left").select("doc_id", "n_shingles", "digest", "rep"))
     met = blocks.where("shingle is not null and doc_id is not null").select("shingle", "doc_id", "n")
     by_size = Window.partitionBy("shingle").orderBy("n", "doc_id")
     breaks = F.col("n") * percent > F.lag("n").over(by_size) * 100
@@ -273,7 +279,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = connected_components(edges.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
 
     size = member.where("doc_id = rep").groupBy("rep").agg(F.max("n_shingles").alias("n"))
-    met = materialize(met.join(size, F.col("node") == F.col("rep")).select("node", "component", "n"), "candidates")
+    met = keep(met.join(size, F.col("node") == F.col("rep")).select("node", "component", "n"))
     totals = met.groupBy("component").agg(F.ceil(F.sum("n") / TILE).cast("long").alias("blocks"))
     bins = int(met.agg(F.coalesce(F.ceil(F.sum("n") / TILE), F.lit(0))).head()[0]) + 1
     met = met.join(totals, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import tidy
 from .text import string_chunks
 
 #: Slots of a vector, and texts turned into vectors at once.
@@ -131,8 +132,8 @@ def _sample(docs: DataFrame, fold, holdout_value: int, sample_rows: int) -> tupl
     counts = docs.where((fold != holdout_value) & F.col("lang").isNotNull()).groupBy("lang").count()
     each = sample_rows / max(1, counts.count())
     chosen = train.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * each / F.col("count"))
-    rows = chosen.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).toPandas().sort_values(["lang", "h", "text"])
-    return rows["text"].tolist(), rows["lang"].tolist()
+    rows = chosen.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).toArrow().sort_by([(c, "ascending") for c in ("lang", "h", "text")])
+    return rows.column("text").to_pylist(), rows.column("lang").to_pylist()
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", holdout: int = 3, holdout_value: int = 1, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -175,4 +176,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 )
 
     given = rows.select("doc_id", F.coalesce(fold == holdout_value, F.lit(False)).alias("held_out"), "text")
-    return given.mapInArrow(scan, f"doc_id {kind.simpleString()}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return given.mapInArrow(tidy(scan), f"doc_id {kind.simpleString()}, held_out boolean, lang_pred string, score double, rejected boolean")

@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import block_id
+from .blocks import block_id, tidy
 from .license_templates import PHRASES, TEMPLATES
-from .scratch import materialize
+from .scratch import keep
 from .text import ALNUM, combined, string_chunks, word_hashes, word_spans
 
 #: Entries of all templates together beyond which the join isn't broadcast.
@@ -108,7 +108,7 @@ def _scan(k: int, grams: np.ndarray, phrases: dict[str, str], id_type: pa.DataTy
                     texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in own]
                     yield pa.RecordBatch.from_arrays([pa.array(row[own]), *nulls, pa.array(texts, pa.string())], fields)
 
-    return scan
+    return tidy(scan)
 
 
 def _verify(templates: list[tuple[str, list[str]]], slack: int, least_share: float):
@@ -151,7 +151,7 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         entries += [(int(g), i, q) for q, g in enumerate(combined(_hashes(words), k).view(np.int64))]
     grams = np.array([g for g, _, _ in entries], np.int64).view(np.uint64)
     schema = f"row long, doc_id {kind.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, gram long, position long, text string"
-    scanned = materialize(rows.mapInArrow(_scan(k, grams, phrases, to_arrow_type(kind)), schema), "licenses")
+    scanned = keep(rows.mapInArrow(_scan(k, grams, phrases, to_arrow_type(kind)), schema))
 
     table = spark.createDataFrame(entries, "gram long, template int, place int")
     lengths = spark.createDataFrame([(i, len(words)) for i, (_, words) in enumerate(clauses)], "template int, length int")

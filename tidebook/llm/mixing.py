@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import keep
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -98,16 +98,14 @@ def _draws(plan: DataFrame, slots: int, shard_slots: int, seed: int) -> DataFram
     at = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(slots))
     drawn = _lookup(spark.range(slots), at, shares.select("bin", "lo", "hi", "skey"), width)
     drawn = drawn.select(F.floor(F.col("id") / shard_slots).cast("long").alias("shard"), F.col("id").alias("slot"), "skey")
-    counts = materialize(drawn.groupBy("shard", "skey").count(), "shard-counts")
+    counts = keep(drawn.groupBy("shard", "skey").count())
     shards = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "skey", F.coalesce(F.sum("count").over(shards), F.lit(0)).alias("base"))
     sums = counts.groupBy("skey").agg(F.sum("count").alias("drawn"))
     quota = plan.select("skey", "quota", "n_blocks").join(sums, "skey", "left").fillna(0, ["drawn"])
     over, short = F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))
-    quota = materialize(
-        quota.withColumn("surplus", over).withColumn("short", short).withColumn("surplus_at", F.sum("surplus").over(Window.orderBy("skey")) - F.col("surplus")),
-        "quota",
-    )
+    quota = keep(
+        quota.withColumn("surplus", over).withColumn("short", short).withColumn("surplus_at", F.sum("surplus").over(Window.orderBy("skey")) - F.col("surplus")))
     spare = int(quota.agg(F.coalesce(F.sum("surplus"), F.lit(0))).head()[0])
     within = Window.partitionBy("shard", "skey").orderBy("slot")
     ranked = (
@@ -147,24 +145,20 @@ def mix_sources(
     agree: every draw is a hash of ``seed`` and a counter.  Sources may number
     thousands (their plan is ordered in one task); documents may number any.
     """
-    rows = materialize(
+    rows = keep(
         docs.select(
             F.col(f"`{id_col}`").alias("doc_id"),
             F.col(f"`{source_col}`").cast("string").alias("source"),
             word_count(F.col(f"`{text_col}`")).alias("size"),
-        ).withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))),
-        "sizes",
-    )
+        ).withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))))
     sums = rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     n_blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     plan = source_targets(sums.select("source", "source_size"), weights, max_epochs)
     plan = plan.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))).drop("source")
-    plan = materialize(
+    plan = keep(
         plan.join(sums.select("skey", "n_docs"), "skey")
         .withColumn("n_blocks", n_blocks)
-        .withColumn("quota", F.least(F.col("n_blocks") * max_epochs, F.round(F.col("target") / block_words).cast("long"))),
-        "plan",
-    )
+        .withColumn("quota", F.least(F.col("n_blocks") * max_epochs, F.round(F.col("target") / block_words).cast("long"))))
     slots = int(plan.agg(F.coalesce(F.sum("quota"), F.lit(0))).head()[0])
     n_chunks = F.ceil(F.col("n_docs") / chunk_docs).cast("long")
     placed = rows.join(plan.select("skey", "source_size", "target", "n_docs"), "skey")

@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import materialize
+from .blocks import tidy
+from .scratch import keep
 from .text import string_chunks, word_hashes, word_spans
 
-#: Labelled rows, by hash of the identifier, on which the model is fitted.
-SAMPLE_ROWS = 20_000
+#: Labelled rows, about, on which the model is fitted: those of the smallest
+#: hashes of identifiers.
+SAMPLE_ROWS = 12_000
 
 #: Classes of bytes that statistics count.
 _CLASSES = ["upper", "lower", "digit", "space", "newline", "mark", "bar", "symbol", "punctuation", "beyond"]
@@ -100,7 +102,7 @@ def with_statistics(rows: DataFrame, text_col: str, name: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(STATISTICS)), pa.array(values.ravel()))
                 yield batch.slice(first, n).append_column(name, lists)
 
-    return rows.mapInArrow(scan, T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+    return rows.mapInArrow(tidy(scan), T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
 @dataclass(frozen=True)
@@ -175,13 +177,13 @@ def fit_lasso(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) ->
     """L1-penalised logistic regression by accelerated proximal gradient; the
     intercept is not penalised."""
     n, m = z.shape
-    full = np.concatenate([z, np.ones((n, 1))], axis=1)
-    size = np.linalg.norm(full.T @ full / n, 2) / 4 + 1e-9
+    full = np.concatenate([z, np.ones((n, 1), np.float32)], axis=1, dtype=np.float32)
+    size = float(np.linalg.norm(full.T @ full / n, 2)) / 4 + 1e-6
     w = np.zeros(m + 1)
     v, t = w.copy(), 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(full @ v, -30, 30)))
-        new = v - full.T @ (p - y) / n / size
+        p = 1 / (1 + np.exp(-np.clip(full @ v.astype(np.float32), -30, 30)))
+        new = v - (full.T @ (p - y).astype(np.float32)).astype(float) / n / size
         new[:m] = np.sign(new[:m]) * np.maximum(np.abs(new[:m]) - penalty / size, 0)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / t_new * (new - w), new, t_new
@@ -201,27 +203,32 @@ class RuleEnsemble:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4) -> RuleEnsemble:
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = 3e-3, relaxed: float = 1e-4) -> RuleEnsemble:
     """Without both labels the score is the smoothed share of label 1."""
     if len(y) == 0 or y.min() == y.max():
         p = (y.sum() + 1.0) / (len(y) + 2.0)
         return RuleEnsemble((), float(np.log(p / (1 - p))))
+    # The lasso chooses few rules; a second, weak one weighs those without the
+    # shrinkage of the first.
     rules = extract_rules(x, y)
-    weights, intercept = fit_lasso(np.stack([r.holds(x) for r in rules], axis=1).astype(float), y.astype(float), penalty)
+    weights, _ = fit_lasso(np.stack([r.holds(x) for r in rules], axis=1), y.astype(float), penalty)
+    rules = [r for r, w in zip(rules, weights, strict=True) if w]
+    weights, intercept = fit_lasso(np.stack([r.holds(x) for r in rules], axis=1) if rules else np.zeros((len(x), 0)), y.astype(float), relaxed)
     return RuleEnsemble(tuple(Rule(r.terms, float(w)) for r, w in zip(rules, weights, strict=True) if w), intercept)
 
 
 def _fitted(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, fold: Column, sample_rows: int) -> RuleEnsemble:
     marks = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("double").alias("label")).where("label in (0, 1)")
     train = stats.where(fold != 0).join(marks, "doc_id")
-    train = train.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "statistics").limit(sample_rows).select("label", "statistics").collect()
-    x = np.array([r["statistics"] for r in train], float).reshape(len(train), len(STATISTICS))
-    return fit(x, np.array([r["label"] for r in train], float))
+    share = F.lit(float(1 << 30) * sample_rows / max(1, train.count()))
+    train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("doc_id", "label", "statistics").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    x = train.column("statistics").combine_chunks().flatten().to_numpy().reshape(train.num_rows, len(STATISTICS))
+    return fit(x, train.column("label").to_numpy())
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return materialize(with_statistics(rows, "text", "statistics").drop("text"), "statistics")
+    return keep(with_statistics(rows, "text", "statistics").drop("text"))
 
 
 def quality_scores(
@@ -230,8 +237,8 @@ def quality_scores(
     """``doc_id, held_out, score, predicted`` for each input row.
 
     Labels of rows whose crc32(identifier as text) mod ``holdout`` is 0 are
-    never learned; of the others the ``sample_rows`` smallest by hash of the
-    identifier are.  Only the text is an input of a score.  A null text is
+    never learned; of the others about ``sample_rows``, by hash of the
+    identifier, are.  Only the text is an input of a score.  A null text is
     scored as the empty text; null labels teach nothing; a null identifier is
     scored, held_out false.  Without labels the score is 0.5.  An empty table
     gives an empty result; columns not named are not read.

@@ -25,9 +25,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = byte_bpe.load_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = byte_bpe.encode_texts(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode_ids(encoded, vocabulary)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = byte_bpe.encode_texts(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, decode=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -36,6 +37,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/tidebook/{name}-{uuid.uuid4().hex}"
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept on the executors' disks for its consumers.
+    The lineage stays, so what an executor loses is computed again."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return the written table: a cut of the lineage
     that outlives any executor, and a barrier against running a costly scan

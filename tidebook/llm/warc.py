@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import keep, materialize
 
 #: Payload bytes of a shard, compressed bytes at which a file is closed.
 SHARD_BYTES, FILE_BYTES = 32 << 20, 16 << 20
@@ -189,7 +189,7 @@ def write_warc(
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("page_id", "url", F.unhex(F.sha1("payload")).alias("digest"), "payload")
-    facts = materialize(rows.select(*_KEY, F.octet_length("payload").cast("long").alias("payload_bytes")), "payload-digests")
+    facts = keep(rows.select(*_KEY, F.octet_length("payload").cast("long").alias("payload_bytes")))
 
     low, high, total = facts.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes")).head()
     shard_bytes = max(shard_bytes, (total or 0) // MOST_BINS)
