@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import book
-from tidebook.schema import LEVELS, coerce, instant, level_columns, missing_columns, number, preferred_order, require_columns, required_columns, size_columns
+from tidebook.schema import LEVELS, coerce, complete, instant, level_columns, missing_columns, number, preferred_order, require_columns, required_columns, size_columns
 
 
 @dataclass(frozen=True)
@@ -126,8 +126,8 @@ def _staged(df: DataFrame, config: CleaningConfig, levels: int, order: list[str]
     """
     require_columns(df, required_columns(levels), "the book")
     rows = coerce(df, levels, winsor_columns(df, levels))
-    complete = reduce(and_, (F.col(c).isNotNull() for c in ["timestamp", "event_time", *level_columns(levels)]))
-    rows = rows.withColumn("complete", complete).withColumn("spread_now", book.spread())
+    rows = rows.withColumn("complete", complete(["timestamp", "event_time", *level_columns(levels)]))
+    rows = rows.withColumn("spread_now", book.spread())
     latest = Window.partitionBy("timestamp", "complete").orderBy(*(F.col(c).desc() for c in order))
     rows = rows.withColumn("clean_rank", F.row_number().over(latest))
     stage = F.when(~F.col("complete"), 1).when(F.col("clean_rank") > 1, 2).when(F.col("spread_now") <= 0, 3).otherwise(0)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +45,12 @@ def require_columns(df: DataFrame, wanted: list[str], what: str = "input") -> No
         raise ValueError(f"{what} lacks columns: {missing}")
 
 
+def complete(columns: list[str]) -> Column:
+    """True where no column is null: one count, which the optimizer does not
+    take apart into a constraint per column (those multiply with aliases)."""
+    return reduce(add, (F.col(c).isNull().cast("int") for c in columns)) == 0
+
+
 def preferred_order(df: DataFrame) -> DataFrame:
     """Metadata first, other columns as they are."""
     first = [c for c in METADATA if c in df.columns]
