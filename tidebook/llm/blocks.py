@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 
 
 def block_id(sequence: int) -> int:
@@ -25,6 +26,16 @@ def block_id(sequence: int) -> int:
     return ((context.partitionId() if context else 0) << 24) + sequence
 
 
+def input_splits(df: DataFrame, split_bytes: int = 16 << 20) -> int:
+    """About how many splits of ``split_bytes`` the input has, by the optimizer's
+    estimate of its size; nothing is run.  Without an estimate, the number of
+    shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // split_bytes))
+
+
 def pack(array: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(array).tobytes())
 

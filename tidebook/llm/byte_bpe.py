@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_id, pack, tidy, unpack, unvarint, varint
+from .blocks import block_id, input_splits, pack, tidy, unpack, unvarint, varint
 from .text import string_chunks
 
 #: Bytes of text in a block.
@@ -235,7 +235,7 @@ def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str =
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType
     if buckets is None:
-        buckets = max(128, 4 * rows.rdd.getNumPartitions())
+        buckets = max(128, 4 * input_splits(docs))
     table = spark.sparkContext.broadcast(vocabulary)
     split = rows.mapInArrow(_split(pattern, buckets, to_arrow_type(kind)), f"block long, bucket int, ids array<{kind.simpleString()}>, lengths binary, payload binary")
     split = split.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_id, pack, tidy, unpack, unvarint, varint
+from .blocks import block_id, input_splits, pack, tidy, unpack, unvarint, varint
 from .scratch import keep
 from .text import SPACED, string_chunks, word_hashes, word_spans
 
@@ -360,7 +360,7 @@ def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % holdout == holdout_value, F.lit(False))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held.alias("held"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType
-    buckets = max(64, 2 * rows.rdd.getNumPartitions())
+    buckets = max(64, 2 * input_splits(docs))
     schema = f"block long, kind int, bucket int, ids array<{kind.simpleString()}>, held array<boolean>, lengths binary, payload binary"
     scanned = keep(rows.mapInArrow(_scan(buckets, to_arrow_type(kind)), schema))
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import block_id, pack, tidy, unpack, unvarint, varint
+from .blocks import block_id, input_splits, pack, tidy, unpack, unvarint, varint
 from .components import connected_components
 from .scratch import keep
 from .text import mixed, shingle_sets, string_chunks
@@ -247,7 +247,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    partitions = texts.rdd.getNumPartitions()
+    partitions = input_splits(docs)
     bucket_bits = max(6, math.ceil(math.log2(2 * partitions + 1)))
     # Enough bits that few shingles of a block are counted with another; a
     # shared count can only move a shingle in the order, never lose a pair.

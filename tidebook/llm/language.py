@@ -24,6 +24,8 @@ from .text import string_chunks
 DIMENSIONS, ROWS = 4096, 512
 #: Labelled texts on which the model is fitted, about, of all languages.
 SAMPLE_ROWS = 6000
+#: Languages at most; more raise.
+MOST_LANGUAGES = 10_000
 
 #: Letters lower-cased; other ASCII bytes count as a space.
 _LOWER = np.arange(256, dtype=np.uint32)
@@ -127,11 +129,17 @@ def fit(texts: list[str], languages: list[str], k: int = 3, slack: float = 1.25)
 
 
 def _sample(docs: DataFrame, fold, holdout_value: int, sample_rows: int) -> tuple[list[str], list[str]]:
-    """About ``sample_rows`` labelled texts, evenly over languages, by hash."""
-    train = docs.where((fold != holdout_value) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = docs.where((fold != holdout_value) & F.col("lang").isNotNull()).groupBy("lang").count()
-    each = sample_rows / max(1, counts.count())
-    chosen = train.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * each / F.col("count"))
+    """About ``sample_rows`` labelled texts, evenly over languages, by hash.
+    Shares travel as a literal, so that no text is shuffled for the sample."""
+    learned = docs.where((fold != holdout_value) & F.col("lang").isNotNull())
+    counts = learned.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counts:
+        return [], []
+    each = float(1 << 30) * sample_rows / len(counts)
+    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], each / r["count"])))
+    chosen = learned.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang"))).where(F.col("text").rlike(r"\p{L}"))
     rows = chosen.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).toArrow().sort_by([(c, "ascending") for c in ("lang", "h", "text")])
     return rows.column("text").to_pylist(), rows.column("lang").to_pylist()
 
