@@ -379,6 +379,22 @@ def test_embedding_recall_at_the_default_margin(spark):
     assert embedding_dedup.near_duplicates(docs).agg(F.sum("n_links")).head()[0] >= 0.99 * wanted > 300
 
 
+def test_embedding_links_of_few_dimensions(spark):
+    # Displacements go straight at the next list, and from both sides of a border.
+    x = np.random.default_rng(3).normal(size=(600, 3))
+    docs = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    # So close that components are many.
+    near = unit @ unit.T >= 0.999
+    reach = near.copy()
+    while (wider := (reach.astype(int) @ near) > 0).sum() > reach.sum():
+        reach = wider
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(docs, least=0.999).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, int(np.flatnonzero(reach[i])[0])) for i in range(len(x))}
+    wanted = {i: int(n) for i, n in enumerate((unit @ unit.T >= 0.93).sum(axis=1) - 1)}
+    assert {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(docs).collect()} == wanted
+
+
 # ---- 6 language --------------------------------------------------------------------------------------
 
 
