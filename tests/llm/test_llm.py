@@ -330,6 +330,14 @@ def test_jaccard_at_the_threshold(spark):
     assert bag(jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id") == brute_jaccard(rows)
 
 
+def test_jaccard_null_identifiers_beside_equal_texts(spark):
+    text = " ".join(f"n{i}" for i in range(60))
+    large = 2**53 + 1
+    rows = [(None, text), (5, text), (9, text + " more"), (None, "alone with no identifier in this table"), (large, "one text"), (large + 2, "One text"), (large + 4, "another")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert bag(got, "doc_id", "n_shingles", "component_id") == brute_jaccard(rows)
+
+
 # ---- 5 embeddings ------------------------------------------------------------------------------
 
 

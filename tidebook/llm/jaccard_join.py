@@ -48,16 +48,18 @@ def _digests(shingles: np.ndarray, at: np.ndarray) -> list[bytes | None]:
 
 
 class _Block:
-    """Shingle sets of a block's documents; equal sets count once."""
+    """Shingle sets of a block's documents; equal sets count once, by a row that
+    has an identifier: one without links with nothing."""
 
     def __init__(self, k: int):
         self.k, self.seen, self.sets, self.filled = k, set(), [], 0
 
-    def add(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes | None], np.ndarray]:
+    def add(self, ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes | None], np.ndarray]:
         shingles, at = shingle_sets(data, offsets, self.k)
         digests, new = _digests(shingles, at), np.zeros(len(at) - 1, bool)
+        named = ids.is_valid().to_numpy(zero_copy_only=False)
         for i, d in enumerate(digests):
-            if d is not None and d not in self.seen:
+            if named[i] and d is not None and d not in self.seen:
                 self.seen.add(d)
                 new[i] = True
         self.sets.append(shingles[np.repeat(new, np.diff(at))])
@@ -94,12 +96,13 @@ def _scan(k: int, bits: int, bucket_bits: int):
         for batch in batches:
             ids = batch.column(0)
             for first, rows, data, offsets in string_chunks(batch.column(1)):
-                sets.add(data, offsets)
+                own = ids.slice(first, rows)
+                sets.add(own, data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([block_id(sequence)]),
                         pa.nulls(1, pa.int32()),
-                        pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), ids.slice(first, rows)),
+                        pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), own),
                         pa.array([varint(np.diff(offsets))], pa.binary()),
                         pa.array([pack(data)], pa.binary()),
                     ],
@@ -140,10 +143,10 @@ def _prefixes(k: int, percent: int, bits: int):
         sets, pieces = _Block(k), []
         texts = texts.filter(pc.is_null(texts.column("bucket")))
         for i in range(texts.num_rows):
-            ids = texts.column("ids")[i].values.to_numpy(zero_copy_only=False)
+            ids = texts.column("ids")[i].values  # not numpy's: with a null its numbers are doubles
             offsets = np.concatenate([[0], np.cumsum(unvarint(texts.column("lengths")[i].as_py()))])
             data = unpack(texts.column("payload")[i].as_py(), np.uint8)
-            pieces.append((ids, data, offsets, *sets.add(data, offsets)))
+            pieces.append((ids, data, offsets, *sets.add(ids, data, offsets)))
         values, _ = sets.distinct(bits)
         classes = classes.sort_by("bucket").column("payload")
         often = np.concatenate([np.zeros(0, np.uint8), *(unpack(x.as_py(), np.uint8) for x in classes)])
@@ -151,8 +154,9 @@ def _prefixes(k: int, percent: int, bits: int):
         for ids, data, offsets, shingles, at, digests, new in pieces:
             sizes = np.diff(at)
             rows = len(sizes)
-            out.append(pa.table([pa.array(ids, from_pandas=True), pa.array(sizes), pa.array(digests, pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.string())], schema=_OUT))
-            own = often[np.searchsorted(values, shingles >> np.uint64(64 - bits))] if len(shingles) else np.zeros(0, np.uint8)
+            out.append(pa.table([ids, pa.array(sizes), pa.array(digests, pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.string())], schema=_OUT))
+            own, counted = np.zeros(len(shingles), np.uint8), np.repeat(new, sizes)
+            own[counted] = often[np.searchsorted(values, shingles[counted] >> np.uint64(64 - bits))]
             rank = (own.astype(np.uint64) << np.uint64(56)) | (shingles >> np.uint64(8))
             picked, owners = [], []
             for i in np.flatnonzero(new):
@@ -168,10 +172,10 @@ def _prefixes(k: int, percent: int, bits: int):
                 owners = np.array(owners)
                 each = np.repeat(owners, [len(p) for p in picked])
                 n = len(each)
-                out.append(pa.table([pa.array(ids[each], from_pandas=True), pa.array(sizes[each]), pa.nulls(n, pa.binary()), pa.array(np.concatenate(picked).view(np.int64)), pa.nulls(n, pa.string())], schema=_OUT))
+                out.append(pa.table([ids.take(pa.array(each)), pa.array(sizes[each]), pa.nulls(n, pa.binary()), pa.array(np.concatenate(picked).view(np.int64)), pa.nulls(n, pa.string())], schema=_OUT))
                 whole = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in owners]
                 n = len(owners)
-                out.append(pa.table([pa.array(ids[owners], from_pandas=True), pa.array(sizes[owners]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(whole, pa.string())], schema=_OUT))
+                out.append(pa.table([ids.take(pa.array(owners)), pa.array(sizes[owners]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(whole, pa.string())], schema=_OUT))
         return pa.concat_tables(out) if out else _OUT.empty_table()
 
     return tidy(prefixes)
