@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.labels import SignalRule, signal, three_way
 from tidebook.operators import backtest, cleaning, evaluation, features, models, ordered, sessions, targets
+from tidebook.plans import catalog
 
 
 def timed(spark, rows, schema):
@@ -134,3 +135,34 @@ def test_merge_raises_on_a_bad_time_and_keeps_the_later_file(spark):
     assert [r["v"] for r in cleaning.merge([a, b]).collect()] == [2]
     with pytest.raises(Exception, match="cannot be read"):
         cleaning.merge([a, spark.createDataFrame([("x", 3)], "timestamp string, v int")]).collect()
+
+
+@pytest.mark.parametrize("name", ["boosted_predictions", "feature_importance"])
+def test_boosted_queries_run_all_rounds(spark, monkeypatch, name):
+    class Stop(Exception):
+        pass
+
+    def stop(**given):
+        seen.update(given)
+        raise Stop
+
+    seen = {}
+    monkeypatch.setattr(models, "GBTClassifier", stop)
+    with pytest.raises(Stop):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert (seen["maxIter"], seen["maxDepth"], seen["stepSize"]) == (300, 5, 0.05)
+
+
+def test_logistic_query_runs_until_it_converges(spark, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def stop(**given):
+        seen.update(given)
+        raise Stop
+
+    seen = {}
+    monkeypatch.setattr(models, "LogisticRegression", stop)
+    with pytest.raises(Stop):
+        catalog.QUERIES["logistic_predictions"](spark, "/root/testdata/sf0.001")
+    assert seen["maxIter"] == 1000

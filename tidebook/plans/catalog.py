@@ -704,21 +704,21 @@ def feature_selection(spark, sf_dir):
 def logistic_predictions(spark, sf_dir):
     rows, report = models.prepare(_dataset(spark, sf_dir))
     rows = rows.select("timestamp", "split", "target", *report.selected).persist()
-    return models.predict(models.train_logistic(rows, report.selected, 100), rows)
+    return models.predict(models.train_logistic(rows, report.selected), rows)
 
 
 @query()
 def boosted_predictions(spark, sf_dir):
     rows, report = models.prepare(_dataset(spark, sf_dir))
     rows = rows.select("timestamp", "split", "target", *report.selected).persist()
-    return models.predict(models.train_boosted(rows, report.selected, iterations=5, depth=3), rows)
+    return models.predict(models.train_boosted(rows, report.selected), rows)
 
 
 @query()
 def feature_importance(spark, sf_dir):
     rows, report = models.prepare(_dataset(spark, sf_dir))
     rows = rows.select("timestamp", "split", "target", *report.selected).persist()
-    model = models.train_boosted(rows, report.selected, iterations=5, depth=3)
+    model = models.train_boosted(rows, report.selected)
     return spark.createDataFrame(model.importance(), "feature string, importance_gain double").orderBy(F.desc("importance_gain"), "feature").limit(20)
 
 
