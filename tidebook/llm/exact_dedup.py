@@ -1,8 +1,9 @@
-"""Exact deduplication by a tree merge of digest runs (DataFrame operations only).
+"""Exact deduplication by a tree of grouped digest runs (DataFrame operations only).
 
 Every row gets a run by a hash of its identifier.  Within a run equal digests
-collapse to one entry (smallest identifier, row count); rounds then merge
-``fan_in`` neighbouring runs at a time, until one run is left.  Winners travel
+collapse to one entry (smallest identifier, row count); rounds then group
+``fan_in`` neighbouring runs at a time, until one run is left.  Runs are hash
+aggregates: none is sorted, and none merged in order.  Winners travel
 down the same tree, so that no task ever sees more of one digest than a run
 holds of it, however large a group of copies is.
 
