@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import all_columns, keep, unused
 
 #: White space that counts as one space when texts are compared.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -71,3 +71,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
     )
+
+
+def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all
+    their columns.
+
+    Of rows that repeat identifier and text, the one whose text is shortest and
+    then smallest as it is written stays.  Null texts, null identifiers and
+    empty tables are as in :func:`exact_dedup`; columns of any name stay.
+    """
+    key, rank = unused("copy_key", docs), unused("copy_rank", docs)
+    kept = exact_dedup(docs, id_col, text_col, **options).where("kept").select("doc_id", "text_sha256")
+    name = lambda i, h: F.struct(i.alias("a"), h.alias("b"))
+    text = F.col(f"`{text_col}`")
+    kept = kept.select(name(F.col("doc_id"), F.col("text_sha256")).alias(key))
+    own = docs.withColumn(key, name(F.col(f"`{id_col}`"), F.sha2(normalised(text).cast("binary"), 256)))
+    # The window reads what the join deals out: texts are shuffled once.
+    once = Window.partitionBy(key).orderBy(F.length(text), text)
+    left = own.join(kept, key, "left_semi").withColumn(rank, F.row_number().over(once))
+    return left.where(F.col(rank) == 1).select(*all_columns(docs))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .blocks import block_id, input_splits, pack, tidy, unpack, unvarint, varint
 from .components import connected_components
-from .scratch import keep
+from .scratch import all_columns, keep, unused
 from .text import mixed, shingle_sets, string_chunks
 
 #: Bytes of text in a block.
@@ -301,3 +301,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = tiles.groupBy("bin", "i", "j").applyInArrow(_product(k, percent), "a long, b long")
     found = connected_components(links).withColumnRenamed("node", "rep")
     return member.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay, of each component the smallest
+    identifier, with all their columns.
+
+    Rows repeating an identifier are one document, which stays or goes as a
+    whole, be their texts equal or not; rows with a null identifier stay, and so
+    do texts without words.  An empty table gives an empty result; columns of any
+    name stay.
+    """
+    gone = jaccard_components(docs, id_col, text_col, **options).where("doc_id <> component_id").select("doc_id").distinct()
+    key = unused("near_key", docs)
+    own = docs.withColumn(key, F.col(f"`{id_col}`").cast("long"))
+    left = own.join(gone.withColumnRenamed("doc_id", key), key, "left_anti")
+    return left.select(*all_columns(docs))

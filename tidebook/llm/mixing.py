@@ -12,6 +12,9 @@
 4. The k-th draw of a source reads block ``permutation(k mod n)`` of pass
    ``k div n``, a Feistel permutation of its block indices, and the draws are
    joined to the documents by block index.
+
+Sizes, the plan by source and the counts by shard are written once each, so that
+every step's plan starts from a table and stays small.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import all_columns, materialize, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -91,6 +94,20 @@ def _lookup(points: DataFrame, at: Column, intervals: DataFrame, width: int) ->
     return points.join(intervals, "bin").where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
 
 
+def _sum_before(rows: DataFrame, key: str, at: str, value: str, name: str, width: int = 1024) -> DataFrame:
+    """``name``: the sum of ``value`` over rows of the same ``key`` with a
+    smaller ``at``.  Sums over ``width`` neighbours go first, so that no task
+    orders all rows of a key."""
+    group = F.floor(F.col(at) / width).cast("long")
+    rows = rows.withColumn("group", group)
+    sums = rows.groupBy(key, "group").agg(F.sum(value).alias("held"))
+    earlier = Window.partitionBy(key).orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(key, "group", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("held"))
+    inside = Window.partitionBy(key, "group").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.join(sums, [key, "group"]).withColumn(name, F.col(name) + F.col("held")).drop("group", "held")
+
+
 def _draws(plan: DataFrame, slots: int, shard_slots: int, seed: int) -> DataFrame:
     """``shard, skey, k``: which draw of which source each slot makes."""
     spark = plan.sparkSession
@@ -98,14 +115,13 @@ def _draws(plan: DataFrame, slots: int, shard_slots: int, seed: int) -> DataFram
     at = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(slots))
     drawn = _lookup(spark.range(slots), at, shares.select("bin", "lo", "hi", "skey"), width)
     drawn = drawn.select(F.floor(F.col("id") / shard_slots).cast("long").alias("shard"), F.col("id").alias("slot"), "skey")
-    counts = keep(drawn.groupBy("shard", "skey").count())
-    shards = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("shard", "skey", F.coalesce(F.sum("count").over(shards), F.lit(0)).alias("base"))
+    counts = materialize(drawn.groupBy("shard", "skey").count(), "mix-counts")
+    base = _sum_before(counts, "skey", "shard", "count", "base").drop("count")
     sums = counts.groupBy("skey").agg(F.sum("count").alias("drawn"))
-    quota = plan.select("skey", "quota", "n_blocks").join(sums, "skey", "left").fillna(0, ["drawn"])
+    quota = plan.select("skey", "quota").join(sums, "skey", "left").fillna(0, ["drawn"])
     over, short = F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))
-    quota = keep(
-        quota.withColumn("surplus", over).withColumn("short", short).withColumn("surplus_at", F.sum("surplus").over(Window.orderBy("skey")) - F.col("surplus")))
+    before = F.sum("surplus").over(Window.orderBy("skey")) - F.col("surplus")  # a row per source
+    quota = materialize(quota.withColumn("surplus", over).withColumn("short", short).withColumn("surplus_at", before), "mix-quota")
     spare = int(quota.agg(F.coalesce(F.sum("surplus"), F.lit(0))).head()[0])
     within = Window.partitionBy("shard", "skey").orderBy("slot")
     ranked = (
@@ -138,51 +154,80 @@ def mix_sources(
     """``doc_id, source, size, source_size, target, taken`` for each input row.
 
     ``taken`` is the number of words that the mix reads from the document, with
-    repeats; no document gives more than ``max_epochs`` times its size.  A null
-    or empty text has size 0 and gives nothing; a null source is a source of its
-    own.  Rows repeating an identifier are documents of their own.  An empty
-    table gives an empty result, and columns not named are not read.  Reruns
-    agree: every draw is a hash of ``seed`` and a counter.  Sources may number
-    thousands (their plan is ordered in one task); documents may number any.
+    repeats; no document gives more than ``max_epochs`` times its size.  A source
+    gives a whole number of its blocks: the nearest to its target by its blocks'
+    mean size.  A null or empty text has size 0 and gives nothing; a null source
+    is a source of its own.  Rows repeating an identifier are documents of their
+    own, null identifiers included.  An empty table gives an empty result, and
+    columns not named are not read.  Reruns agree: every draw is a hash of
+    ``seed`` and a counter.  Sources may number thousands (their plan is ordered
+    in one task); documents may number any.
     """
-    rows = keep(
-        docs.select(
-            F.col(f"`{id_col}`").alias("doc_id"),
-            F.col(f"`{source_col}`").cast("string").alias("source"),
-            word_count(F.col(f"`{text_col}`")).alias("size"),
-        ).withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))))
-    sums = rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    n_blocks = F.ceil(F.col("source_size") / block_words).cast("long")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
+        word_count(text).alias("size"),
+        F.xxhash64(text.cast("string")).alias("spread"),
+    )
+    rows = materialize(rows.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))), "mix-sizes")
+    sums = rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_docs"))
     plan = source_targets(sums.select("source", "source_size"), weights, max_epochs)
     plan = plan.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))).drop("source")
-    plan = keep(
-        plan.join(sums.select("skey", "n_docs"), "skey")
-        .withColumn("n_blocks", n_blocks)
-        .withColumn("quota", F.least(F.col("n_blocks") * max_epochs, F.round(F.col("target") / block_words).cast("long"))))
+    plan = plan.join(sums.select("skey", "n_docs"), "skey").withColumn("n_blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
+    # The last block is short, so blocks are counted by their mean size.
+    blocks = F.round(F.coalesce(F.try_divide(F.col("target") * F.col("n_blocks"), F.col("source_size")), F.lit(0.0))).cast("long")
+    plan = materialize(plan.withColumn("quota", F.least(F.col("n_blocks") * max_epochs, blocks)), "mix-plan")
     slots = int(plan.agg(F.coalesce(F.sum("quota"), F.lit(0))).head()[0])
+    out = ["doc_id", "source", "size", "source_size", "target"]
+    known = rows.join(plan.select("skey", "source_size", "target", "n_docs"), "skey")
+    nothing = F.lit(0).cast("long").alias("taken")
+    if not slots:
+        return known.select(*out, nothing)
+
     n_chunks = F.ceil(F.col("n_docs") / chunk_docs).cast("long")
-    placed = rows.join(plan.select("skey", "source_size", "target", "n_docs"), "skey")
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), n_chunks)).drop("n_docs")
+    placed = known.where("size > 0").withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "spread"), n_chunks)).drop("n_docs")
     chunks = placed.groupBy("skey", "chunk").agg(F.sum("size").alias("words"))
-    chunks = chunks.select("skey", "chunk", (F.sum("words").over(Window.partitionBy("skey").orderBy("chunk")) - F.col("words")).alias("offset"))
-    inside = Window.partitionBy("skey", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chunks = _sum_before(chunks, "skey", "chunk", "words", "offset").drop("words")
+    inside = Window.partitionBy("skey", "chunk").orderBy("doc_id", "size", "spread").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("upto", F.sum("size").over(inside)).join(chunks, ["skey", "chunk"])
-    placed = placed.withColumn("start", F.col("offset") + F.col("upto") - F.col("size")).drop("chunk", "offset", "upto")
-    if not slots:
-        return placed.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    placed = placed.withColumn("start", F.col("offset") + F.col("upto") - F.col("size"))
     draws = _draws(plan, slots, shard_slots, seed).join(plan.select("skey", "n_blocks"), "skey")
     turn, k = F.floor(F.col("k") / F.col("n_blocks")).cast("long"), F.pmod(F.col("k"), F.col("n_blocks"))
     block = permuted(k, F.col("n_blocks"), F.lit(seed), F.col("skey"), turn)
     uses = draws.select("skey", block.alias("block")).groupBy("skey", "block").agg(F.count(F.lit(1)).alias("uses"))
     first, last = F.floor(F.col("start") / block_words).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block_words).cast("long")
-    pieces = placed.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))))
+    pieces = placed.withColumn("block", F.explode(F.sequence(first, last)))
     lo, hi = F.greatest("start", F.col("block") * block_words), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    words = F.when(F.col("size") > 0, F.coalesce(F.col("uses"), F.lit(0)) * (hi - lo)).otherwise(F.lit(0))
-    pieces = pieces.withColumn("row", F.struct("doc_id", "source", "size", "source_size", "target"))
-    return (
-        pieces.join(uses, ["skey", "block"], "left")
-        .groupBy("row", "skey", F.when(F.col("size") > 0, F.col("start")).alias("start"))
-        .agg(F.sum(words).cast("long").alias("taken"), F.count_if(F.col("block") < 0).alias("empty"))
-        .withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("empty", F.lit(1).cast("long")))))
-        .select("row.*", "taken")
+    # Words of a source start at one document each: (source, start) names a row.
+    taken = (
+        pieces.select("skey", "start", "block", (hi - lo).alias("words"), F.struct(*out).alias("row"))
+        .join(uses, ["skey", "block"], "left")
+        .groupBy("skey", "start", "row")
+        .agg(F.sum(F.coalesce("uses", F.lit(0)) * F.col("words")).cast("long").alias("taken"))
     )
+    return taken.select("row.*", "taken").unionByName(known.where("size = 0").select(*out, nothing))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **options) -> DataFrame:
+    """Rows of ``docs``, whole and with all their columns, as often as the mix
+    takes them: ``taken / size`` times, the fraction rounded by a hash, so that
+    each source keeps to its target and no document comes more than
+    ``max_epochs`` times.
+
+    Rows that agree in identifier, source and size share what they are taken.  A
+    document without words isn't in the mix.  A null identifier or source is a
+    value like any other; columns of any name stay as they are; an empty table
+    gives an empty result.
+    """
+    taken = mix_sources(docs, id_col, text_col, source_col, seed=seed, **options).where("taken > 0")
+    taken = taken.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
+    share = F.col("taken") / (F.col("size") * F.col("rows"))
+    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(1 << 30)) / float(1 << 30)
+    times = (F.floor(share) + (chance < share - F.floor(share)).cast("int")).cast("int")
+    # One composite key, equal where its parts are equal or both null.
+    key, turns, turn = (unused(n, docs) for n in ("mix_key", "mix_times", "mix_turn"))
+    taken = taken.select(F.struct(F.col("doc_id").alias("a"), F.col("source").alias("b"), F.col("size").alias("c")).alias(key), times.alias(turns)).where(F.col(turns) > 0)
+    own = F.struct(F.col(f"`{id_col}`").alias("a"), F.col(f"`{source_col}`").cast("string").alias("b"), word_count(F.col(f"`{text_col}`")).alias("c"))
+    mixed = docs.withColumn(key, own).join(taken, key)
+    return mixed.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(turns)))).select(*all_columns(docs))
