@@ -106,12 +106,12 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def fit(texts: list[str], languages: list[str], k: int = 3, slack: float = 1.25) -> LanguageModel | None:
-    if not texts:
+def fit(counts: np.ndarray, languages: list[str], k: int = 3, slack: float = 1.25) -> LanguageModel | None:
+    """From n-gram counts, a row per text."""
+    if not languages:
         return None
-    counts = np.concatenate([ngram_counts(d, o) for _, _, data, offsets in string_chunks(pa.array(texts, pa.string())) for _, d, o in _pieces(data, offsets)])
     names = sorted(set(languages))
-    idf = (np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     x = _unit(np.log1p(counts) * idf)
     label = np.array([names.index(v) for v in languages])
     centroids, owner, radius = [], [], []
@@ -128,20 +128,38 @@ def fit(texts: list[str], languages: list[str], k: int = 3, slack: float = 1.25)
     return LanguageModel(tuple(names), idf, np.stack(centroids).astype(np.float32), np.array(owner), np.array(radius))
 
 
-def _sample(docs: DataFrame, fold, holdout_value: int, sample_rows: int) -> tuple[list[str], list[str]]:
-    """About ``sample_rows`` labelled texts, evenly over languages, by hash.
-    Shares travel as a literal, so that no text is shuffled for the sample."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as packed counts: at most DIMENSIONS slots, however long the text."""
+    for batch in batches:
+        for first, rows, data, offsets in string_chunks(batch.column(2)):
+            packed = []
+            for _, d, o in _pieces(data, offsets):
+                for own in ngram_counts(d, o):
+                    slots = np.flatnonzero(own)
+                    packed.append(slots.astype("<u2").tobytes() + own[slots].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), batch.column(1).slice(first, rows), pa.array(packed, pa.binary())], ["lang", "h", "counts"])
+
+
+def _sample(docs: DataFrame, fold, holdout_value: int, sample_rows: int) -> tuple[np.ndarray, list[str]]:
+    """Counts and languages of about ``sample_rows`` labelled texts, evenly over
+    languages, by hash.  Shares travel as a literal, so that no text is shuffled
+    for the sample; equal rows count once."""
     learned = docs.where((fold != holdout_value) & F.col("lang").isNotNull())
     counts = learned.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
-        return [], []
+        return np.zeros((0, DIMENSIONS), np.float32), []
     each = float(1 << 30) * sample_rows / len(counts)
     share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], each / r["count"])))
     chosen = learned.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang"))).where(F.col("text").rlike(r"\p{L}"))
-    rows = chosen.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).toArrow().sort_by([(c, "ascending") for c in ("lang", "h", "text")])
-    return rows.column("text").to_pylist(), rows.column("lang").to_pylist()
+    chosen = chosen.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(tidy(_counted), "lang string, h long, counts binary")
+    rows = chosen.groupBy("lang", "h").agg(F.min("counts").alias("counts")).toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
+    out = np.zeros((rows.num_rows, DIMENSIONS), np.float32)
+    for i, packed in enumerate(rows.column("counts").to_pylist()):
+        n = len(packed) // 6
+        out[i, np.frombuffer(packed, "<u2", n)] = np.frombuffer(packed, "<f4", n, 2 * n)
+    return out, rows.column("lang").to_pylist()
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", holdout: int = 3, holdout_value: int = 1, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -5,11 +5,12 @@
    path from a root becomes a conjunctive rule.
 3. A lasso logistic regression weighs the rules; most weights become zero.
 4. The rules left are compiled to one Spark column expression, which scores the
-   statistics of all documents.
+   statistics of all documents in the scan that makes them.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import tidy
-from .scratch import keep
+from .scratch import all_columns, unused
 from .text import string_chunks, word_hashes, word_spans
 
 #: Labelled rows, about, on which the model is fitted: those of the smallest
@@ -118,13 +119,6 @@ class Rule:
             out &= (x[:, i] > cut) == above
         return out
 
-    def column(self, statistics: Column) -> Column:
-        out = F.lit(True)
-        for i, above, cut in self.terms:
-            value = statistics[i]
-            out = out & (value > cut if above else value <= cut)
-        return F.when(out, F.lit(self.weight)).otherwise(F.lit(0.0))
-
 
 def _cuts(x: np.ndarray, bins: int) -> list[np.ndarray]:
     return [np.unique(np.quantile(x[:, i], np.linspace(0, 1, bins + 1)[1:-1])) for i in range(x.shape[1])]
@@ -190,25 +184,32 @@ def fit_lasso(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) ->
     return w[:m], float(w[m])
 
 
+#: A rule as Spark sees it.
+RULE_TYPE = "array<struct<terms:array<struct<statistic:int,above:boolean,cut:double>>,weight:double>>"
+
+
 @dataclass(frozen=True)
 class RuleEnsemble:
     rules: tuple[Rule, ...]
     intercept: float
 
     def score(self, statistics: Column) -> Column:
-        """Between 0 and 1, from an array of STATISTICS."""
-        total = F.lit(self.intercept)
-        for rule in self.rules:
-            total = total + rule.column(statistics)
+        """Between 0 and 1, from an array of STATISTICS.  The rules are one
+        literal, and one expression sums the weights of those that hold: its
+        size doesn't grow with their number."""
+        rules = [{"terms": [dict(zip(("statistic", "above", "cut"), t, strict=True)) for t in r.terms], "weight": r.weight} for r in self.rules]
+        literal = F.from_json(F.lit(json.dumps(rules)), RULE_TYPE)
+        holds = lambda r: F.forall(r["terms"], lambda t: (F.get(statistics, t["statistic"]) > t["cut"]) == t["above"])
+        total = F.aggregate(literal, F.lit(self.intercept), lambda sum_, r: sum_ + F.when(holds(r), r["weight"]).otherwise(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 3e-3, relaxed: float = 1e-4) -> RuleEnsemble:
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, relaxed: float = 1e-4) -> RuleEnsemble:
     """Without both labels the score is the smoothed share of label 1."""
     if len(y) == 0 or y.min() == y.max():
         p = (y.sum() + 1.0) / (len(y) + 2.0)
         return RuleEnsemble((), float(np.log(p / (1 - p))))
-    # The lasso chooses few rules; a second, weak one weighs those without the
+    # The lasso chooses rules; a second, weaker one weighs those without the
     # shrinkage of the first.
     rules = extract_rules(x, y)
     weights, _ = fit_lasso(np.stack([r.holds(x) for r in rules], axis=1), y.astype(float), penalty)
@@ -217,18 +218,25 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 3e-3, relaxed: float = 1e
     return RuleEnsemble(tuple(Rule(r.terms, float(w)) for r, w in zip(rules, weights, strict=True) if w), intercept)
 
 
-def _fitted(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, fold: Column, sample_rows: int) -> RuleEnsemble:
-    marks = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("double").alias("label")).where("label in (0, 1)")
-    train = stats.where(fold != 0).join(marks, "doc_id")
-    share = F.lit(float(1 << 30) * sample_rows / max(1, train.count()))
-    train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("doc_id", "label", "statistics").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+def _fitted(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, holdout: int, sample_rows: int) -> RuleEnsemble:
+    """``rows``: doc_id and text.  The labelled sample is drawn from the labels,
+    by a hash of the identifier, before any text is read; its identifiers are
+    distinct and so bounded, and travel to all."""
+    mark = F.col(f"`{label_col}`").try_cast("double").alias("label")
+    marks = labels.select(F.col(f"`{id_col}`").alias("doc_id"), mark).where(F.col("label").isin(0.0, 1.0) & F.col("doc_id").isNotNull())
+    marks = marks.where(F.crc32(F.col("doc_id").cast("string")) % holdout != 0).distinct()
+    share = F.lit(float(1 << 30) * sample_rows / max(1, marks.count()))
+    chosen = F.broadcast(marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share))
+    train = with_statistics(rows.join(chosen, "doc_id").select("doc_id", "label", "text"), "text", "statistics")
+    # Of rows repeating an identifier one teaches: what is collected is bounded.
+    train = train.groupBy("doc_id", "label").agg(F.min("statistics").alias("statistics")).toArrow()
+    train = train.sort_by([("doc_id", "ascending"), ("label", "ascending")])
     x = train.column("statistics").combine_chunks().flatten().to_numpy().reshape(train.num_rows, len(STATISTICS))
     return fit(x, train.column("label").to_numpy())
 
 
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return keep(with_statistics(rows, "text", "statistics").drop("text"))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
 def quality_scores(
@@ -243,10 +251,10 @@ def quality_scores(
     scored, held_out false.  Without labels the score is 0.5.  An empty table
     gives an empty result; columns not named are not read.
     """
-    stats = _identified(docs, id_col, text_col)
-    fold = F.crc32(F.col("doc_id").cast("string")) % holdout
-    model = _fitted(stats, labels, id_col, label_col, fold, sample_rows)
-    scored = stats.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), model.score(F.col("statistics")).alias("score"))
+    rows = _texts(docs, id_col, text_col)
+    model = _fitted(rows, labels, id_col, label_col, holdout, sample_rows)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % holdout == 0, F.lit(False))
+    scored = with_statistics(rows, "text", "statistics").select("doc_id", held.alias("held_out"), model.score(F.col("statistics")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -254,12 +262,9 @@ def keep_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", holdout: int = 5, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`quality_scores` predicts as 1, with all
-    their columns.  Statistics are taken again beside the rows, so that no text
-    is shuffled and rows repeating an identifier are judged one by one."""
-    fold = F.crc32(F.col("doc_id").cast("string")) % holdout
-    model = _fitted(_identified(docs, id_col, text_col), labels, id_col, label_col, fold, sample_rows)
-    name = "statistics"
-    while name in docs.columns:
-        name += "_"
+    their columns.  Rows repeating an identifier are judged one by one, and no
+    text is shuffled."""
+    model = _fitted(_texts(docs, id_col, text_col), labels, id_col, label_col, holdout, sample_rows)
+    name = unused("statistics", docs)
     judged = with_statistics(docs, text_col, name)
-    return judged.where(model.score(F.col(name)) >= threshold).drop(name)
+    return judged.where(model.score(F.col(name)) >= threshold).select(*all_columns(docs))
