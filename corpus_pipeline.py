@@ -1,7 +1,8 @@
 """From raw documents to token ids: filter, deduplicate, mix, encode.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
-``documents``.  A stage reads what its predecessor wrote.
+``documents``, extra ones included, whatever their names.  A stage reads what its
+predecessor wrote.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.llm import byte_bpe, exact_dedup, jaccard_join, mixing, quality
@@ -20,47 +21,40 @@ SEED = 17
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble predicts as good."""
+    """Documents that the rule ensemble predicts as good.  A null text is judged
+    as the empty one; a null identifier is judged and never learned from;
+    repeated rows are judged one by one; an empty table stays empty."""
     prepared(spark)
     return quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest identifier; of rows that
-    repeat identifier and text, one."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("own_sha256"))
-    own = docs.withColumn("own_sha256", F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256))
-    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.own_sha256") == F.col("r.own_sha256"))
-    left = own.alias("l").join(kept.alias("r"), same, "left_semi")
-    once = Window.partitionBy("doc_id", "own_sha256").orderBy(F.length("text"), "text")
-    return left.withColumn("own_rank", F.row_number().over(once)).where("own_rank = 1").select(*docs.columns)
+    repeat identifier and text, one.  Null and empty texts are equal; a null
+    identifier stays only where no other has its text; an empty table stays
+    empty."""
+    return exact_dedup.first_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the smallest identifier."""
+    """One document of each group of near copies, the smallest identifier.  Null
+    and empty texts and null identifiers are near nothing and stay; rows
+    repeating an identifier are one document; an empty table stays empty."""
     prepared(spark)
-    groups = jaccard_join.jaccard_components(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard_join.without_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix takes them: ``taken / size`` times,
-    the fraction rounded by a hash, so that each source's words keep to its
-    target and no document comes more than three times."""
-    taken = mixing.mix_sources(docs, seed=SEED).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
-    share = F.col("taken") / (F.col("size") * F.col("rows"))
-    chance = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "size"), F.lit(1 << 30)) / float(1 << 30)
-    times = (F.floor(share) + (chance < share - F.floor(share)).cast("int")).cast("int")
-    taken = taken.select(F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), F.col("size").alias("own_size"), times.alias("own_times")).where("own_times > 0")
-    sized = docs.withColumn("own_words", mixing.word_count(F.col("text")))
-    same = (F.col("doc_id") == F.col("own_id")) & F.col("source").eqNullSafe(F.col("own_source")) & (F.col("own_words") == F.col("own_size"))
-    mixed = sized.join(taken, same)
-    return mixed.withColumn("own_turn", F.explode(F.sequence(F.lit(1), F.col("own_times")))).select(*docs.columns)
+    """Whole documents as often as the mix takes them, at most three times.  A
+    document without words isn't in the mix; null identifiers and sources are
+    values like any other; an empty table stays empty."""
+    return mixing.mix_documents(docs, seed=SEED)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and a digest of what they decode to."""
+    """Token ids of every row, and a digest of what they decode to.  A null text
+    is the empty one, without ids; rows repeating an identifier, or without one,
+    are encoded one by one; an empty table gives an empty result."""
     prepared(spark)
     vocabulary = byte_bpe.load_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = byte_bpe.encode_texts(docs, vocabulary, public_tokenizers.PATTERN, decode=True)
