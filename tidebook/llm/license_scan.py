@@ -1,15 +1,17 @@
 """License scan by diagonal voting.
 
 1. One scan cuts every whole text into words and hashes each run of ``k`` words.
-   Runs that no template has are left out before they reach Spark (the join
-   would drop them: it is an inner join on the hash).
-2. Spark joins the runs to template positions.  A match of text position p and
-   template position q votes for the diagonal p - q of that template.
+2. Spark joins all of these hashes to the templates' positions.  A match of text
+   position p and template position q votes for the diagonal p - q of that
+   template.
 3. Votes are counted by text, template and diagonal; neighbouring diagonals, as
-   an inserted or missing word makes them, are merged into spans.
+   inserted or missing words make them, are merged into spans.
 4. Spans with enough votes are verified word by word against the template.
 
-Phrases are sought in the same scan, by exact words.
+Beside the hashes the scan hands on the words of passages around runs that a
+template has, for step 4: a span's words are cut out of its passage by Spark, and
+no other words of a text travel.  Phrases are sought in the same scan, by exact
+words.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .text import ALNUM, combined, string_chunks, word_hashes, word_spans
 
 #: Entries of all templates together beyond which the join isn't broadcast.
 MOST_BROADCAST = 200_000
+#: Hashes in one list at most.
+LIST = 1 << 15
 
 
 def words_of(text: str) -> list[str]:
@@ -54,10 +58,28 @@ def _runs(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return runs[first], doc[first], first - at[doc[first]]
 
 
-def _scan(k: int, grams: np.ndarray, phrases: dict[str, str], id_type: pa.DataType):
+_FACTS = [("doc_id", None), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.list_(pa.string()))]
+_PASSAGE = pa.struct([("start", pa.int64()), ("words", pa.list_(pa.string()))])
+
+
+def _passages(hits: np.ndarray, doc: np.ndarray, margin: int) -> Iterator[tuple[int, int, int]]:
+    """``doc, first, last`` of hits (in order) that lie within twice ``margin``
+    of each other in a text."""
+    if len(hits):
+        edges = np.flatnonzero((np.diff(doc) > 0) | (np.diff(hits) > 2 * margin)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(hits)], strict=True):
+            yield int(doc[a]), int(hits[a]), int(hits[b - 1])
+
+
+def _scan(k: int, grams: np.ndarray, margin: int, phrases: dict[str, str], id_type: pa.DataType):
     sought = [(label, p.split(" "), _hashes(p.split(" "))) for p, label in sorted(phrases.items())]
     grams = np.unique(grams)
-    fields = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "gram", "position", "text"]
+    fact_type = pa.struct([(name, kind or id_type) for name, kind in _FACTS])
+
+    def batch_of(rows, facts, passages, base, runs) -> pa.RecordBatch:
+        n = len(rows)
+        own = [x if x is not None else pa.nulls(n, t) for x, t in ((facts, fact_type), (passages, _PASSAGE), (base, pa.int64()), (runs, pa.list_(pa.int64())))]
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *own], ["row", "fact", "passage", "base", "grams"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = block_id(0) << 8
@@ -67,7 +89,8 @@ def _scan(k: int, grams: np.ndarray, phrases: dict[str, str], id_type: pa.DataTy
                 h = word_hashes(data, starts, stops)
                 row = np.arange(number, number + rows)
                 number += rows
-                lowered = data + 32 * ((data > 64) & (data < 91)).astype(np.uint8)
+                lowered = (data + 32 * ((data > 64) & (data < 91)).astype(np.uint8)).tobytes()
+                spelled = lambda a, b, text=lowered, x=starts, y=stops: [text[i:j].decode() for i, j in zip(x[a:b].tolist(), y[a:b].tolist(), strict=True)]
                 places: dict[int, list[tuple[int, str]]] = {}
                 for label, words, hashes in sought:
                     n = len(words)
@@ -78,52 +101,47 @@ def _scan(k: int, grams: np.ndarray, phrases: dict[str, str], id_type: pa.DataTy
                         hit &= h[j : len(h) - n + 1 + j] == hashes[j]
                     for p in np.flatnonzero(hit).tolist():
                         doc = int(np.searchsorted(at, p, "right")) - 1
-                        same = [lowered[starts[p + j] : stops[p + j]].tobytes().decode() for j in range(n)] == words
-                        if same and p + n <= at[doc + 1]:
+                        if spelled(p, p + n) == words and p + n <= at[doc + 1]:
                             places.setdefault(doc, []).append((p - int(at[doc]), label))
-                counts = [len(places.get(i, ())) for i in range(rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row),
-                        batch.column(0).slice(first, rows).cast(id_type),
-                        pa.array(np.diff(at).astype(np.int64)),
-                        pa.array(counts, pa.int64()),
-                        pa.array([min(p for p, _ in places[i]) if i in places else None for i in range(rows)], pa.int64()),
-                        pa.array([max(p for p, _ in places[i]) if i in places else None for i in range(rows)], pa.int64()),
-                        pa.array([sorted({label for _, label in places.get(i, ())}) for i in range(rows)], pa.list_(pa.string())),
-                        *(pa.nulls(rows, t) for t in (pa.int64(), pa.int64(), pa.string())),
-                    ],
-                    fields,
-                )
+                found = [places.get(i, []) for i in range(rows)]
+                columns = [
+                    batch.column(0).slice(first, rows).cast(id_type),
+                    pa.array(np.diff(at).astype(np.int64)),
+                    pa.array([len(f) for f in found], pa.int64()),
+                    pa.array([min(f)[0] if f else None for f in found], pa.int64()),
+                    pa.array([max(f)[0] if f else None for f in found], pa.int64()),
+                    pa.array([sorted({label for _, label in f}) for f in found], pa.list_(pa.string())),
+                ]
+                yield batch_of(row, pa.StructArray.from_arrays(columns, fields=list(fact_type)), None, None, None)
+
                 runs, doc, position = _runs(h, at, k)
-                seen = np.isin(runs, grams)
-                runs, doc, position = runs[seen], doc[seen], position[seen]
-                if len(runs):
-                    n = len(runs)
-                    nulls = [pa.nulls(n, t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[doc]), *nulls, pa.array(runs.view(np.int64)), pa.array(position.astype(np.int64)), pa.nulls(n, pa.string())], fields)
-                    own = np.unique(doc)
-                    n = len(own)
-                    nulls = [pa.nulls(n, t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64())]
-                    texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in own]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[own]), *nulls, pa.array(texts, pa.string())], fields)
+                if not len(runs):
+                    continue
+                # All runs of a text, in lists of bounded length.
+                heads = np.flatnonzero((np.diff(doc, prepend=-1) > 0) | (position % LIST == 0))
+                ends = pa.array(np.append(heads, len(runs)).astype(np.int32))
+                yield batch_of(row[doc[heads]], None, None, pa.array(position[heads].astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(runs.view(np.int64))))
+                seen = np.flatnonzero(np.isin(runs, grams))
+                near = [(d, max(0, a - margin), min(int(at[d + 1] - at[d]), b + k + margin)) for d, a, b in _passages(position[seen], doc[seen], margin)]
+                if near:
+                    words = [spelled(int(at[d]) + a, int(at[d]) + b) for d, a, b in near]
+                    passages = pa.StructArray.from_arrays([pa.array([a for _, a, _ in near], pa.int64()), pa.array(words, pa.list_(pa.string()))], fields=list(_PASSAGE))
+                    yield batch_of(row[[d for d, _, _ in near]], None, passages, None, None)
 
     return tidy(scan)
 
 
-def _verify(templates: list[tuple[str, list[str]]], slack: int, least_share: float):
+def _verify(templates: list[tuple[str, list[str]]], least_share: float):
     def verify(table: pa.Table) -> pa.Table:
         """Spans of one text, best first; one that mostly overlaps a better one
         (another version of the same wording) goes."""
-        spans = table.to_pylist()
-        words, found = words_of(spans[0]["text"]), []
+        spans, found = table.to_pylist(), []
         for r in spans:
             label, wanted = templates[r["template"]]
-            a, b = max(0, r["first"] - slack), r["last"] + slack
-            blocks = [m for m in SequenceMatcher(None, words[a:b], wanted, autojunk=False).get_matching_blocks() if m.size]
+            blocks = [m for m in SequenceMatcher(None, r["words"], wanted, autojunk=False).get_matching_blocks() if m.size]
             matched = sum(m.size for m in blocks)
             if blocks and matched / len(wanted) >= least_share:
-                found.append((-matched, -matched / len(wanted), a + blocks[0].a, a + blocks[-1].a + blocks[-1].size, label))
+                found.append((-matched, -matched / len(wanted), r["start"] + blocks[0].a, r["start"] + blocks[-1].a + blocks[-1].size, label))
         kept: list[tuple] = []
         for span in sorted(found):
             if all(2 * (min(span[3], x[3]) - max(span[2], x[2])) <= span[3] - span[2] for x in kept):
@@ -135,10 +153,13 @@ def _verify(templates: list[tuple[str, list[str]]], slack: int, least_share: flo
     return verify
 
 
-def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, k: int = 3, gap: int = 3, least_share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def license_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, k: int = 3, gap: int = 3, gap_share: float = 0.3, least_share: float = 0.8
+) -> tuple[DataFrame, DataFrame]:
     """Per text its phrases, and per verified span ``row, label, share, start,
     end`` (words, end exclusive).  ``row`` numbers the rows, so identifiers may
-    repeat or be null."""
+    repeat or be null.  Diagonals are neighbours within ``gap`` words or
+    ``gap_share`` of the template, whichever is more."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
@@ -150,26 +171,36 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for i, (_, words) in enumerate(clauses):
         entries += [(int(g), i, q) for q, g in enumerate(combined(_hashes(words), k).view(np.int64))]
     grams = np.array([g for g, _, _ in entries], np.int64).view(np.uint64)
-    schema = f"row long, doc_id {kind.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, gram long, position long, text string"
-    scanned = keep(rows.mapInArrow(_scan(k, grams, phrases, to_arrow_type(kind)), schema))
+    margin = 2 * max([len(words) for _, words in clauses], default=0) + gap
+    fact = f"doc_id {kind.simpleString()}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>".replace(", ", ",").replace(" ", ":")
+    schema = f"row long, fact struct<{fact}>, passage struct<start:bigint,words:array<string>>, base long, grams array<long>"
+    scanned = rows.mapInArrow(_scan(k, grams, margin, phrases, to_arrow_type(kind)), schema)
 
     table = spark.createDataFrame(entries, "gram long, template int, place int")
     lengths = spark.createDataFrame([(i, len(words)) for i, (_, words) in enumerate(clauses)], "template int, length int")
     if len(entries) <= MOST_BROADCAST:
         table, lengths = F.broadcast(table), F.broadcast(lengths)
-    hits = scanned.where("gram is not null").select("row", "gram", "position").join(table, "gram")
+    # Facts and passages ride along as rows without a hash.
+    each = scanned.select("row", "fact", "passage", "base", F.posexplode_outer("grams").alias("offset", "gram"))
+    each = each.join(table, "gram", "left").where("fact is not null or passage is not null or template is not null")
+    each = keep(each.select("row", "fact", "passage", (F.col("base") + F.col("offset")).alias("position"), "template", "place"))
+
+    hits = each.where("template is not null")
     votes = hits.groupBy("row", "template", (F.col("position") - F.col("place")).alias("diagonal")).agg(F.count_distinct("place").alias("votes"), F.min("position").alias("first"), F.max("position").alias("last"))
+    votes = votes.join(lengths, "template")
     along = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > gap, F.lit(True))
-    votes = votes.withColumn("opens", apart.cast("int")).withColumn("span", F.sum("opens").over(along))
-    spans = votes.groupBy("row", "template", "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + k).alias("last"))
+    apart = F.col("diagonal") - F.lag("diagonal").over(along) > F.greatest(F.lit(float(gap)), F.col("length") * gap_share)
+    votes = votes.withColumn("opens", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("span", F.sum("opens").over(along))
+    spans = votes.groupBy("row", "template", "length", "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + k).alias("last"))
     # A word changed costs k votes: a span of the least share has at least these.
     floor = F.greatest(F.lit(1), F.col("length") - k + 1 - F.ceil(F.col("length") * (1 - least_share)) * k)
-    spans = spans.join(lengths, "template").where(F.col("votes") >= floor)
-    texts = scanned.where("text is not null").select("row", "text")
-    found = spans.join(texts, "row").select("row", "template", "first", "last", "text")
-    found = found.groupBy("row").applyInArrow(_verify(clauses, gap, least_share), "row long, label string, share double, start long, end long")
-    return scanned.where("n_words is not null").drop("gram", "position", "text"), found
+    spans = spans.where(F.col("votes") >= floor).select("row", "template", F.greatest(F.col("first") - gap, F.lit(0)).alias("start"), (F.col("last") + gap).alias("stop"))
+    passages = each.where("passage is not null").select("row", "passage.*").withColumnsRenamed({"start": "from", "words": "passage"})
+    inside = (F.col("start") >= F.col("from")) & (F.col("start") < F.col("from") + F.size("passage"))
+    own = F.slice("passage", (F.col("start") - F.col("from") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
+    found = spans.join(passages, "row").where(inside).select("row", "template", "start", own.alias("words"))
+    found = found.groupBy("row").applyInArrow(_verify(clauses, least_share), "row long, label string, share double, start long, end long")
+    return each.where("fact is not null").select("row", "fact.*"), found
 
 
 def license_scan(docs: DataFrame, **options) -> DataFrame:
