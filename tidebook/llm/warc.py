@@ -2,11 +2,12 @@
 
 Writing range-sorts the records by identifier into shards, rolls files by
 compressed size, and regenerates every header and digest from the data, so that
-a rerun gives the same bytes.  Shard bounds come from an exact histogram of
-payload bytes over the identifiers (not from a sampled range partitioner).
-A file is written under a temporary name and renamed when complete; it counts
-only once the manifest, renamed into place last, names it.  A task that runs
-again rewrites the same names with the same bytes.
+a rerun gives the same bytes.  Shards are cut where the exact running sum of
+bytes, over identifiers in order, passes a multiple of the shard size: whatever
+the identifiers are, and however the input is partitioned.  Each shard is one
+task's.  A file is written under a temporary name and renamed when complete; it
+counts only once the manifest, renamed into place last, leads to its name.  A
+task that runs again rewrites the same names with the same bytes.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,9 +31,11 @@ from .scratch import keep, materialize
 
 #: Payload bytes of a shard, compressed bytes at which a file is closed.
 SHARD_BYTES, FILE_BYTES = 32 << 20, 16 << 20
-#: Bins of the histogram at most: so many rows are broadcast, and so many shards
-#: written, whatever the input.  Beyond that shards grow; files don't.
-MOST_BINS = 1 << 16
+#: Bytes of a record besides its payload, about.
+RECORD_BYTES = 512
+#: Shards at most: their cuts (two numbers each) travel to all tasks.  Beyond,
+#: shards grow; files don't.
+MOST_SHARDS = 1 << 20
 #: Parts into which a group of equal payloads is split.
 SALTS = 256
 DATE = "2024-01-01T00:00:00Z"
@@ -122,7 +126,7 @@ class _ShardWriter:
 
 def _writer(folder: str, file_bytes: int, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, key, decisions, done = None, None, [], []
+        writer, key, done = None, None, []
         for batch in batches:
             for r in batch.to_pylist():
                 if writer is None or writer.shard != r["shard"]:
@@ -132,14 +136,18 @@ def _writer(folder: str, file_bytes: int, date: str):
                     writer = _ShardWriter(folder, r["shard"], file_bytes, date)
                 own = (r["shard"], r["page_id"], r["url"], r["digest"])
                 if own != key:
-                    key, decisions = own, []
+                    # Rows that agree in all of these are alike: so many of them
+                    # are responses, the others revisit one and the same.
+                    key, responses, target = own, 0, None
                 if r["kind"] == 0:
-                    decisions.append((r["refers_to"], r["refers_url"]) if r["revisit"] else None)
+                    if r["revisit"]:
+                        target = (r["refers_to"], r["refers_url"])
+                    else:
+                        responses += 1
                     continue
-                revisit = decisions.pop(0)
-                payload = r["payload"] or b""
+                revisit, responses = (None, responses - 1) if responses else (target, 0)
                 digest = base64.b32encode(r["digest"]).decode()
-                writer.add(page_record(r["page_id"], r["url"], payload, digest, revisit, date))
+                writer.add(page_record(r["page_id"], r["url"], r["payload"] or b"", digest, revisit, date))
         if writer is not None:
             writer.close()
             done += writer.done
@@ -165,6 +173,45 @@ def _decisions(rows: DataFrame, least_bytes: int) -> DataFrame:
     return rows.select(*_KEY, "payload_bytes", revisit.alias("revisit"), F.when(revisit, F.col("winner.page_id")).alias("refers_to"), F.when(revisit, F.col("winner.url")).alias("refers_url"))
 
 
+def _cuts(facts: DataFrame, shard_bytes: int) -> pa.Table:
+    """``page_id, h`` at which each shard begins, in order (null identifiers
+    come first): by running sums within ranges of (page_id, h), and of ranges."""
+    spots = facts.groupBy("page_id", "h").agg(F.sum(F.col("payload_bytes") + RECORD_BYTES).alias("held"))
+    spots = materialize(spots.repartitionByRange("page_id", "h").withColumn("range", F.spark_partition_id()), "warc-spots")
+    total = spots.agg(F.coalesce(F.sum("held"), F.lit(0))).head()[0]
+    shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    ranges = spots.groupBy("range").agg(F.sum("held").alias("whole")).select("range", F.coalesce(F.sum("whole").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("range").orderBy("page_id", "h").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("offset") + F.coalesce(F.sum("held").over(inside), F.lit(0))
+    shard = F.floor(at / shard_bytes).cast("long")
+    first = F.min(F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", "h")).alias("first")
+    return spots.join(ranges, "range").withColumn("shard", shard).groupBy("shard").agg(first).orderBy("shard").select("first.page_id", "first.h").toArrow()
+
+
+def _shard_of(cuts: pa.Table):
+    """A column function: the last cut not after (page_id, h)."""
+    named = cuts.column("page_id").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+    ids, hashes = cuts.column("page_id").combine_chunks().fill_null(0).to_numpy(), cuts.column("h").to_numpy()
+    nameless = int(np.count_nonzero(~named))
+
+    @F.arrow_udf("int")
+    def shard_of(page_id: pa.Array, h: pa.Array) -> pa.Array:
+        own, spread = page_id.fill_null(0).to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False)
+        has = page_id.is_valid().to_numpy(zero_copy_only=False)
+        low = np.where(has, nameless + np.searchsorted(ids[nameless:], own, "left"), 0)
+        high = np.where(has, nameless + np.searchsorted(ids[nameless:], own, "right"), nameless)
+        out = high - 1
+        # Among cuts of one identifier the hash decides.
+        pairs, inverse = np.unique(np.stack([low, high]), axis=1, return_inverse=True)
+        for i in np.flatnonzero(pairs[1] > pairs[0]):
+            rows = np.flatnonzero(inverse == i)
+            out[rows] = pairs[0, i] + np.searchsorted(hashes[pairs[0, i] : pairs[1, i]], spread[rows], "right") - 1
+        return pa.array(np.maximum(out, 0).astype(np.int32))
+
+    return shard_of
+
+
 def write_warc(
     pages: DataFrame,
     folder: str,
@@ -183,36 +230,35 @@ def write_warc(
     ``least_revisit_bytes`` the smallest (identifier, address) is the response,
     the others revisit it, rows repeating both included.  A row with a null
     identifier is a response and is never referred to; a null address leaves its
-    header out.  An empty table gives an empty manifest.
+    header out.  An empty table gives an empty manifest.  Columns not named,
+    whatever their names, are not read.  Rows of one identifier may fill any
+    number of shards, unless they agree in address and payload too.
+
+    ``manifest.json`` names the table of files (JSON lines, written by Spark) and
+    counts them; it is put in place last.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("page_id", "url", F.unhex(F.sha1("payload")).alias("digest"), "payload")
-    facts = keep(rows.select(*_KEY, F.octet_length("payload").cast("long").alias("payload_bytes")))
-
-    low, high, total = facts.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes")).head()
-    shard_bytes = max(shard_bytes, (total or 0) // MOST_BINS)
-    shards = max(1, -(-(total or 0) // shard_bytes))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // min(64 * shards, MOST_BINS)))
-    place = F.coalesce(F.floor((F.col("page_id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    bins = facts.groupBy(place.alias("bin")).agg(F.sum("payload_bytes").alias("held"))
-    upto = F.sum("held").over(Window.orderBy("bin")) - F.col("held")
-    bins = F.broadcast(bins.select("bin", F.floor(upto / shard_bytes).cast("int").alias("shard")))
+    facts = keep(rows.select(*_KEY, F.octet_length("payload").cast("long").alias("payload_bytes"), F.xxhash64("url", "digest").alias("h")))
+    cuts = _cuts(facts, shard_bytes)
 
     blank = {"payload": "binary", "revisit": "boolean", "refers_to": "long", "refers_url": "string"}
     decided = _decisions(facts, least_revisit_bytes).drop("payload_bytes").withColumn("kind", F.lit(0))
     both = rows.withColumn("kind", F.lit(1)).unionByName(decided, allowMissingColumns=True)
-    both = both.withColumn("bin", place).join(bins, "bin").select("shard", *_KEY, "kind", *blank)
-    both = both.repartition(shards, "shard").sortWithinPartitions("shard", *_KEY, "kind")
+    both = both.withColumn("shard", _shard_of(cuts)("page_id", F.xxhash64("url", "digest"))).select("shard", *_KEY, "kind", *blank)
+    both = both.repartitionById(max(1, cuts.num_rows), "shard").sortWithinPartitions("shard", *_KEY, "kind")
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
     written = both.mapInArrow(_writer(folder, file_bytes, date), "shard int, file string, records long, bytes long, sha256 string")
     manifest = materialize(written, "warc-manifest")
-    listed = [r.asDict() for r in manifest.orderBy("shard", "file").toLocalIterator()]
+    table = f"manifest-{uuid.uuid4().hex}"
+    manifest.orderBy("shard", "file").write.json(f"{folder}/{table}")
+    files, records, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).head()
     held = f"{path}/.manifest.{uuid.uuid4().hex}.tmp"
     with system.open_output_stream(held) as out:
-        out.write(json.dumps({"files": listed}, indent=1).encode())
+        out.write(json.dumps({"table": table, "files": files, "records": records, "bytes": size}, indent=1).encode())
     system.move(held, f"{path}/manifest.json")
     return manifest
 
@@ -245,7 +291,8 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_warc(spark: SparkSession, folder: str, names: DataFrame | None = None) -> DataFrame:
     """``page_id, url, record_type, payload_digest, payload_bytes, payload,
-    refers_to`` of the records of the files that the manifest names.
+    refers_to`` of the records of the files that the manifest leads to; ``names``
+    has their ``file`` and ``bytes``.
 
     Digests are computed again from what is read, and a record whose block or
     payload digest doesn't hold raises.  A revisit has no payload; its digest
@@ -254,8 +301,9 @@ def read_warc(spark: SparkSession, folder: str, names: DataFrame | None = None)
     if names is None:
         system, path = _open(folder)
         with system.open_input_stream(f"{path}/manifest.json") as file:
-            listed = [(f["file"],) for f in json.loads(file.read())["files"]]
-        names = spark.createDataFrame(listed, "file string")
+            table = json.loads(file.read())["table"]
+        names = spark.read.schema("file string, bytes long").json(f"{folder}/{table}")
+    tasks = 1 + names.agg(F.coalesce(F.sum("bytes"), F.lit(0))).head()[0] // FILE_BYTES
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("refers_to", pa.int64())])
@@ -284,5 +332,6 @@ def read_warc(spark: SparkSession, folder: str, names: DataFrame | None = None)
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, payload binary, refers_to long"
-    files = names.select("file").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
+    # About a file's bytes for each task; small files are dealt evenly.
+    files = names.select("file").repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return files.mapInArrow(read, schema)
