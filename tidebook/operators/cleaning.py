@@ -6,7 +6,8 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add, and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import book
@@ -111,10 +112,42 @@ def winsor_columns(df: DataFrame, levels: int = LEVELS) -> list[str]:
     return [*(c for c in size_columns(levels) if c in df.columns), *derived]
 
 
-def quantiles(column: str, points: list[float], approximate: bool = False) -> Column:
-    """Linear-interpolated quantiles; exact unless ``approximate``."""
-    at = F.array(*map(F.lit, points))
-    return F.percentile_approx(column, points, 100_000) if approximate else F.percentile(column, at)
+def quantile_rows(df: DataFrame, columns: list[str], points: list[float]) -> DataFrame:
+    """``column, point, value``: exact linear-interpolated quantiles of each
+    column's values (null values are none).
+
+    Values are counted once each, dealt out by ranges and counted up: within a
+    range, and over ranges (a row for each column and range).  So no task holds a
+    column's values, however many differ.
+    """
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))
+    counts = df.select(F.inline(pairs)).where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.repartitionByRange("column", "value").withColumn("range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    by_range = Window.partitionBy("column").orderBy("range")
+    ranges = counts.groupBy("column", "range").agg(F.sum("n").alias("held"))
+    ranges = ranges.withColumn("offset", F.sum("held").over(by_range) - F.col("held"))
+    ranges = ranges.withColumn("total", F.sum("held").over(Window.partitionBy("column"))).drop("held")
+    inside = Window.partitionBy("column", "range").orderBy("value")
+    counted = counts.withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(ranges), ["column", "range"])
+    # Places of a value are low, ..., low + n - 1.
+    low = F.col("offset") + F.col("upto") - F.col("n")
+    asked = F.explode(F.array(*map(F.lit, points))).alias("point")
+    at = (F.col("total") - 1) * F.col("point")
+    placed = counted.select("column", "value", low.alias("low"), "n", "total", asked).withColumn("at", at)
+    holds = lambda place: (F.col("low") <= place) & (place < F.col("low") + F.col("n"))
+    below, above = F.floor("at"), F.ceil("at")
+    found = placed.where(holds(below) | holds(above)).groupBy("column", "point").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.max(F.col("at") - F.floor("at")).alias("f"))
+    return found.select("column", "point", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("value"))
+
+
+def quantiles(df: DataFrame, columns: list[str], points: list[float], approximate: bool = False) -> DataFrame:
+    """One row: an array of quantiles for each column; exact unless
+    ``approximate``, null without values."""
+    if approximate:
+        return df.agg(*(F.percentile_approx(c, points, 100_000).alias(c) for c in columns))
+    rows = quantile_rows(df, columns, points)
+    pick = lambda c, p: F.max(F.when((F.col("column") == c) & (F.col("point") == p), F.col("value")))
+    return rows.agg(*(F.array(*(pick(c, p) for p in points)).alias(c) for c in columns))
 
 
 def _staged(df: DataFrame, config: CleaningConfig, levels: int, order: list[str]) -> DataFrame:
@@ -128,11 +161,14 @@ def _staged(df: DataFrame, config: CleaningConfig, levels: int, order: list[str]
     rows = coerce(df, levels, winsor_columns(df, levels))
     rows = rows.withColumn("complete", complete(["timestamp", "event_time", *level_columns(levels)]))
     rows = rows.withColumn("spread_now", book.spread())
-    latest = Window.partitionBy("timestamp", "complete").orderBy(*(F.col(c).desc() for c in order))
+    # Rows that go anyway are not ranked with those of their time, which may be
+    # no time at all: they are spread by their place.
+    own = F.when(F.col("complete"), F.unix_micros("timestamp")).otherwise(F.xxhash64(*order))
+    latest = Window.partitionBy("complete", own).orderBy(*(F.col(c).desc() for c in order))
     rows = rows.withColumn("clean_rank", F.row_number().over(latest))
     stage = F.when(~F.col("complete"), 1).when(F.col("clean_rank") > 1, 2).when(F.col("spread_now") <= 0, 3).otherwise(0)
     rows = rows.withColumn("stage", stage).drop("clean_rank", "complete")
-    cut = rows.where("stage = 0").agg(quantiles("spread_now", [config.spread_upper_quantile], config.approximate)[0].alias("spread_cut"))
+    cut = quantiles(rows.where("stage = 0"), ["spread_now"], [config.spread_upper_quantile], config.approximate).select(F.col("spread_now")[0].alias("spread_cut"))
     rows = rows.crossJoin(F.broadcast(cut))  # one row
     outlier = (F.col("spread_now") > F.col("spread_cut")) | (F.col("spread_now") > config.max_allowed_spread)
     negative = reduce(lambda a, b: a | b, (F.col(c) < 0 for c in size_columns(levels)))
@@ -143,7 +179,7 @@ def _staged(df: DataFrame, config: CleaningConfig, levels: int, order: list[str]
 def winsor_caps(df: DataFrame, columns: list[str], config: CleaningConfig) -> DataFrame:
     """One row with ``<column>_caps``: lower and upper cap of each column."""
     points = [config.winsor_lower_quantile, config.winsor_upper_quantile]
-    return df.agg(*(quantiles(c, points, config.approximate).alias(f"{c}_caps") for c in columns))
+    return quantiles(df, columns, points, config.approximate).select(*(F.col(c).alias(f"{c}_caps") for c in columns))
 
 
 def winsorize(df: DataFrame, columns: list[str], config: CleaningConfig) -> DataFrame:

@@ -19,6 +19,19 @@ def with_bucket(df: DataFrame, us: Column, width: int = BUCKET, name: str = "buc
     return df.withColumn(name, F.floor(us / F.lit(width)).cast("long"))
 
 
+def with_halo(df: DataFrame, us: Column, before_us: int = 0, after_us: int = 0, width: int = BUCKET, name: str = "chunk", own: str = "own") -> DataFrame:
+    """Rows in their bucket of time (``own`` true), and once more in a
+    neighbouring bucket from whose rows they are at most ``before_us`` earlier or
+    ``after_us`` later.  A window within buckets then sees what it would see of
+    the whole timeline; rows that aren't ``own`` go after it."""
+    width = max(width, before_us, after_us)
+    here = F.floor(us / F.lit(width)).cast("long")
+    copy = lambda n, flag: F.struct(n.alias(name), F.lit(flag).alias(own))
+    later = F.when((here + 1) * width - us <= before_us, copy(here + 1, False))
+    earlier = F.when(us - here * width < after_us, copy(here - 1, False))
+    return df.select("*", F.inline(F.array_compact(F.array(copy(here, True), later, earlier))))
+
+
 def _within(by: list[str], bucket: str, order: list[str]):
     return Window.partitionBy(*by, bucket).orderBy(*order)
 

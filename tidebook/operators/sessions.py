@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.schema import micros
@@ -25,13 +25,13 @@ def infer_sessions(df: DataFrame, max_gap_seconds: float = MAX_GAP_SECONDS, name
 
 def continuity_segments(df: DataFrame, max_gap_seconds: float = MAX_GAP_SECONDS, session: str = "session_id", name: str = "segment", order: list[str] | None = None) -> DataFrame:
     """Number the stretches of a session without a break from 0.  A null session
-    is a session; without the column the whole table is one."""
+    is a session; without the column the whole table is one.  Rows without a time
+    go.  A session, too, is walked in buckets of time."""
     if session not in df.columns:
         return infer_sessions(df, max_gap_seconds, name, order).withColumn(name, F.col(name) - 1)
-    along = Window.partitionBy(session).orderBy(micros(), *(order or []))
-    broken = micros() - F.lag(micros()).over(along) > int(max_gap_seconds * 1_000_000)
-    df = df.withColumn("segment_break", F.coalesce(broken.cast("int"), F.lit(0)))
-    return df.withColumn(name, F.sum("segment_break").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long")).drop("segment_break")
+    timed = df.drop(name).withColumn("segment_us", micros()).where("segment_us is not null")
+    timed = ordered.gap_runs(timed, "segment_us", int(max_gap_seconds * 1_000_000), order=order, by=[session], run=name)
+    return timed.withColumn(name, F.col(name).cast("long")).drop("segment_us", "before_us")
 
 
 def gap_diagnostics(df: DataFrame) -> DataFrame:
