@@ -13,7 +13,12 @@ def test_query_equals_sql(spark, name):
     expect_equal(catalog.QUERIES[name](spark, SMALL), catalog.SQL[name], SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
+#: Whole trainings take minutes: their operators and settings are tested in
+#: test_operators.
+LONG = {"boosted_predictions", "feature_importance", "horizon_experiment"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - LONG))
 def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SMALL).count() > 0
 

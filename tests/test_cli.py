@@ -1,8 +1,10 @@
 """The commands end to end on the smallest tables, and names and settings."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidebook import cli, config, naming
+from tidebook import cli, config, naming, reports
+from tidebook.operators import models
 from tidebook.plans import fixtures
 
 SMALL = "/root/testdata/sf0.001"
@@ -33,13 +35,33 @@ def test_commands(spark, tmp_path, capsys):
     assert "NO PASS" in capsys.readouterr().out
     run("merge", "--inputs", at("raw"), "--output", at("merged"))
     run("clean", "--input", at("raw"), "--output", at("clean"))
-    run("inspect", "--input", at("clean"))
-    run("features", "--input", at("clean"), "--output", at("features"))
-    run("targets", "--input", at("features"), "--output", at("dataset"))
-    run("targets", "--input", at("features"), "--output", at("x"), "--diagnostics", "absolute")
-    run("train", "--input", at("dataset"), "--output", at("predictions"), "--save", at("model"))
-    run("evaluate", "--first", at("predictions"), "--second", at("predictions"))
-    run("backtest", "--input", at("predictions"), "--market", at("dataset"), "--output", at("backtest"), "--signal-threshold", "0.4", "--neutral-max-probability", "0.9")
-    run("sweep", "--input", at("predictions"), "--market", at("dataset"), "--output", at("sweep"), "--split", "all")
+    run("inspect", "--input", at("clean"), "--plots", at("plots"))
+    assert (tmp_path / "plots" / "spread.svg").read_text().startswith("<svg")
+    run("features", "--input", at("clean"), "--output", at("AAA_features_day.parquet"))
+    found = ("--folder", tmp_path, "--symbol", "AAA")
+    run("targets", *found, "--dataset-name", "day")
+    assert (tmp_path / "AAA_model_dataset_day_h5_th0p5.parquet").exists()
+    run("targets", *found, "--diagnostics", "absolute")
+    run("targets", *found, "--diagnostics", "cost_aware")
+    run("train", *found, "--output", at("AAA_logistic_day_h5_th0p5_predictions.parquet"), "--save", at("logistic"))
+    run("train", *found, "--model", "boosted", "--rounds", 2, "--output", at("AAA_boosted_day_h5_th0p5_predictions.parquet"), "--save", at("boosted"))
+    run("evaluate", *found)
     out = capsys.readouterr().out
-    assert "number_of_trades" in out and "agreement_rate" in out
+    assert "models of day_h5_th0p5" in out and "agreement_rate" in out and "importance_gain" in out
+    first = at("AAA_logistic_day_h5_th0p5_predictions.parquet")
+    run("backtest", "--input", first, "--output", at("backtest"), "--plots", at("plots"), "--signal-threshold", "0.4", "--neutral-max-probability", "0.9")
+    run("sweep", *found, "--output", at("sweep"), "--split", "all")
+    assert "number_of_trades" in capsys.readouterr().out
+    assert (tmp_path / "plots" / "equity_curve_bps.svg").exists()
+    rows, report = models.prepare(spark.read.parquet(at("AAA_model_dataset_day_h5_th0p5.parquet")))
+    for name in ("logistic", "boosted"):
+        wanted = spark.read.parquet(at(f"AAA_{name}_day_h5_th0p5_predictions.parquet"))
+        assert models.predict(models.load(at(name), spark), rows).exceptAll(wanted).count() == 0
+
+
+def test_lines_are_drawn_from_bounded_rows(spark):
+    rows = spark.range(5000).select(F.timestamp_seconds("id").alias("timestamp"), F.when(F.col("id") % 7 != 0, F.sin(F.col("id") / 100)).alias("v"))
+    drawn = reports.line_svg(rows, "v", "a < b", stretches=50)
+    points = drawn.split('points="')[1].split('"')[0].split()
+    assert "a &lt; b" in drawn and 90 <= len(points) <= 102
+    assert 'points=""' in reports.line_svg(rows.limit(0), "v", "none")

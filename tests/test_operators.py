@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tidebook.functions.labels import SignalRule, signal, three_way
-from tidebook.operators import backtest, cleaning, evaluation, features, models, ordered, sessions, targets
-from tidebook.plans import catalog
+from tidebook.operators import backtest, cleaning, evaluation, experiment, features, models, ordered, sessions, targets
+from tidebook.plans import catalog, fixtures
+from tidebook.storage import written
 
 
 def timed(spark, rows, schema):
@@ -99,6 +102,99 @@ def test_zero_depth_gives_nulls_and_no_window_over_them(spark):
     assert [i for i in range(80) if got[i]["m"] is None] == [0, 1, 2, 3, 40, 41, 42, 43, 44]
 
 
+def test_quantiles_equal_linear_interpolation(spark):
+    rng = np.random.default_rng(2)
+    a, b = np.round(rng.normal(size=501), 1), rng.random(501)
+    rows = [(float(x), float(y) if i % 7 else None) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(5)
+    points = [0.0, 0.001, 0.25, 0.5, 0.99, 1.0]
+    row = cleaning.quantiles(df, ["a", "b"], points).head()
+    assert row["a"] == pytest.approx(list(np.quantile(a, points)))
+    assert row["b"] == pytest.approx(list(np.quantile([y for _, y in rows if y is not None], points)))
+    assert cleaning.quantiles(df.where("a > 100"), ["a"], [0.5]).head()["a"] == [None]
+
+
+def test_histories_and_futures_look_across_buckets(spark, monkeypatch):
+    rng = random.Random(1)
+    us, rows = 0, []
+    for i in range(400):
+        us += rng.choice([1_000_000, 1_500_000, 1_000_000, 2_000_000 if i % 90 == 0 else 500_000])
+        rows.append((us, 1, 100 + rng.random(), 101 + rng.random(), rng.random(), rng.random()))
+    df = timed(spark, rows, "us long, session_id long, bid_price_1 double, ask_price_1 double, bid_size_1 double, ask_size_1 double").withColumns({"exchange": F.lit("x"), "symbol": F.lit("y")})
+    quantities = [*(f"imbalance_{k}" for k in (5, 10, 20)), *(f"{side}_depth_{k}" for side in ("bid", "ask") for k in (5, 20))]
+
+    def built():
+        one = features.with_instantaneous
+        monkeypatch.setattr(features, "with_instantaneous", lambda d, levels: one(d, levels).withColumns({q: F.col("bid_size_1") for q in quantities}))
+        out = features.build_features(df, 1, keep_warmup=True)
+        monkeypatch.setattr(features, "with_instantaneous", one)
+        future = targets.attach_future(out, 5, 0.5).select("timestamp", "future_mid_price", "future_timestamp")
+        return {r["us"]: tuple(r) for r in out.select("us", "segment", *features.history_names()).collect()}, {r["timestamp"]: tuple(r) for r in future.collect()}
+
+    whole = built()
+    original = ordered.with_halo
+    monkeypatch.setattr(ordered, "with_halo", lambda d, us, before_us=0, after_us=0, **names: original(d, us, before_us, after_us, width=1, **names))
+    cut = built()
+    assert len(whole[0]) == len(cut[0]) == 400
+    for us in whole[0]:
+        assert [v is None for v in whole[0][us]] == [v is None for v in cut[0][us]]
+        assert [v or 0.0 for v in whole[0][us]] == pytest.approx([v or 0.0 for v in cut[0][us]], rel=1e-9, abs=1e-12)
+    assert whole[1] == cut[1]
+
+
+def test_a_history_from_beyond_a_break_is_seen(spark):
+    names = features.history_names()
+    rows = [(i * 1_000_000, 1, s, 1.0 if k > 0 else None) for s in (0, 1) for k, i in enumerate(range(s * 100, s * 100 + 5))]
+    df = timed(spark, rows, "us long, session_id long, segment long, v double")
+    good = features.warmup_report(df.select("*", *(F.col("v").alias(n) for n in names)))
+    assert [(r["rows"], r["kept_rows"], r["violated"]) for r in good.collect()] == [(5, 4, False)] * 2
+    bad = features.warmup_report(df.select("*", *(F.coalesce("v", (F.col("segment") == 1).cast("double")).alias(n) for n in names)))
+    assert sorted((r["segment"], r["violated"]) for r in bad.collect()) == [(0, True), (1, True)]
+
+
+def test_horizon_runs_reach_every_step(spark):
+    """Labels, predictions and backtests as written, against the steps by
+    themselves, with a model that needs no training."""
+    rows = written(features.build_features(fixtures.book(spark, "/root/testdata/sf0.001"), keep_levels=False), "features")
+
+    class Fixed:
+        def transform(self, df):
+            up = F.pmod(F.xxhash64("timestamp"), F.lit(100)) / 100.0
+            return df.withColumn("probability", array_to_vector(F.array((1 - up) * 0.8, F.lit(0.1) + up * 0.1, up * 0.9)))
+
+    trained, rule = [], SignalRule(0.4, 0.0, 0.6)
+
+    def train(df, chosen):
+        trained.append({r["split"]: r["count"] for r in df.groupBy("split").count().collect()} | {"features": len(chosen)})
+        return Fixed()
+
+    got = experiment.run_horizons(rows, horizons=(5, 10), rule=rule, train=train).collect()
+    assert [(r["horizon_seconds"], r["cost_mode"]) for r in got] == [(5, "zero_cost"), (5, "cost_adjusted"), (10, "zero_cost"), (10, "cost_adjusted")]
+    market = backtest.prepare_market(rows)
+    for h, free, paid, own in zip((5, 10), got[::2], got[1::2], trained, strict=True):
+        labelled = targets.build_targets(rows, targets.TargetConfig(horizon_seconds=h)).select("timestamp", "target")
+        predicted = spark.read.parquet(free["predictions_path"])
+        assert paid["predictions_path"] == free["predictions_path"]
+        wanted = {r["timestamp"]: r["target"] for r in labelled.collect()}
+        seen = predicted.collect()
+        assert all(wanted[r["timestamp"]] == r["y_true"] for r in seen)
+        assert len(seen) == own["validation"] + own["test"] and own["train"] == int(len(wanted) * 0.7) and own["features"] > 50
+        summary = backtest.summarize(backtest.run_backtest(predicted, market, backtest.BacktestConfig(rule, h, 1.0, 1.0, split="validation"))).head()
+        assert paid["number_of_trades"] == free["number_of_trades"] == summary["number_of_trades"] > 0
+        assert paid["total_net_return_bps"] == pytest.approx(summary["total_net_return_bps"])
+        assert free["total_net_return_bps"] == pytest.approx(summary["total_gross_return_bps"])
+
+
+def test_boosted_importance_counts_splits(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.random(), rng.random()) for i in range(300)]
+    df = timed(spark, [(i * 1_000_000, a, b, (a > 0.6) - (a < 0.3)) for i, a, b in rows], "us long, a double, b double, target int").withColumn("split", F.lit("train"))
+    model = models.train_boosted(df, ["a", "b"], iterations=2, depth=2)
+    found = model.importance()
+    assert [f for f, *_ in found] == ["a", "b"] and found[0][2] > found[1][2] >= 0
+    assert sum(n for _, n, _ in found) == sum((t.numNodes - 1) // 2 for m in model.models.values() for t in m.trees)
+
+
 def test_split_cuts_use_double_products():
     assert evaluation.split_cuts(90) == (62, 76)
     with pytest.raises(ValueError):

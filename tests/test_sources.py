@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.sources import messages, tables
+from tidebook.sources import discovery, messages, tables
 from tidebook.streaming import collector
 
 
@@ -45,8 +45,8 @@ def test_stream_saves_days_and_resumes(spark, tmp_path):
         (folder / name).write_text("\n".join(lines))
 
     def run():
-        query = collector.collect(collector.read_folder(spark, str(folder)), table, checkpoint, levels=2, once=True)
-        query.awaitTermination()
+        # Without repeats in quiet seconds, which would leave no gap.
+        collector.wait(*collector.collect(collector.read_folder(spark, str(folder)), table, checkpoint, levels=2, once=True, carry_seconds=1))
         return spark.read.parquet(table).orderBy("timestamp").collect()
 
     put("a.json", [(0, 100), (0, 900), (1, 0), (5, 0)])
@@ -60,6 +60,65 @@ def test_stream_saves_days_and_resumes(spark, tmp_path):
     assert tables.resume_state(spark, str(tmp_path / "none")) == (1, None)
 
 
+def lines_of(folder, name, seconds):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(json.dumps({"received": received(s).isoformat(), "message": message(s, price=10 + s)}) for s in seconds))
+
+
+def saved(spark, table):
+    return [(int(r["timestamp"].replace(tzinfo=dt.UTC).timestamp()) - 1_700_000_000, r["bid_price_1"], r["session_id"]) for r in spark.read.parquet(table).orderBy("timestamp").collect()]
+
+
+def test_quiet_seconds_are_filled_across_batches(spark, tmp_path):
+    folder, table, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+    for name, seconds in (("a.json", [0, 1]), ("b.json", [4, 6])):
+        lines_of(folder, name, seconds)
+        collector.wait(*collector.collect(collector.read_folder(spark, str(folder)), table, checkpoint, levels=2, once=True))
+    assert saved(spark, table) == [(0, 10.0, 1), (1, 11.0, 1), (2, 11.0, 1), (3, 11.0, 1), (4, 14.0, 1), (5, 14.0, 1), (6, 16.0, 1)]
+
+
+def test_a_bounded_run_takes_so_many_samples(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "out")
+    lines_of(folder, "a.json", range(4))
+    lines_of(folder, "b.json", range(4, 8))
+    query, saver = collector.collect(collector.read_folder(spark, str(folder)), table, str(tmp_path / "check"), levels=2, every_seconds=1, limit_samples=5)
+    collector.wait(query, saver, 0.5)
+    assert saver.done and not query.isActive
+    assert [s for s, *_ in saved(spark, table)] == [0, 1, 2, 3, 4]
+
+
+def test_long_silences_cross_buckets(spark):
+    rows = spark.createDataFrame([(message(s), received(s)) for s in (0, 3, 20, 21, 45)], "value string, timestamp timestamp")
+    sampled = collector.sample_seconds(messages.parse_messages(rows, levels=2))
+    got = collector.carry_forward(sampled, bucket_us=7_000_000).collect()
+    assert sorted(r["timestamp"].replace(tzinfo=dt.UTC).timestamp() - 1_700_000_000 for r in got) == list(range(46))
+
+
+def test_inputs_are_resolved_by_precedence(spark, tmp_path):
+    folder = str(tmp_path)
+    for name in ("ABC_features_2024-01-01", "ABC_features_merged", "ABC_model_dataset_d1_h5_th0p5", "ABC_model_dataset_d1_h5_th0p5_x", "ABC_logistic_d1_h5_th0p5_x_predictions", "ABC_boosted_d1_h5_th0p5_x_predictions", "ABC_logistic_d2_predictions"):
+        spark.range(1).write.parquet(f"{folder}/{name}.parquet")
+    find = lambda **given: discovery.name_of(discovery.resolve(spark, folder, "abc", "features", **given))
+    assert discovery.resolve(spark, None, "abc", "features", path="p", dataset="merged") == "p"
+    assert find(dataset="merged", date="2024-01-01") == "ABC_features_merged.parquet"
+    assert find(date="2024-01-01") == "ABC_features_2024-01-01.parquet"
+    assert find() in ("ABC_features_merged.parquet", "ABC_features_2024-01-01.parquet")
+    with pytest.raises(FileNotFoundError):
+        find(date="2024-01-02")
+    with pytest.raises(ValueError):
+        discovery.resolve(spark, None, "abc", "features")
+    dataset = discovery.dataset_of(spark, f"{folder}/ABC_logistic_d1_h5_th0p5_x_predictions.parquet", folder)
+    assert discovery.name_of(dataset) == "ABC_model_dataset_d1_h5_th0p5_x.parquet"
+    with pytest.raises(FileNotFoundError):
+        discovery.dataset_of(spark, f"{folder}/ABC_logistic_d2_predictions.parquet", folder)
+    with pytest.raises(FileNotFoundError):
+        discovery.model_artifacts(spark, folder, "abc")
+    for model in ("logistic", "boosted"):
+        tables.write_json(spark, {}, f"{folder}/ABC_{model}_d1_h5_th0p5_x_metrics.json")
+    token, found = discovery.model_artifacts(spark, folder, "abc")
+    assert token == "d1_h5_th0p5_x" and set(found["boosted"]) == {"metrics", "predictions"}
+
+
 def test_event_time_form_runs(spark, tmp_path):
     (tmp_path / "in").mkdir()
     lines = [json.dumps({"received": received(s, m).isoformat(), "message": message(s)}) for s in range(40) for m in (0, 500)]

@@ -5,14 +5,19 @@ from __future__ import annotations
 import argparse
 from dataclasses import replace
 
-from tidebook import config, reports
+from tidebook import config, naming, reports
 from tidebook.functions.labels import SignalRule
 from tidebook.operators import backtest, cleaning, evaluation, experiment, features, models, sessions, targets
 from tidebook.session import get_session
-from tidebook.sources import tables
+from tidebook.sources import discovery, tables
 from tidebook.streaming import collector
 
 
+def _input(spark, a, kind: str) -> str:
+    """The path given, else the file of the dataset, the date, or the newest."""
+    return discovery.resolve(spark, a.folder, a.symbol, kind, a.input, a.dataset_name, a.date)
+
+
 def _validate(spark, a, settings):
     print(reports.verdict(cleaning.validate(tables.read_parquet(spark, a.input), a.levels)))
 
@@ -30,7 +35,11 @@ def _clean(spark, a, settings):
 
 
 def _inspect(spark, a, settings):
-    print(reports.facts("Inspection", cleaning.inspect(tables.read_parquet(spark, a.input))))
+    rows = tables.read_parquet(spark, a.input)
+    print(reports.facts("Inspection", cleaning.inspect(rows)))
+    if a.plots:
+        for y in ("mid_price", "spread"):
+            tables.write_text(spark, reports.line_svg(cleaning.plot_rows(rows), y, y), f"{a.plots}/{y}.svg")
 
 
 def _features(spark, a, settings):
@@ -43,36 +52,53 @@ def _targets(spark, a, settings):
     chosen = config.target(settings)
     given = {"horizon_seconds": a.horizon_seconds, "mode": a.target_mode, "threshold_abs": a.threshold_abs, "cost_threshold_bps": a.cost_threshold_bps, "cost_buffer_bps": a.cost_buffer_bps, "tolerance_seconds": a.tolerance_seconds}
     chosen = replace(chosen, **{k: v for k, v in given.items() if v is not None})
-    rows = tables.read_parquet(spark, a.input)
+    path = _input(spark, a, "features")
+    rows = tables.read_parquet(spark, path)
     if a.diagnostics:
         future = targets.attach_future(rows, chosen.horizon_seconds, chosen.tolerance_seconds)
-        shown = targets.threshold_diagnostics(future).orderBy("threshold_abs") if a.diagnostics == "absolute" else targets.cost_aware_diagnostics(future).orderBy("cost_threshold_bps", "cost_buffer_bps")
+        shown = targets.threshold_diagnostics(future).orderBy("threshold_abs") if a.diagnostics == "absolute" else targets.cost_aware_diagnostics(future, horizon_seconds=chosen.horizon_seconds).orderBy("cost_threshold_bps", "cost_buffer_bps")
         print(reports.table("Thresholds", shown))
         print(reports.facts("Future return, bps", targets.describe(future, "future_return_bps")))
         return
+    if a.output is None:  # beside its input, named by the settings
+        name, threshold = discovery.name_of(path), chosen.threshold_abs if chosen.mode == "absolute" else chosen.cost_threshold_bps + chosen.cost_buffer_bps
+        token = name.split("_features_", 1)[-1].removesuffix(".parquet")
+        a.output = f"{path.rstrip('/').rpartition('/')[0] or '.'}/{naming.dataset_name(a.symbol, token, naming.target_name(chosen.mode, chosen.horizon_seconds, threshold, a.suffix or ''))}"
     tables.write_parquet(targets.build_targets(rows, chosen), a.output, a.mode)
     print(reports.facts("Targets", targets.target_distribution(tables.read_parquet(spark, a.output))))
 
 
 def _train(spark, a, settings):
-    rows, report = models.prepare(tables.read_parquet(spark, a.input))
-    model = models.train_boosted(rows, report.selected) if a.model == "boosted" else models.train_logistic(rows, report.selected)
+    rows, report = models.prepare(tables.read_parquet(spark, _input(spark, a, "model_dataset")))
+    rows = rows.persist()
+    model = models.train_boosted(rows, report.selected, a.rounds) if a.model == "boosted" else models.train_logistic(rows, report.selected)
     tables.write_parquet(models.predict(model, rows), a.output, a.mode)
-    if a.model == "logistic" and a.save:
-        models.save_logistic(model, a.save)
+    if a.save:
+        models.save(model, a.save, spark)
+    stem = a.output.rstrip("/").removesuffix(discovery.PREDICTIONS)
     predictions = tables.read_parquet(spark, a.output)
-    record = {"features": report.selected, "balance": tables.records(evaluation.class_balance(rows, "target", ["split"])), "metrics": tables.records(evaluation.classification_metrics(predictions, ["split"])), "probabilities": tables.records(evaluation.probability_summary(predictions, ["split"]))}
+    tables.write_json(spark, evaluation.training_record(rows, report, predictions), f"{stem}{discovery.METRICS}")
     if a.model == "boosted":
-        record["importance"] = model.importance()
-    tables.write_json(spark, record, f"{a.output.rstrip('/')}.metrics.json")
+        importance = spark.createDataFrame(model.importance(), "feature string, importance_split long, importance_gain double")
+        tables.write_csv(importance.coalesce(1), f"{stem}{discovery.IMPORTANCE}", a.mode)
 
 
 def _evaluate(spark, a, settings):
+    importance = a.importance
+    if not (a.first and a.second):
+        if a.first or a.second:
+            raise ValueError("give both prediction tables, or a folder")
+        token, found = discovery.model_artifacts(spark, a.folder, a.symbol)
+        a.first, a.second = found["logistic"]["predictions"], found["boosted"]["predictions"]
+        importance = importance or found["boosted"].get("importance")
+        print(f"models of {token}")
     first, second = (tables.read_parquet(spark, p) for p in (a.first, a.second))
     print(reports.table("Metrics", evaluation.compare_metrics(first, second).orderBy("split")))
     print(reports.table("Agreement", evaluation.model_agreement(first, second).orderBy("split")))
     print(reports.table("Confusion, first", evaluation.confusion_matrix(first, ["split"]).orderBy("split", "y_true")))
     print(reports.table("Confusion, second", evaluation.confusion_matrix(second, ["split"]).orderBy("split", "y_true")))
+    if importance:
+        print(reports.table("Importance", tables.read_importance(spark, importance)))
 
 
 def _rule(a, base: SignalRule) -> SignalRule:
@@ -80,19 +106,31 @@ def _rule(a, base: SignalRule) -> SignalRule:
     return replace(base, **{k: v for k, v in given.items() if v is not None})
 
 
+def _predicted(spark, a):
+    """Predictions, by default the newest, and their market, by default the
+    dataset that their name tells of."""
+    path = a.input or discovery.newest_predictions(spark, a.folder)
+    folder = a.folder or path.rstrip("/").rpartition("/")[0] or "."
+    market = a.market or discovery.dataset_of(spark, path, folder)
+    return tables.read_parquet(spark, path), backtest.prepare_market(tables.read_parquet(spark, market))
+
+
 def _backtest(spark, a, settings):
     chosen = config.backtest(settings)
     given = {k: getattr(a, k) for k in ("horizon_seconds", "fee_bps", "slippage_bps", "split")}
     chosen = replace(chosen, rule=_rule(a, chosen.rule), **{k: v for k, v in given.items() if v is not None})
-    market = backtest.prepare_market(tables.read_parquet(spark, a.market))
-    rows = backtest.run_backtest(tables.read_parquet(spark, a.input), market, chosen)
+    predictions, market = _predicted(spark, a)
+    rows = backtest.run_backtest(predictions, market, chosen)
     tables.write_parquet(rows, a.output, a.mode)
-    print(reports.facts("Backtest", backtest.summarize(tables.read_parquet(spark, a.output))))
+    rows = tables.read_parquet(spark, a.output)
+    print(reports.facts("Backtest", backtest.summarize(rows)))
+    if a.plots:
+        tables.write_text(spark, reports.line_svg(rows, "equity_curve_bps", "equity, bps"), f"{a.plots}/equity_curve_bps.svg")
 
 
 def _sweep(spark, a, settings):
-    market = backtest.prepare_market(tables.read_parquet(spark, a.market))
-    swept = backtest.sweep(tables.read_parquet(spark, a.input), market, a.split or "validation", a.horizon_seconds or 5)
+    predictions, market = _predicted(spark, a)
+    swept = backtest.sweep(predictions, market, a.split or "validation", a.horizon_seconds or 5)
     tables.write_csv(backtest.ranked(swept).coalesce(1), a.output, a.mode)
     print(reports.table("Best settings", backtest.top(swept)))
 
@@ -107,23 +145,28 @@ def _experiment(spark, a, settings):
 
 
 def _collect(spark, a, settings):
-    query = collector.collect(collector.read_folder(spark, a.input), a.output, a.checkpoint, a.symbol, levels=a.levels, carry_seconds=a.carry_seconds, once=a.once)
-    query.awaitTermination()
+    messages = collector.read_folder(spark, a.input)
+    collector.wait(*collector.collect(messages, a.output, a.checkpoint, a.symbol, levels=a.levels, carry_seconds=a.carry_seconds, once=a.once, limit_samples=a.limit_samples))
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="tidebook")
     commands = out.add_subparsers(required=True)
 
-    def command(name, run, *options, output: bool = True, source: bool = True):
+    def command(name, run, *options, output: bool = True, source: bool = True, found: bool = False):
         p = commands.add_parser(name)
         p.set_defaults(run=run)
         p.add_argument("--config")
         p.add_argument("--levels", type=int, default=20)
         if source:
-            p.add_argument("--input", required=True)
+            p.add_argument("--input", required=not found)
+        if found:  # inputs found in a folder by their names
+            p.add_argument("--folder")
+            p.add_argument("--symbol", default="BTCUSDT")
+            p.add_argument("--dataset-name")
+            p.add_argument("--date")
         if output:
-            p.add_argument("--output", required=True)
+            p.add_argument("--output", required=name != "targets")
             p.add_argument("--mode", default="errorifexists")
         for o, kind in options:
             p.add_argument(f"--{o.replace('_', '-')}", type=kind, default=None)
@@ -136,21 +179,21 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--last", type=int, default=7)
     p.add_argument("--by", choices=["date", "time"], default="date")
     command("clean", _clean)
-    command("inspect", _inspect, output=False)
+    command("inspect", _inspect, ("plots", str), output=False)
     command("features", _features)
-    p = command("targets", _targets, ("horizon_seconds", int), ("target_mode", str), ("threshold_abs", float), ("cost_threshold_bps", float), ("cost_buffer_bps", float), ("tolerance_seconds", float))
+    p = command("targets", _targets, ("horizon_seconds", int), ("target_mode", str), ("threshold_abs", float), ("cost_threshold_bps", float), ("cost_buffer_bps", float), ("tolerance_seconds", float), ("suffix", str), found=True)
     p.add_argument("--diagnostics", choices=["absolute", "cost_aware"])
-    p = command("train", _train, ("save", str))
+    p = command("train", _train, ("save", str), found=True)
+    p.add_argument("--rounds", type=int, default=300)
     p.add_argument("--model", choices=["logistic", "boosted"], default="logistic")
-    p = command("evaluate", _evaluate, output=False, source=False)
-    p.add_argument("--first", required=True)
-    p.add_argument("--second", required=True)
-    command("backtest", _backtest, ("market", str), ("horizon_seconds", int), ("fee_bps", float), ("slippage_bps", float), ("split", str), *rule)
-    command("sweep", _sweep, ("market", str), ("horizon_seconds", int), ("split", str))
+    command("evaluate", _evaluate, ("first", str), ("second", str), ("importance", str), output=False, source=False, found=True)
+    command("backtest", _backtest, ("market", str), ("horizon_seconds", int), ("fee_bps", float), ("slippage_bps", float), ("split", str), ("plots", str), *rule, found=True)
+    command("sweep", _sweep, ("market", str), ("horizon_seconds", int), ("split", str), found=True)
     p = command("experiment", _experiment, ("threshold_abs", float), ("split", str), *rule)
     p.add_argument("--horizons", type=int, nargs="*", default=list(experiment.HORIZONS))
     p = command("collect", _collect, ("checkpoint", str), ("symbol", str))
-    p.add_argument("--carry-seconds", type=int, default=1)
+    p.add_argument("--carry-seconds", type=int)
+    p.add_argument("--limit-samples", type=int)
     p.add_argument("--once", action="store_true")
     return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,10 @@ from tidebook.functions import book as bk
 from tidebook.functions.labels import SignalRule, signal
 from tidebook.operators import backtest as bt
 from tidebook.operators import cleaning, evaluation, experiment, features, models, sessions, targets
-from tidebook.schema import level_columns
+from tidebook.schema import level_columns, required_columns
+from tidebook.sources.messages import normalise_schema as normalise
 from tidebook.sources.messages import parse_messages
+from tidebook.storage import written
 from tidebook.streaming import collector
 
 from . import fixtures as fx
@@ -116,18 +119,22 @@ def _history(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
 
 # ---- raw data: validate, merge, clean, inspect --------------------------------
 
-_REPORT = ["row_count", "duplicate_timestamps", "missing_values", "invalid_spreads", "negative_sizes", "min_spread", "mean_spread", "max_spread", "passed"]
 _CELLS = " + ".join(f"(case when {c} is null then 1 else 0 end)" for c in level_columns())
 _NEGATIVE = " + ".join(f"(case when {c} < 0 then 1 else 0 end)" for c in level_columns() if "_size_" in c)
 
 
-@query(f"""with {DIRTY}
-select count(*) as row_count, count(*) - count(distinct ts_sec) as duplicate_timestamps, sum({_CELLS})::bigint as missing_values,
-       count(*) filter ({_SPREAD} <= 0) as invalid_spreads, sum({_NEGATIVE})::bigint as negative_sizes,
-       round(min({_SPREAD}), 6) as min_spread, round(avg({_SPREAD}), 6) as mean_spread, round(max({_SPREAD}), 6) as max_spread, false as passed
-from dirty""")
+@query(f"""with {DIRTY},
+r as (
+  select count(*) as row_count, {len(level_columns()) + 9} as column_count, {len(required_columns())} as required_column_count, '' as missing_required_columns,
+         count(ts_sec) = count(*) as timestamp_parseable, min(ts_sec) as start_sec, max(ts_sec) as end_sec,
+         count(*) - count(distinct ts_sec) as duplicate_timestamps, sum({_CELLS})::bigint as missing_values,
+         count(*) filter ({_SPREAD} <= 0) as invalid_spreads, sum({_NEGATIVE})::bigint as negative_sizes,
+         round(min({_SPREAD}), 6) as min_spread, round(avg({_SPREAD}), 6) as mean_spread, round(max({_SPREAD}), 6) as max_spread from dirty)
+select *, row_count > 0 and timestamp_parseable and duplicate_timestamps + missing_values + invalid_spreads + negative_sizes = 0 as passed from r""")
 def validate_report(spark, sf_dir):
-    return _rounded(cleaning.validate(fx.dirty(spark, sf_dir)).select(*_REPORT))
+    report = cleaning.validate(fx.dirty(spark, sf_dir))
+    seconds = {f"{end}_sec": F.unix_seconds(f"{end}_timestamp") for end in ("start", "end")}
+    return _rounded(report.withColumns(seconds).drop("start_timestamp", "end_timestamp"))
 
 
 @query(f"with {DIRTY} select ts_sec, max(rn) as rn, arg_max(event_id, rn) as event_id from dirty group by ts_sec")
@@ -139,6 +146,13 @@ def merge_keep_last(spark, sf_dir):
     return merged.select("ts_sec", "rn", "event_id")
 
 
+@query(f"with {DIRTY} select ts_sec, arg_max(event_id, (rn % 400 >= 200)::int * 1000000000000 + rn) as event_id, arg_max(session_id, (rn % 400 >= 200)::int * 1000000000000 + rn) as session_id from dirty group by ts_sec")
+def merge_files(spark, sf_dir):
+    rows = fx.dirty(spark, sf_dir)
+    merged = cleaning.merge([rows.where("rn % 400 < 200"), rows.where("rn % 400 >= 200").drop("bid_size_20")], ["rn"])
+    return merged.select("ts_sec", "event_id", "session_id")
+
+
 _PARTS = f"""
 d as (select *, {_SPREAD} as spread_now from dirty),
 c1 as (select * from d where bid_price_1 is not null),
@@ -169,7 +183,7 @@ def clean_counts(spark, sf_dir):
 @query(f"with {BOOK} select round(quantile_cont({_SPREAD}, 0.99), 6) as spread_99 from book")
 def spread_quantile(spark, sf_dir):
     rows = fx.book(spark, sf_dir, 1).select(bk.spread().alias("spread"))
-    return _rounded(rows.agg(cleaning.quantiles("spread", [0.99])[0].alias("spread_99")))
+    return _rounded(cleaning.quantiles(rows, ["spread"], [0.99]).select(F.col("spread")[0].alias("spread_99")))
 
 
 _SIZES = [c for c in level_columns() if "_size_" in c]
@@ -187,15 +201,18 @@ def winsor_caps(spark, sf_dir):
     return _rounded(cleaning.winsor_report(cleaned, cleaning.winsor_columns(cleaned), cleaning.CleaningConfig()))
 
 
-_WINSOR_SHOWN = ["bid_size_1", "ask_size_1", "bid_size_10", "ask_size_20"]
-
-
 @query(
-    f"with {DIRTY}, {_PARTS}, caps as (select " + ", ".join(f"quantile_cont({c}, 0.001) as lo_{c}, quantile_cont({c}, 0.99) as hi_{c}" for c in _WINSOR_SHOWN) + " from c5) "
-    "select ts_sec, " + ", ".join(f"round(greatest(lo_{c}, least(hi_{c}, {c})), 6) as {c}" for c in _WINSOR_SHOWN) + " from c5, caps"
+    f"with {DIRTY}, {_PARTS}, caps as (select " + ", ".join(f"quantile_cont({c}, 0.001) as lo_{c}, quantile_cont({c}, 0.99) as hi_{c}" for c in _SIZES) + " from c5) "
+    "select ts_sec, " + ", ".join(f"round(greatest(lo_{c}, least(hi_{c}, {c})), 6) as {c}" for c in _SIZES) + " from c5, caps"
 )
 def winsor_sizes(spark, sf_dir):
-    return _rounded(cleaning.clean(fx.dirty(spark, sf_dir)).select("ts_sec", *_WINSOR_SHOWN))
+    return _rounded(cleaning.clean(fx.dirty(spark, sf_dir)).select("ts_sec", *_SIZES))
+
+
+@query(f"with {BOOK} select ts_sec, round({_MID}, 6) as mid_price, round_even({_SPREAD}, 4) as spread from book")
+def inspect_rows(spark, sf_dir):
+    rows = cleaning.plot_rows(fx.book(spark, sf_dir))
+    return _rounded(rows.select(F.unix_seconds("timestamp").alias("ts_sec"), "mid_price", "spread"))
 
 
 @query(f"""with {BOOK}, p as (select ts_sec, {_MID} as mid_price, round_even({_SPREAD}, 4) as spread from book)
@@ -267,27 +284,30 @@ for _name, _columns in _FAMILIES.items():
     QUERIES[_name] = lambda spark, sf_dir, names=_columns: _history(spark, sf_dir, names)
     SQL[_name] = _family(_columns)
 
-_SHOWN = ["mid_price", "imbalance_5", "spread_roll_mean_10", "imbalance_1_roll_std_30", "mid_return_roll_std_30", "weighted_imbalance_lag_10"]
+_COMPLETE = " and ".join(f"{n} is not null" for n in _NAMES)
 
 
-@query(f"with {FEATURES} select event_id, session_id, segment, {_round(_SHOWN)} from hist where " + " and ".join(f"{n} is not null" for n in _NAMES))
+@query(f"with {FEATURES} select event_id, session_id, segment, " + ", ".join(_round([n], _digits(n)) for n in _NAMES) + f" from hist where {_COMPLETE}")
 def warmup_drop(spark, sf_dir):
     rows = features.build_features(fx.book(spark, sf_dir), keep_levels=False)
-    return _rounded(rows.select("event_id", "session_id", "segment", *_SHOWN))
+    return rows.select("event_id", "session_id", "segment", *(F.round(n, _digits(n)).alias(n) for n in _NAMES))
 
 
-@query("select 0::bigint as violations")
+@query(f"""with {FEATURES}, k as (select *, {_COMPLETE} as whole from hist)
+select session_id, segment, count(*) as rows, count(*) filter (whole) as kept_rows, min(ts_sec) as first_sec, min(case when whole then ts_sec end) as first_kept_sec,
+       bool_or(whole and ts_sec = (select min(ts_sec) from k o where o.session_id = k.session_id and o.segment = k.segment)) as violated from k group by session_id, segment""")
 def warmup_check(spark, sf_dir):
-    rows = features.build_features(fx.book(spark, sf_dir), keep_levels=False)
-    return features.warmup_violations(rows).agg(F.count(F.lit(1)).alias("violations"))
+    report = features.warmup_report(features.build_features(fx.book(spark, sf_dir), keep_levels=False, keep_warmup=True))
+    seconds = {"first_sec": F.unix_seconds("first_timestamp"), "first_kept_sec": F.unix_seconds("first_kept_timestamp")}
+    return report.withColumns(seconds).drop("first_timestamp", "first_kept_timestamp")
 
 
 # ---- targets ---------------------------------------------------------------------
 
 
-def _future_sql(h: int, tol: float = 0.5, table: str = "seg", us: str = "ts_sec * 1000000") -> str:
+def _future_sql(h: int, tol: float = 0.5, table: str = "seg", us: str = "ts_sec * 1000000", mid: str = _MID) -> str:
     return f"""
-m as (select event_id, session_id, segment, {us} as us, {_MID} as mid_price from {table}),
+m as (select event_id, session_id, segment, {us} as us, {mid} as mid_price from {table}),
 pairs as (
   select a.event_id, b.us as fus, b.mid_price as future_mid_price,
          row_number() over (partition by a.event_id order by abs(b.us - a.us - {h * 1000000}), b.us) as k
@@ -367,11 +387,21 @@ def threshold_diagnostics(spark, sf_dir):
     return _rounded(targets.threshold_diagnostics(_future(spark, sf_dir)))
 
 
-@query(f"""with {FUTURE}, a(cost_threshold_bps) as (values (0.1::double), (0.2), (0.4)), b(cost_buffer_bps) as (values (0.0::double), (0.1)),
-t as (select cost_threshold_bps, cost_buffer_bps, {_label_sql('future_return_bps', 'cost_threshold_bps + cost_buffer_bps')} as target from fut, a, b where future_return_bps is not null)
-select cost_threshold_bps, cost_buffer_bps, {_shares_sql('target')}, round(cost_threshold_bps + cost_buffer_bps, 6) as total_cost_aware_threshold_bps from t group by 1, 2""")
+#: Prices so low that returns reach the thresholds.
+_LOW = f"({_MID} - 59000)"
+_VALUES = lambda name, vs: f"{name} as (values " + ", ".join(f"({v}::double)" for v in vs) + ")"
+_STATS = {"count": "count(r)", "mean": "round(avg(r), 6)", "std": "round(stddev_samp(r), 6)", "min": "round(min(r), 6)", "p25": "round(quantile_cont(r, 0.25), 6)", "p50": "round(quantile_cont(r, 0.5), 6)", "p75": "round(quantile_cont(r, 0.75), 6)", "max": "round(max(r), 6)"}
+
+
+@query(f"""with {BOOK}, {SEGMENT.format(t='book')}, {_future_sql(5, mid=_LOW)}, {_VALUES('a(cost_threshold_bps)', targets.COST_THRESHOLDS_BPS)}, {_VALUES('b(cost_buffer_bps)', targets.COST_BUFFERS_BPS)},
+t as (select cost_threshold_bps, cost_buffer_bps, {_label_sql('future_return_bps', 'cost_threshold_bps + cost_buffer_bps')} as target from fut, a, b where future_return_bps is not null),
+d as (select {", ".join(f"{v} as future_return_bps_{k}" for k, v in _STATS.items())} from (select future_return_bps as r from fut where future_return_bps is not null)),
+n as (select count(*) as input_rows, count(*) - count(future_return_bps) as dropped_rows from fut)
+select *, 5 as horizon_seconds from (
+  select cost_threshold_bps, cost_buffer_bps, {_shares_sql('target')}, cost_threshold_bps + cost_buffer_bps as total_cost_aware_threshold_bps from t group by 1, 2), n, d""")
 def cost_aware_diagnostics(spark, sf_dir):
-    return _rounded(targets.cost_aware_diagnostics(_future(spark, sf_dir), (0.1, 0.2, 0.4), (0.0, 0.1)))
+    market = _market(spark, sf_dir).withColumn("mid_price", F.col("mid_price") - 59_000)
+    return _rounded(targets.cost_aware_diagnostics(targets.attach_future(market, 5), horizon_seconds=5))
 
 
 # ---- splits and metrics -----------------------------------------------------------
@@ -592,7 +622,7 @@ def sweep_top10(spark, sf_dir):
 
 # ---- experiments --------------------------------------------------------------------
 
-_CASES = [(h, cost) for h in (5, 10) for cost in (0.0, 0.01)]
+_CASES = [(h, cost) for h in experiment.HORIZONS for cost in (0.0, 0.01)]
 
 
 def _case_sql(h: int, cost: float, x: str) -> str:
@@ -632,9 +662,23 @@ def horizon_summary(spark, sf_dir):
     return _horizons(spark, sf_dir)
 
 
-@query(f"with recursive {_HORIZONS} select * from summary where cost_mode = 'cost_adjusted' order by average_net_return_bps desc, horizon_seconds limit 1")
+def _best_sql(name: str, column: str, mode: str, least: int = 0) -> str:
+    return f"(select '{name}' as criterion, * from summary where cost_mode = '{mode}' and number_of_trades >= {least} order by {column} desc, horizon_seconds limit 1)"
+
+
+_RANKINGS = [
+    ("net_with_costs", "average_net_return_bps", "cost_adjusted"),
+    ("gross_without_costs", "average_gross_return_bps", "zero_cost"),
+    ("gross_less_cost", "gross_return_per_trade_minus_cost_per_trade_bps", "cost_adjusted"),
+    ("net_with_50_trades", "average_net_return_bps", "cost_adjusted", 50),
+]
+
+
+@query(f"with recursive {_HORIZONS} " + " union all ".join(_best_sql(*r) for r in _RANKINGS))
 def best_horizon(spark, sf_dir):
-    return experiment.best_row(_horizons(spark, sf_dir), "average_net_return_bps", "cost_adjusted")
+    summary = written(_horizons(spark, sf_dir), "summary")
+    best = [rows.withColumn("criterion", F.lit(name)) for name, rows in experiment.rankings(summary).items()]
+    return functools.reduce(DataFrame.unionByName, best)
 
 
 @query(f"with {PREDICTIONS} select event_id, split, round(prob_up, 6) as prob_up, case when split = 'test' then round(prob_down, 6) end as prob_down from pred where split <> 'train'")
@@ -660,13 +704,13 @@ def _messages(spark, sf_dir) -> DataFrame:
     return rows.select(value.alias("value"), (F.col("timestamp") + F.expr("interval 250 milliseconds")).alias("timestamp"))
 
 
-_PARSED = ["bid_price_1", "bid_size_1", "ask_price_20", "ask_size_20"]
+_BOOK_COLUMNS = ", ".join(level_columns())
 
 
-@query(f"with {BOOK} select ts_sec, ts_sec * 1000 as event_ms, 'AAA' as symbol, {', '.join(_PARSED)} from book where event_id % 7 <> 0")
+@query(f"with {BOOK} select ts_sec, ts_sec * 1000 as event_ms, 'AAA' as symbol, {_BOOK_COLUMNS} from book where event_id % 7 <> 0")
 def json_levels_parse(spark, sf_dir):
     rows = parse_messages(_messages(spark, sf_dir))
-    return rows.select(F.unix_seconds("timestamp").alias("ts_sec"), F.unix_millis("event_time").alias("event_ms"), "symbol", *_PARSED)
+    return rows.select(F.unix_seconds("timestamp").alias("ts_sec"), F.unix_millis("event_time").alias("event_ms"), "symbol", *level_columns())
 
 
 @query(f"""with {BOOK}, k as (select ts_sec, bid_price_1 from book where event_id % 7 <> 0),
@@ -677,15 +721,28 @@ def sampler_carry_forward(spark, sf_dir):
     return rows.select(F.unix_seconds("timestamp").alias("ts_sec"), "bid_price_1")
 
 
-@query(f"""with {BOOK}, k as (select ts_sec from book where event_id % 7 <> 0),
-g as (select ts_sec, case when ts_sec - lag(ts_sec) over (order by ts_sec) > 1.5 then 1 else 0 end as brk from k)
-select ts_sec, 3 + sum(brk) over (order by ts_sec rows unbounded preceding)::bigint as session_id from g""")
+@query(f"""with {BOOK}, k as (select * from book where event_id % 7 <> 0),
+g as (select *, case when ts_sec - lag(ts_sec) over (order by ts_sec) > 1.5 then 1 else 0 end as brk from k)
+select ts_sec, 3 + sum(brk) over (order by ts_sec rows unbounded preceding)::bigint as session_id, {_BOOK_COLUMNS} from g""")
 def session_tracker(spark, sf_dir):
-    rows = collector.assign_sessions(collector.sample_seconds(parse_messages(_messages(spark, sf_dir))), session=3)
-    return rows.select(F.unix_seconds("timestamp").alias("ts_sec"), "session_id")
+    # Numbering reads its rows twice: messages are parsed once.
+    sampled = collector.sample_seconds(parse_messages(_messages(spark, sf_dir))).persist()
+    rows = collector.assign_sessions(sampled, session=3)
+    return rows.select(F.unix_seconds("timestamp").alias("ts_sec"), "session_id", *level_columns())
+
 
+@query(f"""with {BOOK}, g as (select *, case when ts_sec - lag(ts_sec) over (order by ts_sec) > 1.5 then 1 else 0 end as brk from book)
+select ts_sec, null as symbol, case when event_id % 4 = 0 then session_id else 1 + sum(brk) over (order by ts_sec rows unbounded preceding)::bigint end as session_id,
+       case when event_id % 9 = 0 then null else bid_price_1 end as bid_price_1, null::double as ask_size_20 from g""")
+def normalise_schema(spark, sf_dir):
+    """A table of another shape: text for numbers, columns lacking and to spare."""
+    rows = fx.book(spark, sf_dir).drop("symbol", "ask_size_20").withColumn("other", F.lit("x"))
+    rows = rows.withColumn("bid_price_1", F.when(F.col("event_id") % 9 == 0, "bad").otherwise(F.col("bid_price_1").cast("string")))
+    rows = rows.withColumn("session_id", F.when(F.col("event_id") % 4 == 0, F.col("session_id")))
+    return normalise(rows).select(F.unix_seconds("timestamp").alias("ts_sec"), "symbol", "session_id", "bid_price_1", "ask_size_20")
 
-# ---- models (no SQL) ---------------------------------------------------------------------
+
+# ---- models (no SQL but for the policy) ---------------------------------------------------
 
 
 def _dataset(spark, sf_dir) -> DataFrame:
@@ -693,33 +750,55 @@ def _dataset(spark, sf_dir) -> DataFrame:
     return targets.build_targets(rows)
 
 
-@query()
+_NUMERIC = ["event_id", "rn", "ts_sec", "session_id", *BASE, "segment", *_NAMES, "future_mid_price", "future_price_change", "future_return", "future_return_bps", "target", "horizon_seconds", "threshold_abs"]
+_QUOTED = lambda names: ", ".join(f"'{n}'" for n in names)
+
+
+def _kind_sql(kind: str) -> str:
+    names, prefixes = models.POLICY[kind]
+    tests = [f"feature in ({_QUOTED(names)})", *(f"starts_with(feature, '{x}')" for x in prefixes)]
+    return f"when {' or '.join(tests)} then '{kind}'"
+
+
+@query(f"select case {' '.join(map(_kind_sql, models.POLICY))} else 'other' end as kind, feature from (select unnest([{_QUOTED(_NUMERIC)}]) as feature)")
 def feature_selection(spark, sf_dir):
     report = models.select_features(_dataset(spark, sf_dir))
     rows = [(kind, name) for kind in ("selected", "raw_prices", "never", "other") for name in getattr(report, kind)]
     return spark.createDataFrame(rows, "kind string, feature string")
 
 
+def _prepared(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    rows, report = models.prepare(_dataset(spark, sf_dir))
+    return rows.select("timestamp", "split", "target", *report.selected).persist(), report.selected
+
+
 @query()
 def logistic_predictions(spark, sf_dir):
-    rows, report = models.prepare(_dataset(spark, sf_dir))
-    rows = rows.select("timestamp", "split", "target", *report.selected).persist()
-    return models.predict(models.train_logistic(rows, report.selected), rows)
+    rows, chosen = _prepared(spark, sf_dir)
+    return models.predict(models.train_logistic(rows, chosen), rows)
 
 
 @query()
 def boosted_predictions(spark, sf_dir):
-    rows, report = models.prepare(_dataset(spark, sf_dir))
-    rows = rows.select("timestamp", "split", "target", *report.selected).persist()
-    return models.predict(models.train_boosted(rows, report.selected), rows)
+    rows, chosen = _prepared(spark, sf_dir)
+    return models.predict(models.train_boosted(rows, chosen), rows)
 
 
 @query()
 def feature_importance(spark, sf_dir):
-    rows, report = models.prepare(_dataset(spark, sf_dir))
-    rows = rows.select("timestamp", "split", "target", *report.selected).persist()
-    model = models.train_boosted(rows, report.selected)
-    return spark.createDataFrame(model.importance(), "feature string, importance_gain double").orderBy(F.desc("importance_gain"), "feature").limit(20)
+    rows, chosen = _prepared(spark, sf_dir)
+    found = models.train_boosted(rows, chosen).importance()
+    rows = spark.createDataFrame(found, "feature string, importance_split long, importance_gain double")
+    return rows.orderBy(F.desc("importance_gain"), F.desc("importance_split"), "feature").limit(20)
+
+
+@query()
+def horizon_experiment(spark, sf_dir):
+    """All horizons end to end: label, split, train, predict, backtest.  With the
+    logistic model, whose training ends when it converges."""
+    rows = features.build_features(fx.book(spark, sf_dir), keep_levels=False).persist()
+    rule = SignalRule(0.4, 0.0, 0.6)
+    return experiment.run_horizons(rows, rule=rule, train=models.train_logistic)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

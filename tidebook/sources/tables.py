@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,23 +44,34 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
+def read_importance(spark: SparkSession, path: str, top: int = 20) -> DataFrame:
+    """The first rows of an importance report: largest gain, then most splits,
+    then by name."""
+    rows = read_csv(spark, path, "feature string, importance_split long, importance_gain double")
+    return rows.orderBy(F.desc("importance_gain"), F.desc("importance_split"), "feature").limit(top)
+
+
 def _hadoop(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def write_json(spark: SparkSession, record: dict | list, path: str) -> None:
-    """A small record as JSON, under a temporary name until complete."""
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text, under a temporary name until complete."""
     system, target = _hadoop(spark, path)
     held = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     out = system.create(held, True)
-    out.write(json.dumps(record, indent=2, default=str).encode())
+    out.write(text.encode())
     out.close()
     system.delete(target, False)
     if not system.rename(held, target):
         raise OSError(f"{path} could not be put in place")
 
 
+def write_json(spark: SparkSession, record: dict | list, path: str) -> None:
+    write_text(spark, json.dumps(record, indent=2, default=str), path)
+
+
 def read_json(spark: SparkSession, path: str) -> dict | list:
     rows = spark.read.text(path, wholetext=True).head()
     return json.loads(rows[0])
@@ -76,9 +88,9 @@ def list_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     return [(str(f.getPath()), int(f.getModificationTime())) for f in system.listStatus(target)] if system.exists(target) else []
 
 
-def newest(spark: SparkSession, folder: str, suffix: str = ".parquet", without: str | None = None) -> str:
-    """The entry changed last."""
-    found = [(t, p) for p, t in list_files(spark, folder) if p.endswith(suffix) and not (without and without in p.rsplit("/", 1)[-1])]
+def newest(spark: SparkSession, folder: str, suffix: str = ".parquet", only: Callable[[str], bool] = lambda name: True) -> str:
+    """The entry changed last, of those whose name ends so and satisfies ``only``."""
+    found = [(t, p) for p, t in list_files(spark, folder) if p.endswith(suffix) and only(p.rsplit("/", 1)[-1])]
     if not found:
         raise FileNotFoundError(f"no {suffix} in {folder}")
     return max(found)[1]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,15 +30,20 @@ def sample_seconds(rows: DataFrame, order: list[str] | None = None) -> DataFrame
     return rows.withColumn("sample_rank", F.row_number().over(latest)).where("sample_rank = 1").drop("sample_rank")
 
 
-def carry_forward(rows: DataFrame, most_seconds: int) -> DataFrame:
+def carry_forward(rows: DataFrame, most_seconds: int | None = None, bucket_us: int = ordered.BUCKET) -> DataFrame:
     """Sampled rows, each repeated in the quiet seconds after it: a sampler that
-    does not clear its last message emits it again.  A silence of more than
-    ``most_seconds`` counts as a lost connection, after which nothing is held."""
-    along = Window.partitionBy("symbol").orderBy("timestamp")
-    ahead = F.unix_seconds(F.lead("timestamp").over(along)) - F.unix_seconds("timestamp")
-    repeats = F.when(ahead.between(2, most_seconds), ahead - 1).otherwise(0)
-    held = rows.withColumn("repeats", repeats).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats").cast("long"))))
-    return held.withColumn("timestamp", F.timestamp_seconds(F.unix_seconds("timestamp") + F.col("step"))).drop("repeats", "step")
+    does not clear its last message emits it again.  With ``most_seconds`` a
+    longer silence counts as a lost connection, after which nothing is held.
+    A symbol's timeline is walked in buckets, not in one task."""
+    own = ordered.with_bucket(rows, F.unix_micros("timestamp"), bucket_us, "carry_bucket").withColumn("second", F.unix_seconds("timestamp"))
+    later = Window.partitionBy("symbol", "carry_bucket").orderBy("second")
+    firsts = own.groupBy("symbol", "carry_bucket").agg(F.min("second").alias("opens"))
+    firsts = firsts.withColumn("next_opens", F.lead("opens").over(Window.partitionBy("symbol").orderBy("carry_bucket"))).drop("opens")
+    own = own.withColumn("next_second", F.lead("second").over(later)).join(firsts, ["symbol", "carry_bucket"])
+    ahead = F.coalesce("next_second", "next_opens") - F.col("second")
+    repeats = F.when((ahead >= 2) & (ahead <= most_seconds if most_seconds is not None else F.lit(True)), ahead - 1).otherwise(0)
+    held = own.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), repeats)))
+    return held.withColumn("timestamp", F.timestamp_seconds(F.col("second") + F.col("step"))).select(*rows.columns)
 
 
 def assign_sessions(rows: DataFrame, session: int = 1, last: dt.datetime | None = None, max_gap_seconds: float = MAX_GAP_SECONDS) -> DataFrame:
@@ -52,17 +58,48 @@ def assign_sessions(rows: DataFrame, session: int = 1, last: dt.datetime | None
     return timed.withColumn("session_id", (F.col("breaks") + session + opening).cast("long")).drop("own_us", "before_us", "breaks")
 
 
-def save_batch(path: str, symbol: str | None, carry_seconds: int, levels: int, max_gap_seconds: float) -> Callable[[DataFrame, int], None]:
-    def save(batch: DataFrame, batch_id: int) -> None:
-        session, last = resume_state(batch.sparkSession, path, symbol)
+@dataclass
+class Saver:
+    """Saves batches: sample, carry over from the last saved second, number
+    sessions, upsert by day.  ``left`` counts the samples still to take, and
+    ``done`` is set when there are none."""
+
+    path: str
+    symbol: str | None
+    carry_seconds: int | None
+    levels: int
+    max_gap_seconds: float
+    left: int | None = None
+
+    @property
+    def done(self) -> bool:
+        return self.left is not None and self.left <= 0
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if self.done:
+            return
+        spark = batch.sparkSession
+        session, last = resume_state(spark, self.path, self.symbol)
         rows = sample_seconds(batch)
-        if carry_seconds > 1:
-            rows = carry_forward(rows, carry_seconds)
+        taken = 0
+        if self.left is not None:
+            rows = rows.orderBy("timestamp", "symbol").limit(self.left)
+            taken = rows.count()
+        names = [*(c for c in METADATA if c != "session_id"), *level_columns(self.levels)]
+        rows = rows.select(*names)
+        if self.carry_seconds is None or self.carry_seconds > 1:
+            if last is not None:  # what the last batch left is held across the cut
+                saved = spark.read.parquet(self.path).where(F.col("timestamp") == F.lit(last)).select(*names)
+                rows = saved.where(F.upper("symbol") == self.symbol.upper() if self.symbol else F.lit(True)).unionByName(rows)
+            rows = carry_forward(sample_seconds(rows), self.carry_seconds)
+        # Numbering reads its rows twice; messages are parsed once.
+        rows = rows.persist(StorageLevel.DISK_ONLY)
         # Rows saved before (a batch run again, late seconds) keep the session.
-        rows = assign_sessions(rows, session, last, max_gap_seconds)
-        upsert_days(rows.select(*METADATA, *level_columns(levels)), path)
-
-    return save
+        numbered = assign_sessions(rows, session, last, self.max_gap_seconds)
+        upsert_days(numbered.select(*METADATA, *level_columns(self.levels)), self.path)
+        rows.unpersist()
+        if self.left is not None:  # last, as the stream may be stopped for it
+            self.left -= taken
 
 
 def collect(
@@ -72,18 +109,30 @@ def collect(
     symbol: str | None = None,
     exchange: str = "simulated",
     levels: int = LEVELS,
-    carry_seconds: int = 1,
+    carry_seconds: int | None = None,
     every_seconds: int = 60,
     once: bool = False,
     max_gap_seconds: float = MAX_GAP_SECONDS,
-) -> StreamingQuery:
+    limit_samples: int | None = None,
+) -> tuple[StreamingQuery, Saver]:
     """Start saving a stream of ``value, timestamp`` messages into a table by
-    day.  ``once`` takes what is there and ends.  The upsert is by second, so a
-    batch that runs again after a failure writes the same rows."""
+    day.  Quiet seconds repeat the last message, also across batches; with
+    ``carry_seconds`` only in silences of at most so many seconds (1: never).
+    ``once`` takes what is there and ends.  ``limit_samples`` bounds the messages
+    sampled (see :func:`wait`).  The upsert is by second, so a batch that runs
+    again after a failure writes the same rows."""
     parsed = parse_messages(messages, exchange=exchange, symbol=symbol, levels=levels)
-    writer = parsed.writeStream.foreachBatch(save_batch(path, symbol, carry_seconds, levels, max_gap_seconds)).option("checkpointLocation", checkpoint)
+    saver = Saver(path, symbol, carry_seconds, levels, max_gap_seconds, limit_samples)
+    writer = parsed.writeStream.foreachBatch(saver).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{every_seconds} seconds")
-    return writer.start()
+    return writer.start(), saver
+
+
+def wait(query: StreamingQuery, saver: Saver, poll_seconds: float = 1.0) -> None:
+    """Until the stream ends, or its samples are taken and it is stopped."""
+    while not query.awaitTermination(poll_seconds):
+        if saver.done:
+            query.stop()
 
 
 def windowed_last(messages: DataFrame, watermark: str = "10 seconds", **options) -> DataFrame:
