@@ -1,4 +1,5 @@
-"""Tables written on the way, in the folder that driver and executors share.
+"""Tables written on the way, in the folder that driver and executors share, and
+the package on the executors.
 
 ``spark.checkpoint.dir`` names that folder.  Only where the session leaves it
 unset (tests, a notebook) a folder of this process is used instead; such a
@@ -9,10 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def root(spark: SparkSession) -> str:
@@ -40,3 +44,17 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """This package on the executors' path, for tasks that run its functions."""
+    key = spark.sparkContext.applicationId
+    if key not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="tidebook-package-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(package.rglob("*.py")):
+                out.write(path, path.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(key)
+    return spark
