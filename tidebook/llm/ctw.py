@@ -8,12 +8,14 @@ a bit mixes the estimates of all depths by the weights that the counts of the
 training texts give them.
 
 1. A block of texts emits its distinct (context, byte) grams with their training
-   counts, packed, by a hash of the two nearest context bytes.
-2. A bucket so holds whole subtrees.  It computes weighted probabilities bottom
-   up; the two topmost levels (257 contexts, whatever the corpus) are summed over
-   buckets and travel to all.
-3. A bucket scores each distinct gram once; scores return to the blocks, and
-   texts add up the scores of their positions.
+   counts, packed, by a hash of the three nearest context bytes.
+2. A bucket so holds whole subtrees below contexts of three bytes.  It computes
+   weighted probabilities bottom up; what it knows of contexts of two bytes is
+   summed over buckets, in groups of the pairs that a bucket shares with few
+   others.  The two topmost levels (257 contexts, whatever the corpus) are summed
+   over groups and travel to all.
+3. A bucket, beside the pairs of its group, scores each distinct gram once; scores
+   return to the blocks, and texts add up the scores of their positions.
 
 A context that training lacks predicts as its deepest known suffix does.  Word
 counts for the unigram base travel in the same way.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_id, input_splits, pack, tidy, unpack, unvarint, varint
-from .scratch import keep
+from .scratch import keep, materialize
 from .text import SPACED, string_chunks, word_hashes, word_spans
 
 DEPTH = 5
@@ -122,7 +125,7 @@ def _node(byte: np.ndarray, bit: int) -> np.ndarray:
     return np.uint64(1 << bit) | (byte >> np.uint64(8 - bit))
 
 
-def subtree(keys: np.ndarray, counts: np.ndarray, down_to: int = 2) -> list[Level]:
+def subtree(keys: np.ndarray, counts: np.ndarray, down_to: int = 3) -> list[Level]:
     """Levels of depth DEPTH, DEPTH - 1, ... down_to of distinct grams."""
     context, byte = keys >> np.uint64(8), keys & np.uint64(255)
     codes, zeros, ones = [], [], []
@@ -157,10 +160,37 @@ def score_grams(keys: np.ndarray, levels: list[Level]) -> np.ndarray:
     return total
 
 
-def _bucket_of(buckets: int) -> np.ndarray:
-    """Bucket of each pair of nearest context bytes."""
-    spread = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    return (spread % np.uint64(buckets)).astype(np.int64)
+def _spread(values: np.ndarray, seed: int) -> np.ndarray:
+    return (values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)) >> np.uint64(33)
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """``groups`` of pairs of nearest context bytes, each in ``parts`` by the
+    third: a frequent pair is several buckets'."""
+
+    groups: int
+    parts: int
+
+    @classmethod
+    def of(cls, wanted: int) -> Buckets:
+        parts = int(min(256, max(8, math.isqrt(wanted))))
+        return cls(min(1 << 16, -(-wanted // parts)), parts)
+
+    @property
+    def number(self) -> int:
+        return self.groups * self.parts
+
+    def group(self, pairs: np.ndarray) -> np.ndarray:
+        return (_spread(pairs, 0) % np.uint64(self.groups)).astype(np.int64)
+
+    def of_keys(self, keys: np.ndarray) -> np.ndarray:
+        nearest = keys >> np.uint64(8 * (DEPTH - 1))
+        part = (_spread(keys >> np.uint64(8 * (DEPTH - 2)), 1) % np.uint64(self.parts)).astype(np.int64)
+        return self.group(nearest) * self.parts + part
+
+    def of_words(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(32)) % np.uint64(self.number)).astype(np.int64)
 
 
 class _Counts:
@@ -192,10 +222,6 @@ def _by_bucket(keys: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, list[t
     return order, [(int(bucket[order[a]]), int(a), int(b)) for a, b in zip(edges, ends, strict=True)]
 
 
-def _word_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-
-
 def _words_of(stream: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, stops, at = word_spans(stream, offsets)
     return word_hashes(stream, starts, stops), at
@@ -204,10 +230,10 @@ def _words_of(stream: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 _FIELDS = ["block", "kind", "bucket", "ids", "held", "lengths", "payload"]
 
 
-def _scan(buckets: int, id_type: pa.DataType):
+def _scan(buckets: Buckets, id_type: pa.DataType):
     def entries(block: int, kind: int, counts: _Counts) -> pa.RecordBatch:
         keys, often = counts.merged()
-        order, pieces = _by_bucket(keys, _bucket_of(buckets)[(keys >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)] if kind == _GRAMS else _word_bucket(keys, buckets))
+        order, pieces = _by_bucket(keys, buckets.of_keys(keys) if kind == _GRAMS else buckets.of_words(keys))
         n = len(pieces)
         keys, often = keys[order], often[order]
         packed = [pack(np.frombuffer(varint(np.diff(keys[a:b], prepend=np.uint64(0))), np.uint8)) if kind == _GRAMS else keys[a:b].tobytes() for _, a, b in pieces]
@@ -269,20 +295,45 @@ def _bucket(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return keys, np.bincount(inverse, often, len(keys)).astype(np.int64), inverse, np.cumsum([0, *map(len, parts)])
 
 
-def _top_sums(table: pa.Table) -> pa.Table:
-    keys, counts, _, _ = _bucket(table, _GRAMS)
-    seen = counts > 0
-    level = subtree(keys[seen], counts[seen])[-1]
+_SUMS = "code long, n0 long, n1 long, below double"
+
+
+def _sums(level: Level) -> pa.Table:
+    """What a level gives to the one above."""
     codes = ((level.codes >> np.uint64(16)) << np.uint64(8)) | (level.codes & np.uint64(255))
     codes, n0, n1, below = _summed(codes, level.n0, level.n1, level.weighted)
     return pa.table({"code": pa.array(codes.astype(np.int64)), "n0": pa.array(n0.astype(np.int64)), "n1": pa.array(n1.astype(np.int64)), "below": pa.array(below)})
 
 
+def _level(table: pa.Table) -> Level:
+    """The level whose sums these are."""
+    table = table.sort_by("code")
+    n0, n1, below = (table.column(c).to_numpy() for c in ("n0", "n1", "below"))
+    return Level(table.column("code").to_numpy().astype(np.uint64), n0, n1, below)
+
+
+def _pair_sums(buckets: Buckets):
+    def pair_sums(table: pa.Table) -> pa.Table:
+        keys, counts, _, _ = _bucket(table, _GRAMS)
+        seen = counts > 0
+        sums = _sums(subtree(keys[seen], counts[seen], 3)[-1])
+        group = buckets.group(sums.column("code").to_numpy().astype(np.uint64) >> np.uint64(8))
+        return sums.append_column("group", pa.array(group.astype(np.int32)))
+
+    return tidy(pair_sums)
+
+
+def _top_sums(table: pa.Table) -> pa.Table:
+    return _sums(_level(table))
+
+
 def _score(top):
-    def score(table: pa.Table) -> pa.Table:
+    def score(table: pa.Table, pairs: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "payload": pa.array([], pa.binary()), "words": pa.array([], pa.int64()), "tokens": pa.array([], pa.int64())})
         keys, counts, inverse, ends = _bucket(table, _GRAMS)
         seen = counts > 0
-        scores = score_grams(keys, [*subtree(keys[seen], counts[seen]), *top.value]).astype(np.float32)[inverse]
+        scores = score_grams(keys, [*subtree(keys[seen], counts[seen], 3), _level(pairs), *top.value])[inverse]
         packed = [pack(scores[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table({"block": table.column("block"), "kind": table.column("kind"), "bucket": table.column("bucket"), "payload": pa.array(packed, pa.binary()), "words": pa.nulls(len(packed), pa.int64()), "tokens": pa.nulls(len(packed), pa.int64())})
 
@@ -298,7 +349,7 @@ def _count_words(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "kind": table.column("kind"), "bucket": table.column("bucket"), "payload": pa.array(packed, pa.binary()), "words": once(np.count_nonzero(counts)), "tokens": once(counts.sum())})
 
 
-def _assemble(buckets: int, n: int, v: int, ends: int, id_type: pa.DataType):
+def _assemble(buckets: Buckets, n: int, v: int, ends: int, id_type: pa.DataType):
     def answers(table: pa.Table, kind: int) -> list[bytes]:
         own = table.filter(pc.equal(table.column("kind"), kind)).sort_by("bucket")
         return [x.as_py() for x in own.column("payload")]
@@ -313,11 +364,11 @@ def _assemble(buckets: int, n: int, v: int, ends: int, id_type: pa.DataType):
             for counts, keys in ((grams, gram_keys(stream, at)), (words, _words_of(stream, at)[0])):
                 counts.add(keys, np.resize(none, len(keys)))
         keys, _ = grams.merged()
-        order, _ = _by_bucket(keys, _bucket_of(buckets)[(keys >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)])
+        order, _ = _by_bucket(keys, buckets.of_keys(keys))
         scores = np.zeros(len(keys))
-        scores[order] = np.concatenate([np.zeros(0, np.float32), *(unpack(x, np.float32) for x in answers(given, _GRAMS))])
+        scores[order] = np.concatenate([np.zeros(0), *(unpack(x, np.float64) for x in answers(given, _GRAMS))])
         hashes, _ = words.merged()
-        order, _ = _by_bucket(hashes, _word_bucket(hashes, buckets))
+        order, _ = _by_bucket(hashes, buckets.of_words(hashes))
         often = np.zeros(len(hashes), np.int64)
         often[order] = np.concatenate([np.zeros(0, np.int64), *(unvarint(x) for x in answers(given, _WORDS))])
         size = math.log10(n + v + 1)
@@ -360,15 +411,16 @@ def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % holdout == holdout_value, F.lit(False))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held.alias("held"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType
-    buckets = max(64, 2 * input_splits(docs))
+    buckets = Buckets.of(max(64, 2 * input_splits(docs)))
     schema = f"block long, kind int, bucket int, ids array<{kind.simpleString()}>, held array<boolean>, lengths binary, payload binary"
     scanned = keep(rows.mapInArrow(_scan(buckets, to_arrow_type(kind)), schema))
 
     grams = scanned.where(F.col("kind") == _GRAMS).select("block", "kind", "bucket", "lengths", "payload")
-    sums = grams.groupBy("bucket").applyInArrow(_top_sums, "code long, n0 long, n1 long, below double")
-    sums = sums.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).orderBy("code").toArrow()
-    n0, n1, below = (sums.column(c).to_numpy() for c in ("n0", "n1", "below"))
-    first = Level(sums.column("code").to_numpy().astype(np.uint64), n0, n1, below)
+    total = [F.sum(c).alias(c) for c in ("n0", "n1", "below")]
+    pairs = grams.groupBy("bucket").applyInArrow(_pair_sums(buckets), f"{_SUMS}, group int")
+    pairs = materialize(pairs.groupBy("group", "code").agg(*total), "pair-sums")
+    sums = pairs.groupBy("group").applyInArrow(tidy(_top_sums), _SUMS)
+    first = _level(sums.groupBy("code").agg(*total).toArrow())
     top = spark.sparkContext.broadcast([first, first.parent()])
 
     reply = "block long, kind int, bucket int, payload binary, words long, tokens long"
@@ -379,7 +431,9 @@ def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     learned = F.size(F.filter("held", lambda h: ~h))
     ends = int(texts.agg(F.coalesce(F.sum(learned), F.lit(0))).head()[0])
 
-    scored = grams.groupBy("bucket").applyInArrow(_score(top), reply)
+    part = F.explode(F.sequence(F.lit(0), F.lit(buckets.parts - 1)))
+    pairs = pairs.withColumn("part", part).select((F.col("group") * buckets.parts + F.col("part")).cast("int").alias("bucket"), "code", "n0", "n1", "below")
+    scored = grams.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_score(top), reply)
     given = scored.unionByName(counted)
     together = texts.groupBy("block").cogroup(given.groupBy("block"))
     assembled = _assemble(buckets, int(tokens) + ends, int(v) + (ends > 0), ends, to_arrow_type(kind))
