@@ -72,6 +72,21 @@ def unvarint(data: bytes) -> np.ndarray:
     return np.add.reduceat(parts, starts)
 
 
+def tops(parent: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Roots of members in a forest of parents."""
+    while True:
+        up = parent[members]
+        if np.array_equal(up, members):
+            return members
+        members = up
+
+
+def unite(parent: np.ndarray, members: np.ndarray) -> None:
+    """Make members one tree; the root of a tree is its smallest member."""
+    roots = tops(parent, members)
+    parent[roots] = parent[members] = roots.min()
+
+
 _released = [0.0]
 
 

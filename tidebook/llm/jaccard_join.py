@@ -8,7 +8,8 @@
    order is total, so no pair at or above the threshold is missed; that it puts
    rare shingles first keeps documents that share a passage, and no more, apart.
    Sets that meet at a shingle hang on the head of their run of compatible
-   sizes, one row per set and shingle: no pairs are written.
+   sizes, one row per set and shingle: no pairs are written.  Equal sets meet
+   once, and a shingle of very many sets is dealt over salts.
 3. Components of these edges bound where links can be.  Small ones share a bin,
    a large one is dealt over tiles of block pairs.  In each the incidence
    product is accumulated exactly, in row blocks; pairs below the size-derived
@@ -27,9 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import block_id, input_splits, pack, tidy, unpack, unvarint, varint
+from .blocks import block_id, input_splits, pack, tidy, tops, unite, unpack, unvarint, varint
 from .components import connected_components
-from .scratch import all_columns, keep, unused
+from .scratch import all_columns, keep, materialize, unused
 from .text import mixed, shingle_sets, string_chunks
 
 #: Bytes of text in a block.
@@ -38,6 +39,8 @@ BLOCK_BYTES = 8 << 20
 TILE, BLOCK = 500_000, 500_000
 #: Parts into which a group of equal sets is split.
 SALTS = 256
+#: A shingle of 2 ** HOT_CLASS sets or more is dealt over salts, of so many each.
+HOT_CLASS = 16
 
 
 def _digests(shingles: np.ndarray, at: np.ndarray) -> list[bytes | None]:
@@ -135,11 +138,14 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "payload": pa.array(payload, pa.binary())})
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("shingle", pa.int64()), ("text", pa.string())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("prefix", pa.list_(pa.int64())), ("often", pa.list_(pa.int8())), ("text", pa.string())])
 
 
 def _prefixes(k: int, percent: int, bits: int):
     def prefixes(texts: pa.Table, classes: pa.Table) -> pa.Table:
+        """Every document's size and digest; and of one document for each set of
+        the block, unless it can meet no other, its prefix with the classes of
+        its shingles, and its text."""
         sets, pieces = _Block(k), []
         texts = texts.filter(pc.is_null(texts.column("bucket")))
         for i in range(texts.num_rows):
@@ -154,7 +160,7 @@ def _prefixes(k: int, percent: int, bits: int):
         for ids, data, offsets, shingles, at, digests, new in pieces:
             sizes = np.diff(at)
             rows = len(sizes)
-            out.append(pa.table([ids, pa.array(sizes), pa.array(digests, pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.string())], schema=_OUT))
+            out.append(pa.table([ids, pa.array(sizes), pa.array(digests, pa.binary()), *(pa.nulls(rows, t) for t in _OUT.types[3:])], schema=_OUT))
             own, counted = np.zeros(len(shingles), np.uint8), np.repeat(new, sizes)
             own[counted] = often[np.searchsorted(values, shingles[counted] >> np.uint64(64 - bits))]
             rank = (own.astype(np.uint64) << np.uint64(56)) | (shingles >> np.uint64(8))
@@ -165,17 +171,14 @@ def _prefixes(k: int, percent: int, bits: int):
                 if np.count_nonzero(own[a : a + n] == 0) >= first:
                     continue
                 order = np.argsort(rank[a : a + n], kind="stable")[:first]
-                order = order[own[a + order] > 0]  # a shingle of one set joins nothing
-                picked.append(shingles[a + order])
+                picked.append(a + order[own[a + order] > 0])  # a shingle of one set joins nothing
                 owners.append(i)
             if picked:
-                owners = np.array(owners)
-                each = np.repeat(owners, [len(p) for p in picked])
-                n = len(each)
-                out.append(pa.table([ids.take(pa.array(each)), pa.array(sizes[each]), pa.nulls(n, pa.binary()), pa.array(np.concatenate(picked).view(np.int64)), pa.nulls(n, pa.string())], schema=_OUT))
+                each, places = np.array(owners), np.concatenate(picked)
+                ends = pa.array(np.cumsum([0, *map(len, picked)]).astype(np.int32))
                 whole = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in owners]
-                n = len(owners)
-                out.append(pa.table([ids.take(pa.array(owners)), pa.array(sizes[owners]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(whole, pa.string())], schema=_OUT))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (shingles[places].view(np.int64), own[places].view(np.int8))]
+                out.append(pa.table([ids.take(pa.array(each)), pa.array(sizes[each]), pa.array([digests[i] for i in owners], pa.binary()), *lists, pa.array(whole, pa.string())], schema=_OUT))
         return pa.concat_tables(out) if out else _OUT.empty_table()
 
     return tidy(prefixes)
@@ -212,11 +215,9 @@ def sparse_links(shingles: np.ndarray, at: np.ndarray, percent: int) -> np.ndarr
         bound = percent * (sizes[a:b, None] + sizes[None, :])
         linked = (overlap > 0) & ((100 + percent) * overlap >= bound)
         for i in range(a, b):
-            roots = np.unique(np.append(root[np.flatnonzero(linked[i - a])], root[i]))
-            if len(roots) > 1:
-                root[np.isin(root, roots)] = roots[0]
+            unite(root, np.append(np.flatnonzero(linked[i - a]), i))
         a = b
-    return root
+    return tops(root, root)
 
 
 def _product(k: int, percent: int):
@@ -236,6 +237,31 @@ def _product(k: int, percent: int):
     return tidy(product)
 
 
+def _runs(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """``head``: the first row of the run of compatible sizes that a row of
+    ``rep, least, most`` (sizes) is in, among those of its ``keys``."""
+    along = Window.partitionBy(*keys).orderBy("least", "rep")
+    before = F.max("most").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("least") * percent > before * 100, F.lit(True))
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("opens", opens).withColumn("head", F.last(F.when(F.col("opens"), F.col("rep")), ignorenulls=True).over(upto)).drop("opens")
+
+
+def _meetings(sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: sets, of ``rep, n, prefix, often``, that hang together at a
+    shingle of their prefixes.  A shingle of very many sets is dealt over salts;
+    the runs of its salts then hang together as sets do."""
+    each = sets.select("rep", F.col("n").alias("least"), F.col("n").alias("most"), F.explode(F.arrays_zip("prefix", "often")).alias("x"))
+    salts = F.pow(F.lit(2.0), F.greatest(F.col("x.often").cast("int") - HOT_CLASS, F.lit(0))).cast("long")
+    each = each.select("rep", "least", "most", F.col("x.prefix").alias("shingle"), salts.alias("salts"))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
+    first = _runs(each, ["shingle", "salt"], percent)
+    edges = first.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    hot = first.where("salts > 1").groupBy("shingle", "salt", "head").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    again = _runs(hot.withColumnRenamed("head", "rep"), ["shingle"], percent).where("rep <> head")
+    return edges.unionByName(again.select(F.col("rep").alias("a"), F.col("head").alias("b"))).distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each input row.
 
@@ -257,33 +283,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # shared count can only move a shingle in the order, never lose a pair.
     bits = min(42, 34 + math.ceil(math.log2(partitions + 1)))
     scanned = texts.mapInArrow(_scan(k, bits, bucket_bits), "block long, bucket int, ids array<long>, lengths binary, payload binary")
-    scanned = scanned.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
+    scanned = scanned.repartition(max(partitions, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block")
     counted = scanned.mapInArrow(_only_shingles, "block long, bucket int, lengths binary, payload binary")
     counted = counted.groupBy("bucket").applyInArrow(_frequencies, "block long, bucket int, payload binary")
     blocks = scanned.groupBy("block").cogroup(counted.groupBy("block"))
-    blocks = keep(blocks.applyInArrow(_prefixes(k, percent, bits), "doc_id long, n long, digest binary, shingle long, text string"))
+    blocks = keep(blocks.applyInArrow(_prefixes(k, percent, bits), "doc_id long, n long, digest binary, prefix array<long>, often array<tinyint>, text string"))
 
-    sets = blocks.where("shingle is null and text is null").select("doc_id", F.col("n").alias("n_shingles"), "digest")
+    sets = blocks.where("text is null").select("doc_id", F.col("n").alias("n_shingles"), "digest")
     # Equal sets find their smallest identifier by way of salted groups, so that
     # a task holds no more of one digest than a salt does.
     sets = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     salted = sets.where("digest is not null and doc_id is not null").groupBy("digest", "salt").agg(F.min("doc_id").alias("rep"))
-    classes = salted.drop("rep").join(salted.groupBy("digest").agg(F.min("rep").alias("rep")), "digest")
-    member = keep(sets.join(classes, ["digest", "salt"], "left").select("doc_id", "n_shingles", "digest", "rep"))
-    met = blocks.where("shingle is not null and doc_id is not null").select("shingle", "doc_id", "n")
-    by_size = Window.partitionBy("shingle").orderBy("n", "doc_id")
-    breaks = F.col("n") * percent > F.lag("n").over(by_size) * 100
-    met = met.withColumn("opens", F.coalesce(breaks, F.lit(True)))
-    upto = by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = met.withColumn("head", F.last(F.when(F.col("opens"), F.col("doc_id")), ignorenulls=True).over(upto))
-    edges = met.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    node = member.where("rep is not null").select("doc_id", "rep")
-    for end in ("a", "b"):
-        edges = edges.join(node.withColumnsRenamed({"doc_id": end, "rep": f"{end}_rep"}), end)
-    met = connected_components(edges.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")))
-
-    size = member.where("doc_id = rep").groupBy("rep").agg(F.max("n_shingles").alias("n"))
-    met = keep(met.join(size, F.col("node") == F.col("rep")).select("node", "component", "n"))
+    least = salted.groupBy("digest").agg(F.min("rep").alias("rep"))
+    classes = salted.drop("rep").join(least, "digest")
+    member = materialize(sets.join(classes, ["digest", "salt"], "left").select("doc_id", "n_shingles", "rep"), "jaccard-members")
+    # Of blocks that know a set, one speaks for it: a copied text meets others once.
+    known = blocks.where("text is not null")
+    speaks = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(least, "digest")
+    spoken = materialize(known.select("digest", "doc_id", "n", "prefix", "often").join(speaks, ["digest", "doc_id"]).dropDuplicates(["digest"]), "jaccard-prefixes")
+    met = connected_components(_meetings(spoken, percent))
+
+    size = spoken.groupBy("rep").agg(F.max("n").alias("n"))
+    met = materialize(met.join(size, F.col("node") == F.col("rep")).select("node", "component", "n"), "jaccard-met")
     totals = met.groupBy("component").agg(F.ceil(F.sum("n") / TILE).cast("long").alias("blocks"))
     bins = int(met.agg(F.coalesce(F.ceil(F.sum("n") / TILE), F.lit(0))).head()[0]) + 1
     met = met.join(totals, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -294,11 +315,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.least("block", "other").alias("i"),
         F.greatest("block", "other").alias("j"),
     )
-    known = blocks.where("text is not null").select("doc_id", "text")
-    chosen = known.select("doc_id").join(node, "doc_id").groupBy("rep").agg(F.min("doc_id").alias("doc_id"))
-    known = chosen.join(known, "doc_id").select("rep", "text")
-    tiles = met.join(known, F.col("node") == F.col("rep")).select("bin", "i", "j", "rep", "text")
+    chosen = spoken.join(met.select(F.col("node").alias("rep")).distinct(), "rep", "left_semi").select("digest", "doc_id", "rep")
+    told = known.select("digest", "doc_id", "text").join(chosen, ["digest", "doc_id"]).select("rep", "text")
+    tiles = met.join(told, F.col("node") == F.col("rep")).select("bin", "i", "j", "rep", "text")
     links = tiles.groupBy("bin", "i", "j").applyInArrow(_product(k, percent), "a long, b long")
+    # A repeated identifier is one node, whatever its texts.
+    twice = member.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
+    links = links.unionByName(member.join(twice, "doc_id").select("a", F.col("rep").alias("b")))
     found = connected_components(links).withColumnRenamed("node", "rep")
     return member.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
