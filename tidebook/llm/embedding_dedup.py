@@ -10,8 +10,9 @@
    probes the other's list and no link is lost; if both do, one of them counts.
 4. In a list, table-lookup distances to the codes, with the coding error added,
    leave candidates, and lose none; exact cosines decide.
-5. A list is dealt over chunks of bounded size.  Of links only counts and a
-   spanning forest leave a chunk, never pairs.
+5. A list is dealt over tiles: chunks of its own vectors against chunks of the
+   vectors that query it, both of bounded size.  Of links only counts and a
+   spanning forest leave a tile, never pairs.
 """
 
 from __future__ import annotations
@@ -26,15 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import tops, unite
 from .components import connected_components
-from .scratch import keep
-
-#: Distinct vectors on which centroids and codebooks are fitted.
-SAMPLE_ROWS = 20_000
-#: Vectors of a list that one task indexes, and pairs it compares at once.
-CHUNK, PAIRS = 2048, 1 << 21
-#: Coarse centroids at most, subspaces, and codes of a subspace.
-MOST_LISTS, SUBSPACES, CODES = 1024, 16, 64
+from .scratch import keep, materialize
+
+#: Distinct vectors on which centroids and codebooks are fitted, about, or so many
+#: for each centroid if that is more.
+SAMPLE_ROWS, SAMPLE_OF_LIST = 20_000, 16
+#: Vectors of a list that one tile indexes, vectors that query them there, and
+#: distances held at once.
+CHUNK, QUERIES, PAIRS = 2048, 16_384, 1 << 21
+#: Coarse centroids are the root of the number of vectors, and so many at most
+#: (they are fitted on the driver and travel to all); subspaces, and codes of one.
+MOST_LISTS, SUBSPACES, CODES = 1 << 14, 16, 64
 SALTS = 256
 #: Share of the linking radius by which lists are probed, from both sides of a
 #: bisector: 0.5 is exact for any data, more probes in vain, less loses links.
@@ -57,7 +62,8 @@ def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.concatenate([_squares(x[i : i + 8192], centres).argmin(axis=1) for i in range(0, len(x), 8192)] or [np.zeros(0, np.int64)])
+    step = max(1, PAIRS // max(1, len(centres)))
+    return np.concatenate([_squares(x[i : i + step], centres).argmin(axis=1) for i in range(0, len(x), step)] or [np.zeros(0, np.int64)])
 
 
 @dataclass(frozen=True)
@@ -116,15 +122,15 @@ def _units(column, kind: str) -> np.ndarray:
 def _assign(quantiser, radius: float, margin: float, kind: str):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Quantiser = quantiser.value
-        between = np.sqrt(_squares(q.centroids, q.centroids))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        step = max(1, PAIRS // (2 * len(q.centroids)))
+        for batch in (whole.slice(i, step) for whole in batches for i in range(0, whole.num_rows, step)):
             x = _units(batch.column("vector"), kind)
             squares = _squares(x, q.centroids)
             home = squares.argmin(axis=1)
             codes, error = q.encode(x - q.centroids[home])
-            reach = squares - squares[np.arange(len(x)), home][:, None] <= 2 * radius * margin * between[home] + 1e-9
+            near, inverse = np.unique(home, return_inverse=True)
+            between = np.sqrt(_squares(q.centroids[near], q.centroids))
+            reach = squares - squares[np.arange(len(x)), home][:, None] <= 2 * radius * margin * between[inverse] + 1e-9
             reach[np.arange(len(x)), home] = False
             probes = [np.flatnonzero(r).astype(np.int32) for r in reach]
             yield pa.RecordBatch.from_arrays(
@@ -148,7 +154,9 @@ def _search(quantiser, least: float, radius: float, kind: str):
         held = int(np.count_nonzero(table.column("indexed").to_numpy()))
         ids, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
         counts, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        if held and len(ids) > 1:
+        # Pairs within the index are those of one of its tiles.
+        first = 0 if table.column("part")[0].as_py() == 0 else held
+        if held and len(ids) > max(1, first):
             x = _units(table.column("vector"), kind)
             centre = q.centroids[table.column("list")[0].as_py()]
             codes = np.stack([np.frombuffer(c.as_py(), np.uint8) for c in table.column("codes").slice(0, held)])
@@ -159,7 +167,7 @@ def _search(quantiser, least: float, radius: float, kind: str):
             probes = pc.list_parent_indices(table.column("probes").slice(0, held).combine_chunks()).to_numpy()
             probed[probes, pc.list_flatten(table.column("probes").slice(0, held)).to_numpy()] = True
             step = max(1, PAIRS // held)
-            for a in range(0, len(ids), step):
+            for a in range(first, len(ids), step):
                 b = min(len(ids), a + step)
                 squares = np.zeros((b - a, held))
                 for m, lookup in enumerate(q.tables(x[a:b] - centre)):
@@ -175,11 +183,10 @@ def _search(quantiser, least: float, radius: float, kind: str):
                 linked = np.concatenate([np.einsum("ij,ij->i", x[a + i[s : s + PAIRS // 64]], x[j[s : s + PAIRS // 64]]) for s in range(0, len(i), PAIRS // 64)]) >= least
                 i, j = a + i[linked], j[linked]
                 counts += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
-                for row in np.unique(i):
-                    roots = np.unique(np.append(root[j[i == row]], root[row]))
-                    if len(roots) > 1:
-                        root[np.isin(root, roots)] = roots[0]
-        some = np.flatnonzero(counts)
+                edges = np.flatnonzero(np.diff(i, prepend=-1, append=-1))
+                for s, t in zip(edges[:-1], edges[1:], strict=True):
+                    unite(root, np.append(j[s:t], i[s]))
+        some, root = np.flatnonzero(counts), tops(root, root)
         return pa.table({"rep": pa.array(ids[some]), "links": pa.array(counts[some]), "root": pa.array(ids[root[some]])})
 
     return search
@@ -217,21 +224,35 @@ def near_duplicates(
     found = None
     if n:
         lists = int(min(MOST_LISTS, max(8, np.sqrt(n))))
-        sample = distinct.orderBy(F.xxhash64("label", "digest"), "label", "digest").limit(sample_rows).select("vector").toArrow()
+        share = float(1 << 30) * max(sample_rows, SAMPLE_OF_LIST * lists) / n
+        chosen = distinct.where(F.pmod(F.xxhash64("label", "digest"), F.lit(1 << 30)) < share)
+        sample = chosen.select("label", "digest", "vector").toArrow().sort_by([("label", "ascending"), ("digest", "ascending")])
+        if not sample.num_rows:  # a few vectors can all miss the share
+            sample = distinct.limit(1).select("vector").toArrow()
         quantiser = spark.sparkContext.broadcast(fit(_units(sample.column("vector"), kind), lists))
         schema = "rep long, label string, copies long, vector binary, home int, codes binary, error double, probes array<int>"
         coded = keep(distinct.select("rep", "label", "copies", "vector").mapInArrow(_assign(quantiser, radius, margin, kind), schema))
-        sizes = coded.groupBy("label", F.col("home").alias("list")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-        chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-        own = coded.withColumn("list", F.col("home")).join(sizes, ["label", "list"]).withColumn("chunk", chunk)
-        later = own.withColumn("chunk", F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c > F.col("chunk"))))
-        away = coded.withColumn("list", F.explode("probes")).join(sizes, ["label", "list"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        columns = ["label", "list", "chunk", "rep", "copies", "vector", "home", "codes", "error", "probes"]
-        parts = own.select(*columns, F.lit(True).alias("indexed"))
+        # How many chunks of its own, and of queries from elsewhere, a list has.
+        count = F.count(F.lit(1))
+        sizes = coded.groupBy("label", F.col("home").alias("list")).agg(F.ceil(count / CHUNK).cast("int").alias("chunks"))
+        asked = coded.select("label", F.explode("probes").alias("list")).groupBy("label", "list").agg(F.ceil(count / QUERIES).cast("int").alias("parts"))
+        sizes = materialize(sizes.join(asked, ["label", "list"], "left").fillna(1, ["parts"]), "list-sizes")
+        spread = F.xxhash64("rep")
+        own = coded.withColumn("list", F.col("home")).join(sizes, ["label", "list"]).withColumn("chunk", F.pmod(spread, F.col("chunks")).cast("int"))
+        # A tile: chunk against part; part 0 has pairs within the chunk and the
+        # first queries, others further queries, and -j a later chunk j.
+        chunks, parts = F.sequence(F.lit(0), F.col("chunks") - 1), F.sequence(F.lit(0), F.col("parts") - 1)
+        against = F.concat(parts, F.transform(F.filter(chunks, lambda c: c > F.col("chunk")), lambda c: -c))
+        indexed = own.withColumn("part", F.explode(against))
+        later = own.withColumn("part", -F.col("chunk")).withColumn("chunk", F.explode(F.filter(chunks, lambda c: c < F.col("chunk"))))
+        away = coded.withColumn("list", F.explode("probes")).join(sizes, ["label", "list"])
+        away = away.withColumn("part", F.pmod(spread, F.col("parts")).cast("int")).withColumn("chunk", F.explode(chunks))
+        columns = ["label", "list", "chunk", "part", "rep", "copies", "vector", "home", "codes", "error", "probes"]
+        tiles = indexed.select(*columns, F.lit(True).alias("indexed"))
         for queries in (later, away):
             bare = queries.withColumns({"codes": F.lit(None).cast("binary"), "error": F.lit(None).cast("double"), "probes": F.lit(None).cast("array<int>")})
-            parts = parts.unionByName(bare.select(*columns, F.lit(False).alias("indexed")))
-        found = parts.groupBy("label", "list", "chunk").applyInArrow(_search(quantiser, least, radius, kind), "rep long, links long, root long")
+            tiles = tiles.unionByName(bare.select(*columns, F.lit(False).alias("indexed")))
+        found = tiles.groupBy("label", "list", "chunk", "part").applyInArrow(_search(quantiser, least, radius, kind), "rep long, links long, root long")
         found = keep(found)
         counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
         component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
