@@ -183,12 +183,45 @@ def test_bpe_equals_the_library_and_decodes(spark, odd, clashing, empty):
     for docs in (odd, clashing):
         encoded = byte_bpe.encode_texts(docs, data, pattern)
         decoded = byte_bpe.decode_ids(encoded, data)
+        assert decoded.columns == ["doc_id", "n_tokens", "ids", "decoded"]
         got = collections.Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in decoded.collect())
         assert got == wanted
         assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in encoded.collect())
-    fused = byte_bpe.encode_texts(odd, data, pattern, decode=True)
-    assert collections.Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in fused.collect()) == wanted
-    assert byte_bpe.encode_texts(empty, data, pattern).count() == 0
+        fused = byte_bpe.encode_texts(docs, data, pattern, decode=True)
+        assert collections.Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in fused.collect()) == wanted
+    assert byte_bpe.encode_texts(empty, data, pattern, decode=True).count() == 0
+    assert byte_bpe.decode_ids(byte_bpe.encode_texts(empty, data, pattern), data).count() == 0
+
+
+def test_bpe_decodes_nulls_and_batches_of_any_size(spark):
+    data, _ = vocabulary()
+    ranks = byte_bpe._ranks(data)
+    own = {rank: token for token, rank in ranks.items()}
+    rng = random.Random(6)
+    lists = [None, [], [5], *([rng.randrange(len(ranks)) for _ in range(rng.randint(0, 40))] for _ in range(40))]
+    packed = [None if t is None else np.array(t, "<u4").tobytes() for t in lists]
+    rows = spark.createDataFrame([(i, p, "x", "y") for i, p in enumerate(packed)], "position long, ids binary, piece string, own_row string").coalesce(1)
+    for size in (1, 7, 4096):
+        prepared(spark, size)
+        got = {r["position"]: r["decoded"] for r in byte_bpe.decode_ids(rows, data).collect()}
+        assert got == {i: None if t is None else b"".join(own[x] for x in t) for i, t in enumerate(lists)}
+    with pytest.raises(Exception, match="isn't in the token-byte table"):
+        byte_bpe.decode_ids(rows.withColumn("ids", F.unhex(F.lit("ffffff0f"))), data).collect()
+
+
+def test_bpe_merges_of_short_and_long_words_agree():
+    import tiktoken
+
+    data, _ = vocabulary()
+    ranks = byte_bpe._ranks(data)
+    library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    for n in [1, 2, 3, 5, 9, 40, 255, 256, 257, 3000]:
+        for letters in ("ab", "a", "the quick brown é "):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            raw = word.encode()
+            assert byte_bpe._merge_short(raw, ranks) == byte_bpe._merge_long(raw, ranks)
+            assert byte_bpe._merger(ranks)(raw) == library.encode_ordinary(word)
 
 
 # ---- 3 context-tree weighting ---------------------------------------------------------
@@ -434,7 +467,7 @@ def test_exact_dedup(spark, odd, clashing, empty):
         for i in ids:
             wanted[i, keep, len(ids), hashlib.sha256(text.encode()).hexdigest()] += 1
     for docs in (odd, clashing):
-        got = exact_dedup.exact_dedup(docs, runs=16, fan_in=3)
+        got = exact_dedup.exact_dedup(docs, runs=16, fan_in=4)
         assert bag(got, "doc_id", "keep_id", "group_size", "text_sha256") == wanted
         assert got.where("kept").count() == len(groups)
         assert got.where("kept and not (doc_id <=> keep_id)").count() == 0

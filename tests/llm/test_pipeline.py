@@ -97,3 +97,26 @@ def test_repeated_rows_and_nulls_do_not_crash(spark):
     empty = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_stages_keep_null_identifiers_and_clashing_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    good = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").select("text").distinct().limit(30).collect()]
+    rows = [(None if i % 3 else i, t, "en", ["x", None][i % 2], len(t)) for i, t in enumerate(good)]
+    names = ["own_sha256", "own_turn", "copy_key", "copy_rank", "near_key", "mix_key", "mix_times", "mix_turn", "statistics", "size", "kept", "digest", "run", "rep", "block", "tokens", "ids", "decoded", "position"]
+    docs = spark.createDataFrame(rows, schema).withColumns({n: F.lit(n) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert all(r[n] == n for r in found for n in names), name
+        assert sum(r["doc_id"] is None for r in found) >= 10, name
+    assert corpus_pipeline.tokenize(spark, docs, SF).where("doc_id is null").count() == sum(r[0] is None for r in rows)
+
+
+def test_run_is_its_stages_one_after_another(spark):
+    got = collections.Counter(map(tuple, corpus_pipeline.run(spark, SF.replace("0.01", "0.001")).collect()))
+    docs = spark.read.parquet(f"{SF.replace('0.01', '0.001')}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, SF.replace("0.01", "0.001")).toArrow())
+    assert got == collections.Counter(map(tuple, docs.collect()))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -212,10 +212,11 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, relaxed: float = 1e
     # The lasso chooses rules; a second, weaker one weighs those without the
     # shrinkage of the first.
     rules = extract_rules(x, y)
-    weights, _ = fit_lasso(np.stack([r.holds(x) for r in rules], axis=1), y.astype(float), penalty)
-    rules = [r for r, w in zip(rules, weights, strict=True) if w]
-    weights, intercept = fit_lasso(np.stack([r.holds(x) for r in rules], axis=1) if rules else np.zeros((len(x), 0)), y.astype(float), relaxed)
-    return RuleEnsemble(tuple(Rule(r.terms, float(w)) for r, w in zip(rules, weights, strict=True) if w), intercept)
+    for strength in (penalty, relaxed):
+        held = np.stack([r.holds(x) for r in rules], axis=1) if rules else np.zeros((len(x), 0))
+        weights, intercept = fit_lasso(held, y.astype(float), strength)
+        rules = [replace(r, weight=float(w)) for r, w in zip(rules, weights, strict=True) if w]
+    return RuleEnsemble(tuple(rules), intercept)
 
 
 def _fitted(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, holdout: int, sample_rows: int) -> RuleEnsemble:

@@ -1,41 +1,21 @@
-"""Intermediate tables in the folder that driver and executors share.
+"""Intermediate tables of the operators, and what their tasks need.
 
-``spark.checkpoint.dir`` names that folder.  Only where the session leaves it
-unset (tests, a notebook) a folder of this process is used instead; such a
-session runs in one JVM, so the folder is shared by definition.
+Tables are written in the folder that driver and executors share (see
+:mod:`tidebook.storage`), or kept on executors' disks with their lineage.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-_shipped: set[str] = set()
-
-
-def root(spark: SparkSession) -> str:
-    """URI of the shared folder."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _own:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        _own[key] = "file://" + tempfile.mkdtemp(prefix="tidebook-")
-    return _own[key]
+from tidebook.storage import new_path, ship, written
 
+__all__ = ["all_columns", "keep", "materialize", "new_path", "prepared", "unused"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{root(spark)}/tidebook/{name}-{uuid.uuid4().hex}"
+#: A written table: a cut of the lineage that outlives any executor.
+materialize = written
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -46,15 +26,6 @@ def keep(df: DataFrame) -> DataFrame:
     return df
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the written table: a cut of the lineage
-    that outlives any executor, and a barrier against running a costly scan
-    again for each consumer."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def unused(name: str, df: DataFrame) -> str:
     """``name``, lengthened until no column of ``df`` has it (in any case)."""
     taken = {c.lower() for c in df.columns}
@@ -68,19 +39,10 @@ def all_columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-def prepared(spark: SparkSession, rows: int = 1000) -> SparkSession:
+def prepared(spark: SparkSession, rows: int = 4096, size: str = "4m") -> SparkSession:
     """``spark`` with what tasks over texts need: this package on the executors,
-    and Arrow batches bounded by rows (with the default of 10,000 one batch of
-    long texts can take a large part of an executor)."""
+    and Arrow batches bounded by rows and bytes (by default one batch of long
+    texts can take a large part of an executor)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    key = spark.sparkContext.applicationId
-    if key not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        folder = Path(tempfile.mkdtemp(prefix="tidebook-package-"))
-        archive = folder / f"{package.name}.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for path in sorted(package.rglob("*.py")):
-                out.write(path, path.relative_to(package.parent))
-        spark.sparkContext.addPyFile(str(archive))
-        _shipped.add(key)
-    return spark
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return ship(spark)
