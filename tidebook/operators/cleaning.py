@@ -167,7 +167,8 @@ def _staged(df: DataFrame, config: CleaningConfig, levels: int, order: list[str]
     latest = Window.partitionBy("complete", own).orderBy(*(F.col(c).desc() for c in order))
     rows = rows.withColumn("clean_rank", F.row_number().over(latest))
     stage = F.when(~F.col("complete"), 1).when(F.col("clean_rank") > 1, 2).when(F.col("spread_now") <= 0, 3).otherwise(0)
-    rows = rows.withColumn("stage", stage).drop("clean_rank", "complete")
+    # Ranked once: the cut, the caps and the rows themselves are all read from it.
+    rows = rows.withColumn("stage", stage).drop("clean_rank", "complete").persist(StorageLevel.DISK_ONLY)
     cut = quantiles(rows.where("stage = 0"), ["spread_now"], [config.spread_upper_quantile], config.approximate).select(F.col("spread_now")[0].alias("spread_cut"))
     rows = rows.crossJoin(F.broadcast(cut))  # one row
     outlier = (F.col("spread_now") > F.col("spread_cut")) | (F.col("spread_now") > config.max_allowed_spread)
