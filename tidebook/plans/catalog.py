@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.functions import book as bk
-from tidebook.functions.labels import SignalRule, signal
+from tidebook.functions.labels import SignalRule
 from tidebook.operators import backtest as bt
 from tidebook.operators import cleaning, evaluation, experiment, features, models, sessions, targets
 from tidebook.schema import level_columns, required_columns
@@ -769,7 +769,8 @@ def feature_selection(spark, sf_dir):
 
 def _prepared(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     rows, report = models.prepare(_dataset(spark, sf_dir))
-    return rows.select("timestamp", "split", "target", *report.selected).persist(), report.selected
+    # Training reads its rows again and again: from a table, not from the plan.
+    return written(rows.select("timestamp", "split", "target", *report.selected), "prepared").persist(), report.selected
 
 
 @query()
@@ -778,16 +779,27 @@ def logistic_predictions(spark, sf_dir):
     return models.predict(models.train_logistic(rows, chosen), rows)
 
 
+_boosted: dict[tuple[str, str], tuple[DataFrame, models.BoostedModel]] = {}
+
+
+def _trained(spark, sf_dir) -> tuple[DataFrame, models.BoostedModel]:
+    """Rows and their model, trained once for the queries that ask for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _boosted:
+        rows, chosen = _prepared(spark, sf_dir)
+        _boosted[key] = rows, models.train_boosted(rows, chosen)
+    return _boosted[key]
+
+
 @query()
 def boosted_predictions(spark, sf_dir):
-    rows, chosen = _prepared(spark, sf_dir)
-    return models.predict(models.train_boosted(rows, chosen), rows)
+    rows, model = _trained(spark, sf_dir)
+    return models.predict(model, rows)
 
 
 @query()
 def feature_importance(spark, sf_dir):
-    rows, chosen = _prepared(spark, sf_dir)
-    found = models.train_boosted(rows, chosen).importance()
+    found = _trained(spark, sf_dir)[1].importance()
     rows = spark.createDataFrame(found, "feature string, importance_split long, importance_gain double")
     return rows.orderBy(F.desc("importance_gain"), F.desc("importance_split"), "feature").limit(20)
 
