@@ -1,14 +1,16 @@
 """Edges of single operators, against plain Python."""
 
+import math
 import random
+from functools import reduce
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.functions.labels import SignalRule, signal, three_way
-from tidebook.operators import backtest, cleaning, evaluation, experiment, features, models, ordered, sessions, targets
+from tidebook.operators import backtest, boosting, cleaning, evaluation, experiment, features, models, ordered, sessions, targets
 from tidebook.plans import catalog, fixtures
 from tidebook.storage import written
 
@@ -154,45 +156,145 @@ def test_a_history_from_beyond_a_break_is_seen(spark):
 
 def test_horizon_runs_reach_every_step(spark):
     """Labels, predictions and backtests as written, against the steps by
-    themselves, with a model that needs no training."""
+    themselves; a horizon beyond every stretch has an empty row."""
     rows = written(features.build_features(fixtures.book(spark, "/root/testdata/sf0.001"), keep_levels=False), "features")
-
-    class Fixed:
-        def transform(self, df):
-            up = F.pmod(F.xxhash64("timestamp"), F.lit(100)) / 100.0
-            return df.withColumn("probability", array_to_vector(F.array((1 - up) * 0.8, F.lit(0.1) + up * 0.1, up * 0.9)))
-
-    trained, rule = [], SignalRule(0.4, 0.0, 0.6)
-
-    def train(df, chosen):
-        trained.append({r["split"]: r["count"] for r in df.groupBy("split").count().collect()} | {"features": len(chosen)})
-        return Fixed()
-
-    got = experiment.run_horizons(rows, horizons=(5, 10), rule=rule, train=train).collect()
-    assert [(r["horizon_seconds"], r["cost_mode"]) for r in got] == [(5, "zero_cost"), (5, "cost_adjusted"), (10, "zero_cost"), (10, "cost_adjusted")]
+    growth, rule = boosting.Growth(rounds=3), SignalRule(0.35, 0.0, 0.6)
+    got = experiment.run_horizons(rows, horizons=(5, 10, 120), rule=rule, growth=growth).collect()
+    assert [(r["horizon_seconds"], r["cost_mode"]) for r in got] == [(h, m) for h in (5, 10, 120) for m in ("zero_cost", "cost_adjusted")]
     market = backtest.prepare_market(rows)
-    for h, free, paid, own in zip((5, 10), got[::2], got[1::2], trained, strict=True):
-        labelled = targets.build_targets(rows, targets.TargetConfig(horizon_seconds=h)).select("timestamp", "target")
+    for h, free, paid in zip((5, 10), got[:4:2], got[1:4:2], strict=True):
+        labelled = targets.build_targets(rows, targets.TargetConfig(horizon_seconds=h))
+        own, report = models.prepare(labelled)
         predicted = spark.read.parquet(free["predictions_path"])
-        assert paid["predictions_path"] == free["predictions_path"]
-        wanted = {r["timestamp"]: r["target"] for r in labelled.collect()}
-        seen = predicted.collect()
-        assert all(wanted[r["timestamp"]] == r["y_true"] for r in seen)
-        assert len(seen) == own["validation"] + own["test"] and own["train"] == int(len(wanted) * 0.7) and own["features"] > 50
-        summary = backtest.summarize(backtest.run_backtest(predicted, market, backtest.BacktestConfig(rule, h, 1.0, 1.0, split="validation"))).head()
+        assert paid["predictions_path"] == free["predictions_path"] and len(report.selected) > 50
+        wanted = models.predict(models.train_boosted(own, report.selected, growth), own)
+        assert predicted.select(*wanted.columns).exceptAll(wanted).count() == 0 and predicted.count() == wanted.count() > 100
+        summary = backtest.summarize(backtest.run_backtest(wanted, market, backtest.BacktestConfig(rule, h, 1.0, 1.0, split="validation"))).head()
         assert paid["number_of_trades"] == free["number_of_trades"] == summary["number_of_trades"] > 0
-        assert paid["total_net_return_bps"] == pytest.approx(summary["total_net_return_bps"])
+        for name in ("total_net_return_bps", "max_drawdown_bps", "no_trade_percentage", "hit_rate"):
+            assert paid[name] == pytest.approx(summary[name])
         assert free["total_net_return_bps"] == pytest.approx(summary["total_gross_return_bps"])
-
-
-def test_boosted_importance_counts_splits(spark):
-    rng = random.Random(2)
-    rows = [(i, rng.random(), rng.random()) for i in range(300)]
-    df = timed(spark, [(i * 1_000_000, a, b, (a > 0.6) - (a < 0.3)) for i, a, b in rows], "us long, a double, b double, target int").withColumn("split", F.lit("train"))
-    model = models.train_boosted(df, ["a", "b"], iterations=2, depth=2)
+    for r in got[4:]:
+        assert (r["number_of_trades"], r["total_net_return_bps"], r["validation_accuracy"]) == (0, 0.0, None)
+
+
+def plain_boosting(x, labels, weights, classes, growth):
+    """Trees found by trying every cut of every feature on the rows themselves."""
+    scores, trees = np.zeros((len(x), classes)), []
+    for _ in range(growth.rounds):
+        p = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+        for c in range(classes):
+            g, h = weights * (p[:, c] - (labels == c)), weights * classes / (classes - 1) * p[:, c] * (1 - p[:, c])
+
+            def best(rows, g=g, h=h):
+                out = (0.0, None, None)
+                for f in range(x.shape[1]):
+                    for cut in np.unique(x[rows, f])[:-1]:
+                        a, b = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                        if min(len(a), len(b)) >= growth.least_rows and min(h[a].sum(), h[b].sum()) >= growth.least_hessian:
+                            gain = g[a].sum() ** 2 / h[a].sum() + g[b].sum() ** 2 / h[b].sum() - g[rows].sum() ** 2 / h[rows].sum()
+                            if gain > max(out[0] + 1e-9, 1e-8):
+                                out = (gain, f, cut)
+                return out
+
+            leaves, splits = [(np.arange(len(x)), best(np.arange(len(x))))], []
+            while len(leaves) < growth.leaves and max(s[0] for _, s in leaves) > 0:
+                at = max(range(len(leaves)), key=lambda i: leaves[i][1][0])
+                rows, (gain, f, cut) = leaves.pop(at)
+                splits.append((f, len(rows)))
+                leaves += [(part, best(part)) for part in (rows[x[rows, f] <= cut], rows[x[rows, f] > cut])]
+            for rows, _ in leaves if splits else []:
+                scores[rows, c] -= growth.rate * g[rows].sum() / h[rows].sum()
+            trees.append(sorted(splits))
+    return trees, np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+
+
+def boosted_rows(spark, n, seed=2):
+    rng = random.Random(seed)
+    rows = [(i, rng.random(), rng.random(), float(rng.randrange(4))) for i in range(n)]
+    return timed(spark, [(i * 1_000_000, a, b, c, (a + 0.1 * c > 0.7) - (a * b < 0.15)) for i, a, b, c in rows], "us long, a double, b double, c double, target int").withColumn("split", F.lit("train"))
+
+
+def test_boosted_trees_against_every_cut(spark):
+    growth, names = boosting.Growth(rounds=4, leaves=7), ["a", "b", "c"]
+    df = boosted_rows(spark, 200).repartition(3)
+    forest = models.train_boosted(df, names, growth)
+    got = df.withColumn("p", boosting.probabilities(df, {None: forest})).orderBy("us").collect()
+    x, y = np.array([[r[n] for n in names] for r in got]), np.array([r["target"] for r in got])
+    labels = np.searchsorted(forest.classes, y)
+    counts = np.bincount(labels)
+    trees, p = plain_boosting(x, labels, (len(y) / (len(counts) * counts))[labels], len(counts), growth)
+    made = [sorted((f, n) for f, n in zip(r["feature"], r["rows"], strict=True) if f >= 0) for r in forest.trees.to_pylist()]
+    assert made == trees and len(made) == 12
+    assert np.allclose(np.array([r["p"] for r in got]), p, atol=1e-9)
+
+
+def test_boosted_importance_counts_splits(spark, tmp_path):
+    df = boosted_rows(spark, 300)
+    model = models.train_boosted(df, ["a", "b", "c"], boosting.Growth(rounds=2, leaves=5))
     found = model.importance()
-    assert [f for f, *_ in found] == ["a", "b"] and found[0][2] > found[1][2] >= 0
-    assert sum(n for _, n, _ in found) == sum((t.numNodes - 1) // 2 for m in model.models.values() for t in m.trees)
+    assert found[0][0] == "a" and found[0][2] > found[-1][2] >= 0
+    assert sum(n for _, n, _ in found) == sum(sum(f >= 0 for f in r["feature"]) for r in model.trees.to_pylist())
+    models.save(model, str(tmp_path / "m"), spark)
+    again = models.load(str(tmp_path / "m"), spark)
+    assert again.importance() == found and again.trees.equals(model.trees)
+
+
+def test_boosted_models_by_key_and_sample(spark):
+    """Each key's model is the one of its rows alone; one class has none; a
+    sample is about as large as asked, and repeated rows don't go together."""
+    growth, names = boosting.Growth(rounds=2, leaves=4), ["a", "b", "c"]
+    first, second = boosted_rows(spark, 150), boosted_rows(spark, 180, 9)
+    third = first.withColumn("target", F.lit(1))
+    both = reduce(DataFrame.unionByName, [df.withColumn("h", F.lit(k)) for k, df in ((5, first), (10, second), (60, third))])
+    forests = models.train_boosted_each(both, names, "h", growth)
+    assert sorted(forests) == [5, 10]
+    for k, df in ((5, first), (10, second)):
+        alone = models.train_boosted(df, names, growth)
+        assert forests[k].trees.drop_columns("model").equals(alone.trees.drop_columns("model"))
+    same = spark.range(4000).select((F.col("id") % 2 - F.col("id") % 3).cast("int").alias("target"), F.lit(1.0).alias("a"), (F.col("id") % 2).cast("double").alias("b"), F.lit(0.0).alias("c"))
+    sampled = boosting.fit(same.where("target <> 1 or b = 1"), names, growth, most_rows=1000)[None]
+    n = sampled.trees.column("rows").to_pylist()[0][0]
+    assert 800 < n < 1200
+
+
+@pytest.mark.parametrize("fan_in", [2, 3, 64])
+def test_holds_are_composed_over_buckets(spark, fan_in):
+    """Against a scan one by one: several timelines, each with its own horizon,
+    dense, sparse and with empty buckets."""
+    rng = random.Random(fan_in)
+    lines = {7: sorted(rng.sample(range(0, 4_000), 900)), 13: sorted(rng.sample(range(0, 90_000), 60)), 40: [5], None: [1, 2, 30_000, 30_001]}
+    rows = [(h, t * 100_000) for h, ts in lines.items() for t in ts for _ in range(2)]
+    df = spark.createDataFrame(rows, "h int, us long").where("h is not null").repartition(5)
+    got = backtest.taken_times(df, 40_000_000, ["h"], bucket_us=50_000_000, horizon_by="h", fan_in=fan_in)
+    wanted = []
+    for h, ts in lines.items():
+        last = -math.inf
+        for t in ts if h else []:
+            if t * 100_000 >= last + h * 1_000_000:
+                last = t * 100_000
+                wanted.append((h, last))
+    assert sorted((r["h"], r["us"]) for r in got.collect()) == wanted
+
+
+def test_histories_have_the_stated_names():
+    """The windows as they are stated, apart from the tables in the code."""
+    names = """
+    delta_mid_price delta_spread delta_imbalance_1 delta_imbalance_5 delta_imbalance_10 delta_imbalance_20
+    imbalance_1_lag_1 imbalance_1_lag_5 imbalance_1_lag_10 imbalance_5_lag_1 imbalance_5_lag_5 imbalance_5_lag_10 imbalance_20_lag_1 imbalance_20_lag_5
+    weighted_imbalance_lag_1 weighted_imbalance_lag_5 weighted_imbalance_lag_10 microprice_minus_mid_lag_1 microprice_minus_mid_lag_5 microprice_minus_mid_lag_10
+    spread_lag_1 spread_lag_5 relative_spread_lag_1 relative_spread_lag_5
+    imbalance_1_roll_mean_5 imbalance_1_roll_mean_10 imbalance_1_roll_mean_30 imbalance_5_roll_mean_5 imbalance_5_roll_mean_10 imbalance_5_roll_mean_30
+    imbalance_20_roll_mean_5 imbalance_20_roll_mean_10 imbalance_20_roll_mean_30 weighted_imbalance_roll_mean_5 weighted_imbalance_roll_mean_10 weighted_imbalance_roll_mean_30
+    microprice_minus_mid_roll_mean_5 microprice_minus_mid_roll_mean_10 microprice_minus_mid_roll_mean_30 spread_roll_mean_5 spread_roll_mean_10 relative_spread_roll_mean_5 relative_spread_roll_mean_10
+    imbalance_1_roll_std_10 imbalance_1_roll_std_30 imbalance_5_roll_std_10 imbalance_5_roll_std_30 weighted_imbalance_roll_std_10 weighted_imbalance_roll_std_30
+    microprice_minus_mid_roll_std_10 microprice_minus_mid_roll_std_30 spread_roll_std_10 spread_roll_std_30 relative_spread_roll_std_10 relative_spread_roll_std_30
+    mid_return_roll_std_10 mid_return_roll_std_30
+    imbalance_1_change_5 imbalance_1_change_10 imbalance_5_change_5 imbalance_5_change_10 imbalance_20_change_5 imbalance_20_change_10
+    weighted_imbalance_change_5 weighted_imbalance_change_10 microprice_minus_mid_change_5 microprice_minus_mid_change_10 spread_change_5 relative_spread_change_5
+    bid_depth_1_change_5 ask_depth_1_change_5 bid_depth_5_change_5 ask_depth_5_change_5 bid_depth_20_change_5 ask_depth_20_change_5 weighted_bid_depth_change_5 weighted_ask_depth_change_5
+    mid_return_1 mid_return_5 mid_return_10""".split()
+    assert sorted(names) == sorted(features.history_names()) and len(names) == 80
 
 
 def test_split_cuts_use_double_products():
@@ -233,22 +335,6 @@ def test_merge_raises_on_a_bad_time_and_keeps_the_later_file(spark):
         cleaning.merge([a, spark.createDataFrame([("x", 3)], "timestamp string, v int")]).collect()
 
 
-@pytest.mark.parametrize("name", ["boosted_predictions", "feature_importance"])
-def test_boosted_queries_run_all_rounds(spark, monkeypatch, name):
-    class Stop(Exception):
-        pass
-
-    def stop(**given):
-        seen.update(given)
-        raise Stop
-
-    seen = {}
-    monkeypatch.setattr(models, "GBTClassifier", stop)
-    with pytest.raises(Stop):
-        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert (seen["maxIter"], seen["maxDepth"], seen["stepSize"]) == (300, 5, 0.05)
-
-
 def test_logistic_query_runs_until_it_converges(spark, monkeypatch):
     class Stop(Exception):
         pass

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from tidebook import config, naming, reports
 from tidebook.functions.labels import SignalRule
-from tidebook.operators import backtest, cleaning, evaluation, experiment, features, models, sessions, targets
+from tidebook.operators import backtest, boosting, cleaning, evaluation, experiment, features, models, sessions, targets
 from tidebook.session import get_session
 from tidebook.sources import discovery, tables
 from tidebook.streaming import collector
@@ -18,8 +18,15 @@ def _input(spark, a, kind: str) -> str:
     return discovery.resolve(spark, a.folder, a.symbol, kind, a.input, a.dataset_name, a.date)
 
 
+def _newest(spark, a) -> str:
+    """The path given, else the newest table of the folder."""
+    if not (a.input or a.folder):
+        raise ValueError("an input takes a path or a folder")
+    return a.input or tables.newest(spark, a.folder)
+
+
 def _validate(spark, a, settings):
-    print(reports.verdict(cleaning.validate(tables.read_parquet(spark, a.input), a.levels)))
+    print(reports.verdict(cleaning.validate(tables.read_parquet(spark, _newest(spark, a)), a.levels)))
 
 
 def _merge(spark, a, settings):
@@ -29,13 +36,13 @@ def _merge(spark, a, settings):
 
 
 def _clean(spark, a, settings):
-    rows, chosen = tables.read_ordered(spark, a.input), config.cleaning(settings)
+    rows, chosen = tables.read_ordered(spark, _newest(spark, a)), config.cleaning(settings)
     tables.write_parquet(cleaning.clean(rows, chosen, a.levels).drop("raw_order"), a.output, a.mode)
     print(reports.facts("Cleaning", cleaning.clean_counts(rows, chosen, a.levels)))
 
 
 def _inspect(spark, a, settings):
-    rows = tables.read_parquet(spark, a.input)
+    rows = tables.read_parquet(spark, _newest(spark, a))
     print(reports.facts("Inspection", cleaning.inspect(rows)))
     if a.plots:
         for y in ("mid_price", "spread"):
@@ -43,7 +50,7 @@ def _inspect(spark, a, settings):
 
 
 def _features(spark, a, settings):
-    rows = tables.read_parquet(spark, a.input)
+    rows = tables.read_parquet(spark, _newest(spark, a))
     tables.write_parquet(features.build_features(rows, a.levels).drop("segment"), a.output, a.mode)
     print(reports.facts("Gaps", sessions.gap_diagnostics(rows)))
 
@@ -71,7 +78,7 @@ def _targets(spark, a, settings):
 def _train(spark, a, settings):
     rows, report = models.prepare(tables.read_parquet(spark, _input(spark, a, "model_dataset")))
     rows = rows.persist()
-    model = models.train_boosted(rows, report.selected, a.rounds) if a.model == "boosted" else models.train_logistic(rows, report.selected)
+    model = models.train_boosted(rows, report.selected, boosting.Growth(rounds=a.rounds)) if a.model == "boosted" else models.train_logistic(rows, report.selected)
     tables.write_parquet(models.predict(model, rows), a.output, a.mode)
     if a.save:
         models.save(model, a.save, spark)
@@ -112,15 +119,20 @@ def _predicted(spark, a):
     path = a.input or discovery.newest_predictions(spark, a.folder)
     folder = a.folder or path.rstrip("/").rpartition("/")[0] or "."
     market = a.market or discovery.dataset_of(spark, path, folder)
-    return tables.read_parquet(spark, path), backtest.prepare_market(tables.read_parquet(spark, market))
+    stem = f"{folder}/{discovery.name_of(path).removesuffix(discovery.PREDICTIONS)}"
+    return tables.read_parquet(spark, path), backtest.prepare_market(tables.read_parquet(spark, market)), stem
 
 
 def _backtest(spark, a, settings):
     chosen = config.backtest(settings)
     given = {k: getattr(a, k) for k in ("horizon_seconds", "fee_bps", "slippage_bps", "split")}
     chosen = replace(chosen, rule=_rule(a, chosen.rule), **{k: v for k, v in given.items() if v is not None})
-    predictions, market = _predicted(spark, a)
+    predictions, market, stem = _predicted(spark, a)
     rows = backtest.run_backtest(predictions, market, chosen)
+    if a.output is None:  # beside the predictions, named by the settings
+        rule = chosen.rule
+        folder, _, name = stem.rpartition("/")
+        a.output = f"{folder}/{naming.backtest_name(name, chosen.split, naming.signal_name(rule.signal_threshold, rule.direction_margin, rule.neutral_max_probability), chosen.cost_mode)}.parquet"
     tables.write_parquet(rows, a.output, a.mode)
     rows = tables.read_parquet(spark, a.output)
     print(reports.facts("Backtest", backtest.summarize(rows)))
@@ -129,14 +141,17 @@ def _backtest(spark, a, settings):
 
 
 def _sweep(spark, a, settings):
-    predictions, market = _predicted(spark, a)
-    swept = backtest.sweep(predictions, market, a.split or "validation", a.horizon_seconds or 5)
+    predictions, market, stem = _predicted(spark, a)
+    split = a.split or "validation"
+    a.output = a.output or f"{stem}_{split}_threshold_sweep.csv"
+    swept = backtest.sweep(predictions, market, split, a.horizon_seconds or 5)
     tables.write_csv(backtest.ranked(swept).coalesce(1), a.output, a.mode)
     print(reports.table("Best settings", backtest.top(swept)))
 
 
 def _experiment(spark, a, settings):
-    summary = experiment.run_horizons(tables.read_parquet(spark, a.input), tuple(a.horizons), a.threshold_abs or 0.5, a.split or "validation", _rule(a, SignalRule())).persist()
+    growth = boosting.Growth(rounds=a.rounds)
+    summary = experiment.run_horizons(tables.read_parquet(spark, _input(spark, a, "features")), tuple(a.horizons), a.threshold_abs or 0.5, a.split or "validation", _rule(a, SignalRule()), growth=growth).persist()
     tables.write_csv(summary.coalesce(1), a.output, a.mode)
     for name, row in experiment.rankings(summary).items():
         print(reports.facts(name, row.select("horizon_seconds", "cost_mode", "number_of_trades", "average_net_return_bps", "average_gross_return_bps")))
@@ -166,21 +181,21 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--dataset-name")
             p.add_argument("--date")
         if output:
-            p.add_argument("--output", required=name != "targets")
+            p.add_argument("--output", required=name not in ("targets", "backtest", "sweep"))
             p.add_argument("--mode", default="errorifexists")
         for o, kind in options:
             p.add_argument(f"--{o.replace('_', '-')}", type=kind, default=None)
         return p
 
     rule = [("signal_threshold", float), ("direction_margin", float), ("neutral_max_probability", float)]
-    command("validate", _validate, output=False)
+    command("validate", _validate, output=False, found=True)
     p = command("merge", _merge, ("folder", str), ("symbol", str), source=False)
     p.add_argument("--inputs", nargs="*")
     p.add_argument("--last", type=int, default=7)
     p.add_argument("--by", choices=["date", "time"], default="date")
-    command("clean", _clean)
-    command("inspect", _inspect, ("plots", str), output=False)
-    command("features", _features)
+    command("clean", _clean, found=True)
+    command("inspect", _inspect, ("plots", str), output=False, found=True)
+    command("features", _features, found=True)
     p = command("targets", _targets, ("horizon_seconds", int), ("target_mode", str), ("threshold_abs", float), ("cost_threshold_bps", float), ("cost_buffer_bps", float), ("tolerance_seconds", float), ("suffix", str), found=True)
     p.add_argument("--diagnostics", choices=["absolute", "cost_aware"])
     p = command("train", _train, ("save", str), found=True)
@@ -189,7 +204,8 @@ def parser() -> argparse.ArgumentParser:
     command("evaluate", _evaluate, ("first", str), ("second", str), ("importance", str), output=False, source=False, found=True)
     command("backtest", _backtest, ("market", str), ("horizon_seconds", int), ("fee_bps", float), ("slippage_bps", float), ("split", str), ("plots", str), *rule, found=True)
     command("sweep", _sweep, ("market", str), ("horizon_seconds", int), ("split", str), found=True)
-    p = command("experiment", _experiment, ("threshold_abs", float), ("split", str), *rule)
+    p = command("experiment", _experiment, ("threshold_abs", float), ("split", str), *rule, found=True)
+    p.add_argument("--rounds", type=int, default=300)
     p.add_argument("--horizons", type=int, nargs="*", default=list(experiment.HORIZONS))
     p = command("collect", _collect, ("checkpoint", str), ("symbol", str))
     p.add_argument("--carry-seconds", type=int)

@@ -47,7 +47,7 @@ def _timeline(by: list[str], bucket: str):
     return along, _upto(along), along.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _joined(df: DataFrame, summary: DataFrame, by: list[str], bucket: str) -> DataFrame:
+def joined(df: DataFrame, summary: DataFrame, by: list[str], bucket: str) -> DataFrame:
     """Summary columns beside the rows; null keys are keys."""
     keys = [*by, bucket]
     own = summary.withColumnsRenamed({k: f"own_{k}" for k in keys})
@@ -64,7 +64,7 @@ def running_sum(df: DataFrame, name: str, value: Column, order: list[str], by: l
     totals = df.groupBy(*by, bucket).agg(F.sum("running_value").alias("carried"))
     totals = totals.withColumn("carried", F.sum("carried").over(before))
     own = F.sum("running_value").over(_upto(_within(by, bucket, order)))
-    df = _joined(df, totals, by, bucket)
+    df = joined(df, totals, by, bucket)
     return df.withColumn(name, F.coalesce("carried", F.lit(0)) + F.coalesce(own, F.lit(0))).drop("carried", "running_value")
 
 
@@ -89,7 +89,7 @@ def gap_runs(df: DataFrame, us: str, gap_us: int, inclusive: bool = False, order
     parts = parts.withColumn("carried_us", F.lag("last").over(along)).withColumn("opens", broken(F.col("first") - F.col("carried_us")))
     offset = F.coalesce(F.sum("breaks").over(earlier), F.lit(0)) + F.sum("opens").over(upto)
     parts = parts.select(*by, "run_bucket", "carried_us", offset.alias("offset_runs"))
-    df = _joined(df, parts, by, "run_bucket")
+    df = joined(df, parts, by, "run_bucket")
     found = {before: F.coalesce(before, "carried_us"), run: F.col(run) + F.col("offset_runs")}
     return df.withColumns(found).drop("run_bucket", "carried_us", "offset_runs")
 
@@ -106,6 +106,6 @@ def running_peak(df: DataFrame, value: Column, order: list[str], by: list[str] |
     parts = df.groupBy(*by, bucket).agg(F.sum("running_value").alias("sum"), F.max(total).alias("top"))
     parts = parts.withColumn("offset", F.coalesce(F.sum("sum").over(earlier), F.lit(0.0)))
     parts = parts.withColumn("peak_before", F.max(F.col("offset") + F.col("top")).over(earlier))
-    df = _joined(df, parts.select(*by, bucket, "offset", "peak_before"), by, bucket)
+    df = joined(df, parts.select(*by, bucket, "offset", "peak_before"), by, bucket)
     found = {total: F.col("offset") + F.col(total), peak: F.greatest("peak_before", F.col("offset") + F.col(peak))}
     return df.withColumns(found).drop("offset", "peak_before", "running_value")

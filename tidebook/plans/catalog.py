@@ -652,9 +652,11 @@ summary as (select * from ({" union all ".join(f"select * from case_{i}" for i i
 
 
 def _horizons(spark, sf_dir) -> DataFrame:
-    predicted, market = fx.predictions(spark, sf_dir), bt.prepare_market(_market(spark, sf_dir))
-    cases = [experiment.case(predicted, market, bt.BacktestConfig(_RULE, h, c, c, split="validation"), 0.5) for h, c in _CASES]
-    return _rounded(experiment.assemble(cases))
+    """One model's predictions taken for those of every horizon."""
+    market = bt.prepare_market(_market(spark, sf_dir))
+    horizons, costs = sorted({h for h, _ in _CASES}), sorted({(c, c) for _, c in _CASES})
+    predicted = fx.predictions(spark, sf_dir).withColumn("horizon_seconds", F.explode(F.array(*map(F.lit, horizons))))
+    return _rounded(experiment.summaries(predicted, market, _RULE, tuple(horizons), costs, 0.5, "validation"))
 
 
 @query(f"with recursive {_HORIZONS} select * from summary")
@@ -750,21 +752,26 @@ def _dataset(spark, sf_dir) -> DataFrame:
     return targets.build_targets(rows)
 
 
-_NUMERIC = ["event_id", "rn", "ts_sec", "session_id", *BASE, "segment", *_NAMES, "future_mid_price", "future_price_change", "future_return", "future_return_bps", "target", "horizon_seconds", "threshold_abs"]
-_QUOTED = lambda names: ", ".join(f"'{n}'" for n in names)
+#: The policy as it is stated, apart from the table that the code has.
+_KINDS = r"""case
+  when feature in ('session_id', 'target', 'timestamp', 'split') then 'never'
+  when feature in ('mid_price', 'microprice') then 'raw_prices'
+  when feature in ('spread', 'relative_spread', 'weighted_bid_depth', 'weighted_ask_depth', 'weighted_imbalance', 'microprice_minus_mid', 'delta_mid_price', 'delta_spread')
+    or regexp_matches(feature, '^(bid_size_|ask_size_|bid_depth_|ask_depth_|imbalance_|delta_imbalance_)') then 'selected'
+  else 'other' end"""
+_FILLED = ", ".join(f"count({n}) as {n}" for n in ["event_id", "session_id", *BASE, *HISTORY, *SECOND])
 
 
-def _kind_sql(kind: str) -> str:
-    names, prefixes = models.POLICY[kind]
-    tests = [f"feature in ({_QUOTED(names)})", *(f"starts_with(feature, '{x}')" for x in prefixes)]
-    return f"when {' or '.join(tests)} then '{kind}'"
-
-
-@query(f"select case {' '.join(map(_kind_sql, models.POLICY))} else 'other' end as kind, feature from (select unnest([{_QUOTED(_NUMERIC)}]) as feature)")
+@query(f"with {FEATURES}, filled as (unpivot (select {_FILLED} from hist) on columns(*) into name feature value filled) select {_KINDS} as kind, feature, filled from filled")
 def feature_selection(spark, sf_dir):
-    report = models.select_features(_dataset(spark, sf_dir))
-    rows = [(kind, name) for kind in ("selected", "raw_prices", "never", "other") for name in getattr(report, kind)]
-    return spark.createDataFrame(rows, "kind string, feature string")
+    """What the policy calls each column, and how many rows have a value."""
+    rows = features.build_features(fx.book(spark, sf_dir), keep_levels=False, keep_warmup=True)
+    rows = rows.select("event_id", "session_id", *BASE, *HISTORY, *SECOND)
+    report = models.select_features(rows)
+    kinds = {n: kind for kind in ("selected", "raw_prices", "never", "other") for n in getattr(report, kind)}
+    counts = rows.agg(*(F.count(n).alias(n) for n in kinds))
+    each = F.inline(F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("feature"), F.col(n).alias("filled")) for n, kind in kinds.items())))
+    return counts.select(each)
 
 
 def _prepared(spark, sf_dir) -> tuple[DataFrame, list[str]]:
@@ -779,38 +786,26 @@ def logistic_predictions(spark, sf_dir):
     return models.predict(models.train_logistic(rows, chosen), rows)
 
 
-_boosted: dict[tuple[str, str], tuple[DataFrame, models.BoostedModel]] = {}
-
-
-def _trained(spark, sf_dir) -> tuple[DataFrame, models.BoostedModel]:
-    """Rows and their model, trained once for the queries that ask for it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _boosted:
-        rows, chosen = _prepared(spark, sf_dir)
-        _boosted[key] = rows, models.train_boosted(rows, chosen)
-    return _boosted[key]
-
-
 @query()
 def boosted_predictions(spark, sf_dir):
-    rows, model = _trained(spark, sf_dir)
-    return models.predict(model, rows)
+    rows, chosen = _prepared(spark, sf_dir)
+    return models.predict(models.train_boosted(rows, chosen), rows)
 
 
 @query()
 def feature_importance(spark, sf_dir):
-    found = _trained(spark, sf_dir)[1].importance()
+    rows, chosen = _prepared(spark, sf_dir)
+    found = models.train_boosted(rows, chosen).importance()
     rows = spark.createDataFrame(found, "feature string, importance_split long, importance_gain double")
     return rows.orderBy(F.desc("importance_gain"), F.desc("importance_split"), "feature").limit(20)
 
 
 @query()
 def horizon_experiment(spark, sf_dir):
-    """All horizons end to end: label, split, train, predict, backtest.  With the
-    logistic model, whose training ends when it converges."""
-    rows = features.build_features(fx.book(spark, sf_dir), keep_levels=False).persist()
-    rule = SignalRule(0.4, 0.0, 0.6)
-    return experiment.run_horizons(rows, rule=rule, train=models.train_logistic)
+    """All horizons end to end: label, split, train, predict, backtest, with the
+    boosted model and all its rounds."""
+    rows = written(features.build_features(fx.book(spark, sf_dir, every=fx.LONG_STRETCH), keep_levels=False), "features")
+    return experiment.run_horizons(rows, rule=SignalRule(0.4, 0.0, 0.6))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

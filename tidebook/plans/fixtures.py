@@ -7,9 +7,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebook.operators import ordered
 from tidebook.storage import new_path, written
 
 LEVELS = 20
+#: Rows between two gaps; rows of the fixture for horizons of up to two minutes.
+STRETCH, LONG_STRETCH = 97, 400
+#: Microseconds of a day, the bucket in which events are numbered.
+DAY = 24 * 3_600_000_000
 
 
 def _level(l: int) -> str:
@@ -20,20 +25,36 @@ def _level(l: int) -> str:
     )
 
 
-def book_sql(levels: int = LEVELS, events: str = "events") -> str:
-    """One row a second with a 4 s step every 97 rows and a session every 400."""
+#: Events in order of time: their number, and a mid price that walks with them.
+NUMBERED = """(
+  select *, 600000 + sum(cast(floor(value * 100 + 0.5) as bigint) % 21 - 10)
+           over (order by rn rows between unbounded preceding and current row) as mid_t
+  from (select event_id, user_id, value, row_number() over (order by ts, event_id) - 1 as rn from events) o)"""
+
+
+def numbered(events: DataFrame) -> DataFrame:
+    """The rows of :data:`NUMBERED`, without putting all events in one task."""
+    rows = events.select("event_id", "user_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = ordered.with_bucket(rows, F.col("us"), DAY)
+    rows = ordered.row_index(rows, "rn", ["us", "event_id"])
+    step = F.floor(F.col("value") * 100 + 0.5).cast("long") % 21 - 10
+    rows = ordered.running_sum(rows, "mid_t", step, ["us", "event_id"])
+    return rows.withColumn("mid_t", F.col("mid_t") + 600_000).drop("us", "bucket")
+
+
+def book_sql(levels: int = LEVELS, every: int = STRETCH) -> str:
+    """One row a second with a 4 s step every ``every`` rows and a session every
+    400."""
     return f"""
 select event_id, rn, ts_sec, session_id, {", ".join(_level(i) for i in range(1, levels + 1))}
 from (
-  select *, rn + 3 * cast(floor(rn / 97.0) as bigint) as ts_sec,
+  select *, rn + 3 * cast(floor(rn / {every}.0) as bigint) as ts_sec,
          cast(floor(rn / 400.0) as bigint) + 1 as session_id,
-         600000 + sum(cast(floor(value * 100 + 0.5) as bigint) % 21 - 10)
-           over (order by rn rows between unbounded preceding and current row) as mid_t,
          1 + (event_id % 3) as half_t
-  from (select event_id, user_id, value, row_number() over (order by ts, event_id) - 1 as rn from {events}) o) w"""
+  from {NUMBERED} n) w"""
 
 
-def dirty_sql(levels: int = LEVELS, events: str = "events") -> str:
+def dirty_sql(levels: int = LEVELS) -> str:
     """The book with repeated times, nulls, crossed and wide prices, and negative
     sizes."""
     kept = [f"{side}_{kind}_{i}" for side in ("bid", "ask") for kind in ("price", "size") for i in range(1, levels + 1) if f"{side}_{kind}_{i}" not in ("bid_price_1", "ask_price_1", "bid_size_1")]
@@ -44,10 +65,10 @@ select event_id, rn, session_id,
        case when event_id % 83 = 0 then bid_price_1 - 0.1 when event_id % 101 = 0 then ask_price_1 + 2 else ask_price_1 end as ask_price_1,
        case when event_id % 89 = 0 then -1.0 else bid_size_1 end as bid_size_1,
        {", ".join(kept)}
-from ({book_sql(levels, events)}) b"""
+from ({book_sql(levels)}) b"""
 
 
-def predictions_sql(a: tuple[int, int] = (37, 11), b: tuple[int, int] = (53, 29), c: tuple[int, int] = (71, 5), events: str = "events") -> str:
+def predictions_sql(a: tuple[int, int] = (37, 11), b: tuple[int, int] = (53, 29), c: tuple[int, int] = (71, 5)) -> str:
     """Class probabilities cubed from linear congruences, the class of the
     largest, and a truth and a split that do not depend on them."""
     cube = lambda x: f"{x} * {x} * {x}"
@@ -62,7 +83,7 @@ from (
          cast((event_id * {a[0]} + {a[1]}) % 997 + 1 as double) as a,
          cast((event_id * {b[0]} + {b[1]}) % 991 + 1 as double) as b,
          cast((event_id * {c[0]} + {c[1]}) % 499 + 1 as double) as c
-  from ({book_sql(1, events)}) book) p"""
+  from ({book_sql(1)}) book) p"""
 
 
 #: A second model's constants.
@@ -74,11 +95,10 @@ _written: dict[tuple[str, str, str], str] = {}
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A view, written when it is first asked for: queries time their operators
-    on a table, not the window that numbers all events."""
+    on a table, not the numbering of all events."""
     key = (spark.sparkContext.applicationId, sf_dir, sql)
     if key not in _written:
-        events = spark.read.parquet(f"{sf_dir}/events.parquet")
-        rows = spark.sql(sql.replace(" from events)", " from {events})"), events=events)
+        rows = spark.sql(sql.replace(NUMBERED, "{numbered}"), numbered=numbered(spark.read.parquet(f"{sf_dir}/events.parquet")))
         path = new_path(spark, "view")
         written(rows.repartition(spark.sparkContext.defaultParallelism, "rn" if "rn" in rows.columns else "event_id"), "view", path)
         _written[key] = path
@@ -90,8 +110,8 @@ def _timed(df: DataFrame) -> DataFrame:
     return df.withColumns(extra)
 
 
-def book(spark: SparkSession, sf_dir: str, levels: int = LEVELS) -> DataFrame:
-    return _timed(_run(spark, sf_dir, book_sql(levels)))
+def book(spark: SparkSession, sf_dir: str, levels: int = LEVELS, every: int = STRETCH) -> DataFrame:
+    return _timed(_run(spark, sf_dir, book_sql(levels, every)))
 
 
 def dirty(spark: SparkSession, sf_dir: str, levels: int = LEVELS) -> DataFrame:
