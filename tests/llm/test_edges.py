@@ -101,6 +101,24 @@ def test_long_pages_are_archived(spark, long_rows):
         assert bytes(got[i]["payload"]) == (t or "").encode()
 
 
+# ---- language samples ----
+
+
+def test_language_sample_is_of_texts_not_identifiers(spark, monkeypatch):
+    """Many texts under one identifier are drawn one by one, and what reaches the
+    driver is bounded."""
+    rows = [(6, f"der text nummer {i} und so weiter {i * 7}", "de") for i in range(4000)] + [(i, f"the text number {i} and so on", "en") for i in range(300, 420)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    held = docs.select(fold).distinct().collect()
+    assert any(r[0] != 1 for r in held)
+    counts, languages = language._sample(docs, fold, 5, 400)
+    found = collections.Counter(languages)
+    assert 120 < found["de"] < 280 and found["en"] > 80 and len(counts) == len(languages)
+    same = spark.createDataFrame([(1, "der die das", "de")], docs.schema).crossJoin(spark.range(3000)).drop("id")
+    assert len(language._sample(same, fold, 5, 100)[0]) <= 1
+
+
 # ---- WARC shards -----------------------------------------------------------------
 
 
@@ -126,6 +144,28 @@ def test_warc_shards_stay_even(spark, case):
     assert collections.Counter(named) == collections.Counter(number(i) for i in range(n))
 
 
+def test_warc_spreads_rows_that_are_alike(spark):
+    """Two thousand rows alike in everything, among two hundred others: even
+    shards, one response."""
+    rows = [(50, "http://h/50", "x" * 500)] * 2000 + [(i, f"http://h/{i}", f"page {i} " + "y" * 500) for i in range(200)]
+    folder = new_path(spark, "warc-test")
+    manifest = warc.write_warc(pages(spark, rows).repartition(4), folder, shard_bytes=20_000)
+    sizes = shard_sizes(manifest)
+    assert sum(sizes.values()) == 2200 and len(sizes) > 50 and max(sizes.values()) <= 2 * 2200 / len(sizes)
+    got = warc.read_warc(spark, folder).groupBy("page_id", "record_type", "refers_to").count().collect()
+    found = {tuple(r)[:3]: r["count"] for r in got}
+    assert found.pop((50, "response", None)) == 2 and found.pop((50, "revisit", 50)) == 1999
+    assert set(found.values()) == {1} and len(found) == 199
+
+
+def test_warc_of_alike_rows_without_an_identifier(spark):
+    rows = [(None, None, "z" * 900)] * 100 + [(3, None, "z" * 900)] * 40
+    folder = new_path(spark, "warc-test")
+    warc.write_warc(pages(spark, rows).repartition(3), folder, shard_bytes=10_000)
+    got = warc.read_warc(spark, folder).groupBy("page_id", "record_type", "refers_to").count().collect()
+    assert {tuple(r) for r in got} == {(None, "response", None, 100), (3, "response", None, 1), (3, "revisit", 3, 39)}
+
+
 def test_warc_leaves_other_columns_alone(spark):
     names = ["shard", "digest", "payload", "kind", "salt", "h", "range", "held", "revisit"]
     rows = pages(spark, [(1, "u", "a"), (2, "v", "a"), (3, None, None)]).withColumns({n: F.lit("x") for n in names})

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import keep, materialize
+from .scratch import materialize
 
 #: Payload bytes of a shard, compressed bytes at which a file is closed.
 SHARD_BYTES, FILE_BYTES = 32 << 20, 16 << 20
@@ -136,16 +136,13 @@ def _writer(folder: str, file_bytes: int, date: str):
                     writer = _ShardWriter(folder, r["shard"], file_bytes, date)
                 own = (r["shard"], r["page_id"], r["url"], r["digest"])
                 if own != key:
-                    # Rows that agree in all of these are alike: so many of them
-                    # are responses, the others revisit one and the same.
-                    key, responses, target = own, 0, None
+                    key, every, first, target = own, True, False, None
                 if r["kind"] == 0:
-                    if r["revisit"]:
-                        target = (r["refers_to"], r["refers_url"])
-                    else:
-                        responses += 1
+                    every, first, target = not r["revisit"], r["wins"], (r["refers_to"], r["refers_url"])
                     continue
-                revisit, responses = (None, responses - 1) if responses else (target, 0)
+                # Rows that agree in all of these are alike: if one of them is
+                # the response, any is.
+                revisit, first = (None if every or first else target), False
                 digest = base64.b32encode(r["digest"]).decode()
                 writer.add(page_record(r["page_id"], r["url"], r["payload"] or b"", digest, revisit, date))
         if writer is not None:
@@ -158,25 +155,26 @@ def _writer(folder: str, file_bytes: int, date: str):
     return write
 
 
-def _decisions(rows: DataFrame, least_bytes: int) -> DataFrame:
-    """For each row whether it is a revisit, and of what; large groups of equal
+def _decisions(facts: DataFrame, least_bytes: int) -> DataFrame:
+    """For rows that are alike: whether they revisit, what, and whether the first
+    of them is the response that the others revisit.  Large groups of equal
     payloads meet by way of salted groups."""
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-    able = rows.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least_bytes))
-    salted = able.groupBy("digest", "salt").agg(F.min(F.struct("page_id", "url")).alias("winner"))
+    able = F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least_bytes)
+    keys = facts.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    salted = keys.where(able).groupBy("digest", "salt").agg(F.min(F.struct("page_id", "url")).alias("winner"))
     winners = salted.drop("winner").join(salted.groupBy("digest").agg(F.min("winner").alias("winner")), "digest")
-    again = F.row_number().over(Window.partitionBy("salt", *_KEY).orderBy("payload_bytes"))
-    rows = rows.withColumn("again", again).join(winners, ["digest", "salt"], "left")
-    can = F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least_bytes) & F.col("winner").isNotNull()
-    first = (F.col("again") == 1) & F.col("winner").eqNullSafe(F.struct("page_id", "url"))
-    revisit = F.coalesce(can & ~first, F.lit(False))
-    return rows.select(*_KEY, "payload_bytes", revisit.alias("revisit"), F.when(revisit, F.col("winner.page_id")).alias("refers_to"), F.when(revisit, F.col("winner.url")).alias("refers_url"))
+    keys = keys.join(winners, ["digest", "salt"], "left")
+    revisit = F.coalesce(able & F.col("winner").isNotNull(), F.lit(False))
+    wins = revisit & F.col("winner").eqNullSafe(F.struct("page_id", "url"))
+    return keys.select(*_KEY, "h", revisit.alias("revisit"), wins.alias("wins"), F.when(revisit, F.col("winner.page_id")).alias("refers_to"), F.when(revisit, F.col("winner.url")).alias("refers_url"))
 
 
 def _cuts(facts: DataFrame, shard_bytes: int) -> pa.Table:
     """``page_id, h`` at which each shard begins, in order (null identifiers
-    come first): by running sums within ranges of (page_id, h), and of ranges."""
-    spots = facts.groupBy("page_id", "h").agg(F.sum(F.col("payload_bytes") + RECORD_BYTES).alias("held"))
+    come first): by running sums within ranges of (page_id, h), and of ranges.
+    Rows that are alike and together larger than a shard have a cut for each
+    shard that they fill."""
+    spots = facts.groupBy("page_id", "h").agg(F.sum(F.col("copies") * (F.col("payload_bytes") + RECORD_BYTES)).alias("held"))
     spots = materialize(spots.repartitionByRange("page_id", "h").withColumn("range", F.spark_partition_id()), "warc-spots")
     total = spots.agg(F.coalesce(F.sum("held"), F.lit(0))).head()[0]
     shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
@@ -184,32 +182,68 @@ def _cuts(facts: DataFrame, shard_bytes: int) -> pa.Table:
     ranges = spots.groupBy("range").agg(F.sum("held").alias("whole")).select("range", F.coalesce(F.sum("whole").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("range").orderBy("page_id", "h").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("offset") + F.coalesce(F.sum("held").over(inside), F.lit(0))
-    shard = F.floor(at / shard_bytes).cast("long")
-    first = F.min(F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", "h")).alias("first")
-    return spots.join(ranges, "range").withColumn("shard", shard).groupBy("shard").agg(first).orderBy("shard").select("first.page_id", "first.h").toArrow()
-
-
-def _shard_of(cuts: pa.Table):
-    """A column function: the last cut not after (page_id, h)."""
+    placed = spots.join(ranges, "range").withColumn("shard", F.floor(at / shard_bytes).cast("long"))
+    parts = F.ceil(F.col("held") / shard_bytes).cast("int")
+    spot = F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", "h")
+    firsts = placed.groupBy("shard").agg(F.min(spot).alias("first"), F.min(F.struct(spot.alias("spot"), parts.alias("parts"))).alias("own"))
+    cuts = firsts.select("first.*", F.when(F.col("own.parts") > 1, F.col("own.parts")).otherwise(1).alias("parts"))
+    large = placed.where(parts > 1).select(spot.alias("first"), parts.alias("parts")).select("first.*", "parts")
+    cuts = cuts.unionByName(large).groupBy("named", "page_id", "h").agg(F.max("parts").alias("parts"))
+    return cuts.select("named", "page_id", "h", F.explode(F.sequence(F.lit(1), F.col("parts")))).orderBy("named", "page_id", "h").select("page_id", "h").toArrow()
+
+
+def _shards_of(cuts: pa.Table):
+    """Of (page_id, h): the first and the last shard that may have it.  There is
+    more than one only for a pair with several cuts."""
     named = cuts.column("page_id").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
     ids, hashes = cuts.column("page_id").combine_chunks().fill_null(0).to_numpy(), cuts.column("h").to_numpy()
     nameless = int(np.count_nonzero(~named))
 
-    @F.arrow_udf("int")
-    def shard_of(page_id: pa.Array, h: pa.Array) -> pa.Array:
+    def shards_of(page_id: pa.Array, h: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         own, spread = page_id.fill_null(0).to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False)
         has = page_id.is_valid().to_numpy(zero_copy_only=False)
         low = np.where(has, nameless + np.searchsorted(ids[nameless:], own, "left"), 0)
         high = np.where(has, nameless + np.searchsorted(ids[nameless:], own, "right"), nameless)
-        out = high - 1
+        first = high - 1  # the last cut not after the row
+        last = first.copy()
         # Among cuts of one identifier the hash decides.
         pairs, inverse = np.unique(np.stack([low, high]), axis=1, return_inverse=True)
         for i in np.flatnonzero(pairs[1] > pairs[0]):
             rows = np.flatnonzero(inverse == i)
-            out[rows] = pairs[0, i] + np.searchsorted(hashes[pairs[0, i] : pairs[1, i]], spread[rows], "right") - 1
-        return pa.array(np.maximum(out, 0).astype(np.int32))
+            among = hashes[pairs[0, i] : pairs[1, i]]
+            last[rows] = pairs[0, i] + np.searchsorted(among, spread[rows], "right") - 1
+            first[rows] = np.minimum(pairs[0, i] + np.searchsorted(among, spread[rows], "left"), last[rows])
+        return np.maximum(first, 0).astype(np.int32), np.maximum(last, 0).astype(np.int32)
+
+    return shards_of
+
+
+def _all_shards(shards_of):
+    @F.arrow_udf("array<int>")
+    def every(page_id: pa.Array, h: pa.Array) -> pa.Array:
+        first, last = shards_of(page_id, h)
+        return pa.array([np.arange(a, b + 1, dtype=np.int32) for a, b in zip(first, last, strict=True)], pa.list_(pa.int32()))
 
-    return shard_of
+    return every
+
+
+def _own_shard(shards_of):
+    """A task deals rows that are alike over their shards in turn.  It begins with
+    the first shard, so that this one, which has the response, gets a row."""
+    turn: dict[int, int] = {}
+
+    def own_shard(page_id: pa.Array, h: pa.Array) -> pa.Array:
+        first, last = shards_of(page_id, h)
+        out = first.copy()
+        several = np.flatnonzero(last > first)
+        for a in np.unique(first[several]).tolist():
+            rows = several[first[several] == a]
+            begun = turn.get(a, 0)
+            out[rows] = a + (begun + np.arange(len(rows))) % (int(last[rows[0]]) - a + 1)
+            turn[a] = begun + len(rows)
+        return pa.array(out)
+
+    return F.arrow_udf(own_shard, "int").asNondeterministic()
 
 
 def write_warc(
@@ -232,7 +266,8 @@ def write_warc(
     identifier is a response and is never referred to; a null address leaves its
     header out.  An empty table gives an empty manifest.  Columns not named,
     whatever their names, are not read.  Rows of one identifier may fill any
-    number of shards, unless they agree in address and payload too.
+    number of shards; how many of those that are alike in address and payload too
+    each of their shards has depends on the input's partitions, the records don't.
 
     ``manifest.json`` names the table of files (JSON lines, written by Spark) and
     counts them; it is put in place last.
@@ -241,13 +276,19 @@ def write_warc(
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("page_id", "url", F.unhex(F.sha1("payload")).alias("digest"), "payload")
-    facts = keep(rows.select(*_KEY, F.octet_length("payload").cast("long").alias("payload_bytes"), F.xxhash64("url", "digest").alias("h")))
+    spread = F.xxhash64("url", "digest").alias("h")
+    # Rows that are alike are one from here on, with their number.
+    alike = rows.groupBy(*_KEY).agg(F.first(F.octet_length("payload")).cast("long").alias("payload_bytes"), F.count(F.lit(1)).alias("copies"))
+    facts = materialize(alike.withColumn("h", spread), "warc-facts")
     cuts = _cuts(facts, shard_bytes)
-
-    blank = {"payload": "binary", "revisit": "boolean", "refers_to": "long", "refers_url": "string"}
-    decided = _decisions(facts, least_revisit_bytes).drop("payload_bytes").withColumn("kind", F.lit(0))
-    both = rows.withColumn("kind", F.lit(1)).unionByName(decided, allowMissingColumns=True)
-    both = both.withColumn("shard", _shard_of(cuts)("page_id", F.xxhash64("url", "digest"))).select("shard", *_KEY, "kind", *blank)
+    shards_of = _shards_of(cuts)
+
+    blank = {"payload": "binary", "revisit": "boolean", "wins": "boolean", "refers_to": "long", "refers_url": "string"}
+    decided = _decisions(facts, least_revisit_bytes).withColumn("kind", F.lit(0)).withColumn("shards", _all_shards(shards_of)("page_id", "h"))
+    decided = decided.select("*", F.posexplode("shards").alias("nth", "shard"))
+    decided = decided.withColumn("wins", F.col("wins") & (F.col("nth") == 0)).drop("h", "shards", "nth")
+    owned = rows.withColumn("kind", F.lit(1)).withColumn("shard", _own_shard(shards_of)("page_id", spread))
+    both = owned.unionByName(decided, allowMissingColumns=True).select("shard", *_KEY, "kind", *blank)
     both = both.repartitionById(max(1, cuts.num_rows), "shard").sortWithinPartitions("shard", *_KEY, "kind")
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
@@ -265,16 +306,16 @@ def write_warc(
 
 def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of a gzip stream."""
-    unpacker, packed, plain = zlib.decompressobj(31), b"", b""
+    unpacker, packed, parts = zlib.decompressobj(31), b"", []
     while True:
         packed = packed or stream.read(1 << 20)
         if not packed:
             break
-        plain += unpacker.decompress(packed)
+        parts.append(unpacker.decompress(packed))
         packed = unpacker.unused_data if unpacker.eof else b""
         if not unpacker.eof:
             continue
-        unpacker = zlib.decompressobj(31)
+        unpacker, plain, parts = zlib.decompressobj(31), b"".join(parts), []
         head, _, rest = plain.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -284,8 +325,7 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         if rest[length:] != b"\r\n\r\n":
             raise ValueError("a record's length doesn't hold")
         yield headers, rest[:length]
-        plain = b""
-    if plain:
+    if any(parts):
         raise ValueError("the archive ends within a record")
 
 
