@@ -142,8 +142,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sample(docs: DataFrame, fold, holdout_value: int, sample_rows: int) -> tuple[np.ndarray, list[str]]:
     """Counts and languages of about ``sample_rows`` labelled texts, evenly over
-    languages, by hash.  Shares travel as a literal, so that no text is shuffled
-    for the sample; equal rows count once."""
+    languages, by a hash of identifier and text.  Shares travel as a literal, so
+    that no text is shuffled for the sample; equal rows count once, and what
+    reaches the driver is at most twice the sample."""
     learned = docs.where((fold != holdout_value) & F.col("lang").isNotNull())
     counts = learned.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
@@ -152,9 +153,10 @@ def _sample(docs: DataFrame, fold, holdout_value: int, sample_rows: int) -> tupl
         return np.zeros((0, DIMENSIONS), np.float32), []
     each = float(1 << 30) * sample_rows / len(counts)
     share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], each / r["count"])))
-    chosen = learned.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang"))).where(F.col("text").rlike(r"\p{L}"))
+    chosen = learned.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang"))).where(F.col("text").rlike(r"\p{L}"))
     chosen = chosen.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(tidy(_counted), "lang string, h long, counts binary")
-    rows = chosen.groupBy("lang", "h").agg(F.min("counts").alias("counts")).toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
+    # Drawn hashes are below the shares, so the order is by one mixed anew.
+    rows = chosen.groupBy("lang", "h").agg(F.min("counts").alias("counts")).orderBy(F.xxhash64("h"), "h").limit(2 * sample_rows).toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
     out = np.zeros((rows.num_rows, DIMENSIONS), np.float32)
     for i, packed in enumerate(rows.column("counts").to_pylist()):
         n = len(packed) // 6
@@ -169,7 +171,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     ``holdout`` is not ``holdout_value``; predicts from the text alone.
     ``lang_pred`` is a learned language, or ``und`` with score 0 where the text
     is null or has no letter, or nothing could be learned.  A null language
-    teaches nothing; a null identifier neither teaches nor is held out.  An
+    teaches nothing; a null identifier neither teaches nor is held out.  Repeated
+    rows are predicted alike and teach once; of languages as near, the first by
+    name is predicted.  Texts of any length are read whole.  An
     empty table gives an empty result; columns not named are not read.
     """
     from pyspark.sql.pandas.types import to_arrow_type
