@@ -2,11 +2,12 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.sources import discovery, messages, tables
+from tidebook.sources import discovery, messages, tables, versions, websocket
 from tidebook.streaming import collector
 
 
@@ -47,7 +48,7 @@ def test_stream_saves_days_and_resumes(spark, tmp_path):
     def run():
         # Without repeats in quiet seconds, which would leave no gap.
         collector.wait(*collector.collect(collector.read_folder(spark, str(folder)), table, checkpoint, levels=2, once=True, carry_seconds=1))
-        return spark.read.parquet(table).orderBy("timestamp").collect()
+        return versions.read(spark, table).orderBy("timestamp").collect()
 
     put("a.json", [(0, 100), (0, 900), (1, 0), (5, 0)])
     rows = run()
@@ -56,8 +57,8 @@ def test_stream_saves_days_and_resumes(spark, tmp_path):
     rows = run()
     assert [r["session_id"] for r in rows] == [1, 1, 2, 2, 3, 4]
     assert len({r["dt"] for r in rows}) == 2
-    assert tables.resume_state(spark, table, "abc")[0] == 4
-    assert tables.resume_state(spark, str(tmp_path / "none")) == (1, None)
+    assert versions.current(spark, table).resume("abc") == (4, received(86_400 * 2))
+    assert versions.current(spark, str(tmp_path / "none")).resume() == (1, None)
 
 
 def lines_of(folder, name, seconds):
@@ -66,7 +67,7 @@ def lines_of(folder, name, seconds):
 
 
 def saved(spark, table):
-    return [(int(r["timestamp"].replace(tzinfo=dt.UTC).timestamp()) - 1_700_000_000, r["bid_price_1"], r["session_id"]) for r in spark.read.parquet(table).orderBy("timestamp").collect()]
+    return [(int(r["timestamp"].replace(tzinfo=dt.UTC).timestamp()) - 1_700_000_000, r["bid_price_1"], r["session_id"]) for r in versions.read(spark, table).orderBy("timestamp").collect()]
 
 
 def test_quiet_seconds_are_filled_across_batches(spark, tmp_path):
@@ -155,10 +156,125 @@ def test_small_records_round_trip(spark, tmp_path):
     assert tables.read_csv(spark, str(tmp_path / "c"), "id long").count() == 2
 
 
+def at(second):
+    return F.timestamp_seconds(F.lit(second))
+
+
 def test_upsert_replaces_only_its_days(spark, tmp_path):
     path = str(tmp_path / "t")
-    day = lambda s: F.timestamp_seconds(F.lit(s))
-    tables.upsert_days(spark.range(1).select(day(0).alias("timestamp"), F.lit(1).alias("v")), path)
-    tables.upsert_days(spark.range(1).select(day(90_000).alias("timestamp"), F.lit(2).alias("v")), path)
-    tables.upsert_days(spark.range(1).select(day(0).alias("timestamp"), F.lit(3).alias("v")), path)
-    assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [2, 3]
+    put = lambda second, v, **given: versions.upsert(spark.range(1).select(at(second).alias("timestamp"), F.lit(v).alias("v2")), path, **given)
+    put(0, 1)
+    first = put(90_000, 2)
+    second = put(0, 3)
+    assert sorted(r["v2"] for r in versions.read(spark, path).collect()) == [2, 3]
+    assert first.days["1970-01-02"] == second.days["1970-01-02"] and first.days["1970-01-01"] != second.days["1970-01-01"]
+
+
+def test_readers_see_a_version_as_a_whole(spark, tmp_path):
+    """A reader that began before an upsert sees the old rows to its end; a write
+    that never commits is seen by nobody; a batch that runs again is void."""
+    path = str(tmp_path / "t")
+    rows = lambda v: spark.range(50).select(F.timestamp_seconds("id").alias("timestamp"), F.lit(v).alias("x"))
+    versions.upsert(rows(1), path, writer="w", batch_id=0)
+    before = versions.read(spark, path)
+    made = versions.upsert(rows(2), path, writer="w", batch_id=1)
+    assert {r["x"] for r in before.collect()} == {1} and {r["x"] for r in versions.read(spark, path).collect()} == {2}
+    assert versions.upsert(rows(3), path, writer="w", batch_id=1) == made
+    assert versions.upsert(rows(3), path, writer="other", batch_id=1).number == made.number + 1
+
+    def broken(*_):
+        raise OSError("no commit")
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(versions, "_commit", broken)
+        with pytest.raises(OSError):
+            versions.upsert(rows(4), path)
+    assert {r["x"] for r in versions.read(spark, path).collect()} == {3} and versions.read(spark, path).count() == 50
+    with pytest.raises(FileExistsError):
+        versions._commit(spark, path, made)
+    versions.upsert(rows(5), path)
+    assert len(versions._records(spark, path)) == versions.KEPT
+
+
+def test_segments_are_recorded_and_taken_once(spark, tmp_path):
+    """A stream stopped between segments and started again loses and repeats
+    nothing, and a new checkpoint goes on from the table's sessions."""
+    folder, table = tmp_path / "in", str(tmp_path / "out")
+    clock = iter([received(0), *(received(s) for s in range(12)), received(12), received(13)])
+    assert websocket.record((message(s, price=10 + s) if s % 5 else None for s in range(12)), str(folder), 3, lambda: next(clock)) == 9
+    names = sorted(p.name for p in folder.iterdir())
+    assert len(names) == 4
+    held = {n: (folder / n).read_text() for n in names}
+    for n in names:
+        (folder / n).unlink()
+    for n in names:
+        (folder / n).write_text(held[n])
+        collector.wait(*collector.collect(collector.read_folder(spark, str(folder)), table, str(tmp_path / "check"), levels=2, once=True, carry_seconds=1))
+    assert [(s, k) for s, _, k in saved(spark, table)] == [(1, 1), (2, 1), (3, 1), (4, 1), (6, 2), (7, 2), (8, 2), (9, 2), (11, 3)]
+    lines_of(folder, "z.json", [30, 31])
+    for n in names:
+        (folder / n).unlink()
+    collector.wait(*collector.collect(collector.read_folder(spark, str(folder)), table, str(tmp_path / "new"), levels=2, once=True, carry_seconds=1))
+    assert [(s, k) for s, _, k in saved(spark, table)][-2:] == [(30, 4), (31, 4)]
+
+
+def test_a_reconnect_clears_what_is_held(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "out")
+    lines_of(folder, "a.json", [0, 3])
+    mark = json.dumps({"received": received(4, 500).isoformat(), "message": websocket.RECONNECTED})
+    (folder / "b.json").write_text(mark)
+    lines_of(folder, "c.json", [8, 10])
+    for _ in range(3):
+        collector.wait(*collector.collect(collector.read_folder(spark, str(folder)), table, str(tmp_path / "check"), symbol="abc", levels=2, once=True))
+    assert [(s, k) for s, _, k in saved(spark, table)] == [(0, 1), (1, 1), (2, 1), (3, 1), (8, 2), (9, 2), (10, 2)]
+
+
+@pytest.mark.parametrize("carry", [None, 4])
+def test_stream_equals_batch(spark, tmp_path, carry):
+    """Rows of several symbols in three segments, against the batch functions."""
+    import random
+
+    rng, folder, table = random.Random(7), tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    lines = []
+    for s in sorted(rng.sample(range(120), 60)):
+        for k in range(rng.randint(1, 2)):
+            body = json.loads(message(s, price=10 + s + k / 4))
+            lines.append({"received": received(s, 300 * k).isoformat(), "message": json.dumps(body | {"s": rng.choice(["abc", "xyz"]), "E": body["E"] + k})})
+    for i in range(3):
+        (folder / f"{i}.json").write_text("\n".join(json.dumps(x) for x in lines[i * len(lines) // 3 : (i + 1) * len(lines) // 3]))
+        os.utime(folder / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # segments are taken in order of time
+    collector.wait(*collector.collect(collector.read_folder(spark, str(folder)), table, str(tmp_path / "check"), levels=2, once=True, carry_seconds=carry))
+    parsed = messages.parse_messages(spark.createDataFrame([(x["message"], dt.datetime.fromisoformat(x["received"])) for x in lines], "value string, timestamp timestamp"), levels=2)
+    wanted = []
+    for symbol in ("ABC", "XYZ"):
+        rows = collector.carry_forward(collector.sample_seconds(parsed.where(F.col("symbol") == symbol)), carry)
+        wanted += [(symbol, r["timestamp"], r["bid_price_1"], r["event_time"], r["session_id"]) for r in collector.assign_sessions(rows).collect()]
+    got = [(r["symbol"], r["timestamp"], r["bid_price_1"], r["event_time"], r["session_id"]) for r in versions.read(spark, table).collect()]
+    assert sorted(got) == sorted(wanted) and len(got) > 60
+
+
+def test_late_seconds_get_their_session(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "out")
+    for name, seconds in (("a.json", [0, 1, 9, 10]), ("b.json", [2, 10, 20])):
+        lines_of(folder, name, seconds)
+        collector.wait(*collector.collect(collector.read_folder(spark, str(folder)), table, str(tmp_path / "check"), levels=2, once=True, carry_seconds=1))
+    assert [(s, k) for s, _, k in saved(spark, table)] == [(0, 1), (1, 1), (2, 1), (9, 2), (10, 2), (20, 3)]
+
+
+def test_a_live_silence_is_filled_by_timers(spark, tmp_path):
+    import time
+
+    folder, table = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    query, saver = collector.collect(collector.read_folder(spark, str(folder)), table, str(tmp_path / "check"), levels=2, every_seconds=0.5, live=True, limit_samples=6)
+    began = dt.datetime.now(dt.UTC)
+    (folder / ".a").write_text(json.dumps({"received": began.isoformat(), "message": message(0)}))
+    (folder / ".a").rename(folder / "a.json")
+    until = time.monotonic() + 60
+    while not saver.done and time.monotonic() < until and query.isActive:
+        time.sleep(0.5)
+    query.stop()
+    rows = versions.read(spark, table).orderBy("timestamp").collect()
+    seconds = [int(r["timestamp"].replace(tzinfo=dt.UTC).timestamp()) for r in rows]
+    assert len(rows) == 6 and seconds == list(range(seconds[0], seconds[0] + 6)) and {r["session_id"] for r in rows} == {1}

@@ -9,7 +9,7 @@ from tidebook import config, naming, reports
 from tidebook.functions.labels import SignalRule
 from tidebook.operators import backtest, boosting, cleaning, evaluation, experiment, features, models, sessions, targets
 from tidebook.session import get_session
-from tidebook.sources import discovery, tables
+from tidebook.sources import discovery, tables, versions, websocket
 from tidebook.streaming import collector
 
 
@@ -25,8 +25,14 @@ def _newest(spark, a) -> str:
     return a.input or tables.newest(spark, a.folder)
 
 
+def _rows(spark, path: str):
+    """A table of versions, as ``collect`` writes it, or plain Parquet."""
+    collected = versions.read(spark, path)
+    return tables.read_parquet(spark, path) if collected is None else collected.drop("dt", "v")
+
+
 def _validate(spark, a, settings):
-    print(reports.verdict(cleaning.validate(tables.read_parquet(spark, _newest(spark, a)), a.levels)))
+    print(reports.verdict(cleaning.validate(_rows(spark, _newest(spark, a)), a.levels)))
 
 
 def _merge(spark, a, settings):
@@ -42,7 +48,7 @@ def _clean(spark, a, settings):
 
 
 def _inspect(spark, a, settings):
-    rows = tables.read_parquet(spark, _newest(spark, a))
+    rows = _rows(spark, _newest(spark, a))
     print(reports.facts("Inspection", cleaning.inspect(rows)))
     if a.plots:
         for y in ("mid_price", "spread"):
@@ -160,8 +166,12 @@ def _experiment(spark, a, settings):
 
 
 def _collect(spark, a, settings):
-    messages = collector.read_folder(spark, a.input)
-    collector.wait(*collector.collect(messages, a.output, a.checkpoint, a.symbol, levels=a.levels, carry_seconds=a.carry_seconds, once=a.once, limit_samples=a.limit_samples))
+    messages = collector.read_folder(spark, a.input, clean=a.clean)
+    collector.wait(*collector.collect(messages, a.output, a.checkpoint, a.symbol, levels=a.levels, carry_seconds=a.carry_seconds, once=a.once, limit_samples=a.limit_samples, live=a.live))
+
+
+def _record(spark, a, settings):
+    websocket.record(websocket.listen(websocket.address(a.base, a.symbol, a.levels)), a.output)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -211,6 +221,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--carry-seconds", type=int)
     p.add_argument("--limit-samples", type=int)
     p.add_argument("--once", action="store_true")
+    p.add_argument("--live", action="store_true", help="fill a silence while it lasts")
+    p.add_argument("--clean", action="store_true", help="remove segments that are saved")
+    p = command("record", _record, ("symbol", str), ("base", str), source=False)
     return out
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tidebook.operators.sessions import infer_sessions
 from tidebook.schema import LEVELS, METADATA, coerce, level_columns, raw_schema
 
-_BODY = "E bigint, s string, b array<array<string>>, bids array<array<string>>, a array<array<string>>, asks array<array<string>>"
+_BODY = "E bigint, s string, reconnected boolean, b array<array<string>>, bids array<array<string>>, a array<array<string>>, asks array<array<string>>"
 
 
 def unwrap(value: Column) -> Column:
     """The payload of a message, wrapped in ``data`` or bare."""
-    wrapped = F.from_json(value, f"data struct<{_BODY.replace(' bigint', ':bigint').replace(' string', ':string').replace(' array', ':array')}>")
+    wrapped = F.from_json(value, f"data struct<{_BODY.replace(' bigint', ':bigint').replace(' string', ':string').replace(' array', ':array').replace(' boolean', ':boolean')}>")
     return F.coalesce(wrapped["data"], F.from_json(value, _BODY))
 
 
@@ -28,28 +28,34 @@ def levels_of(side: Column, levels: int = LEVELS) -> Column:
     return F.when(good & (F.size(side) >= levels), F.slice(pairs, 1, levels))
 
 
-def parse_messages(df: DataFrame, value: str = "value", time: str = "timestamp", exchange: str = "simulated", symbol: str | None = None, levels: int = LEVELS, strict: bool = False) -> DataFrame:
+def parse_messages(df: DataFrame, value: str = "value", time: str = "timestamp", exchange: str = "simulated", symbol: str | None = None, levels: int = LEVELS, strict: bool = False, markers: bool = False) -> DataFrame:
     """Raw snapshot columns (without session) of rows with a JSON text and a
     time.  Messages without an event time or with a bad side go; with ``strict``
-    they raise.  Empty lists count as absent."""
+    they raise.  Empty lists count as absent.  With ``markers``, a column
+    ``reconnected`` is true in rows that only say that the connection was made
+    anew; they have no levels."""
     pick = lambda a, b: F.when(F.size(F.col(f"message.{a}")) > 0, F.col(f"message.{a}")).otherwise(F.col(f"message.{b}"))
     # Each explode of a one-element array keeps what is above it from being
     # copied into every column and filter that uses it.
     rows = df.select(F.col(time).alias("received"), F.explode(F.array(unwrap(F.col(value)))).alias("message"))
     parsed = F.struct(
         F.timestamp_millis("message.E").alias("event_time"),
+        F.coalesce("message.reconnected", F.lit(False)).alias("reconnected"),
         F.upper(F.coalesce(F.lit(symbol), F.col("message.s"))).alias("symbol"),
         levels_of(pick("b", "bids"), levels).alias("bid"),
         levels_of(pick("a", "asks"), levels).alias("ask"),
     )
     rows = rows.select("received", F.explode(F.array(parsed)).alias("m")).select(F.date_trunc("second", "received").alias("timestamp"), "m.*")
     good = F.col("event_time").isNotNull() & F.col("bid").isNotNull() & F.col("ask").isNotNull()
+    if markers:
+        good = good | F.col("reconnected")
     if strict:
         rows = rows.withColumn("event_time", F.when(good, F.col("event_time")).otherwise(F.raise_error(F.lit("a depth message lacks its event time or levels")).cast("timestamp")))
     else:
         rows = rows.where(good)
     book = [F.col(side)[i][kind].alias(f"{side}_{kind}_{i + 1}") for side in ("bid", "ask") for kind in ("price", "size") for i in range(levels)]
-    return rows.select("timestamp", "event_time", F.lit(exchange).alias("exchange"), "symbol", *book)
+    marker = ["reconnected"] if markers else []
+    return rows.select("timestamp", "event_time", F.lit(exchange).alias("exchange"), "symbol", *book, *marker)
 
 
 def normalise_schema(df: DataFrame, levels: int = LEVELS, order: list[str] | None = None) -> DataFrame:

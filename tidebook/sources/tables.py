@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.operators.cleaning import keep_last
-
 #: Fixed value: names of daily files.
 DAILY = re.compile(r"^([A-Z0-9]+)_(\d{4}-\d{2}-\d{2})\.parquet$")
 
@@ -51,14 +49,14 @@ def read_importance(spark: SparkSession, path: str, top: int = 20) -> DataFrame:
     return rows.orderBy(F.desc("importance_gain"), F.desc("importance_split"), "feature").limit(top)
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A small text, under a temporary name until complete."""
-    system, target = _hadoop(spark, path)
+    system, target = hadoop(spark, path)
     held = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     out = system.create(held, True)
     out.write(text.encode())
@@ -84,7 +82,7 @@ def records(df: DataFrame) -> list[dict]:
 
 def list_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     """Paths and times of change of the entries of a folder."""
-    system, target = _hadoop(spark, folder)
+    system, target = hadoop(spark, folder)
     return [(str(f.getPath()), int(f.getModificationTime())) for f in system.listStatus(target)] if system.exists(target) else []
 
 
@@ -117,40 +115,3 @@ def latest_dates(df: DataFrame, last: int, column: str = "dt") -> DataFrame:
     if len(dates) < last:
         raise ValueError(f"{last} dates wanted, {len(dates)} found")
     return df.where(F.col(column).isin(dates))
-
-
-def upsert_days(batch: DataFrame, path: str, keys: list[str] | None = None, order: list[str] | None = None) -> None:
-    """Write rows into a table partitioned by UTC date, replacing only the dates
-    they touch; of rows with equal keys the new one stays.
-
-    The merged dates are staged beside the table first, since a table cannot be
-    overwritten while it is read; a failure before the final write loses nothing.
-    """
-    spark, keys, order = batch.sparkSession, keys or ["timestamp"], order or []
-    new = batch.withColumn("dt", F.to_date("timestamp"))
-    dates = [r[0] for r in new.select("dt").distinct().collect()]
-    if not dates:
-        return
-    new = new.withColumn("upsert_turn", F.lit(1))
-    system, target = _hadoop(spark, path)
-    if system.exists(target):
-        old = spark.read.parquet(path).where(F.col("dt").isin(dates)).withColumn("upsert_turn", F.lit(0))
-        new = old.unionByName(new, allowMissingColumns=True)
-    merged = keep_last(new, [*keys, "dt"], ["upsert_turn", *order]).drop("upsert_turn")
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    merged.write.parquet(staging)
-    staged = spark.read.parquet(staging)
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
-    system.delete(spark._jvm.org.apache.hadoop.fs.Path(staging), True)
-
-
-def resume_state(spark: SparkSession, path: str, symbol: str | None = None) -> tuple[int, dt.datetime | None]:
-    """The last session and time of a saved table; (1, None) without rows."""
-    system, target = _hadoop(spark, path)
-    if not system.exists(target):
-        return 1, None
-    saved = spark.read.parquet(path)
-    if symbol:
-        saved = saved.where(F.upper("symbol") == symbol.upper())
-    last = saved.agg(F.max_by(F.struct("session_id", "timestamp"), "timestamp").alias("r")).head()["r"]
-    return (int(last["session_id"] or 1), last["timestamp"]) if last else (1, None)

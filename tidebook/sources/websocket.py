@@ -1,69 +1,81 @@
-"""A streaming source of depth messages from a websocket.
+"""Depth messages from a websocket, recorded as segments of JSON lines.
 
-Needs a network and the ``websockets`` package; both are asked for only when a
-stream starts.  Elsewhere a folder of JSON lines replays the same messages.
+A recorder listens and seals a segment every few seconds: it writes under a
+temporary name and renames.  What is sealed is durable; the collecting stream
+reads the folder (:func:`tidebook.streaming.collector.read_folder`) and keeps in
+its checkpoint which segments it has taken.  Needs a network and the
+``websockets`` package, which are asked for only when listening starts.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import os
 import time
-
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+import uuid
+from collections.abc import Callable, Iterator
 
 #: Shape of the stream's address, and delays in seconds.
 ADDRESS = "{base}/{symbol}@depth{levels}@100ms"
 RECONNECT_SECONDS, PING_SECONDS = 5.0, 20.0
-
-
-class DepthSource(DataSource):
-    """Options: ``base`` (address), ``symbol``, ``levels``, ``seconds`` (how long
-    one read listens) and ``reconnect_seconds``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "depth_websocket"
-
-    def schema(self) -> str:
-        return "value string, timestamp timestamp"
-
-    def simpleStreamReader(self, schema) -> DepthReader:
-        return DepthReader(dict(self.options))
-
-
-class DepthReader(SimpleDataSourceStreamReader):
-    def __init__(self, options: dict[str, str]):
-        self.address = ADDRESS.format(base=options["base"].rstrip("/"), symbol=options["symbol"].lower(), levels=options.get("levels", "20"))
-        self.seconds = float(options.get("seconds", "1"))
-        self.delay = float(options.get("reconnect_seconds", RECONNECT_SECONDS))
-        self.kept: dict[int, list[tuple]] = {}
-
-    def initialOffset(self) -> dict:
-        return {"batch": 0}
-
-    def read(self, start: dict):
-        from websockets.sync.client import connect
-
-        rows, until = [], time.monotonic() + self.seconds
-        while time.monotonic() < until:
-            try:
-                with connect(self.address, ping_interval=PING_SECONDS) as socket:
-                    while (left := until - time.monotonic()) > 0:
-                        rows.append((socket.recv(timeout=left), dt.datetime.now(dt.UTC)))
-            except TimeoutError:
-                break
-            except OSError:
-                time.sleep(self.delay)
-        self.kept[start["batch"]] = rows
-        return iter(rows), {"batch": start["batch"] + 1}
-
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter([row for batch in range(start["batch"], end["batch"]) for row in self.kept.get(batch, [])])
-
-    def commit(self, end: dict) -> None:
-        self.kept = {k: v for k, v in self.kept.items() if k >= end["batch"]}
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(DepthSource)
+#: Seconds of messages in a segment.
+SEGMENT_SECONDS = 5.0
+#: What the recorder says after a connection was made anew.
+RECONNECTED = json.dumps({"reconnected": True})
+
+
+def address(base: str, symbol: str, levels: int = 20) -> str:
+    return ADDRESS.format(base=base.rstrip("/"), symbol=symbol.lower(), levels=levels)
+
+
+def listen(url: str, delay: float = RECONNECT_SECONDS) -> Iterator[str | None]:
+    """Messages for ever; None when a second passes without one, and a marker
+    after each reconnect."""
+    from websockets.sync.client import connect
+
+    first = True
+    while True:
+        try:
+            with connect(url, ping_interval=PING_SECONDS) as socket:
+                if not first:
+                    yield RECONNECTED
+                first = False
+                while True:
+                    try:
+                        yield socket.recv(timeout=1)
+                    except TimeoutError:
+                        yield None
+        except OSError:
+            time.sleep(delay)
+
+
+def record(messages: Iterator[str | None], folder: str, seconds: float = SEGMENT_SECONDS, now: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.UTC)) -> int:
+    """Write messages to segments of ``folder`` until they end; how many.  A
+    segment is sealed by a rename, in order of time; a message is in no segment or
+    in one."""
+    os.makedirs(folder, exist_ok=True)
+    held: list[str] = []
+    count, opened = 0, now()
+
+    def seal() -> None:
+        nonlocal held
+        if held:
+            name = f"{opened.strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:8]}.json"
+            with open(f"{folder}/.{name}", "w") as out:
+                out.write("\n".join(held))
+                out.flush()
+                os.fsync(out.fileno())
+            os.rename(f"{folder}/.{name}", f"{folder}/{name}")
+        held = []
+
+    for message in messages:
+        at = now()
+        if (at - opened).total_seconds() >= seconds:
+            seal()
+            opened = at
+        if message is not None:
+            held.append(json.dumps({"received": at.isoformat(), "message": message}))
+            count += 1
+    seal()
+    return count

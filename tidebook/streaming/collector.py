@@ -12,16 +12,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidebook.operators import ordered
 from tidebook.operators.sessions import MAX_GAP_SECONDS
-from tidebook.schema import LEVELS, METADATA, level_columns
+from tidebook.schema import LEVELS
+from tidebook.sources import versions
 from tidebook.sources.messages import parse_messages
-from tidebook.sources.tables import resume_state, upsert_days
 
+from . import sampler
 
-def read_folder(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Messages replayed from JSON lines ``{"received": ..., "message": ...}``:
-    ``value`` and ``timestamp``."""
-    lines = spark.readStream.schema("received timestamp, message string").option("maxFilesPerTrigger", files_per_trigger).json(path)
-    return lines.select(F.col("message").alias("value"), F.col("received").alias("timestamp"))
+
+def read_folder(spark: SparkSession, path: str, files_per_trigger: int = 1, clean: bool = False) -> DataFrame:
+    """Messages from segments of JSON lines ``{"received": ..., "message": ...}``
+    (see :func:`tidebook.sources.websocket.record`): ``value`` and ``timestamp``.
+    Which segments a batch has is in the stream's checkpoint, so a restart loses
+    and repeats nothing; ``clean`` removes a segment when its batch is done."""
+    lines = spark.readStream.schema("received timestamp, message string").option("maxFilesPerTrigger", files_per_trigger)
+    if clean:
+        lines = lines.option("cleanSource", "delete")
+    return lines.json(path).select(F.col("message").alias("value"), F.col("received").alias("timestamp"))
 
 
 def sample_seconds(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -60,15 +66,11 @@ def assign_sessions(rows: DataFrame, session: int = 1, last: dt.datetime | None
 
 @dataclass
 class Saver:
-    """Saves batches: sample, carry over from the last saved second, number
-    sessions, upsert by day.  ``left`` counts the samples still to take, and
-    ``done`` is set when there are none."""
+    """Saves batches of sampled rows as versions of the table.  ``left`` counts
+    the samples still to take, and ``done`` is set when there are none."""
 
     path: str
-    symbol: str | None
-    carry_seconds: int | None
-    levels: int
-    max_gap_seconds: float
+    writer: str
     left: int | None = None
 
     @property
@@ -78,26 +80,12 @@ class Saver:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if self.done:
             return
-        spark = batch.sparkSession
-        session, last = resume_state(spark, self.path, self.symbol)
-        rows = sample_seconds(batch)
-        taken = 0
+        rows, taken = batch.persist(StorageLevel.DISK_ONLY), 0
         if self.left is not None:
             rows = rows.orderBy("timestamp", "symbol").limit(self.left)
             taken = rows.count()
-        names = [*(c for c in METADATA if c != "session_id"), *level_columns(self.levels)]
-        rows = rows.select(*names)
-        if self.carry_seconds is None or self.carry_seconds > 1:
-            if last is not None:  # what the last batch left is held across the cut
-                saved = spark.read.parquet(self.path).where(F.col("timestamp") == F.lit(last)).select(*names)
-                rows = saved.where(F.upper("symbol") == self.symbol.upper() if self.symbol else F.lit(True)).unionByName(rows)
-            rows = carry_forward(sample_seconds(rows), self.carry_seconds)
-        # Numbering reads its rows twice; messages are parsed once.
-        rows = rows.persist(StorageLevel.DISK_ONLY)
-        # Rows saved before (a batch run again, late seconds) keep the session.
-        numbered = assign_sessions(rows, session, last, self.max_gap_seconds)
-        upsert_days(numbered.select(*METADATA, *level_columns(self.levels)), self.path)
-        rows.unpersist()
+        versions.upsert(rows, self.path, writer=self.writer, batch_id=batch_id)
+        batch.unpersist()
         if self.left is not None:  # last, as the stream may be stopped for it
             self.left -= taken
 
@@ -110,20 +98,29 @@ def collect(
     exchange: str = "simulated",
     levels: int = LEVELS,
     carry_seconds: int | None = None,
-    every_seconds: int = 60,
+    every_seconds: float = 60,
     once: bool = False,
     max_gap_seconds: float = MAX_GAP_SECONDS,
     limit_samples: int | None = None,
+    live: bool = False,
 ) -> tuple[StreamingQuery, Saver]:
-    """Start saving a stream of ``value, timestamp`` messages into a table by
-    day.  Quiet seconds repeat the last message, also across batches; with
-    ``carry_seconds`` only in silences of at most so many seconds (1: never).
-    ``once`` takes what is there and ends.  ``limit_samples`` bounds the messages
-    sampled (see :func:`wait`).  The upsert is by second, so a batch that runs
-    again after a failure writes the same rows."""
-    parsed = parse_messages(messages, exchange=exchange, symbol=symbol, levels=levels)
-    saver = Saver(path, symbol, carry_seconds, levels, max_gap_seconds, limit_samples)
-    writer = parsed.writeStream.foreachBatch(saver).option("checkpointLocation", checkpoint)
+    """Start saving a stream of ``value, timestamp`` messages into a table of
+    versions by day (:mod:`tidebook.sources.versions`).
+
+    Sampling and sessions are a stateful operator (:mod:`.sampler`): quiet
+    seconds repeat the last message, also across batches, until a message says
+    that the connection was made anew; with ``carry_seconds`` only in silences of
+    at most so many seconds (1: never).  ``live`` fills a silence while it lasts.
+    ``once`` takes what is there and ends.  ``limit_samples`` bounds the rows
+    sampled (see :func:`wait`).  A new checkpoint goes on from the sessions of
+    the table; a batch that runs again is void.
+    """
+    spark = messages.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    parsed = parse_messages(messages, exchange=exchange, symbol=symbol, levels=levels, markers=True)
+    rows = sampler.sampled(parsed, versions.current(spark, path).last, levels, carry_seconds, max_gap_seconds, live)
+    saver = Saver(path, checkpoint, limit_samples)
+    writer = rows.writeStream.foreachBatch(saver).outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{every_seconds} seconds")
     return writer.start(), saver
 
