@@ -101,6 +101,42 @@ def test_long_pages_are_archived(spark, long_rows):
         assert bytes(got[i]["payload"]) == (t or "").encode()
 
 
+# ---- license spans ----
+
+
+def test_whole_license_texts_are_found(spark):
+    """Whole texts, as they are, with words changed, and cut short: each is named
+    by its own label."""
+    from tidebook.llm.license_templates import WHOLE
+
+    rng, rows = random.Random(8), []
+    for i, (label, text) in enumerate(sorted(WHOLE.items())):
+        own = text.split()
+        for at in rng.sample(range(len(own)), len(own) // 25):
+            own[at] = "changed"
+        filler = " ".join(f"w{rng.randrange(500)}" for _ in range(300))
+        rows += [(3 * i, f"{filler} {text}\n{filler}", label), (3 * i + 1, " ".join(own), label), (3 * i + 2, " ".join(text.split()[:6]), None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    _, spans = license_scan.license_spans(docs)
+    texts = {r["row"]: r["doc_id"] for r in license_scan.license_spans(docs)[0].collect()}
+    got = collections.defaultdict(set)
+    for r in spans.collect():
+        got[texts[r["row"]]].add(r["label"])
+    for i, _, label in rows:
+        assert (label in got[i]) if label else not got[i]
+
+
+def test_many_far_passages_stay_apart(spark):
+    """Clauses far from each other in one text meet their own passages only."""
+    clause = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    filler = " ".join(f"w{i}" for i in range(1500))
+    docs = spark.createDataFrame([(1, f" {filler} ".join([clause] * 60))], "doc_id long, text string")
+    _, spans = license_scan.license_spans(docs)
+    found = sorted((r["start"], r["end"]) for r in spans.collect())
+    n = len(license_scan.words_of(clause))
+    assert found == [(i * (n + 1500), i * (n + 1500) + n) for i in range(60)]
+
+
 # ---- language samples ----
 
 

@@ -34,6 +34,8 @@ from .text import ALNUM, combined, string_chunks, word_hashes, word_spans
 MOST_BROADCAST = 200_000
 #: Hashes in one list at most.
 LIST = 1 << 15
+#: Words of a stretch of a text by which spans find their passages.
+STRETCH = 1024
 
 
 def words_of(text: str) -> list[str]:
@@ -133,7 +135,7 @@ def _scan(k: int, grams: np.ndarray, margin: int, phrases: dict[str, str], id_ty
 
 def _verify(templates: list[tuple[str, list[str]]], least_share: float):
     def verify(table: pa.Table) -> pa.Table:
-        """Spans of one text, best first; one that mostly overlaps a better one
+        """Spans of one passage, best first; one that mostly overlaps a better one
         (another version of the same wording) goes."""
         spans, found = table.to_pylist(), []
         for r in spans:
@@ -143,9 +145,13 @@ def _verify(templates: list[tuple[str, list[str]]], least_share: float):
             if blocks and matched / len(wanted) >= least_share:
                 found.append((-matched, -matched / len(wanted), r["start"] + blocks[0].a, r["start"] + blocks[-1].a + blocks[-1].size, label))
         kept: list[tuple] = []
+        near: dict[int, list[tuple]] = {}  # those kept, by the stretches they touch
         for span in sorted(found):
-            if all(2 * (min(span[3], x[3]) - max(span[2], x[2])) <= span[3] - span[2] for x in kept):
+            stretches = range(span[2] // STRETCH, (span[3] - 1) // STRETCH + 1)
+            if all(2 * (min(span[3], x[3]) - max(span[2], x[2])) <= span[3] - span[2] for i in stretches for x in near.get(i, ())):
                 kept.append(span)
+                for i in stretches:
+                    near.setdefault(i, []).append(span)
         columns = zip(*[(spans[0]["row"], x[4], -x[1], x[2], x[3]) for x in kept], strict=True) if kept else [[]] * 5
         kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["row", "label", "share", "start", "end"])
@@ -195,11 +201,15 @@ def license_spans(
     # A word changed costs k votes: a span of the least share has at least these.
     floor = F.greatest(F.lit(1), F.col("length") - k + 1 - F.ceil(F.col("length") * (1 - least_share)) * k)
     spans = spans.where(F.col("votes") >= floor).select("row", "template", F.greatest(F.col("first") - gap, F.lit(0)).alias("start"), (F.col("last") + gap).alias("stop"))
-    passages = each.where("passage is not null").select("row", "passage.*").withColumnsRenamed({"start": "from", "words": "passage"})
+    # A span starts in one passage; they meet by stretches of the text.
+    size = F.size("passage.words")
+    touched = F.sequence(F.floor(F.col("passage.start") / STRETCH), F.floor((F.col("passage.start") + size - 1) / STRETCH))
+    passages = each.where("passage is not null").select("row", F.col("passage.start").alias("from"), F.col("passage.words").alias("passage"), F.explode(touched).alias("stretch"))
+    spans = spans.withColumn("stretch", F.floor(F.col("start") / STRETCH))
     inside = (F.col("start") >= F.col("from")) & (F.col("start") < F.col("from") + F.size("passage"))
     own = F.slice("passage", (F.col("start") - F.col("from") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
-    found = spans.join(passages, "row").where(inside).select("row", "template", "start", own.alias("words"))
-    found = found.groupBy("row").applyInArrow(_verify(clauses, least_share), "row long, label string, share double, start long, end long")
+    found = spans.join(passages, ["row", "stretch"]).where(inside).select("row", "from", "template", "start", own.alias("words"))
+    found = found.groupBy("row", "from").applyInArrow(_verify(clauses, least_share), "row long, label string, share double, start long, end long")
     return each.where("fact is not null").select("row", "fact.*"), found
 
 
@@ -211,8 +221,9 @@ def license_scan(docs: DataFrame, **options) -> DataFrame:
     are the smallest and largest word at which one starts.  ``labels`` adds the
     labels of verified spans.  ``score`` is 1 with a phrase, else the largest
     share of a template's words that a span has, else 0.  A null text counts as
-    empty and has no words; an empty table gives an empty result; columns not
-    named are not read.
+    empty and has no words; texts of any length are scanned whole.  Repeated rows
+    are scanned each on its own, and null identifiers stay null.  An empty table
+    gives an empty result; columns not named are not read.
     """
     texts, spans = license_spans(docs, **options)
     best = spans.groupBy("row").agg(F.collect_set("label").alias("added"), F.max("share").alias("share"))
