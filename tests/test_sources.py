@@ -156,6 +156,20 @@ def test_small_records_round_trip(spark, tmp_path):
     assert tables.read_csv(spark, str(tmp_path / "c"), "id long").count() == 2
 
 
+def test_a_session_leaves_nothing_behind(spark, monkeypatch):
+    from pathlib import Path
+
+    from tidebook import storage
+
+    monkeypatch.setattr(storage, "_left", {})
+    made = storage.written(spark.range(5), "some")
+    kept = storage.held(spark.range(3).persist())
+    path = Path(storage._leftovers(spark)[0][0].removeprefix("file://"))
+    assert made.count() == 5 and path.exists() and kept.is_cached
+    storage.clear(spark)
+    assert not path.exists() and not kept.is_cached
+
+
 def at(second):
     return F.timestamp_seconds(F.lit(second))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 from dataclasses import replace
 
-from tidebook import config, naming, reports
+from tidebook import config, naming, reports, storage
 from tidebook.functions.labels import SignalRule
 from tidebook.operators import backtest, boosting, cleaning, evaluation, experiment, features, models, sessions, targets
 from tidebook.session import get_session
@@ -234,4 +234,7 @@ def main(arguments: list[str] | None = None) -> None:
 
 
 if __name__ == "__main__":
-    main()
+    try:
+        main()
+    finally:
+        storage.clear(get_session("tidebook"))

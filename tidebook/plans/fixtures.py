@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.operators import ordered
-from tidebook.storage import new_path, written
+from tidebook.storage import left, new_path, written
 
 LEVELS = 20
 #: Rows between two gaps; rows of the fixture for horizons of up to two minutes.
@@ -97,7 +97,7 @@ def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A view, written when it is first asked for: queries time their operators
     on a table, not the numbering of all events."""
     key = (spark.sparkContext.applicationId, sf_dir, sql)
-    if key not in _written:
+    if not left(spark, _written.get(key)):
         rows = spark.sql(sql.replace(NUMBERED, "{numbered}"), numbered=numbered(spark.read.parquet(f"{sf_dir}/events.parquet")))
         path = new_path(spark, "view")
         written(rows.repartition(spark.sparkContext.defaultParallelism, "rn" if "rn" in rows.columns else "event_id"), "view", path)
