@@ -101,6 +101,22 @@ def test_long_pages_are_archived(spark, long_rows):
         assert bytes(got[i]["payload"]) == (t or "").encode()
 
 
+# ---- shingle frequencies ----
+
+
+def test_a_blocks_counts_are_exact():
+    """A shingle of a thousand short texts of one block has its own class, by
+    which it is dealt over salts."""
+    import pyarrow as pa
+
+    texts = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1000), pa.int64()), "text": pa.array([f"one two three four five w{i}" for i in range(1000)])})
+    out = pa.Table.from_batches(list(jaccard_join._scan(5, 40, 0)(iter([texts]))))
+    shingles = out.filter(out.column("bucket").is_valid())
+    classes = jaccard_join._frequencies(shingles).column("payload").to_pylist()
+    found = np.concatenate([jaccard_join.unpack(c, np.uint8) for c in classes])
+    assert sorted(found.tolist()) == [0] * 1000 + [9]
+
+
 # ---- license spans ----
 
 
@@ -416,6 +432,22 @@ def test_mixed_documents_keep_nulls_and_columns(spark):
     assert sum(r["doc_id"] is None for r in found) >= 15 and not any(r["doc_id"] == 99 for r in found)
 
 
+# ---- shingle frequencies ----
+
+
+def test_a_blocks_counts_are_exact():
+    """A shingle of a thousand short texts of one block has its own class, by
+    which it is dealt over salts."""
+    import pyarrow as pa
+
+    texts = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1000), pa.int64()), "text": pa.array([f"one two three four five w{i}" for i in range(1000)])})
+    out = pa.Table.from_batches(list(jaccard_join._scan(5, 40, 0)(iter([texts]))))
+    shingles = out.filter(out.column("bucket").is_valid())
+    classes = jaccard_join._frequencies(shingles).column("payload").to_pylist()
+    found = np.concatenate([jaccard_join.unpack(c, np.uint8) for c in classes])
+    assert sorted(found.tolist()) == [0] * 1000 + [9]
+
+
 # ---- license spans --------------------------------------------------------------------------------
 
 

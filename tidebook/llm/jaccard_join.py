@@ -88,7 +88,7 @@ def _scan(k: int, bits: int, bucket_bits: int):
                 rows.append(b)
                 base = np.uint64(b << (bits - bucket_bits))
                 payload.append(varint(np.diff(values[x:y] - base, prepend=np.uint64(0))))
-                lengths.append(pack(np.minimum(counts[x:y], 255).astype(np.uint8)))
+                lengths.append(pack(np.frombuffer(varint(counts[x:y]), np.uint8)))
         n = len(rows)
         return pa.RecordBatch.from_arrays(
             [pa.array([block] * n, pa.int64()), pa.array(rows, pa.int32()), pa.nulls(n, pa.list_(pa.int64())), pa.array(lengths, pa.binary()), pa.array(payload, pa.binary())], _FIELDS
@@ -129,7 +129,7 @@ def _only_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _frequencies(table: pa.Table) -> pa.Table:
     """For a range of hashes: the frequency class of each block's shingles."""
     values = [np.cumsum(unvarint(x.as_py())) for x in table.column("payload")]
-    counts = [unpack(x.as_py(), np.uint8) for x in table.column("lengths")]
+    counts = [unvarint(unpack(x.as_py(), np.uint8)) for x in table.column("lengths")]
     _, inverse = np.unique(np.concatenate(values), return_inverse=True)
     often = np.bincount(inverse, np.concatenate(counts))
     classes = np.log2(often).astype(np.uint8)[inverse]

@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.storage import new_path, ship, written
+from tidebook.storage import held, new_path, ship, written
 
 __all__ = ["all_columns", "keep", "materialize", "new_path", "prepared", "unused"]
 
@@ -20,8 +20,9 @@ materialize = written
 
 def keep(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept on the executors' disks for its consumers.
-    The lineage stays, so what an executor loses is computed again."""
-    df = df.persist(StorageLevel.DISK_ONLY)
+    The lineage stays, so what an executor loses is computed again;
+    ``tidebook.storage.clear`` lets it go."""
+    df = held(df.persist(StorageLevel.DISK_ONLY))
     df.count()
     return df
 
