@@ -297,6 +297,25 @@ def test_histories_have_the_stated_names():
     assert sorted(names) == sorted(features.history_names()) and len(names) == 80
 
 
+def test_bracketed_quantiles_are_exact(spark):
+    """Beyond the size from which the sketch brackets: many and few different
+    values, ties at the cut, a constant and nulls."""
+    n, rng = 60_000, np.random.default_rng(6)
+    values = {"wide": rng.normal(size=n), "tied": rng.integers(0, 7, n).astype(float), "same": np.full(n, 2.5), "skewed": np.where(rng.random(n) < 0.99, 1.0, rng.exponential(size=n)), "holes": rng.normal(size=n)}
+    import pandas as pd
+
+    frame = pd.DataFrame(values)
+    frame.loc[::3, "holes"] = np.nan
+    df = spark.createDataFrame(frame).withColumn("holes", F.when(~F.isnan("holes"), F.col("holes"))).repartition(5)
+    points = [0.0, 0.001, 0.25, 0.5, 0.99, 1.0]
+    got = cleaning.quantiles(df, list(values), points).head()
+    for c in values:
+        assert got[c] == pytest.approx(np.quantile(frame[c].dropna(), points).tolist(), rel=1e-12, abs=1e-12)
+    inside = cleaning._brackets(df.select(*(F.col(c).alias(f"v{j}") for j, c in enumerate(values))), 5, points)
+    low, high = next((a, b) for j, i, a, b, _ in inside if (j, i) == (0, 3))
+    assert 0 < ((values["wide"] >= low) & (values["wide"] <= high)).sum() < n / 500
+
+
 def test_split_cuts_use_double_products():
     assert evaluation.split_cuts(90) == (62, 76)
     with pytest.raises(ValueError):

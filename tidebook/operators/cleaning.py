@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import book
 from tidebook.schema import LEVELS, coerce, complete, instant, level_columns, missing_columns, number, preferred_order, require_columns, required_columns, size_columns
+from tidebook.storage import held
 
 
 @dataclass(frozen=True)
@@ -112,31 +113,62 @@ def winsor_columns(df: DataFrame, levels: int = LEVELS) -> list[str]:
     return [*(c for c in size_columns(levels) if c in df.columns), *derived]
 
 
+#: Rank error of the sketch that brackets a quantile, as a share of the values,
+#: and how many such errors a bracket reaches to either side.
+RANK_ERROR, REACH = 1e-4, 4
+
+
+def _brackets(rows: DataFrame, n_columns: int, points: list[float]) -> list[tuple[int, int, float, float, float]]:
+    """``column, point, least, most, at``: for each column with values and each
+    point, values between which the quantile lies for certain, and its place
+    among all.  A sketch gives them in one pass; of few values they are the ends."""
+    reach = RANK_ERROR * REACH
+    asked = [x for p in points for x in (max(0.0, p - reach), min(1.0, p + reach))]
+    facts = []
+    for j in range(n_columns):
+        own = F.col(f"v{j}")
+        facts += [F.count(own).alias(f"n{j}"), F.min(own).alias(f"min{j}"), F.max(own).alias(f"max{j}"), F.percentile_approx(own, asked, int(1 / RANK_ERROR)).alias(f"q{j}")]
+    got, out = rows.agg(*facts).head(), []
+    for j in range(n_columns):
+        n = got[f"n{j}"]
+        for i, p in enumerate(points if n else ()):
+            few = n * RANK_ERROR <= REACH
+            low, high = (got[f"min{j}"], got[f"max{j}"]) if few else got[f"q{j}"][2 * i : 2 * i + 2]
+            out.append((j, i, low, high, (n - 1) * p))
+    return out
+
+
 def quantile_rows(df: DataFrame, columns: list[str], points: list[float]) -> DataFrame:
     """``column, point, value``: exact linear-interpolated quantiles of each
     column's values (null values are none).
 
-    Values are counted once each, dealt out by ranges and counted up: within a
-    range, and over ranges (a row for each column and range).  So no task holds a
-    column's values, however many differ.
+    A sketch of all columns brackets every quantile.  One pass then counts the
+    values below each bracket, and only values inside leave the rows: some
+    thousandths of them.  These are counted once each, dealt out by ranges and
+    counted up, within a range and over ranges, so no task holds a column's
+    values, however many differ.
     """
-    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))
-    counts = df.select(F.inline(pairs)).where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.repartitionByRange("column", "value").withColumn("range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    by_range = Window.partitionBy("column").orderBy("range")
-    ranges = counts.groupBy("column", "range").agg(F.sum("n").alias("held"))
-    ranges = ranges.withColumn("offset", F.sum("held").over(by_range) - F.col("held"))
-    ranges = ranges.withColumn("total", F.sum("held").over(Window.partitionBy("column"))).drop("held")
-    inside = Window.partitionBy("column", "range").orderBy("value")
-    counted = counts.withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(ranges), ["column", "range"])
+    spark = df.sparkSession
+    # Read three times: what is upstream runs once.
+    rows = held(df.select(*(F.col(f"`{c}`").cast("double").alias(f"v{j}") for j, c in enumerate(columns))).persist(StorageLevel.DISK_ONLY))
+    brackets = _brackets(rows, len(columns), points)
+    if not brackets:
+        return spark.createDataFrame([], "column string, point double, value double")
+    below = rows.agg(*(F.count_if(F.col(f"v{j}") < low).alias(f"b{k}") for k, (j, _, low, _, _) in enumerate(brackets))).head()
+    asked = [(k, columns[j], points[i], below[f"b{k}"], at) for k, (j, i, _, _, at) in enumerate(brackets)]
+    asked = F.broadcast(spark.createDataFrame(asked, "key int, column string, point double, below long, at double"))  # a row for each column and point
+    inside = [F.when(F.col(f"v{j}").between(low, high), F.struct(F.lit(k).alias("key"), F.col(f"v{j}").alias("value"))) for k, (j, _, low, high, _) in enumerate(brackets)]
+    counts = rows.select(F.inline(F.array_compact(F.array(*inside)))).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = held(counts.repartitionByRange("key", "value").withColumn("range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY))
+    by_range = Window.partitionBy("key").orderBy("range")
+    ranges = counts.groupBy("key", "range").agg(F.sum("n").alias("held"))
+    ranges = ranges.withColumn("offset", F.sum("held").over(by_range) - F.col("held")).drop("held")
+    within = Window.partitionBy("key", "range").orderBy("value")
+    counted = counts.withColumn("upto", F.sum("n").over(within)).join(ranges, ["key", "range"]).join(asked, "key")
     # Places of a value are low, ..., low + n - 1.
-    low = F.col("offset") + F.col("upto") - F.col("n")
-    asked = F.explode(F.array(*map(F.lit, points))).alias("point")
-    at = (F.col("total") - 1) * F.col("point")
-    placed = counted.select("column", "value", low.alias("low"), "n", "total", asked).withColumn("at", at)
+    counted = counted.withColumn("low", F.col("below") + F.col("offset") + F.col("upto") - F.col("n"))
     holds = lambda place: (F.col("low") <= place) & (place < F.col("low") + F.col("n"))
-    below, above = F.floor("at"), F.ceil("at")
-    found = placed.where(holds(below) | holds(above)).groupBy("column", "point").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.max(F.col("at") - F.floor("at")).alias("f"))
+    found = counted.where(holds(F.floor("at")) | holds(F.ceil("at"))).groupBy("column", "point").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.max(F.col("at") - F.floor("at")).alias("f"))
     return found.select("column", "point", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("value"))
 
 
