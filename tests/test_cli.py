@@ -23,6 +23,9 @@ def test_settings(tmp_path):
     assert config.target(settings).mode == "cost_aware"
     assert (config.backtest(settings).fee_bps, config.backtest(settings).rule.signal_threshold) == (2, 0.6)
     assert config.cleaning(settings).max_allowed_spread == 2.0
+    common = {"project": {"symbol": "AAA"}, "exchange": {"depth_levels": 10}, "data": {"raw_orderbook_dir": "raw"}, "target": {"threshold_candidates": [0.1, 1]}}
+    assert (config.symbol(common), config.levels(common), config.folder(common, "clean"), config.folder(common, "sweep")) == ("AAA", 10, "raw", None)
+    assert config.threshold_candidates(common) == (0.1, 1.0) and config.levels({"features": {"levels": 5}}) == 5 and config.levels({}) == 20
     with pytest.raises(ValueError):
         config.cleaning({"cleaning": {"spread_outlier_method": "clip"}})
 
@@ -50,6 +53,17 @@ def test_commands(spark, tmp_path, capsys):
     assert "models of day_h5_th0p5" in out and "agreement_rate" in out and "importance_gain" in out
     first = at("AAA_logistic_day_h5_th0p5_predictions.parquet")
     run("backtest", "--input", first, "--output", at("backtest"), "--plots", at("plots"), "--signal-threshold", "0.4", "--neutral-max-probability", "0.9")
+    run("backtest", *found, "--signal-threshold", "0.4")
+    named = [p.name for p in tmp_path.iterdir() if p.name.startswith("backtest_AAA")]
+    assert len(named) == 1 and named[0].endswith("_all_threshold040_margin000_neutral030_cost_adjusted.parquet")
+    (tmp_path / "settings.yaml").write_text(f"project:\n  symbol: AAA\ndata:\n  raw_orderbook_dir: {tmp_path / 'rawdir'}\ntarget:\n  threshold_candidates: [0.2]\n")
+    fixtures.dirty(spark, SMALL).drop("raw_order", "rn", "event_id", "ts_sec").write.parquet(at("rawdir/a.parquet"))
+    capsys.readouterr()
+    run("validate", "--config", at("settings.yaml"))
+    assert "NO PASS" in capsys.readouterr().out
+    run("targets", "--config", at("settings.yaml"), "--folder", tmp_path, "--dataset-name", "day", "--diagnostics", "absolute")
+    out = capsys.readouterr().out
+    assert "0.2" in out and "0.7" not in out.split("Thresholds")[1].split("Future")[0]
     run("sweep", *found, "--output", at("sweep"), "--split", "all")
     assert "number_of_trades" in capsys.readouterr().out
     assert (tmp_path / "plots" / "equity_curve_bps.svg").exists()

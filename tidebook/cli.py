@@ -69,7 +69,7 @@ def _targets(spark, a, settings):
     rows = tables.read_parquet(spark, path)
     if a.diagnostics:
         future = targets.attach_future(rows, chosen.horizon_seconds, chosen.tolerance_seconds)
-        shown = targets.threshold_diagnostics(future).orderBy("threshold_abs") if a.diagnostics == "absolute" else targets.cost_aware_diagnostics(future, horizon_seconds=chosen.horizon_seconds).orderBy("cost_threshold_bps", "cost_buffer_bps")
+        shown = targets.threshold_diagnostics(future, config.threshold_candidates(settings)).orderBy("threshold_abs") if a.diagnostics == "absolute" else targets.cost_aware_diagnostics(future, horizon_seconds=chosen.horizon_seconds).orderBy("cost_threshold_bps", "cost_buffer_bps")
         print(reports.table("Thresholds", shown))
         print(reports.facts("Future return, bps", targets.describe(future, "future_return_bps")))
         return
@@ -171,7 +171,8 @@ def _collect(spark, a, settings):
 
 
 def _record(spark, a, settings):
-    websocket.record(websocket.listen(websocket.address(a.base, a.symbol, a.levels)), a.output)
+    base = a.base or config.websocket_url(settings)
+    websocket.record(websocket.listen(websocket.address(base, a.symbol, a.levels)), a.output)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -180,14 +181,14 @@ def parser() -> argparse.ArgumentParser:
 
     def command(name, run, *options, output: bool = True, source: bool = True, found: bool = False):
         p = commands.add_parser(name)
-        p.set_defaults(run=run)
+        p.set_defaults(run=run, command=name)
         p.add_argument("--config")
-        p.add_argument("--levels", type=int, default=20)
+        p.add_argument("--levels", type=int)
         if source:
             p.add_argument("--input", required=not found)
         if found:  # inputs found in a folder by their names
             p.add_argument("--folder")
-            p.add_argument("--symbol", default="BTCUSDT")
+            p.add_argument("--symbol")
             p.add_argument("--dataset-name")
             p.add_argument("--date")
         if output:
@@ -230,7 +231,14 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None) -> None:
     a = parser().parse_args(arguments)
     spark = get_session("tidebook")
-    a.run(spark, a, config.read_yaml(a.config))
+    settings = config.read_yaml(a.config)
+    # What isn't given comes from the settings.
+    a.levels = config.levels(settings) if a.levels is None else a.levels
+    if "symbol" in a and a.symbol is None and a.command != "collect":  # a stream may have several
+        a.symbol = config.symbol(settings)
+    if "folder" in a and a.folder is None and not getattr(a, "input", None):
+        a.folder = config.folder(settings, a.command)
+    a.run(spark, a, settings)
 
 
 if __name__ == "__main__":
