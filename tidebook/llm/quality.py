@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import tidy
+from .blocks import release, tidy
 from .scratch import all_columns, unused
 from .text import string_chunks, word_hashes, word_spans
 
@@ -233,7 +233,10 @@ def _fitted(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, hol
     train = train.groupBy("doc_id", "label").agg(F.min("statistics").alias("statistics")).toArrow()
     train = train.sort_by([("doc_id", "ascending"), ("label", "ascending")])
     x = train.column("statistics").combine_chunks().flatten().to_numpy().reshape(train.num_rows, len(STATISTICS))
-    return fit(x, train.column("label").to_numpy())
+    model = fit(x, train.column("label").to_numpy())
+    del train, x
+    release()  # the driver lives on, and has more stages to run
+    return model
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
