@@ -344,8 +344,8 @@ s as (select event_id, sess as session_id, segment, us2, bid_price_1, ask_price_
 select event_id, coalesce(fus, -1) as future_us, round(future_mid_price, 6) as future_mid_price from fut""")
 def asof_tolerance_tie(spark, sf_dir):
     us = F.col("ts_sec") * 2_000_000 + F.expr(_SHIFT)
-    rows = _market(spark, sf_dir).withColumn("us", us).withColumn("found", targets.asof_nearest("us", ["mid_price"], ["session_id"], 6_000_000, 1_000_000))
-    return rows.select("event_id", F.coalesce(F.col("found.us"), F.lit(-1)).alias("future_us"), r6("found.mid_price").alias("future_mid_price"))
+    rows = targets.attach_future(_market(spark, sf_dir).withColumn("timestamp", F.timestamp_micros(us)), 6, 1.0, max_gap_seconds=60)
+    return rows.select("event_id", F.coalesce(F.unix_micros("future_timestamp"), F.lit(-1)).alias("future_us"), r6("future_mid_price").alias("future_mid_price"))
 
 
 def _label_sql(value: str, thr: str) -> str:
@@ -717,9 +717,9 @@ def json_levels_parse(spark, sf_dir):
 
 @query(f"""with {BOOK}, k as (select ts_sec, bid_price_1 from book where event_id % 7 <> 0),
 n as (select *, lead(ts_sec) over (order by ts_sec) - ts_sec as ahead from k)
-select ts_sec + unnest(range(case when ahead between 2 and 5 then ahead else 1 end)) as ts_sec, bid_price_1 from n""")
+select ts_sec + unnest(range(case when ahead >= 2 then ahead else 1 end)) as ts_sec, bid_price_1 from n""")
 def sampler_carry_forward(spark, sf_dir):
-    rows = collector.carry_forward(collector.sample_seconds(parse_messages(_messages(spark, sf_dir))), 5)
+    rows = collector.carry_forward(collector.sample_seconds(parse_messages(_messages(spark, sf_dir))))
     return rows.select(F.unix_seconds("timestamp").alias("ts_sec"), "bid_price_1")
 
 
