@@ -281,7 +281,8 @@ def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str =
 
     Each match of ``pattern`` is merged separately by the ranks of
     ``vocabulary`` (the content of a rank file); there are no special tokens.
-    A null or empty text has no tokens.  Rows are never joined by identifier, so
+    A null or empty text has no tokens; a text of any length is encoded whole, in
+    one task.  Rows are never joined by identifier, so
     identifiers may repeat or be null.  An empty table gives an empty result;
     columns not named are not read.  ``buckets`` of words follow the size of the
     input unless given, which bounds what one bucket holds.

@@ -54,7 +54,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one space; a null text counts as the empty text, which is a text like any
     other.  The smallest identifier stays; of rows repeating one identifier and
     text, one stays.  A null identifier never beats another; a group of only
-    null identifiers has a null ``keep_id`` and one kept row.  An empty table
+    null identifiers has a null ``keep_id`` and one kept row.  Texts of any length
+    are compared whole; only their digests travel.  An empty table
     gives an empty result.  Other columns, whatever their names, are not read.
     """
     text = normalised(F.col(f"`{text_col}`"))

@@ -272,7 +272,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component is the smallest identifier reachable by links, the document's own
     included.  Equal sets are one node, so copies cost nothing.  Identifiers are
     integers; rows repeating one are the same node, and a row with a null
-    identifier links with nothing and has a null component.  An empty table
+    identifier links with nothing and has a null component.  Sets of any size are
+    compared whole; a pair exactly at ``percent`` links.  An empty table
     gives an empty result; columns not named are not read.
     """
     spark = docs.sparkSession

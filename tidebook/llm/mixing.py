@@ -158,7 +158,8 @@ def mix_sources(
     gives a whole number of its blocks: the nearest to its target by its blocks'
     mean size.  A null or empty text has size 0 and gives nothing; a null source
     is a source of its own.  Rows repeating an identifier are documents of their
-    own, null identifiers included.  An empty table gives an empty result, and
+    own, null identifiers included.  A text of any length is cut into as many
+    blocks as it fills.  An empty table gives an empty result, and
     columns not named are not read.  Reruns agree: every draw is a hash of
     ``seed`` and a counter.  Sources may number thousands (their plan is ordered
     in one task); documents may number any.

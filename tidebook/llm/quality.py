@@ -252,8 +252,10 @@ def quality_scores(
     never learned; of the others about ``sample_rows``, by hash of the
     identifier, are.  Only the text is an input of a score.  A null text is
     scored as the empty text; null labels teach nothing; a null identifier is
-    scored, held_out false.  Without labels the score is 0.5.  An empty table
-    gives an empty result; columns not named are not read.
+    scored, held_out false.  Without labels the score is 0.5.  Repeated rows are
+    scored one by one; of labelled rows repeating an identifier one teaches.  Texts
+    of any length are read whole.  An empty table gives an empty result; columns
+    not named are not read.
     """
     rows = _texts(docs, id_col, text_col)
     model = _fitted(rows, labels, id_col, label_col, holdout, sample_rows)
