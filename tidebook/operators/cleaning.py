@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import book
 from tidebook.schema import LEVELS, coerce, complete, instant, level_columns, missing_columns, number, preferred_order, require_columns, required_columns, size_columns
-from tidebook.storage import held
 
 
 @dataclass(frozen=True)
@@ -150,7 +149,7 @@ def quantile_rows(df: DataFrame, columns: list[str], points: list[float]) -> Dat
     """
     spark = df.sparkSession
     # Read three times: what is upstream runs once.
-    rows = held(df.select(*(F.col(f"`{c}`").cast("double").alias(f"v{j}") for j, c in enumerate(columns))).persist(StorageLevel.DISK_ONLY))
+    rows = df.select(*(F.col(f"`{c}`").cast("double").alias(f"v{j}") for j, c in enumerate(columns))).persist(StorageLevel.DISK_ONLY)
     brackets = _brackets(rows, len(columns), points)
     if not brackets:
         return spark.createDataFrame([], "column string, point double, value double")
@@ -159,7 +158,7 @@ def quantile_rows(df: DataFrame, columns: list[str], points: list[float]) -> Dat
     asked = F.broadcast(spark.createDataFrame(asked, "key int, column string, point double, below long, at double"))  # a row for each column and point
     inside = [F.when(F.col(f"v{j}").between(low, high), F.struct(F.lit(k).alias("key"), F.col(f"v{j}").alias("value"))) for k, (j, _, low, high, _) in enumerate(brackets)]
     counts = rows.select(F.inline(F.array_compact(F.array(*inside)))).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
-    counts = held(counts.repartitionByRange("key", "value").withColumn("range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY))
+    counts = counts.repartitionByRange("key", "value").withColumn("range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
     by_range = Window.partitionBy("key").orderBy("range")
     ranges = counts.groupBy("key", "range").agg(F.sum("n").alias("held"))
     ranges = ranges.withColumn("offset", F.sum("held").over(by_range) - F.col("held")).drop("held")

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
-#: By application: folders written and frames kept on the way.
-_left: dict[str, tuple[list[str], list[DataFrame]]] = {}
+#: By application: folders written on the way.
+_left: dict[str, list[str]] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -34,35 +34,27 @@ def root(spark: SparkSession) -> str:
     return _own[key]
 
 
-def _leftovers(spark: SparkSession) -> tuple[list[str], list[DataFrame]]:
-    return _left.setdefault(spark.sparkContext.applicationId, ([], []))
+def _leftovers(spark: SparkSession) -> list[str]:
+    return _left.setdefault(spark.sparkContext.applicationId, [])
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     path = f"{root(spark)}/tidebook/{name}-{uuid.uuid4().hex}"
-    _leftovers(spark)[0].append(path)
+    _leftovers(spark).append(path)
     return path
 
 
-def held(df: DataFrame) -> DataFrame:
-    """``df``, which is persisted, to be let go by :func:`clear`."""
-    _leftovers(df.sparkSession)[1].append(df)
-    return df
-
-
 def left(spark: SparkSession, path: str | None) -> bool:
     """Whether ``path`` is one that this session has written and not cleared."""
-    return path in _leftovers(spark)[0]
+    return path in _leftovers(spark)
 
 
 def clear(spark: SparkSession) -> None:
-    """Remove what this session wrote below the shared folder and let go of what
-    it keeps on executors: once its results are saved, nothing needs it."""
-    paths, frames = _leftovers(spark)
-    for df in frames:
-        df.unpersist()
-    for path in paths:
+    """Remove what this session wrote below the shared folder on the way, and let
+    go of all that it keeps on executors: for when its results are saved."""
+    spark.catalog.clearCache()
+    for path in _leftovers(spark):
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     _left.pop(spark.sparkContext.applicationId)
