@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import block_id, input_splits, pack, tidy, unpack, unvarint, varint
-from .scratch import all_columns
+from .scratch import all_columns, materialize
 from .text import string_chunks
 
 #: Bytes of text in a block.
@@ -274,7 +274,7 @@ def _encoded(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str, text
     return together.applyInArrow(_assemble(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n_tokens long, ids binary, tokens array<int>")
 
 
-def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, decode: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, decode: bool = False, staged: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids``: ids are little-endian unsigned 32-bit integers
     in a binary column.  With ``decode`` the bytes that they stand for follow as
     ``decoded``, as by :func:`decode_ids`.
@@ -285,9 +285,13 @@ def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str =
     one task.  Rows are never joined by identifier, so
     identifiers may repeat or be null.  An empty table gives an empty result;
     columns not named are not read.  ``buckets`` of words follow the size of the
-    input unless given, which bounds what one bucket holds.
+    input unless given, which bounds what one bucket holds.  ``staged`` writes the
+    encoded rows before they are decoded, so that a task runs one Python function
+    at a time: less memory, for the ids on disk.
     """
     encoded = _encoded(docs, vocabulary, pattern, id_col, text_col, buckets)
+    if decode and staged:
+        encoded = materialize(encoded, "encoded")
     return _decoded(encoded, vocabulary, "ids", "decoded") if decode else encoded.where("tokens is null").drop("tokens")
 
 
