@@ -57,7 +57,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are encoded one by one; an empty table gives an empty result."""
     prepared(spark)
     vocabulary = byte_bpe.load_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = byte_bpe.encode_texts(docs, vocabulary, public_tokenizers.PATTERN, decode=True)
+    encoded = byte_bpe.encode_texts(docs, vocabulary, public_tokenizers.PATTERN, decode=True, staged=True)
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
