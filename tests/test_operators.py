@@ -367,3 +367,17 @@ def test_logistic_query_runs_until_it_converges(spark, monkeypatch):
     with pytest.raises(Stop):
         catalog.QUERIES["logistic_predictions"](spark, "/root/testdata/sf0.001")
     assert seen["maxIter"] == 1000
+
+
+def test_views_are_written_narrow(spark):
+    """What a view derives from an event is computed where it is read, and not
+    shuffled and written for each event."""
+    from tidebook import storage
+
+    storage.clear(spark) if storage._leftovers(spark) else None
+    wide = fixtures.dirty(spark, "/root/testdata/sf0.001")
+    folders = storage._leftovers(spark)
+    assert len(wide.columns) > 80
+    assert [spark.read.parquet(f).columns for f in folders] == [["event_id", "user_id", "rn", "mid_t"]]
+    fixtures.book(spark, "/root/testdata/sf0.001")
+    assert len(folders) == 1
