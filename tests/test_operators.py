@@ -381,3 +381,29 @@ def test_views_are_written_narrow(spark):
     assert [spark.read.parquet(f).columns for f in folders] == [["event_id", "user_id", "rn", "mid_t"]]
     fixtures.book(spark, "/root/testdata/sf0.001")
     assert len(folders) == 1
+
+
+def test_sweep_repeats_no_row_for_settings(spark, monkeypatch):
+    """Over several hours each setting has what its own backtest has, and what is
+    kept on the way is at most a row a setting and hour."""
+    kept = {}
+
+    def spy(df, name, path=None):
+        out = written(df, name, path)
+        kept[name] = max(kept.get(name, 0), out.count())
+        return out
+
+    n, hours = 2000, 5
+    rows = [(i * 9, 600 + (i * 37 % 101) / 10, 0.1 + i % 7 / 100, *(float(x) for x in ((i * 53 % 97 + 1) ** 3, (i * 29 % 89 + 1) ** 3, (i * 71 % 61 + 1) ** 3))) for i in range(n)]
+    df = spark.createDataFrame(rows, "t long, mid_price double, spread double, a double, b double, c double").withColumn("timestamp", F.timestamp_seconds("t"))
+    market = backtest.prepare_market(df)
+    total = F.col("a") + F.col("b") + F.col("c")
+    predictions = df.select("timestamp", (F.col("a") / total).alias("prob_down"), (F.col("b") / total).alias("prob_up"), (F.col("c") / total).alias("prob_neutral"))
+    monkeypatch.setattr(backtest, "written", spy)
+    got = {(r.signal_threshold, r.direction_margin, r.neutral_max_probability): r for r in backtest.sweep(predictions, market, horizon_seconds=27).collect()}
+    assert len(got) == 120 and kept["sweep"] <= 120 * hours and kept["passages"] <= 120 * hours
+    for setting in ((0.55, 0.0, 0.6), (0.6, 0.1, 0.3), (0.8, 0.2, 0.4)):
+        config = backtest.BacktestConfig(SignalRule(*setting), 27, 1.0, 1.0, True)
+        want, found = backtest.summarize(backtest.run_backtest(predictions, market, config)).head(), got[setting]
+        for name in ("number_of_trades", "long_trades", "no_trade_rows", "total_net_return_bps", "average_gross_return_bps", "hit_rate"):
+            assert found[name] == pytest.approx(want[name]), name
