@@ -407,3 +407,9 @@ def test_sweep_repeats_no_row_for_settings(spark, monkeypatch):
         want, found = backtest.summarize(backtest.run_backtest(predictions, market, config)).head(), got[setting]
         for name in ("number_of_trades", "long_trades", "no_trade_rows", "total_net_return_bps", "average_gross_return_bps", "hit_rate"):
             assert found[name] == pytest.approx(want[name]), name
+
+
+def test_counts_of_cleaning_carry_no_levels(spark):
+    """Rows are ranked by what the steps found of them, not with their levels."""
+    staged = cleaning._staged(fixtures.dirty(spark, "/root/testdata/sf0.001"), cleaning.CleaningConfig(), 20, ["raw_order"], [])
+    assert set(staged.columns) == {"raw_order", "spread_now", "negative_size", "stage", "spread_cut"}
