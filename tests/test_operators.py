@@ -409,6 +409,27 @@ def test_sweep_repeats_no_row_for_settings(spark, monkeypatch):
             assert found[name] == pytest.approx(want[name]), name
 
 
+@pytest.mark.parametrize("rows", [50, 5000])
+def test_histograms_of_many_rows_make_no_wide_copies(rows):
+    """The same sums to the last bit, in memory that does not hold every row's
+    gradient once for each feature."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    codes, g, h = np.asfortranarray(rng.integers(0, 255, (rows, 90)).astype(np.uint8)), rng.normal(size=rows), rng.random(rows)
+    node = np.flatnonzero(rng.random(rows) < 0.9)
+    tracemalloc.start()
+    got = boosting.histogram(codes, node, g, h, 255)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for f in (0, 44, 89):
+        want = np.zeros((3, 255))
+        for i in node:
+            want[:, codes[i, f]] += (g[i], h[i], 1)
+        assert np.array_equal(got[:, f], want)
+    assert rows < boosting.MANY_ROWS or peak < 8 * rows * 45
+
+
 def test_counts_of_cleaning_carry_no_levels(spark):
     """Rows are ranked by what the steps found of them, not with their levels."""
     staged = cleaning._staged(fixtures.dirty(spark, "/root/testdata/sf0.001"), cleaning.CleaningConfig(), 20, ["raw_order"], [])
