@@ -434,3 +434,44 @@ def test_counts_of_cleaning_carry_no_levels(spark):
     """Rows are ranked by what the steps found of them, not with their levels."""
     staged = cleaning._staged(fixtures.dirty(spark, "/root/testdata/sf0.001"), cleaning.CleaningConfig(), 20, ["raw_order"], [])
     assert set(staged.columns) == {"raw_order", "spread_now", "negative_size", "stage", "spread_cut"}
+
+
+def test_histories_are_those_of_windows_but_no_frame_is_added_up_anew(spark):
+    """Several sessions, nulls, zero prices and batches smaller than a history."""
+    rng = random.Random(8)
+    size = lambda: 0.0 if rng.random() < 0.1 else rng.random()
+    rows = [(i * 1_000_000 + 3_000_000 * (i // 70), i // 150 if i < 300 else None, *((-1.0, 1.0) if rng.random() < 0.02 else (100 + rng.random(), 101.0)), size(), size()) for i in range(420)]
+    df = timed(spark, rows, "us long, session_id long, bid_price_1 double, ask_price_1 double, bid_size_1 double, ask_size_1 double").withColumns({"exchange": F.lit("x"), "symbol": F.lit("y")})
+    one, patch = features.with_instantaneous, pytest.MonkeyPatch()
+    quantities = {**{f"imbalance_{k}": F.col("imbalance_1") for k in (5, 10, 20)}, **{f"{side}_depth_{k}": F.col("bid_size_1") for side in ("bid", "ask") for k in (5, 20)}}
+    with patch.context() as m:
+        m.setattr(features, "with_instantaneous", lambda d, levels: one(d, levels).withColumns(quantities))
+        wanted = features.continuity_segments(features.with_instantaneous(df, 1))
+        built = features.build_features(df, 1, keep_warmup=True)
+    along = features.stretch(wanted)
+    first, second = features.history_columns(along)
+    wanted = wanted.select("*", *(c.alias(k) for k, c in first.items()))
+    wanted = wanted.select("*", *(c.alias(k) for k, c in second.items()))
+    names = ["us", "session_id", "segment", *features.history_names()]
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert "RowFrame, -29" not in plan and "RowFrame, -4" not in plan
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(tuple(r) for r in built.select(names).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(tuple(r) for r in wanted.select(names).collect())
+    assert any(v is None for r in got for v in r[40:]) and all(any(r[k] is not None for r in got) for k in range(len(names)))
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    import duckdb
+
+    rng = random.Random(9)
+    values = [0.0, -0.0, 0.5, -0.5, 0.0000005, -0.0000015, 2.5e-6, 1e300, -1e17, 123456.7890125, *(rng.uniform(-1, 1) * 10.0 ** rng.randint(-8, 9) for _ in range(2000)), *(rng.randint(-4000, 4000) / 2.0**7 for _ in range(500))]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = [tuple(r) for r in df.select(catalog.half_up("v", 6), catalog.half_up("v", 10)).collect()]
+    con = duckdb.connect()
+    wanted = [con.execute("select round(?::double, 6) + 0.0, round(?::double, 10) + 0.0", [v, v]).fetchone() for v in [*values, None]]
+    assert got == wanted
+    assert "round(" not in catalog.QUERIES["warmup_drop"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
