@@ -2,15 +2,18 @@
 
 import math
 import random
+import types
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.functions.labels import SignalRule, signal, three_way
-from tidebook.operators import backtest, boosting, cleaning, evaluation, experiment, features, models, ordered, sessions, targets
+from tidebook.operators import backtest, boosting, cleaning, evaluation, experiment, features, models, ordered, ranks, sessions, targets
 from tidebook.plans import catalog, fixtures
 from tidebook.storage import written
 
@@ -475,3 +478,64 @@ def test_rounding_is_that_of_the_sql(spark):
     wanted = [con.execute("select round(?::double, 6) + 0.0, round(?::double, 10) + 0.0", [v, v]).fetchone() for v in [*values, None]]
     assert got == wanted
     assert "round(" not in catalog.QUERIES["warmup_drop"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_logistic_regression_is_quick_where_features_nearly_add_up(spark):
+    """Sums, near copies and a constant among the features: the solver gets the
+    four directions there are, and finds the optimum of Newton's method."""
+    rng, n = np.random.default_rng(11), 600
+    a, b = rng.normal(size=(2, n))
+    x = np.column_stack([a, b, a + b, a + 1e-3 * rng.normal(size=n), b + 1e-2 * rng.normal(size=n), np.full(n, 3.0)])
+    y = np.argmax(np.column_stack([a, b, -a]) + rng.gumbel(size=(n, 3)), axis=1)
+    names = [f"f{j}" for j in range(x.shape[1])]
+    rows = spark.createDataFrame([(i, "train", int(y[i]) - 1, *map(float, x[i])) for i in range(n)], f"id int, split string, target int, {', '.join(f'{c} double' for c in names)}")
+    model = models.train_logistic(rows, names)
+    assert model.stages[-1].numFeatures == 4 and model.stages[-1].summary.totalIterations <= 100
+
+    z = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0, ddof=1), 1.0)
+    z, w = np.column_stack([z, np.ones(n)]), np.zeros((3, 7))
+    ridge = np.diag([*np.ones(6), 1e-9])
+    for _ in range(30):
+        p = np.exp(z @ w.T)
+        p /= p.sum(axis=1, keepdims=True)
+        slope = ((p - np.eye(3)[y]).T @ z + w @ ridge).ravel()
+        bend = np.block([[(z * (p[:, [i]] * ((i == j) - p[:, [j]]))).T @ z + (i == j) * ridge for j in range(3)] for i in range(3)])
+        w -= np.linalg.solve(bend, slope).reshape(3, 7)
+    scored = models.predict(model, rows.withColumn("split", F.lit("test")).withColumn("timestamp", F.timestamp_seconds("id"))).orderBy("timestamp").collect()
+    assert np.abs(np.array([[r[c] for c in models.PROBABILITY_OF.values()] for r in scored]) - p).max() < 2e-3
+
+
+def test_a_model_reads_tables_and_its_features_once(spark, monkeypatch):
+    built = []
+    monkeypatch.setattr(catalog, "written", lambda df, name: built.append(name) or written(df, name))
+    catalog._prepared(spark, "/root/testdata/sf0.001")
+    assert built == ["features", "dataset", "prepared"]
+
+
+def test_summaries_bracket_over_all_levels(spark, monkeypatch):
+    """Many small summaries, merged in several levels; no sketch is merged in one
+    task for all columns."""
+    for name, value in (("CHUNK", 64), ("POINTS", 16), ("FAN_IN", 2)):
+        monkeypatch.setattr(ranks, name, value)
+    rng = np.random.default_rng(12)
+    values = np.sort(np.concatenate([rng.normal(size=900), np.repeat(0.5, 300), [1e300, -1e300, np.inf]]))
+    tables = [pa.table({"v0": values[k::7], "v1": pa.array(values[k::7], mask=rng.random(len(values[k::7])) < 0.5)}) for k in range(7)]
+    monkeypatch.setattr(ranks, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    parts = [t for table in tables for t in ranks.summarised(iter(table.to_batches(max_chunksize=10)))]
+    mine = pa.Table.from_batches(parts).filter(pc.equal(pa.Table.from_batches(parts)["column"], 0)).combine_chunks()
+    while len(mine) > 1:
+        mine = pa.concat_tables([ranks.merged(mine.slice(k, 2)) for k in range(0, len(mine), 2)])
+    points = [0.0, 0.001, 0.3, 0.5, 0.9, 0.99, 1.0]
+    for row in ranks.brackets(mine, points).to_pylist():
+        at = (len(values) - 1) * points[row["i"]]
+        assert row["at"] == at and (values < row["low"]).sum() <= np.floor(at) and (values <= row["high"]).sum() >= np.ceil(at) + 1
+
+
+def test_caps_carry_sizes_only(spark):
+    """Winsorized sizes need no price to travel, and no sketch of 40 columns."""
+    plan = catalog.QUERIES["winsor_sizes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert "percentile_approx" not in plan.toString() and "round(" not in plan.optimizedPlan().toString()
+    kept = cleaning.clean(fixtures.dirty(spark, "/root/testdata/sf0.001"), cleaning.CleaningConfig(winsorize_sizes=False), keep=["ts_sec", "bid_size_1"])
+    assert kept.columns == ["ts_sec", "bid_size_1"]
+    stored = kept._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in stored and "bid_price_7" not in stored.split("InMemoryRelation")[1].split("]")[0]
