@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tidebook.plans import catalog
 from tidebook.sources import discovery, messages, tables, versions, websocket
 from tidebook.streaming import collector
 
@@ -292,3 +293,32 @@ def test_a_live_silence_is_filled_by_timers(spark, tmp_path):
     rows = versions.read(spark, table).orderBy("timestamp").collect()
     seconds = [int(r["timestamp"].replace(tzinfo=dt.UTC).timestamp()) for r in rows]
     assert len(rows) == 6 and seconds == list(range(seconds[0], seconds[0] + 6)) and {r["session_id"] for r in rows} == {1}
+
+
+def test_a_message_and_its_numbers_are_read_once(spark):
+    """One reading of the text, wrapped or bare, and no function of each pair
+    that makes numbers; what counts as readable is as it was."""
+    pair = '["1", "2"]'
+    texts = [
+        f'{{"E": 1, "b": [{pair}], "a": [{pair}]}}',
+        f'{{"data": {{"E": 2, "bids": [{pair}], "asks": [["1", "x"]]}}}}',
+        f'{{"data": {{"E": 3, "bids": [{pair}], "asks": [{pair}]}}, "E": "bad"}}',
+        *(f'{{"E": 4, "b": [{bad}], "a": [{pair}]}}' for bad in ('["1"]', "null", '["1", "2", "3"]', "[]", '["1", null]', f'{pair}, ["a", "b"]')),
+        "x",
+        None,
+        "[1]",
+        "null",
+        f'{{"E": 9, "b": "q", "bids": [{pair}], "a": [{pair}]}}',
+        f'{{"data": 5, "E": 12, "b": [{pair}], "a": [{pair}]}}',
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "value string").withColumn("timestamp", F.timestamp_seconds(F.lit(5)))
+    rows = messages.parse_messages(df, levels=1, symbol="q")
+    assert sorted(int(r["event_time"].timestamp() * 1000) for r in rows.collect()) == [1, 3, 9, 12]
+    assert {tuple(r)[4:] for r in rows.collect()} == {(1.0, 2.0, 1.0, 2.0)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "transform(" not in plan
+
+
+def test_filling_parses_messages_once(spark):
+    plan = catalog.QUERIES["sampler_carry_forward"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().withCachedData().toString()
+    assert "from_json" not in plan.split("InMemoryRelation")[0] and plan.count("InMemoryRelation") == 2
