@@ -539,3 +539,43 @@ def test_caps_carry_sizes_only(spark):
     assert kept.columns == ["ts_sec", "bid_size_1"]
     stored = kept._jdf.queryExecution().withCachedData().toString()
     assert "InMemoryRelation" in stored and "bid_price_7" not in stored.split("InMemoryRelation")[1].split("]")[0]
+
+
+@pytest.mark.parametrize("session", [True, False])
+def test_counts_and_warmups_are_those_of_the_features(spark, monkeypatch, session):
+    """Sessions with and without a number over many buckets and batches, with
+    nulls and breaks at and beyond the allowed gap."""
+    rng = random.Random(12)
+    us, rows = 0, []
+    for i in range(500):
+        us += 1_000_000 if i % 47 else rng.choice([1_500_000, 1_500_001, 90_000_000, 7_300_000_000])
+        rows.append((us, (i // 150 if i < 350 else None), *((-1.0, 1.0) if rng.random() < 0.01 else (100 + rng.random(), 101.0)), *(0.0 if rng.random() < 0.01 else rng.random() for _ in range(2))))
+    df = timed(spark, rows, "us long, session_id long, bid_price_1 double, ask_price_1 double, bid_size_1 double, ask_size_1 double").withColumns({"exchange": F.lit("x"), "symbol": F.lit("y")})
+    df = df if session else df.drop("session_id")
+    one, halo = features.with_instantaneous, ordered.with_halo
+    quantities = {**{f"imbalance_{k}": F.col("imbalance_1") for k in (5, 10, 20)}, **{f"{side}_depth_{k}": F.col("bid_size_1") for side in ("bid", "ask") for k in (5, 20)}}
+    monkeypatch.setattr(features, "with_instantaneous", lambda d, levels: one(d, levels).withColumns(quantities))
+    parts = features.continuity_segments(df)
+    names = ["us", "microprice", *features.history_names()]
+    monkeypatch.setattr(ordered, "with_halo", lambda d, us, before_us=0, after_us=0, **names: halo(d, us, before_us, after_us, width=1, **names))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        built = written(features.build_features(df, 1, keep_warmup=True), "built")
+        counts = features.filled_counts(df, names, 1).collect()
+        found = features.warmup_summary(df, 1)
+        wanted = features.warmup_report(built)
+        assert found.dtypes == wanted.select(*found.columns).dtypes
+        assert sorted(map(str, found.collect())) == sorted(map(str, wanted.select(*found.columns).collect()))
+        nothing = features.filled_counts(df.where("us < 0"), names, 1).head()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {tuple(r) for r in built.select("us", "segment").collect()} == {tuple(r) for r in parts.select("us", "segment").collect()}
+    assert counts == built.agg(*(F.count(n).alias(n) for n in names)).collect() and set(nothing) == {0}
+    assert found.count() > 5 and found.where("kept_rows > 0").count() > 3
+
+
+def test_history_rows_travel_once(spark):
+    """One exchange deals them; no join numbers their stretches, and tasks count."""
+    plans = {q: catalog.QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString() for q in ("feature_selection", "warmup_drop")}
+    assert "Window" not in plans["feature_selection"] and plans["feature_selection"].count("RepartitionByExpression") == 1
+    assert all("Join" not in p and p.count("RepartitionByExpression") == 1 for p in plans.values())
