@@ -579,3 +579,33 @@ def test_history_rows_travel_once(spark):
     plans = {q: catalog.QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString() for q in ("feature_selection", "warmup_drop")}
     assert "Window" not in plans["feature_selection"] and plans["feature_selection"].count("RepartitionByExpression") == 1
     assert all("Join" not in p and p.count("RepartitionByExpression") == 1 for p in plans.values())
+
+
+def test_a_backtest_is_reported_without_its_rows(spark, monkeypatch):
+    """Over several hours and splits, with rows repeated in time, times without a
+    price, a price of zero, no trade and no row."""
+    n = 1500
+    rows = [(i * 9, "test" if i % 5 else "train", 0.0 if i == 700 else 600 + (i * 37 % 101) / 10, 0.1 + i % 7 / 100, *(float(x) for x in ((i * 53 % 97 + 1) ** 3, (i * 29 % 89 + 1) ** 3, (i * 71 % 61 + 1) ** 3))) for i in range(n)]
+    df = spark.createDataFrame(rows, "t long, split string, mid_price double, spread double, a double, b double, c double").withColumn("timestamp", F.timestamp_seconds("t"))
+    market = backtest.prepare_market(df.where("t % 11 <> 0"))
+    total = F.col("a") + F.col("b") + F.col("c")
+    predictions = df.select("timestamp", "split", (F.col("a") / total).alias("prob_down"), (F.col("b") / total).alias("prob_up"), (F.col("c") / total).alias("prob_neutral"))
+    predictions = predictions.unionByName(predictions.where("second(timestamp) % 4 = 0").withColumns({"prob_down": F.col("prob_up"), "prob_up": F.col("prob_down")}))
+    rule, strict = SignalRule(0.55, 0.05, 0.5), SignalRule(1.0, 1.0, 0.0)
+    config = backtest.BacktestConfig
+    for own, some in ((config(rule, 27, 0.3, 0.2), predictions), (config(rule, 18, 0.1, 0.1, True, "test"), predictions), (config(strict, 27), predictions), (config(rule, 27), predictions.where("prob_up < 0"))):
+        want, got = backtest.summarize(backtest.run_backtest(some, market, own)), backtest.report(some, market, own)
+        assert got.dtypes == want.dtypes
+        want, got = want.head().asDict(), got.head().asDict()
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
+    assert backtest.report(predictions, market, config(rule, 27)).head()["number_of_trades"] > 20
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        priced = backtest.attach_prices(predictions, market, 27)
+        plan = priced._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(exit_timestamp" not in plan and "hashpartitioning(timestamp" in plan
+    by_column = backtest.attach_prices(predictions.withColumn("h", F.lit(27)), market, "h").drop("h")
+    assert priced.columns == by_column.columns
+    assert priced.count() == by_column.count() > 500 and priced.exceptAll(by_column).count() == 0
