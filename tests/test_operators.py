@@ -609,3 +609,15 @@ def test_a_backtest_is_reported_without_its_rows(spark, monkeypatch):
     by_column = backtest.attach_prices(predictions.withColumn("h", F.lit(27)), market, "h").drop("h")
     assert priced.columns == by_column.columns
     assert priced.count() == by_column.count() > 500 and priced.exceptAll(by_column).count() == 0
+
+
+def test_events_are_numbered_and_priced_together(spark):
+    """One reading for the buckets' totals and one for what is within."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    numbered = fixtures.numbered(events)
+    assert numbered._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    price, wanted = 600_000, []
+    for i, r in enumerate(events.orderBy("ts", "event_id").collect()):
+        price += int(math.fmod(math.floor(r["value"] * 100 + 0.5), 21)) - 10
+        wanted.append((r["event_id"], r["user_id"], i, price))
+    assert [tuple(r) for r in numbered.select("event_id", "user_id", "rn", "mid_t").orderBy("rn").collect()] == wanted
