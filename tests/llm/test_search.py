@@ -227,6 +227,23 @@ def test_negatives_of_empty_tables_and_large_components(spark):
     assert [tuple(r)[:4] for r in got] == [(100, 1, 1, 2)]  # what would pass 64 bits is clipped, and lies beyond the window
 
 
+def test_pairs_of_blocks_are_neither_broadcast_nor_written(spark, monkeypatch):
+    """A side with a row for each pair of blocks would be built at the driver, and
+    the scores of all pairs grow with the square of the rows."""
+    kept = {}
+    monkeypatch.setattr(hard_negatives, "materialize", lambda df, name, put=hard_negatives.materialize: kept.setdefault(name, put(df, name)))
+    df = spark.createDataFrame(vectors(200), "vec_id long, label int, embedding array<double>")
+    got = hard_negatives.hard_negatives(df, block_anchors=4, block_rows=50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Broadcast" not in plan
+    assert set(kept) == {"scaled", "anchor-blocks", "row-blocks", "windows"}
+    monkeypatch.setattr(hard_negatives, "CELLS", 49 * 20)  # long vectors make small blocks
+    kept.clear()
+    again = hard_negatives.hard_negatives(df)
+    assert kept["row-blocks"].select("block").distinct().count() > 8
+    assert collections.Counter(map(tuple, again.collect())) == collections.Counter(map(tuple, got.collect())) == plain_negatives(vectors(200))
+
+
 def test_a_common_key_is_dealt_over_blocks(spark):
     """Two thousand rows of one identifier fall into even blocks."""
     rows = spark.range(2000).select(F.lit(100).cast("long").alias("vec_id"), F.lit(1).alias("label"), F.array(F.lit(0.5), F.lit(0.25)).alias("embedding"))

@@ -2,12 +2,12 @@
 
 Vectors are scaled to integers and dealt into blocks of rows; a block is cut into
 chunks of dimensions.  The product of anchors and rows is tiled by (anchor block,
-row block): one task multiplies an anchor chunk with a row chunk to a partial
-int64 tile, a shuffle adds the partial tiles of a tile, and what follows works on
-one tile at a time: the best positives of each anchor first, then the best
-negatives within each (anchor, positive) window.  Both are reduced by top-k, so
-only a few rows of a tile leave it.  A tile has a fixed size, whatever the sizes
-of labels or the repetitions of a vector.
+row block): a shuffle brings the chunks of a pair of blocks together, and their
+products are added to an int64 tile.  This is done twice: for the best positives
+of each anchor, then for the best negatives within each (anchor, positive) window.
+Both are reduced by top-k, so only a few rows of a tile leave its task; the tiles
+themselves, which grow with the square of the rows, never do.  A tile has a fixed
+size, whatever the sizes of labels or the repetitions of a vector.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ ROWS = 4096
 DIMENSIONS = 32
 #: Rows of an input batch that share a number, by which repetitions spread.
 STRETCH = 64
+#: Components of a block at most.
+CELLS = 1 << 22
 
 
 def _scaled(scale: float):
@@ -105,44 +108,21 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-NAMES = ["a_keys", "a_labels", "b_keys", "b_labels"]
-PARTIAL = "a int, b int, a_n int, b_n int, a_keys binary, a_labels binary, b_keys binary, b_labels binary, kind string, tile binary"
-
-
-def _partial(chunk: int):
-    """Each row, a pair of chunks, becomes a partial tile."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                row = batch.slice(i, 1).to_pylist()[0]
-                x = unpack(row["a_data"], row["a_kind"]).reshape(-1, chunk)
-                y = unpack(row["b_data"], row["b_kind"]).reshape(-1, chunk)
-                kind, tile = _narrow(_product(x, y))
-                out = {k: row[k] for k in ("a", "b", "a_n", "b_n", *NAMES)} | {"kind": kind, "tile": tile}
-                yield pa.RecordBatch.from_pylist([out], PARTIAL_ARROW)
-
-    return run
-
-
-PARTIAL_ARROW = pa.schema([(n, pa.int32()) for n in ("a", "b", "a_n", "b_n")] + [(n, pa.binary()) for n in NAMES] + [("kind", pa.string()), ("tile", pa.binary())])
-
-
-@tidy
-def _added(table: pa.Table) -> pa.Table:
-    """The partial tiles of a tile, added; names are with the first chunk's."""
+def _opened(left: pa.Table, right: pa.Table, chunk: int) -> tuple[np.ndarray, ...] | None:
+    """Scores of the anchors and rows of a pair of blocks, the products of their
+    chunks added, and keys and labels of both; none where a block is empty."""
+    if not len(left) or not len(right):
+        return None
+    sides, names = [], []
+    for table in (left, right):
+        rows = {r["chunk"]: r for r in table.select(["chunk", "keys", "labels", "kind", "data"]).to_pylist()}
+        sides.append({c: unpack(r["data"], r["kind"]).reshape(-1, chunk) for c, r in rows.items()})
+        names += [unpack(rows[0][n], "<i8") for n in ("keys", "labels")]
     total = None
-    for kind, tile in zip(table.column("kind").to_pylist(), table.column("tile").to_pylist(), strict=True):
-        part = unpack(tile, kind).astype(np.int64)
-        total = part if total is None else total + part
-    named = next(r for r in table.select(["a", "b", "a_n", "b_n", *NAMES]).to_pylist() if r["a_keys"] is not None)
-    kind, tile = _narrow(total)
-    return pa.Table.from_pylist([named | {"kind": kind, "tile": tile}], PARTIAL_ARROW)
-
-
-def _opened(row: dict) -> tuple[np.ndarray, ...]:
-    return (unpack(row["tile"], row["kind"]).astype(np.int64).reshape(row["a_n"], row["b_n"]), *(unpack(row[n], "<i8") for n in NAMES))
+    for c, x in sides[0].items():
+        part = _product(x, sides[1][c])
+        total = part if total is None else np.add(total, part, out=total)
+    return (total, *names)
 
 
 def _best(scores: np.ndarray, keys: np.ndarray, able: np.ndarray, k: int) -> np.ndarray:
@@ -153,45 +133,57 @@ def _best(scores: np.ndarray, keys: np.ndarray, able: np.ndarray, k: int) -> np.
     return able[np.lexsort((keys[able], -scores[able]))[:k]]
 
 
-def _positives(k: int):
-    """Of each tile, each anchor's best rows of its own label."""
+POSITIVES = "a int, place int, anchor_id long, positive_id long, positive_score long"
+NEGATIVES = "a int, place int, nth int, anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
+_KINDS = {"int": pa.int32(), "long": pa.int64()}
+
+
+def _table(columns: str, values: list) -> pa.Table:
+    return pa.table({n: pa.array(v, _KINDS[kind]) for (n, kind), v in zip((c.split() for c in columns.split(", ")), values, strict=True)})
+
+
+def _positives(k: int, chunk: int):
+    """Of a pair of blocks, each anchor's best rows of its own label."""
 
     @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                row, found = batch.slice(i, 1).to_pylist()[0], []
-                tile, a_keys, a_labels, b_keys, b_labels = _opened(row)
-                for j in range(len(tile)):
-                    able = np.flatnonzero((b_labels == a_labels[j]) & (b_keys != a_keys[j]))
-                    best = _best(tile[j], b_keys, able, k)
-                    found.append((np.full(len(best), j), np.full(len(best), a_keys[j]), b_keys[best], tile[j][best]))
-                place, anchor, key, score = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.full(len(place), row["a"]), pa.int32()), "place": pa.array(place, pa.int32()), "anchor_id": pa.array(anchor, pa.int64()), "positive_id": pa.array(key, pa.int64()), "positive_score": pa.array(score, pa.int64())})
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        opened = _opened(left, right, chunk)
+        if opened is None:
+            return _table(POSITIVES, [[]] * 5)
+        tile, a_keys, a_labels, b_keys, b_labels = opened
+        found = []
+        for j in range(len(tile)):
+            able = np.flatnonzero((b_labels == a_labels[j]) & (b_keys != a_keys[j]))
+            best = _best(tile[j], b_keys, able, k)
+            found.append((np.full(len(best), j), np.full(len(best), a_keys[j]), b_keys[best], tile[j][best]))
+        place, anchor, key, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return _table(POSITIVES, [np.full(len(place), left.column("a")[0].as_py()), place, anchor, key, score])
 
     return run
 
 
-def _negatives(k: int, low: int, high: int):
-    """Of each tile, the best rows of other labels within each window."""
+def _negatives(k: int, low: int, high: int, chunk: int):
+    """Of a pair of blocks, the best rows of other labels within each window; the
+    windows come in a row beside the anchors' chunks."""
 
     @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                row, found = batch.slice(i, 1).to_pylist()[0], []
-                tile, _, a_labels, b_keys, b_labels = _opened(row)
-                windows = row["windows"]
-                for w, window in enumerate(windows):
-                    j, positive = window["place"], window["positive_score"]
-                    scores = tile[j]
-                    able = np.flatnonzero((low * positive <= 100 * scores) & (100 * scores <= high * positive) & (b_labels != a_labels[j]))
-                    best = _best(scores, b_keys, able, k)
-                    found.append((np.full(len(best), w), b_keys[best], scores[best]))
-                of, key, score = (np.concatenate(x) for x in zip(*found, strict=True))
-                own = {n: pa.array([windows[w][n] for w in of], pa.int64()) for n in ("anchor_id", "positive_id", "positive_score")}
-                place = {n: pa.array([windows[w][n] for w in of], pa.int32()) for n in ("place", "nth")}
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.full(len(of), row["a"]), pa.int32()), **place, **own, "negative_id": pa.array(key, pa.int64()), "negative_score": pa.array(score, pa.int64())})
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = pc.is_valid(left.column("windows"))
+        given = left.filter(own).column("windows").to_pylist()
+        opened = _opened(left.filter(pc.invert(own)), right, chunk) if given else None
+        if opened is None:
+            return _table(NEGATIVES, [[]] * 8)
+        tile, _, a_labels, b_keys, b_labels = opened
+        (windows,), found = given, []
+        for w, window in enumerate(windows):
+            j, positive = window["place"], window["positive_score"]
+            scores = tile[j]
+            able = np.flatnonzero((low * positive <= 100 * scores) & (100 * scores <= high * positive) & (b_labels != a_labels[j]))
+            best = _best(scores, b_keys, able, k)
+            found.append((np.full(len(best), w), b_keys[best], scores[best]))
+        of, key, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        named = [[windows[w][n] for w in of] for n in ("place", "nth", "anchor_id", "positive_id", "positive_score")]
+        return _table(NEGATIVES, [np.full(len(of), left.column("a")[0].as_py()), *named, key, score])
 
     return run
 
@@ -233,29 +225,32 @@ def hard_negatives(
     rows = rows.where("key is not null and label is not null and vector is not null")
     rows = materialize(rows.mapInArrow(_scaled(scale), "key long, label long, anchor boolean, place long, dims long, vector binary"), "scaled")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("anchor").alias("anchors"), F.coalesce(F.max("dims"), F.lit(0)).alias("dims")).head()
-    n_a, n_b = max(1, -(-size["anchors"] // block_anchors)), max(1, -(-size["n"] // block_rows))
+    # What a task holds of a block is bounded, however long vectors are.
+    most = max(1, CELLS // max(1, size["dims"]))
+    n_a, n_b = (max(1, -(-n // min(of, most))) for n, of in ((size["anchors"], block_anchors), (size["n"], block_rows)))
 
-    def blocks(of: DataFrame, n: int, prefix: str, name: str) -> DataFrame:
+    def blocks(of: DataFrame, n: int, own: str, name: str) -> DataFrame:
         """Even blocks by a hash that also tells repetitions apart."""
         dealt = of.withColumn("block", F.pmod(F.xxhash64("key", "place"), F.lit(n)).cast("int")).withColumn("chunks", F.lit(size["dims"]))
-        made = dealt.groupBy("block").applyInArrow(_blocks(DIMENSIONS), BLOCK)
-        own = {"n": f"{prefix}_n", "keys": f"{prefix}_keys", "labels": f"{prefix}_labels", "kind": f"{prefix}_kind", "data": f"{prefix}_data", "block": prefix}
-        return materialize(made, name).withColumnsRenamed(own)
+        return materialize(dealt.groupBy("block").applyInArrow(_blocks(DIMENSIONS), BLOCK), name).withColumnRenamed("block", own)
 
     left, right = blocks(rows.where("anchor"), n_a, "a", "anchor-blocks"), blocks(rows, n_b, "b", "row-blocks")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # A pair of chunks is one row: its key is (a, b, chunk), no key is hot.
-    pairs = left.withColumn("b", numbers(n_b)).join(right.withColumn("a", numbers(n_a)), ["a", "b", "chunk"])
-    tiles = pairs.mapInArrow(_partial(DIMENSIONS), PARTIAL).groupBy("a", "b").applyInArrow(_added, PARTIAL)
-    tiles = materialize(tiles, "score-tiles")
+
+    def over_pairs(anchors: DataFrame, function, columns: str) -> DataFrame:
+        """``function`` over the chunks of each pair of blocks.  Both sides are
+        dealt by (a, b), so no key is hot, and neither is ever broadcast: with a
+        row for each pair they are far larger than the tables that they are from."""
+        sides = (df.withColumn(c, numbers(n)).groupBy("a", "b") for df, c, n in ((anchors, "b", n_b), (right, "a", n_a)))
+        return next(sides).cogroup(next(sides)).applyInArrow(function, columns)
 
     best = Window.partitionBy("a", "place").orderBy(F.desc("positive_score"), "positive_id")
-    found = tiles.mapInArrow(_positives(positives), "a int, place int, anchor_id long, positive_id long, positive_score long")
+    found = over_pairs(left, _positives(positives, DIMENSIONS), POSITIVES)
     found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= positives)
     # All windows of an anchor block: at most its anchors times ``positives``.
     windows = found.groupBy("a").agg(F.collect_list(F.struct("place", "nth", "anchor_id", "positive_id", "positive_score")).alias("windows"))
-    windows = materialize(windows, "windows").withColumn("b", numbers(n_b))
-    mined = tiles.join(windows, ["a", "b"]).mapInArrow(_negatives(negatives, *window), "a int, place int, nth int, anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
+    windowed = left.unionByName(materialize(windows, "windows"), allowMissingColumns=True)
+    mined = over_pairs(windowed, _negatives(negatives, *window, DIMENSIONS), NEGATIVES)
     order = Window.partitionBy("a", "place", "nth").orderBy(F.desc("negative_score"), "negative_id")
     ranked = mined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
