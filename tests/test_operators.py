@@ -232,6 +232,38 @@ def test_boosted_trees_against_every_cut(spark):
     assert np.allclose(np.array([r["p"] for r in got]), p, atol=1e-9)
 
 
+def test_a_team_grows_the_trees_of_all_rows(spark, monkeypatch):
+    """Several tasks, one of them without a feature and without rows, against
+    every cut tried on the rows themselves; two models, one after the other."""
+    monkeypatch.setattr(boosting, "team_size", lambda spark, rows, models: 4)
+    growth, names = boosting.Growth(rounds=3, leaves=6), ["a", "b", "c"]
+    df, other = boosted_rows(spark, 200).coalesce(1), boosted_rows(spark, 230, 9).coalesce(1)
+    both = df.withColumn("h", F.lit(5)).unionByName(other.withColumn("h", F.lit(10)))
+    forests = models.train_boosted_each(both, names, "h", growth)
+    for k, rows in ((5, df), (10, other)):
+        got = rows.withColumn("p", boosting.probabilities(rows, {None: forests[k]})).orderBy("us").collect()
+        x, y = np.array([[r[n] for n in names] for r in got]), np.array([r["target"] for r in got])
+        labels = np.searchsorted(forests[k].classes, y)
+        counts = np.bincount(labels)
+        trees, p = plain_boosting(x, labels, (len(y) / (len(counts) * counts))[labels], len(counts), growth)
+        assert [sorted((f, n) for f, n in zip(r["feature"], r["rows"], strict=True) if f >= 0) for r in forests[k].trees.to_pylist()] == trees
+        assert np.allclose(np.array([r["p"] for r in got]), p, atol=1e-9)
+
+
+def many_rows(spark, n):
+    """Rows of which twenty, the fewest that a leaf may have, are told by ``b``."""
+    rare = F.col("id") % F.lit(n // 20) == 7
+    rows = spark.range(0, n, 1, 6).select(F.timestamp_seconds("id").alias("timestamp"), F.when(rare, 1).otherwise(-(F.col("id") % 2)).cast("int").alias("target"), (F.col("id") % 3).cast("double").alias("a"), rare.cast("double").alias("b"))
+    return rows.withColumn("split", F.lit("train"))
+
+
+def test_a_boosted_model_sees_every_row(spark):
+    n = 300_000
+    forest = models.train_boosted(many_rows(spark, n), ["a", "b"], boosting.Growth(rounds=1, leaves=3))
+    assert [r[0] for r in forest.trees.column("rows").to_pylist()] == [n] * 3
+    assert 20 in forest.trees.column("rows").to_pylist()[2]
+
+
 def test_boosted_importance_counts_splits(spark, tmp_path):
     df = boosted_rows(spark, 300)
     model = models.train_boosted(df, ["a", "b", "c"], boosting.Growth(rounds=2, leaves=5))
