@@ -3,7 +3,7 @@
 import math
 import random
 import types
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -264,6 +264,14 @@ def test_a_boosted_model_sees_every_row(spark):
     assert 20 in forest.trees.column("rows").to_pylist()[2]
 
 
+def test_importance_is_that_of_every_row(spark, monkeypatch):
+    """A split on ``b`` is allowed only where all of its twenty rows are."""
+    monkeypatch.setattr(boosting, "Growth", partial(boosting.Growth, rounds=1, leaves=3))
+    monkeypatch.setattr(catalog, "_prepared", lambda spark, sf_dir: (many_rows(spark, 300_000), ["a", "b"]))
+    found = {r["feature"]: (r["importance_split"], r["importance_gain"]) for r in catalog.feature_importance(spark, "").collect()}
+    assert found["b"][0] == 3 and found["b"][1] > 1000
+
+
 def test_boosted_importance_counts_splits(spark, tmp_path):
     df = boosted_rows(spark, 300)
     model = models.train_boosted(df, ["a", "b", "c"], boosting.Growth(rounds=2, leaves=5))
