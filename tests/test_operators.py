@@ -272,6 +272,14 @@ def test_importance_is_that_of_every_row(spark, monkeypatch):
     assert found["b"][0] == 3 and found["b"][1] > 1000
 
 
+def test_models_by_key_see_every_row(spark):
+    n, key = 270_000, F.explode(F.array(F.lit(5), F.lit(10))).alias("h")
+    forests = models.train_boosted_each(many_rows(spark, n).select("*", key), ["a", "b"], "h", boosting.Growth(rounds=1, leaves=3))
+    assert sorted(forests) == [5, 10]
+    for forest in forests.values():
+        assert [r[0] for r in forest.trees.column("rows").to_pylist()] == [n] * 3
+
+
 def test_boosted_importance_counts_splits(spark, tmp_path):
     df = boosted_rows(spark, 300)
     model = models.train_boosted(df, ["a", "b", "c"], boosting.Growth(rounds=2, leaves=5))
