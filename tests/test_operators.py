@@ -181,6 +181,34 @@ def test_horizon_runs_reach_every_step(spark):
         assert (r["number_of_trades"], r["total_net_return_bps"], r["validation_accuracy"]) == (0, 0.0, None)
 
 
+def test_horizons_share_one_copy_of_the_features(spark, monkeypatch):
+    """What is written has a row of features once, and the rows of each horizon
+    are those that it would have by itself."""
+    rows = written(features.build_features(fixtures.book(spark, "/root/testdata/sf0.001"), keep_levels=False), "features")
+    kept = []
+    monkeypatch.setattr(experiment, "written", lambda df, name, path=None: kept.append(written(df, name, path)) or kept[-1])
+    got = experiment.run_horizons(rows, horizons=(5, 10), growth=boosting.Growth(rounds=1)).collect()
+    wide = [df for df in kept if "spread" in df.columns]
+    assert len(wide) == 1 and wide[0].count() == rows.count()
+    dataset = targets.by_horizon(spark.read.parquet(got[0]["model_dataset_path"]))
+    for h in (5, 10):
+        want = targets.build_targets(rows, targets.TargetConfig(horizon_seconds=h))
+        assert set(dataset.columns) == set(want.columns)
+        own = dataset.where(F.col("horizon_seconds") == h).select(*want.columns)
+        assert want.count() == own.count() > 100 and own.exceptAll(want).count() == 0
+
+
+def test_splits_by_key_are_cut_within_a_time(spark):
+    """Ten rows at a time, told apart by a second column; a key with few rows."""
+    rows = spark.range(530).select(F.timestamp_seconds(F.floor(F.col("id") / 10) * 1800).alias("timestamp"), (F.col("id") % 10 * 7 % 10).alias("s"), F.when(F.col("id") < 9, 3).otherwise(F.col("id") % 2).alias("h"))
+    got = evaluation.chronological_splits(rows.repartition(5), "h", ["s"]).collect()
+    for h in (0, 1):
+        own = sorted((r["timestamp"], r["s"], r["split"]) for r in got if r["h"] == h)
+        a, b = evaluation.split_cuts(len(own))
+        assert [split for *_, split in own] == ["train"] * a + ["validation"] * (b - a) + ["test"] * (len(own) - b)
+    assert {r["h"] for r in got} == {0, 1} and len(got) == 521
+
+
 def plain_boosting(x, labels, weights, classes, growth):
     """Trees found by trying every cut of every feature on the rows themselves."""
     scores, trees = np.zeros((len(x), classes)), []
